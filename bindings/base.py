@@ -5,8 +5,13 @@ start from the same derived rows.
 """
 from __future__ import annotations
 
+import functools
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
+import studycorpus
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,12 +20,31 @@ ORACLES: dict[str, str] = {}
 HOSTS = ("lms.example.edu",)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="studycorpus-")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(studycorpus.__file__)))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/studycorpus", "zip", root, "studycorpus"))
+    _SHIPPED.add(app)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return fn
+        return run
     return register
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed_values as V
 
@@ -46,19 +46,34 @@ def casefold(c) -> Column:
     return _icu("com.ibm.icu.lang.UCharacter", "foldCase", col(c), True)
 
 
+def unnest(df: DataFrame, keep: list, array, *names: str) -> DataFrame:
+    """Explode with positions, empty arrays giving no row.
+
+    The outer form keeps Spark from testing the array in an added filter, which
+    would compute a costly array expression a second time.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(*names)).filter(F.col(names[0]).isNotNull())
+
+
+def let(c, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(col(c)), use), 1)
+
+
 def strip(c) -> Column:
     return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def has_exotic(c: Column) -> Column:
-    return c.rlike(f"[{EXOTIC}]")
+    # one wide range is much faster than the exact class; what it holds beyond
+    # white space only sends a text the slower, equally right way
+    return c.rlike(r"[\x0b\f\x1c-\x1f\x85\u00a0\u1680\u2000-\u3000]")
 
 
 def collapse(c) -> Column:
     """White space runs become one space, ends are trimmed."""
-    c = col(c)
-    return strip(F.when(has_exotic(c), F.regexp_replace(c, f"{WS}+", " "))
-                  .otherwise(F.regexp_replace(c, r"[ \t\n\r]{2,}|[\t\n\r]", " ")))
+    return strip(let(c, lambda t: F.when(has_exotic(t), F.regexp_replace(t, f"{WS}+", " "))
+                     .otherwise(F.regexp_replace(t, r"[ \t\n\r]{2,}|[\t\n\r]", " "))))
 
 
 def clean_line(c) -> Column:
@@ -75,8 +90,8 @@ def clean_block(c) -> Column:
     for old, new in (("\u00a0", " "), ("\r\n", "\n"), ("\r", "\n"), ("\t", " ")):
         t = _swap(t, old, new)
     t = F.regexp_replace(t, " {2,}", " ")
-    rare = F.regexp_replace(t, rf"{WS_INLINE}*\n{WS_INLINE}*", "\n")
-    t = F.when(has_exotic(t), rare).otherwise(_swap(_swap(t, " \n", "\n"), "\n ", "\n"))
+    t = let(t, lambda x: F.when(has_exotic(x), F.regexp_replace(x, rf"{WS_INLINE}*\n{WS_INLINE}*", "\n"))
+            .otherwise(_swap(_swap(x, " \n", "\n"), "\n ", "\n")))
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
@@ -102,8 +117,8 @@ def fold(c) -> Column:
 
 
 def word_count(c) -> Column:
-    t = F.coalesce(col(c), F.lit(""))
-    return F.when(has_exotic(t), F.regexp_count(t, F.lit(f"[^{WS[1:]}+"))).otherwise(F.regexp_count(t, F.lit(r"\S+")))
+    return let(F.coalesce(col(c), F.lit("")), lambda t: F.when(has_exotic(t), F.regexp_count(t, F.lit(f"[^{WS[1:]}+")))
+               .otherwise(F.regexp_count(t, F.lit(r"\S+"))))
 
 
 def slug(c, max_len: int = 80) -> Column:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import fixed_values as V
 
@@ -16,7 +17,7 @@ def _first_decoding(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_legacy(content: pd.Series) -> pd.Series:
     """Text of bytes that are not valid UTF-8."""
     return content.map(_first_decoding, na_action="ignore")
@@ -38,7 +39,7 @@ def _undo(name: str) -> str:
     return min(readings, key=_damage)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def undo_mojibake(name: pd.Series) -> pd.Series:
     """Least damaged reading of a name; null stays null."""
     return name.map(_undo, na_action="ignore")

@@ -60,7 +60,7 @@ def pieces(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
     """One row per piece with its position in the unit, from 0."""
     cut = with_pieces(df, text, size, overlap)
     keep = [c for c in cut.columns if c != "_pieces"]
-    return cut.select(*keep, F.posexplode("_pieces").alias("pos", "text"))
+    return T.unnest(cut, keep, "_pieces", "pos", "text")
 
 
 def chunk_id(source_id, ordinal) -> Column:
@@ -83,12 +83,12 @@ def chunk_units(units: DataFrame, size: int = V.CHUNK_MAX_CHARS, overlap: int =
     narrow rows, in buckets of unit numbers, so a source with very many units is
     never ordered in one task.
     """
-    cut = with_pieces(units, "text", size, overlap).filter(F.size("_pieces") > 0)
+    cut = with_pieces(units, "text", size, overlap)
     counts = cut.select("course_id", "source_id", "unit_no", F.size("_pieces").cast("long").alias("_n"))
     starts = scale.bucket_sums(counts, ["course_id", "source_id"], "unit_no", F.col("_n"), "_start").drop("_n")
     placed = cut.join(starts, ["course_id", "source_id", "unit_no"])
     keep = [c for c in placed.columns if c not in ("_pieces", "_start")]
-    return (placed.select(*keep, "_start", F.posexplode("_pieces").alias("_pos", "text"))
+    return (T.unnest(placed, [*keep, "_start"], "_pieces", "_pos", "text")
                   .withColumn("ordinal", F.col("_start") + F.col("_pos") + 1)
                   .withColumn("chunk_id", chunk_id("source_id", "ordinal")).drop("_start", "_pos"))
 

@@ -11,6 +11,8 @@ def build(app: str = "studycorpus", master: str | None = None, **extra: str) ->
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+               # call-site capture makes every Python column call several times slower
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.ui.enabled", "false"))
     if master:
         builder = builder.master(master)

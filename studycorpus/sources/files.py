@@ -104,7 +104,7 @@ def csv_units(texts: DataFrame, text: str = "text", cap: int | None = V.ROW_UNIT
     counts = [(sep, F.regexp_count(head, F.lit(pattern))) for sep, pattern in ((",", ","), (";", ";"), ("\t", "\t"), ("|", "\\|"))]
     best = F.greatest(*[n for _, n in counts])
     sep = reduce(lambda acc, p: acc.when(p[1] == best, p[0]), counts[1:], F.when(counts[0][1] == best, counts[0][0]))
-    rows = lines.withColumn("_sep", sep).select("course_id", "source_id", "_sep", F.posexplode(F.split("_t", "\n")).alias("_i", "_line"))
+    rows = T.unnest(lines.withColumn("_sep", sep), ["course_id", "source_id", "_sep"], F.split("_t", "\n"), "_i", "_line")
     cell = F.regexp_extract_all("_line", F.concat(F.lit('(?:\\A|(?<=['), F.col("_sep"), F.lit(']))("(?:[^"]|"")*"|[^'),
                                                   F.col("_sep"), F.lit("]*)")), F.lit(1))
     clean = F.transform(cell, lambda v: T.clean_block(F.when(v.rlike('(?s)\\A".*"\\z'), F.replace(
@@ -129,7 +129,7 @@ def subtitle_cues(texts: DataFrame, text: str = "text") -> DataFrame:
     body = F.regexp_replace(T.clean_block(text), r"(?is)\AWEBVTT.*?\n+", "")
     blocks = texts.withColumn("_blocks", F.split(body, r"\n\s*\n")).drop(text)
     keep = [c for c in blocks.columns if c != "_blocks"]
-    rows = blocks.select(*keep, F.posexplode("_blocks").alias("_i", "_block"))
+    rows = T.unnest(blocks, keep, "_blocks", "_i", "_block")
     lines = F.filter(F.transform(F.split("_block", "\n"), T.strip), lambda l: l != "")
     rows = rows.withColumn("_lines", lines).withColumn(
         "_at", F.array_position(F.transform("_lines", lambda l: l.contains("-->")), F.lit(True)))

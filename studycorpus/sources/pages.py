@@ -2,29 +2,40 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as S
 
 from ..functions import fixed_values as V, html as H, text as T, urls as U
 from ..operators import catalog as C
 from ..plans import scale
 
 
-@F.pandas_udf("string")
+def _struct(**fields) -> S.StructType:
+    return S.StructType([S.StructField(name, kind) for name, kind in fields.items()])
+
+
+_TEXT, _INT = S.StringType(), S.IntegerType()
+_LINKS = S.ArrayType(_struct(label=_TEXT, href=_TEXT, media=S.BooleanType()))
+_ANCHORS = S.ArrayType(_struct(label=_TEXT, href=_TEXT))
+_SECTIONS = S.ArrayType(_struct(title=_TEXT, links=_ANCHORS))
+_CELLS = S.ArrayType(_struct(table_no=_INT, row_no=_INT, col_no=_INT, text=_TEXT, links=_ANCHORS))
+
+
+@F.pandas_udf(_TEXT)
 def _text(html: pd.Series) -> pd.Series:
     return html.map(H.page_text)
 
 
-@F.pandas_udf("array<struct<label:string,href:string,media:boolean>>")
+@F.pandas_udf(_LINKS)
 def _links(html: pd.Series) -> pd.Series:
     return html.map(H.page_links)
 
 
-@F.pandas_udf("array<struct<title:string,links:array<struct<label:string,href:string>>>>")
+@F.pandas_udf(_SECTIONS)
 def _sections(html: pd.Series) -> pd.Series:
     return html.map(H.sections)
 
 
-@F.pandas_udf("array<struct<table_no:int,row_no:int,col_no:int,text:string,links:array<struct<href:string,label:string>>>>")
+@F.pandas_udf(_CELLS)
 def _cells(html: pd.Series) -> pd.Series:
     return html.map(H.table_cells)
 
@@ -40,7 +51,7 @@ def page_links(pages: DataFrame, hosts, follow: bool = False) -> DataFrame:
     ``follow`` keeps what a crawl goes on with: files, deep modules and courses
     other than the page itself.
     """
-    rows = (pages.select("page_id", "url", F.posexplode(_links("html")).alias("pos", "l"))
+    rows = (T.unnest(pages, ["page_id", "url"], _links("html"), "pos", "l")
                  .filter(~F.col("l.href").startswith("data:"))
                  .select("page_id", F.col("url").alias("_base"), "pos", "l.label",
                          U.normalize(U.resolve("url", "l.href")).alias("url")))
@@ -57,7 +68,7 @@ def page_outline(pages: DataFrame, hosts) -> DataFrame:
 
     One row per activity; a section without one gives a row with nulls.
     """
-    sections = pages.select("page_id", "url", F.posexplode(_sections("html")).alias("section_idx", "s"))
+    sections = T.unnest(pages, ["page_id", "url"], _sections("html"), "section_idx", "s")
     links = sections.select("page_id", "section_idx", F.col("s.title").alias("section_title"), F.transform(
         "s.links", lambda l: F.struct(l["label"].alias("activity_name"),
                                       U.normalize(U.resolve(F.col("url"), l["href"])).alias("url"))).alias("_l"))
@@ -83,8 +94,7 @@ def catalog_from_tables(pages: DataFrame) -> DataFrame:
     lecturer cells take the value above.
     """
     base = F.col("url")
-    cells = (pages.select(F.col("page_id").alias("tab"), "url", F.explode(_cells("html")).alias("c"))
-                  .select("tab", "url", "c.*"))
+    cells = T.unnest(pages, [F.col("page_id").alias("tab"), "url"], _cells("html"), "_i", "c").select("tab", "url", "c.*")
     names = F.create_map(*[F.lit(x) for kv in V.CATALOG_HEADERS.items() for x in kv])
     roles = cells.withColumn("role", F.try_element_at(names, T.fold("text"))).filter(F.col("role").isNotNull())
     per_row = roles.groupBy("tab", "table_no", "row_no").agg(
