@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as V
-from .text import col
+from .text import col, let
 
 _PARTS = r"(?s)\A([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(?:#.*)?\z"
 
@@ -44,9 +44,8 @@ def query_value(url, key: str) -> Column:
 
 def normalize(url) -> Column:
     """Lower-case scheme and authority, fragment dropped."""
-    u = col(url)
-    ok = u.rlike(_PARTS)
-    return F.when(ok, F.concat(scheme(u), F.lit("://"), authority(u), path(u), _part(u, 4))).otherwise(u)
+    return let(url, lambda u: F.when(u.rlike(_PARTS), F.concat(
+        scheme(u), F.lit("://"), authority(u), path(u), _part(u, 4))).otherwise(u))
 
 
 def is_on_host(url, hosts) -> Column:
@@ -57,72 +56,77 @@ def is_on_host(url, hosts) -> Column:
 
 
 def host_allowed(url, hosts, subdomains: bool = False) -> Column:
-    h = host(url)
-    hits = [h == x for x in hosts]
-    if subdomains:
-        hits += [h.endswith("." + x) for x in hosts]
-    return (h != "") & reduce(lambda a, b: a | b, hits)
+    def allowed(h):
+        hits = [h == x for x in hosts]
+        if subdomains:
+            hits += [h.endswith("." + x) for x in hosts]
+        return (h != "") & reduce(lambda a, b: a | b, hits)
+
+    return let(host(url), allowed)
 
 
 def is_course(url, hosts) -> Column:
-    u = col(url)
-    return (F.coalesce(is_on_host(u, hosts), F.lit(False)) & path(u).endswith(V.COURSE_PATH_SUFFIX)
-            & (query_value(u, "id") != ""))
+    return let(url, lambda u: F.coalesce(is_on_host(u, hosts), F.lit(False)) & path(u).endswith(V.COURSE_PATH_SUFFIX)
+               & (query_value(u, "id") != ""))
 
 
 def canonical_course(url) -> Column:
-    u = F.trim(col(url))
-    ident = query_value(u, "id")
-    return F.when(ident == "", normalize(u)).otherwise(
-        F.concat(scheme(u), F.lit("://"), authority(u), path(u), F.lit("?id="), ident))
+    """Course address with its first id only."""
+    return let(F.trim(col(url)), lambda u: let(query_value(u, "id"), lambda ident: F.when(ident == "", normalize(u)).otherwise(
+        F.concat(scheme(u), F.lit("://"), authority(u), path(u), F.lit("?id="), ident))))
+
+
+def _without_dots(joined: Column) -> Column:
+    """``./`` and ``name/../`` steps of a path taken out."""
+    out = F.regexp_replace(joined, r"(?<=/)\./", "")
+    for _ in range(4):
+        out = F.regexp_replace(out, r"(?<=/)(?!\.\./)[^/?#]+/\.\./", "")
+    return F.regexp_replace(out, r"\A(?:/\.\.)+(?=/)", "")
 
 
 def resolve(base, href) -> Column:
     """Absolute form of a link found on a page."""
-    b, h = col(base), F.trim(col(href))
+    b = col(base)
     root = F.concat(_part(b, 1), F.lit("://"), _part(b, 2))
-    folder = F.regexp_replace(path(b), r"[^/]*\z", "")
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    joined = F.concat(folder, h)
-    # "a/../" and "./" steps of a relative link
-    joined = F.regexp_replace(joined, r"(?<=/)\./", "")
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"(?<=/)(?!\.\./)[^/?#]+/\.\./", "")
-    joined = F.regexp_replace(joined, r"\A(?:/\.\.)+(?=/)", "")
-    return (F.when(h.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-             .when(h.startswith("//"), F.concat(_part(b, 1), F.lit(":"), h))
-             .when(h.startswith("/"), F.concat(root, h))
-             .when(h.startswith("?"), F.concat(root, path(b), h))
-             .when(h.startswith("#") | (h == ""), F.concat(root, path(b), _part(b, 4)))
-             .otherwise(F.concat(root, joined)))
+    folder = F.coalesce(F.nullif(F.regexp_replace(path(b), r"[^/]*\z", ""), F.lit("")), F.lit("/"))
+    return let(F.trim(col(href)), lambda h: (
+        F.when(h.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+         .when(h.startswith("//"), F.concat(_part(b, 1), F.lit(":"), h))
+         .when(h.startswith("/"), F.concat(root, h))
+         .when(h.startswith("?"), F.concat(root, path(b), h))
+         .when(h.startswith("#") | (h == ""), F.concat(root, path(b), _part(b, 4)))
+         .otherwise(F.concat(root, _without_dots(F.concat(folder, h))))))
 
 
 def canonical_link(url) -> Column:
     """Link of a catalog cell: redirects opened, fragment dropped, empty when it
     is no absolute URL."""
-    u = F.trim(col(url))
-    redirected = host(u).isin(*V.REDIRECT_HOSTS) & (path(u) == V.REDIRECT_PATH) & (query_value(u, "q") != "")
-    target = F.when(redirected, F.coalesce(F.try_url_decode(query_value(u, "q")), u)).otherwise(u)
-    return F.when(target.rlike(_PARTS) & (authority(target) != ""), F.regexp_replace(target, r"(?s)#.*\z", "")).otherwise("")
+    def opened(u):
+        target = query_value(u, "q")
+        redirected = host(u).isin(*V.REDIRECT_HOSTS) & (path(u) == V.REDIRECT_PATH) & (target != "")
+        return F.when(redirected, F.coalesce(F.try_url_decode(target), u)).otherwise(u)
+
+    return let(let(F.trim(col(url)), opened), lambda t: F.when(
+        t.rlike(_PARTS) & (authority(t) != ""), F.regexp_replace(t, r"(?s)#.*\z", "")).otherwise(""))
+
+
+def _marked(p: Column) -> Column:
+    return reduce(lambda a, b: a | b, [p.contains(m) for m in V.FILE_MARKERS])
 
 
 def activity_type(url, hosts) -> Column:
-    p = F.lower(path(url))
-    mod = F.regexp_extract(p, r"/mod/([^/]+)/", 1)
-    marked = reduce(lambda a, b: a | b, [p.contains(m) for m in V.FILE_MARKERS])
-    return (F.when(mod != "", mod).when(marked, "pluginfile")
-             .when(is_course(url, hosts), "course").otherwise("other"))
+    u = col(url)
+    return let(F.lower(path(u)), lambda p: let(F.regexp_extract(p, r"/mod/([^/]+)/", 1), lambda mod: (
+        F.when(mod != "", mod).when(_marked(p), "pluginfile").when(is_course(u, hosts), "course").otherwise("other"))))
 
 
 def url_suffix(url) -> Column:
-    p = F.coalesce(F.try_url_decode(path(url)), path(url))
-    return F.lower(F.regexp_extract(p, r"[^./](\.[^./]+)\z", 1))
+    return let(path(col(url)), lambda p: F.lower(F.regexp_extract(F.coalesce(F.try_url_decode(p), p), r"[^./](\.[^./]+)\z", 1)))
 
 
 def is_file(url) -> Column:
-    p = F.lower(path(url))
-    marked = reduce(lambda a, b: a | b, [p.contains(m) for m in V.FILE_MARKERS])
-    return marked | url_suffix(url).isin(*V.FILE_SUFFIXES)
+    u = col(url)
+    return let(F.lower(path(u)), _marked) | url_suffix(u).isin(*V.FILE_SUFFIXES)
 
 
 def is_video(url) -> Column:
@@ -131,18 +135,18 @@ def is_video(url) -> Column:
 
 def link_kind(url, hosts) -> Column:
     """file / deep / course / interactive / other."""
-    kind = activity_type(url, hosts)
-    return (F.when((kind == "pluginfile") | is_file(url), "file")
-             .when(kind.isin(*V.DEEP_TYPES), "deep").when(kind == "course", "course")
-             .when(kind.isin(*V.INTERACTIVE_TYPES), "interactive").otherwise("other"))
+    return let(activity_type(url, hosts), lambda kind: (
+        F.when((kind == "pluginfile") | is_file(url), "file")
+         .when(kind.isin(*V.DEEP_TYPES), "deep").when(kind == "course", "course")
+         .when(kind.isin(*V.INTERACTIVE_TYPES), "interactive").otherwise("other")))
 
 
 def material_key(url) -> Column:
     """Identity of a public file link; other links are their own identity."""
-    u = F.regexp_replace(F.trim(col(url)), r"#.*\z", "")
-    file_id = F.regexp_extract(path(u), V.PUBLIC_FILE_ID, 1)
-    folder_id = F.regexp_extract(path(u), V.PUBLIC_FOLDER_ID, 1)
-    public = host_allowed(u, V.PUBLIC_FILE_HOSTS)
-    return (F.when(public & (file_id != ""), F.concat(F.lit("drive-file:"), file_id))
-             .when(public & (folder_id != ""), F.concat(F.lit("drive-folder:"), folder_id))
-             .otherwise(u))
+    def key(u):
+        file_id, folder_id = F.regexp_extract(path(u), V.PUBLIC_FILE_ID, 1), F.regexp_extract(path(u), V.PUBLIC_FOLDER_ID, 1)
+        named = (F.when(file_id != "", F.concat(F.lit("drive-file:"), file_id))
+                  .when(folder_id != "", F.concat(F.lit("drive-folder:"), folder_id)))
+        return F.when(host_allowed(u, V.PUBLIC_FILE_HOSTS), F.coalesce(named, u)).otherwise(u)
+
+    return let(F.regexp_replace(F.trim(col(url)), r"#.*\z", ""), key)

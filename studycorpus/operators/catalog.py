@@ -88,8 +88,8 @@ def match_catalog(courses: DataFrame, candidates: DataFrame) -> DataFrame:
     by_name = candidates.filter(F.col("name_key") != "").groupBy("name_key").agg(F.count("*").alias("_n_name"))
     keyed_courses = (courses.withColumn("code", F.nullif(T.catalog_code("course_code"), F.lit("")))
                             .withColumn("name_key", F.nullif(T.catalog_name_key("course_name"), F.lit(""))))
-    rows = scale.salted_join(keyed_courses, by_code, ["code"])
-    rows = scale.salted_join(rows, by_name, ["name_key"])
+    rows = scale.lookup_join(keyed_courses, by_code, ["code"])
+    rows = scale.lookup_join(rows, by_name, ["name_key"])
     exact, named = F.col("_n_code").isNotNull(), F.col("_n_name")
     status = (F.when(exact, "matched").when(F.col("name_key").isNull(), "no_match").when(named == 1, "matched")
                .when(named > 1, "ambiguous").otherwise("no_match"))

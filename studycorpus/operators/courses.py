@@ -33,11 +33,11 @@ def resolve_roots(courses: DataFrame, folders: DataFrame) -> DataFrame:
         "parent", F.col("folder").alias("_folder"), name_key("root_course").alias("_own_name"))
     plain = folders.filter("not has_metadata").select("parent", F.col("folder").alias("_folder"), F.lit(True).alias("_plain"))
     siblings = meta.groupBy("parent").agg(F.lit(True).alias("_siblings"))
-    rows = scale.salted_join(want, own_url.unionByName(own_name, True), ["parent", "_folder"])
-    rows = scale.salted_join(rows, plain, ["parent", "_folder"])
-    rows = scale.salted_join(rows, by_url, ["parent", "_url"])
-    rows = scale.salted_join(rows, by_name, ["parent", "_name"])
-    rows = scale.salted_join(rows, siblings, ["parent"])
+    rows = scale.lookup_join(want, own_url.unionByName(own_name, True), ["parent", "_folder"])
+    rows = scale.lookup_join(rows, plain, ["parent", "_folder"])
+    rows = scale.lookup_join(rows, by_url, ["parent", "_url"])
+    rows = scale.lookup_join(rows, by_name, ["parent", "_name"])
+    rows = scale.lookup_join(rows, siblings, ["parent"])
     exact = F.coalesce(F.col("_own_url") == F.col("_url"), F.lit(False)) | F.coalesce(
         F.col("_own_name") == F.col("_name"), F.lit(False))
     n = F.coalesce("_n_url", F.lit(0)) + F.coalesce("_n_name", F.lit(0))
@@ -85,7 +85,7 @@ def import_courses(existing: DataFrame, batch: DataFrame, hosts, order: str = "p
     # an address that is already known is skipped before its folder is looked at
     bad = (checked.filter(~F.col("_valid")).select("batch_id")
                   .unionByName(first.filter(F.trim("output") == "").select("batch_id")).distinct())
-    kept = scale.salted_join(first, bad.withColumn("_bad", F.lit(True)), ["batch_id"]).filter(F.col("_bad").isNull())
+    kept = scale.lookup_join(first, bad.withColumn("_bad", F.lit(True)), ["batch_id"]).filter(F.col("_bad").isNull())
     code = F.coalesce(F.nullif(F.upper(F.trim("code")), F.lit("")), T.course_code("name"), F.lit(""))
     return kept.select("batch_id", order, "url", F.trim("output").alias("output"), F.trim("name").alias("name"),
                        code.alias("code"), F.lit(False).alias("selected"))

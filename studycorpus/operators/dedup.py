@@ -70,7 +70,7 @@ def drop_superseded(files: DataFrame) -> DataFrame:
                       .select("course_id", F.coalesce(T.parent_dir("path"), F.lit("")).alias("_dir"),
                               F.lit(True).alias("_has_text"))
                       .distinct())
-    return (scale.salted_join(keyed, canonical, ["course_id", "_dir"])
+    return (scale.lookup_join(keyed, canonical, ["course_id", "_dir"])
                  .withColumn("status", F.when(F.col("_has_text"), "skipped_html_duplicate"))
                  .drop("_dir", "_has_text"))
 
@@ -86,6 +86,6 @@ def drop_media_stubs(sources: DataFrame, files: DataFrame, body: str = "body") -
                   .select("course_id", T.parent_dir(folder).alias("_dir"), F.lit(True).alias("_media"))
                   .distinct())
     stub = F.col("_short") & (F.col("_named") | F.coalesce(F.col("_media"), F.lit(False)))
-    return (scale.salted_join(facts, media, ["course_id", "_dir"])
+    return (scale.lookup_join(facts, media, ["course_id", "_dir"])
                  .withColumn("status", F.when(stub, "skipped_media_stub"))
                  .drop("_short", "_named", "_dir", "_media"))

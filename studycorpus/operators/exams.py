@@ -147,8 +147,8 @@ def reconcile_exams(prior: DataFrame, new: DataFrame, completeness: DataFrame) -
     """The new set replaces the old one only where discovery was complete and
     every download worked; complete and empty wipes, anything else keeps."""
     done = completeness.select("course_id", (F.col("complete") & (F.col("failed_downloads") == 0)).alias("_done"))
-    kept = scale.salted_join(prior, done, ["course_id"]).filter(~F.coalesce(F.col("_done"), F.lit(False)))
-    fresh = scale.salted_join(new, done, ["course_id"]).filter(F.coalesce(F.col("_done"), F.lit(False)))
+    kept = scale.lookup_join(prior, done, ["course_id"]).filter(~F.coalesce(F.col("_done"), F.lit(False)))
+    fresh = scale.lookup_join(new, done, ["course_id"]).filter(F.coalesce(F.col("_done"), F.lit(False)))
     return kept.unionByName(fresh).drop("_done")
 
 

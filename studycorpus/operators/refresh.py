@@ -59,7 +59,7 @@ def carry_forward(prior_docs: DataFrame, prior_chunks: DataFrame, changes: DataF
     reused = changes.filter(F.col("change") == "reused").select("course_id", F.col("logical_path").alias("source_path"))
     docs = prior_docs.join(reused, ["course_id", "source_path"], "left_semi")
     kept = docs.groupBy("course_id", "source_id").agg(F.lit(True).alias("_kept"))
-    chunks = scale.salted_join(prior_chunks, kept, ["course_id", "source_id"], how="inner").drop("_kept")
+    chunks = scale.lookup_join(prior_chunks, kept, ["course_id", "source_id"], how="inner").drop("_kept")
     return docs, chunks
 
 

@@ -55,7 +55,7 @@ def size_budget(retained: DataFrame, totals: DataFrame, target: int = V.TARGET_B
     """
     order = [F.col("cost").desc(), F.col("source_id")]
     freed = scale.running(retained, ["course_id"], order, {"_freed": F.col("cost").cast("long")})
-    rows = scale.salted_join(freed, totals.select("course_id", "total"), ["course_id"], how="inner")
+    rows = scale.lookup_join(freed, totals.select("course_id", "total"), ["course_id"], how="inner")
     dropped = rows.filter(F.col("total") - (F.col("_freed") - F.col("cost")) > target)
     reason = F.when(F.col("verdict") == "TEXT_DOMINANT", "OMIT_BINARY_SIZE_BUDGET").otherwise(
         "OMIT_VISUAL_BINARY_SIZE_BUDGET")

@@ -63,7 +63,7 @@ def validate_corpus(records: DataFrame, chunks: DataFrame, stored: DataFrame, *,
     lost = _missing(visual, "source_copy_path", stored)
     known = ids.select("course_id", F.col("source_id").alias("represented_by_source_id"), F.lit(True).alias("_known"))
     texts = stored.select("course_id", F.col("path").alias("output_path"), F.lit(True).alias("_text")).distinct()
-    lost = scale.salted_join(lost, known, ["course_id", "represented_by_source_id"]).join(
+    lost = scale.lookup_join(lost, known, ["course_id", "represented_by_source_id"]).join(
         texts, ["course_id", "output_path"], "left")
     excused = ((F.col("retention_decision") == "OMIT_VERIFIED_DUPLICATE") & F.col("_known")) | (
         F.col("retention_decision").isin(*EXCUSED_BY_TEXT) & F.col("_text"))

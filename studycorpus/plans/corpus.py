@@ -69,7 +69,7 @@ def build_chunks(records: DataFrame, files: DataFrame, body: str = "body", units
         rows = chunking.chunk_bodies(bodies, "body", size, overlap)
     else:
         cut = chunking.chunk_sources(bodies, units, size, overlap)
-        rows = scale.salted_join(cut, facts, ["course_id", "source_id"], how="inner")
+        rows = scale.lookup_join(cut, facts, ["course_id", "source_id"], how="inner")
     folder = F.when(F.col("group").startswith("chapter_"), F.concat(F.lit("chapters/"), "group")).otherwise(F.col("group"))
     return rows.select("course_id", "chunk_id", "source_id", "ordinal", "title", F.col("path").alias("source_path"),
                        "source_type", "priority", "group", "chapter", "chapters", "locator", "text",
@@ -112,7 +112,7 @@ def refresh_chunks(records: DataFrame, files: DataFrame, body: str, prior_chunks
     was_ready = prior_records.filter(F.col("status") == "ready").select("course_id", "source_path")
     still = (ready.join(reused, ["course_id", "source_path"], "left_semi")
                   .join(was_ready, ["course_id", "source_path"], "left_semi"))
-    kept = scale.salted_join(prior_chunks, still.select("course_id", "source_id", F.lit(True).alias("_k")),
+    kept = scale.lookup_join(prior_chunks, still.select("course_id", "source_id", F.lit(True).alias("_k")),
                              ["course_id", "source_id"], how="inner").drop("_k")
     build = records.join(still.select("course_id", "source_id"), ["course_id", "source_id"], "left_anti")
     return kept.unionByName(build_chunks(build, files, body))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -53,31 +54,35 @@ def first_rows(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: st
     return out if rank else out.drop(name)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str | None = None,
-                how: str = "left") -> DataFrame:
+def _any_null(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join many left rows to at most one right row per key.
 
-    ``right`` is unique on ``keys``; ``weight`` names its column with the number of
-    left rows of a key (counted here when there is none). At most ``HEAVY_KEYS``
-    keys are heavy; only those are broadcast, and their left rows are spread over
-    as many salts as there are shuffle tasks. Left rows with a null key match
-    nothing and are spread too.
+    Left rows with a null key match nothing; they get a salt of their own, or all
+    of them would meet in one task. A heavy key is split by the adaptive skew
+    join, which can cut the left side because the right one is a single row.
+    """
+    row_hash = F.pmod(F.xxhash64(*left.columns), F.lit(shuffle_width(left.sparkSession))).cast("int")
+    lhs = left.withColumn("_salt", F.when(_any_null(keys), -1 - row_hash).otherwise(F.lit(0)))
+    return lhs.join(right.withColumn("_salt", F.lit(0)), [*keys, "_salt"], how).drop("_salt")
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """``lookup_join`` for a right side that knows how heavy its keys are.
+
+    ``weight`` names the column with the number of left rows of a key. At most
+    ``HEAVY_KEYS`` keys are heavy; only those are broadcast, and their left rows
+    are spread over as many salts as there are shuffle tasks.
     """
     salts = shuffle_width(left.sparkSession)
-    counts = right
-    if weight is None:
-        weight = "_rows"
-        counts = left.groupBy(*keys).agg(F.count("*").alias(weight))
-    heavy = (counts.filter(F.col(weight) >= HEAVY_MIN_ROWS).dropna(subset=keys)
-                   .orderBy(F.col(weight).desc()).limit(HEAVY_KEYS)
-                   .select(*keys, F.lit(salts).alias("_salts")))
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    row_hash = F.xxhash64(*left.columns)
-    salt = (F.when(any_null, -1 - F.pmod(row_hash, F.lit(salts)).cast("int"))
-             .when(F.col("_salts").isNull(), F.lit(0))
-             .otherwise(F.pmod(row_hash, F.col("_salts")).cast("int")))
+    heavy = (right.filter(F.col(weight) >= HEAVY_MIN_ROWS)
+                  .orderBy(F.col(weight).desc()).limit(HEAVY_KEYS)
+                  .select(*keys, F.lit(salts).alias("_salts")))
+    row_hash = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    salt = F.when(_any_null(keys), -1 - row_hash).when(F.col("_salts").isNull(), F.lit(0)).otherwise(row_hash)
     lhs = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt).drop("_salts")
     rhs = (right.join(F.broadcast(heavy), keys, "left")
                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))

@@ -42,7 +42,11 @@ def parse_lines(lines: DataFrame, schema: str, policy: str = "report") -> tuple[
     """
     if policy not in ("report", "reject_file"):
         raise ValueError(f"unknown policy {policy}")
-    rows = lines.filter(T.strip("line") != "").withColumn("_bad", F.try_parse_json("line").isNull())
+    # inside brackets a line with anything behind its value is malformed too
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col("line"), F.lit("]")))
+    rows = (lines.filter(T.strip("line") != "").withColumn("_json", whole)
+                 .withColumn("_bad", F.col("_json").isNull() | F.try_variant_get("_json", "$[1]", "variant").isNotNull())
+                 .drop("_json"))
     bad = rows.filter("_bad")
     if "line_no" not in lines.columns:
         bad = line_numbers(lines, bad)
@@ -51,7 +55,7 @@ def parse_lines(lines: DataFrame, schema: str, policy: str = "report") -> tuple[
     good = rows.filter(~F.col("_bad") & F.col("line").rlike(r"\A\s*\{")).withColumn("_r", F.from_json("line", schema))
     if policy == "reject_file":
         bad_files = rows.filter("_bad").select("file").distinct().withColumn("_reject", F.lit(True))
-        good = scale.salted_join(good, bad_files, ["file"]).filter(F.col("_reject").isNull())
+        good = scale.lookup_join(good, bad_files, ["file"]).filter(F.col("_reject").isNull())
     keep = ["file", "line_no"] if "line_no" in lines.columns else ["file"]
     return good.select(*keep, "_r.*"), errors
 
