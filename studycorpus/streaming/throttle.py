@@ -108,12 +108,12 @@ def throttle_batch(events: DataFrame, key: str, ts: str, order: str, gap_seconds
 
 
 class _Clock(StatefulProcessor):
-    def __init__(self, key: str, order: str, gap: int, ttl_ms: int):
+    def __init__(self, key: str, order: str, gap: int, ttl_ms: int | None):
         self.key, self.order, self.gap, self.ttl = key, order, gap, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kind = S.StructType([S.StructField("last", S.LongType())])
-        self.last = handle.getValueState("last", kind, ttlDurationMs=self.ttl)
+        self.last = handle.getValueState("last", kind, ttlDurationMs=self.ttl) if self.ttl else handle.getValueState("last", kind)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # the rows of one key in one trigger; the source limits how many that are
@@ -130,8 +130,12 @@ class _Clock(StatefulProcessor):
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, order: str, gap_seconds: float = V.THROTTLE_SECONDS,
-                    ttl_seconds: int = 86_400) -> DataFrame:
-    """Stream form on ``transformWithStateInPandas`` (RocksDB state, one value per key)."""
+                    ttl_seconds: int | None = 86_400) -> DataFrame:
+    """Stream form on ``transformWithStateInPandas`` (RocksDB state, one value per key).
+
+    With a time to live the clock of a silent resource is forgotten; such a stream
+    keeps running batches, so an ``available_now`` run must pass ``None``.
+    """
     spark = events.sparkSession
     # the state driver has a Python process of its own, which gets no shipped packages
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -141,8 +145,9 @@ def throttle_stream(events: DataFrame, key: str, ts: str, order: str, gap_second
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     schema = S.StructType([S.StructField(key, kinds[key]), S.StructField("micros", S.LongType()), S.StructField(order, kinds[order])])
     out = rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Clock(key, order, int(gap_seconds * 1_000_000), ttl_seconds * 1000), outputStructType=schema,
-        outputMode="Append", timeMode="ProcessingTime")
+        statefulProcessor=_Clock(key, order, int(gap_seconds * 1_000_000), ttl_seconds and ttl_seconds * 1000),
+        outputStructType=schema,
+        outputMode="Append", timeMode="ProcessingTime" if ttl_seconds else "None")
     return out.select(key, F.timestamp_micros("micros").cast(events.schema[ts].dataType).alias(ts), order)
 
 
