@@ -84,15 +84,21 @@ def _swap(c: Column, old: str, new: str) -> Column:
     return F.replace(c, F.lit(old), F.lit(new))
 
 
-def clean_block(c) -> Column:
-    """Tidy white space inside lines and keep at most one blank line in a row."""
-    t = F.coalesce(col(c), F.lit(""))
+def _tidied(t: Column) -> Column:
     for old, new in (("\u00a0", " "), ("\r\n", "\n"), ("\r", "\n"), ("\t", " ")):
         t = _swap(t, old, new)
-    t = F.regexp_replace(t, " {2,}", " ")
-    t = let(t, lambda x: F.when(has_exotic(x), F.regexp_replace(x, rf"{WS_INLINE}*\n{WS_INLINE}*", "\n"))
-            .otherwise(_swap(_swap(x, " \n", "\n"), "\n ", "\n")))
-    return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    t = F.regexp_replace(F.regexp_replace(t, " {2,}", " "), rf"{WS_INLINE}*\n{WS_INLINE}*", "\n")
+    return F.regexp_replace(t, r"\n{3,}", "\n\n")
+
+
+def clean_block(c) -> Column:
+    """Tidy white space inside lines and keep at most one blank line in a row.
+
+    One search tells whether there is anything to tidy; most texts only get their
+    ends trimmed.
+    """
+    untidy = r"[\t\r\x0b\f\x1c-\x1f\x85\u00a0\u1680\u2000-\u3000]|  | \n|\n |\n\n\n"
+    return strip(let(F.coalesce(col(c), F.lit("")), lambda t: F.when(t.rlike(untidy), _tidied(t)).otherwise(t)))
 
 
 def norm_compare(c) -> Column:
@@ -121,6 +127,17 @@ def word_count(c) -> Column:
                .otherwise(F.regexp_count(t, F.lit(r"\S+"))))
 
 
+def clean_word_count(c) -> Column:
+    """Word count of an already clean text: its separators are single blanks and
+    one or two line ends."""
+    def count(t):
+        single = _swap(t, "\n\n", "\n")
+        gaps = F.length(single) - F.length(_swap(_swap(single, " ", ""), "\n", ""))
+        return F.when(t == "", 0).when(has_exotic(t), word_count(t)).otherwise(gaps + 1)
+
+    return let(c, count)
+
+
 def slug(c, max_len: int = 80) -> Column:
     t = F.regexp_replace(F.lower(_unaccent(col(c))), "[^a-z0-9]+", "_")
     t = F.regexp_replace(t, "^_+|_+$", "")

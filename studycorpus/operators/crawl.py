@@ -21,6 +21,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = V.MAX_LINK_DE
     links = edges.select("scope", "src", "dst").distinct()
     if closed is not None:
         links = links.join(closed.select("scope", F.col("node").alias("src")), ["scope", "src"], "left_anti")
+    links = scale.checkpointed(links)   # every level reads them again
     frontier = scale.checkpointed(seeds.select("scope", "node").distinct())
     levels = [frontier.withColumn("depth", F.lit(0)).withColumn("state", F.lit("reached"))]
     visited = frontier

@@ -19,7 +19,7 @@ def fingerprints(sources: DataFrame, body: str = "body", placeholder: str | None
     if placeholder:
         long_enough = long_enough & ~F.coalesce(F.col(placeholder), F.lit(False))
     return (norm.withColumn("chars", F.length("_clean"))
-                .withColumn("words", T.word_count("_clean"))
+                .withColumn("words", T.clean_word_count("_clean"))
                 .withColumn("text_key", F.when(long_enough, F.sha1(F.col("_norm"))))
                 .drop("_clean", "_norm", body))
 

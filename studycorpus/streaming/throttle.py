@@ -48,12 +48,32 @@ def _after(bounds, ends, last: int, gap: int) -> int:
     return last if at == len(bounds) else int(ends[at])
 
 
+def _segments(pdf: pd.DataFrame) -> Iterator[tuple[object, int, int]]:
+    """(key, from, to) of the keys of a frame sorted by key."""
+    keys = pdf["_key"].to_numpy()
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield keys[a], a, b
+
+
+def _described(key, part: int, times: np.ndarray, gap: int) -> dict:
+    """Short step function: last passed time before a range -> the one behind it."""
+    ends = _ends(times, gap)
+    # the last passed event lies before this range, so only its first gap matters
+    reach = int(np.searchsorted(times, times[0] + gap, side="right"))
+    use = np.arange(min(reach + 1, len(times)))
+    change = np.r_[ends[use][1:] != ends[use][:-1], True]
+    return {"_key": key, "_part": part, "bounds": times[use][change], "ends": ends[use][change],
+            "first_end": _after(times, ends, int(times[0]), gap)}
+
+
 def throttle_batch(events: DataFrame, key: str, ts: str, order: str, gap_seconds: float = V.THROTTLE_SECONDS) -> DataFrame:
     """Events that pass; columns key, ts, order.
 
-    1. Rows are range partitioned on (key, time). 2. Each range tells as a short
-    step function how the last passed time changes across it. 3. The few ranges
-    of a key are chained. 4. Each range marks its rows from its start value.
+    1. Rows are range partitioned on (key, time). 2. Only the first and the last
+    key of a range can go on in another one; for these the range tells as a short
+    step function how the last passed time changes across it. 3. These few rows
+    are chained per key. 4. Each range marks its rows from its start values.
     """
     gap = int(gap_seconds * 1_000_000)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -61,25 +81,20 @@ def throttle_batch(events: DataFrame, key: str, ts: str, order: str, gap_seconds
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     parts = scale.checkpointed(rows.repartitionByRange(scale.shuffle_width(events.sparkSession), "_key", "_t", "_o")
                                    .withColumn("_part", F.spark_partition_id()))
-    steps = S.StructType([S.StructField("_key", kinds["_key"]), S.StructField("_part", S.IntegerType()),
-                          S.StructField("bounds", S.ArrayType(S.LongType())), S.StructField("ends", S.ArrayType(S.LongType())),
-                          S.StructField("first", S.LongType()), S.StructField("first_end", S.LongType())])
+    key_field, part_field = S.StructField("_key", kinds["_key"]), S.StructField("_part", S.IntegerType())
+    longs = S.ArrayType(S.LongType())
+    steps = S.StructType([key_field, part_field, S.StructField("bounds", longs), S.StructField("ends", longs),
+                          S.StructField("first_end", S.LongType())])
 
     def describe(names, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_t"].to_numpy(np.int64))
-        ends = _ends(times, gap)
-        # the last passed event lies before this range, so only its first gap matters
-        reach = int(np.searchsorted(times, times[0] + gap, side="right"))
-        use = np.arange(min(reach + 1, len(times)))
-        change = np.r_[ends[use][1:] != ends[use][:-1], True]
-        started = _after(times, ends, int(times[0]), gap)
-        # a later start than the last bound passes nothing in this range
-        return pd.DataFrame([{"_key": names[0], "_part": names[1], "bounds": times[use][change], "ends": ends[use][change],
-                              "first": int(times[0]), "first_end": started}])
-
-    told = parts.groupBy("_key", "_part").applyInPandas(describe, steps)
-    entry = S.StructType([S.StructField("_key", kinds["_key"]), S.StructField("_part", S.IntegerType()),
-                          S.StructField("_last", S.LongType())])
+        pdf = pdf.sort_values(["_key", "_t"])
+        times = pdf["_t"].to_numpy(np.int64)
+        found = list(_segments(pdf))
+        edges = found if len(found) < 3 else [found[0], found[-1]]
+        return pd.DataFrame([_described(k, names[0], times[a:b], gap) for k, a, b in edges])
+
+    told = parts.groupBy("_part").applyInPandas(describe, steps)
+    entry = S.StructType([key_field, part_field, S.StructField("_last", S.LongType())])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         out, last = [], NEVER
@@ -88,23 +103,23 @@ def throttle_batch(events: DataFrame, key: str, ts: str, order: str, gap_seconds
             last = row.first_end if last == NEVER else _after(np.asarray(row.bounds), row.ends, last, gap)
         return pd.DataFrame(out, columns=["_key", "_part", "_last"])
 
-    # one row per range of a key: no more rows than there are range partitions
-    starts = told.groupBy("_key").applyInPandas(chain, entry).select(
-        F.col("_key").alias("_k2"), F.col("_part").alias("_p2"), "_last")
-    marked = S.StructType([S.StructField("_key", kinds["_key"]), S.StructField("_t", S.LongType()), S.StructField("_o", kinds["_o"])])
+    # at most two rows per range partition in all
+    starts = told.groupBy("_key").applyInPandas(chain, entry).select("_key", F.col("_part").alias("_p2"), "_last")
+    marked = S.StructType([key_field, S.StructField("_t", S.LongType()), S.StructField("_o", kinds["_o"])])
 
     def mark(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pdf[["_key", "_t", "_o"]]
-        pdf = pdf.sort_values(["_t", "_o"])
+        pdf = pdf.sort_values(["_key", "_t", "_o"])
         times = pdf["_t"].to_numpy(np.int64)
-        last = int(start["_last"].iloc[0])
-        return pdf.iloc[_passed(times, int(times[0]) if last == NEVER else last, gap)][["_key", "_t", "_o"]]
-
-    out = parts.groupBy("_key", "_part").cogroup(starts.groupBy("_k2", "_p2")).applyInPandas(mark, marked)
-    stamp = F.timestamp_micros("_t")
+        known = dict(zip(start["_key"], start["_last"]))
+        hits = []
+        for k, a, b in _segments(pdf):
+            last = int(known.get(k, NEVER))
+            hits += [a + i for i in _passed(times[a:b], int(times[a]) if last == NEVER else last, gap)]
+        return pdf.iloc[hits][["_key", "_t", "_o"]]
+
+    out = parts.groupBy("_part").cogroup(starts.groupBy("_p2")).applyInPandas(mark, marked)
     same = events.schema[ts].dataType
-    return out.select(F.col("_key").alias(key), stamp.cast(same).alias(ts), F.col("_o").alias(order))
+    return out.select(F.col("_key").alias(key), F.timestamp_micros("_t").cast(same).alias(ts), F.col("_o").alias(order))
 
 
 class _Clock(StatefulProcessor):
