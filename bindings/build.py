@@ -269,15 +269,16 @@ def coverage(spark, sf):
     return reports.coverage(records_of(spark, sf))
 
 
-@query("section_headings", """with t as (select conv_id, string_agg(concat('## ', role, ' ', turn), '|' order by turn) as headings from
-  (select * from conversations where turn < 20) group by 1) select * from t""")
+@query("section_headings", """select conv_id, turn // 30 as part, string_agg(concat('## ', role, ' ', turn), '|' order by turn) as headings
+ from conversations where turn % 30 < 20 group by 1, 2""")
 def section_headings(spark, sf):
-    turns = table(spark, sf, "conversations")
-    bodies = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(
+    """Thirty turns of a conversation are one text; the first twenty headings stay."""
+    turns = table(spark, sf, "conversations").withColumn("part", F.floor(F.col("turn") / 30))
+    bodies = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(
         F.lit("## "), "role", F.lit(" "), "turn", F.lit("  \n"), "text").alias("p")))).alias("t")).select(
-        "conv_id", F.array_join(F.transform("t", lambda x: x["p"]), "\n").alias("body"))
+        "conv_id", "part", F.array_join(F.transform("t", lambda x: x["p"]), "\n").alias("body"))
     out = reports.section_headings(bodies)
-    return out.select("conv_id", F.array_join(F.transform("headings", lambda h: F.concat(F.lit("## "), h)), "|").alias("headings"))
+    return out.select("conv_id", "part", F.array_join(F.transform("headings", lambda h: F.concat(F.lit("## "), h)), "|").alias("headings"))
 
 
 # --- renderings and sinks --------------------------------------------------------------

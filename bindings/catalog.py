@@ -27,15 +27,12 @@ def fill_down(spark, sf):
 # --- catalog rows from part: the code repeats, names carry a class suffix ---------------
 
 CODE = "case when p_partkey % 11 = 0 then '' else concat('CO', cast(1000 + p_partkey % 300 as string)) end"
-NAME = "case when p_partkey % 13 = 0 then '' when p_partkey % 2 = 0 then concat(p_name, ' - Lop L0', cast(p_partkey % 4 as string)) else p_name end"
+NAME = "case when p_partkey % 13 = 0 then '' when p_partkey % 17 = 0 then concat(p_name, ' ', cast(p_partkey as string)) when p_partkey % 2 = 0 then concat(p_name, ' - Lop L0', cast(p_partkey % 4 as string)) else p_name end"
 LINK = "concat('https://drive.google.com/drive/u/', cast(p_partkey % 3 as string), '/folders/f', cast(p_partkey % 90 as string), '?x=', cast(p_partkey as string))"
 
 
-def rows_of(spark, sf, third: bool = False):
-    part = table(spark, sf, "part")
-    if third:
-        part = part.filter("p_partkey % 3 = 0")   # the catalog lists a third of the parts
-    return part.selectExpr("p_type as tab", "p_partkey as row_no", f"{CODE} as course_code", f"{NAME} as course_name", "p_brand as lecturer",
+def rows_of(spark, sf, code: str = CODE):
+    return table(spark, sf, "part").selectExpr("p_type as tab", "p_partkey as row_no", f"{code} as course_code", f"{NAME} as course_name", "p_brand as lecturer",
                            "p_type as category", f"array(named_struct('url', {LINK}, 'label', p_name)) as material_links")
 
 
@@ -63,7 +60,11 @@ def candidate_links(spark, sf):
     return catalog.candidate_links(rows_of(spark, sf))
 
 
-@query("match_catalog", f"""with {ROWS_SQL}, cat as (select distinct code, name_key from rows_ where p_partkey % 3 = 0),
+# the catalog knows every second code only, so that names have to decide too
+LISTED = "case when p_partkey % 11 = 0 then '' else concat('CO', cast(1000 + p_partkey % 300 * 2 as string)) end"
+
+
+@query("match_catalog", f"""with {ROWS_SQL}, cat as (select distinct {LISTED} as code, r1.name_key from part join r1 using (p_partkey) where {LISTED} <> '' or r1.name_key <> ''),
  bc as (select code, count(*) as n from cat where code <> '' group by 1), bn as (select name_key, count(*) as n from cat where name_key <> '' group by 1)
 select r.p_partkey as course_id, r.code as course_code, r.course_name,
   case when bc.n is not null then 'matched' when r.name_key = '' then 'no_match' when bn.n = 1 then 'matched' when bn.n > 1 then 'ambiguous' else 'no_match' end as status,
@@ -75,7 +76,7 @@ select r.p_partkey as course_id, r.code as course_code, r.course_name,
 from r1 r left join bc on bc.code = r.code left join bn on bn.name_key = r.name_key""")
 def match_catalog(spark, sf):
     courses = table(spark, sf, "part", "p_partkey as course_id", f"{CODE} as course_code", f"{NAME} as course_name")
-    return catalog.match_catalog(courses, catalog.aggregate_candidates(rows_of(spark, sf, third=True)))
+    return catalog.match_catalog(courses, catalog.aggregate_candidates(rows_of(spark, sf, LISTED)))
 
 
 LABEL = "concat('L0', cast(p_size as string), '_', p_name, ' (co', cast(1000 + p_partkey as string), ') ', p_brand)"
@@ -93,18 +94,21 @@ CELL = """concat('<tr>', case when rn = 1 then concat('<td rowspan="', n, '">MA'
  '<td>', s_name, '</td><td><a href="https://drive.google.com/drive/folders/s', cast(s_suppkey as string), '">', 'Doc ', cast(s_suppkey as string), '</a></td><td><a href="/v', cast(s_suppkey as string), '#t">Video</a></td></tr>')"""
 
 
-@query("catalog_from_tables", """select 1 + s_nationkey as tab, concat('MA', 100 + s_nationkey) as course_code, n_name as course_name, s_name as lecturer,
+@query("catalog_from_tables", """select s_suppkey // 200 * 100 + 1 + s_nationkey as tab, concat('MA', 100 + s_nationkey) as course_code, n_name as course_name, s_name as lecturer,
   concat('https://drive.google.com/drive/folders/s', s_suppkey, ' ', 'https://cat.example.edu/v', s_suppkey) as links from supplier join nation on s_nationkey = n_nationkey""")
 def catalog_from_tables(spark, sf):
-    """One page per nation with one table; code and name cells span its suppliers."""
+    """One page per nation and 200 suppliers with one table; code and name cells
+    span its suppliers."""
     from pyspark.sql import Window as W
+    page = ["s_nationkey", "block"]
     rows = (table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .withColumn("rn", F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey")))
-            .withColumn("n", F.count("*").over(W.partitionBy("s_nationkey"))))
-    body = rows.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("rn", F.expr(CELL).alias("r")))).alias("t"))
+            .withColumn("block", F.floor(F.col("s_suppkey") / 200))
+            .withColumn("rn", F.row_number().over(W.partitionBy(*page).orderBy("s_suppkey")))
+            .withColumn("n", F.count("*").over(W.partitionBy(*page))))
+    body = rows.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("rn", F.expr(CELL).alias("r")))).alias("t"))
     html = F.concat(F.lit("<table><tr><td colspan='5'>Catalog</td></tr><tr><th>Mã môn</th><th>Tên môn học</th><th>Giảng viên</th><th>Tài liệu</th><th>Video</th></tr>"),
                     F.array_join(F.transform("t", lambda x: x["r"]), ""), F.lit("</table>"))
-    out = pages.catalog_from_tables(body.select((F.col("s_nationkey") + 1).alias("page_id"), F.lit("https://cat.example.edu/list").alias("url"), html.alias("html")))
+    out = pages.catalog_from_tables(body.select((F.col("block") * 100 + F.col("s_nationkey") + 1).alias("page_id"), F.lit("https://cat.example.edu/list").alias("url"), html.alias("html")))
     return out.select("tab", "course_code", "course_name", "lecturer",
                       F.array_join(F.transform("material_links", lambda l: l["url"]), " ").alias("links"))
 

@@ -38,13 +38,13 @@ def row_units(spark, sf):
     return files.row_units(rows, ["s_suppkey", "s_name", "s_nationkey"], "row_no", cap=None)
 
 
-@query("csv_units", """select concat('n', s_nationkey) as source_id, row_number() over (partition by s_nationkey order by s_suppkey) as unit_no,
+@query("csv_units", """select concat('n', s_nationkey, '_', s_suppkey // 500) as source_id, row_number() over (partition by s_nationkey, s_suppkey // 500 order by s_suppkey) as unit_no,
   concat('column 1: ', s_suppkey, ' | column 2: ', s_name, '; "x"', ' | column 4: ', s_nationkey) as text from supplier""")
 def csv_units(spark, sf):
-    """One file per nation: semicolons, quoted cells, one empty column."""
-    lines = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.concat(
+    """One file per nation and 500 suppliers: semicolons, quoted cells, one empty column."""
+    lines = table(spark, sf, "supplier").groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 500).alias("part")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.concat(
         F.col("s_suppkey").cast("string"), F.lit(';"'), "s_name", F.lit('; ""x"""; ;'), F.col("s_nationkey").cast("string")).alias("l")))).alias("t"))
-    texts = lines.select(F.lit("c").alias("course_id"), F.concat(F.lit("n"), "s_nationkey").alias("source_id"),
+    texts = lines.select(F.lit("c").alias("course_id"), F.concat(F.lit("n"), "s_nationkey", F.lit("_"), "part").alias("source_id"),
                          F.array_join(F.transform("t", lambda x: x["l"]), "\n").alias("text"))
     return files.csv_units(texts, cap=None).select("source_id", "unit_no", "text")
 
@@ -74,15 +74,16 @@ def manifest_files(spark, sf):
     return rows.groupBy("user_id").agg(F.count("*").alias("rows_read"), F.sum("k").alias("k"))
 
 
-@query("subtitle_cues", """select conv_id, turn + 1 as unit_no, concat(lpad(cast(turn // 60 as varchar), 2, '0'), ':', lpad(cast(turn % 60 as varchar), 2, '0'), ':00.000') as locator,
+@query("subtitle_cues", """select conv_id, turn // 60 as part, turn % 60 + 1 as unit_no, concat(lpad(cast(turn // 60 as varchar), 2, '0'), ':', lpad(cast(turn % 60 as varchar), 2, '0'), ':00.000') as locator,
   trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from conversations""")
 def subtitle_cues(spark, sf):
-    """Turns of a conversation as the cues of one subtitle file."""
+    """Sixty turns of a conversation as the cues of one subtitle file."""
     stamp = "concat(lpad(cast(floor(turn / 60) as string), 2, '0'), ':', lpad(cast(turn % 60 as string), 2, '0'), ':00.000')"
     cue = f"concat(cast(turn as string), '\\n', {stamp}, ' --> ', {stamp}, '\\n', text)"
     turns = table(spark, sf, "conversations", "conv_id", "turn", f"{cue} as cue")
-    texts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "cue"))).alias("t")).select(
-        "conv_id", F.concat(F.lit("WEBVTT - talk\n\n"), F.array_join(F.transform("t", lambda x: x["cue"]), "\n\n")).alias("text"))
+    parts = turns.groupBy("conv_id", F.floor(F.col("turn") / 60).alias("part"))
+    texts = parts.agg(F.array_sort(F.collect_list(F.struct("turn", "cue"))).alias("t")).select(
+        "conv_id", "part", F.concat(F.lit("WEBVTT - talk\n\n"), F.array_join(F.transform("t", lambda x: x["cue"]), "\n\n")).alias("text"))
     return files.subtitle_cues(texts)
 
 
