@@ -11,9 +11,11 @@ import shutil
 import tempfile
 from collections.abc import Callable
 
-import studycorpus
 from pyspark.sql import DataFrame, SparkSession
 
+import studycorpus
+from studycorpus.plans import scale
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,7 +52,8 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str, *exprs: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.selectExpr(*exprs) if exprs else df
+    df = df.selectExpr(*exprs) if exprs else df
+    return scale.spread(df) if name in ("documents", "pages") else df
 
 
 # --- documents as the files of courses -----------------------------------------
