@@ -26,8 +26,6 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = session.build("bench", f"local[{cpus}]", **{
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"), "spark.sql.shuffle.partitions": cpus,
-        # the test tables are small files: let every core take part in a scan
-        "spark.sql.files.maxPartitionBytes": "4m", "spark.sql.files.openCostInBytes": "1m",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
 

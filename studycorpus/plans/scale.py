@@ -49,11 +49,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Use every core on a small input that sits in a few row groups.
 
     Text work is bound by the processor, and a scan of one row group is one task.
-    An input with at least as many splits as cores is left as it is: large data
-    is never shuffled for this.
+    An input with two or more splits per core is left as it is: large data is
+    never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: str | None = None) -> DataFrame:
