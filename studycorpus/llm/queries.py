@@ -4,10 +4,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bindings.base import ship
-from studycorpus.llm import exact
+import public_tokenizers
+
+from studycorpus.llm import bpe, counts, exact, idfile, mix
 
 QUERIES = {}
 ORACLES = {}
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, sql: str | None = None):
@@ -38,3 +41,24 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 @query("op4_exact_dedup", EXACT_SQL)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(documents(spark, sf_dir), VOCABULARY)
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(documents(spark, sf_dir), VOCABULARY)
+
+
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.roundtrip(documents(spark, sf_dir), VOCABULARY, end_id=1)
+
+
+@query("op7_mix_sources")
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix.plan_mix(documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "taken_1", "taken_2")
