@@ -1,53 +1,26 @@
 """Helpers that several operators share."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
 
-from studycorpus.plans.scale import checkpointed, shared_folder, shuffle_width
+import pyarrow as pa
+from pyspark.sql import Column, functions as F
 
-__all__ = ["checkpointed", "shared_folder", "shuffle_width", "text_of", "components", "crc32_mod4"]
+from studycorpus.plans.scale import checkpointed, components, shared_folder, shuffle_width
+
+__all__ = ["checkpointed", "shared_folder", "shuffle_width", "text_of", "components", "crc32_mod4", "slices"]
 
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def crc32_mod4(column: str = "doc_id") -> Column:
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 4
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of them is small as well."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
-    """Connected components of undirected edges: rows ``(node, component)``.
-
-    ``component`` is the smallest node reachable. Only nodes with an edge are returned.
-    Null ends and loops are ignored. Alternating large-star and small-star steps
-    (Kiveris et al., 2014): a node's neighbourhood is only ever reduced to its minimum by
-    an aggregate and joined back, so a hub is never gathered in one task. Each round is
-    written as a table; the number of rounds grows with the logarithm of the longest
-    path. ``max_rounds`` only guards against a fault: reaching it raises.
-    """
-    spark = edges.sparkSession
-
-    def tidy(df: DataFrame) -> DataFrame:
-        return df.filter("u <> v").selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct()
-
-    links = checkpointed(tidy(edges.selectExpr(f"`{a}` as u", f"`{b}` as v")))
-    seen = None
-    for _ in range(max_rounds):
-        # large star: each larger neighbour of a node moves to the smallest of the neighbourhood
-        both = links.unionAll(links.selectExpr("v as u", "u as v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u as k", "least(u, m) as m")
-        large = both.filter("v > u").join(least, F.col("u") == F.col("k")).selectExpr("v as u", "m as v")
-        links = tidy(large)
-        # small star: smaller neighbours and the node itself move to the smallest neighbour
-        least = links.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u as k", "m")
-        small = links.join(least, F.col("u") == F.col("k"))
-        links = checkpointed(tidy(small.selectExpr("v as u", "m as v").unionAll(least.selectExpr("k as u", "m as v"))))
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    stars = links.selectExpr("u as node", "v as component")
-    return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
+def crc32_mod4(column: str = "doc_id") -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 4

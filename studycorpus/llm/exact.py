@@ -61,8 +61,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return block
 
 
-def repeated_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Bit set *twice* of a one-column table of 64-bit hashes."""
+def bit_filter(hashes: DataFrame, bits: int, times: int) -> np.ndarray:
+    """Bit set *once* (``times`` 1) or *twice* (2) of a one-column table of 64-bit hashes."""
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
@@ -81,22 +81,21 @@ def repeated_filter(hashes: DataFrame, bits: int) -> np.ndarray:
             o = _unpacked(o)
             twice |= _unpacked(t) | (once & o)
             once |= o
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([twice.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "set": pa.array([(once, twice)[times - 1].tobytes()], pa.binary())})
 
     sets = hashes.mapInArrow(fill, "block int, once binary, twice binary")
-    merged = sets.groupBy("block").applyInArrow(merge, "block int, twice binary")
+    merged = sets.groupBy("block").applyInArrow(merge, "block int, set binary")
     out = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
     for row in merged.toLocalIterator():   # at most MAX_BITS / 8 bytes
-        out[row["block"]] = np.frombuffer(row["twice"], np.uint8)
+        out[row["block"]] = np.frombuffer(row["set"], np.uint8)
     return out.reshape(-1)
 
 
-def maybe_repeated(digests: DataFrame, column: str = "sha", max_bits: int = MAX_BITS):
-    """A function from a digest column to a column that is false only for unique rows."""
-    spark = digests.sparkSession
-    rows = digests.count()
+def _tester(hashes: DataFrame, rows: int, times: int, max_bits: int):
+    """A function from a column of hashes to a column that is false only for hashes that
+    occur fewer than ``times`` times."""
     bits = min(max(1 << 16, 1 << int(16 * max(rows, 1) - 1).bit_length()), max_bits)
-    store = spark.sparkContext.broadcast(repeated_filter(digests.select(F.xxhash64(column).alias("h")), bits))
+    store = hashes.sparkSession.sparkContext.broadcast(bit_filter(hashes, bits, times))
 
     @F.pandas_udf(BooleanType())
     def test(h):
@@ -104,6 +103,18 @@ def maybe_repeated(digests: DataFrame, column: str = "sha", max_bits: int = MAX_
         at = _positions(h.to_numpy(), bits)
         return pd.Series(_get(store.value, at[0]) & _get(store.value, at[1]))
 
+    return test
+
+
+def maybe_repeated(digests: DataFrame, column: str = "sha", max_bits: int = MAX_BITS):
+    """A function from a digest column to a column that is false only for unique rows."""
+    test = _tester(digests.select(F.xxhash64(column).alias("h")), digests.count(), 2, max_bits)
+    return lambda c: test(F.xxhash64(c))
+
+
+def maybe_among(ids: DataFrame, column: str, max_bits: int = MAX_BITS):
+    """A function from an id column to a column that is false only for ids that are not in ``ids``."""
+    test = _tester(ids.select(F.xxhash64(column).alias("h")), ids.count(), 1, max_bits)
     return lambda c: test(F.xxhash64(c))
 
 

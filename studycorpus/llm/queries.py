@@ -1,13 +1,15 @@
 """The operators on the driver's tables: one query each, with its SQL twin where SQL can say it."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bindings.base import ship
 import public_tokenizers
 
-from studycorpus.llm import bpe, counts, exact, idfile, mix
+from studycorpus.llm import bpe, counts, exact, idfile, mix, near, pii, quality, repeats, vectors
+from studycorpus.llm.base import crc32_mod4
 
+ACCEPT = 0.7         # score from which a document counts as good
 QUERIES = {}
 ORACLES = {}
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -62,3 +64,67 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix.plan_mix(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "taken_1", "taken_2")
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(documents(spark, sf_dir))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Fitted on labels whose crc32 of the id leaves no 2 when divided by 4; the rest is held out."""
+    return quality.fit(docs, labels, crc32_mod4() != 2)
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc32_mod4() == 2).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
+NEAR_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+reps as (select ws, min(doc_id) as rep from w group by ws),
+s as (select rep, case when len(ws) < 5 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end as ss from reps where len(ws) > 0),
+c as (select rep, g, count(*) as n from (select rep, unnest(ss) as g from s) group by rep, g),
+t as (select rep, len(ss) as total from s),
+p as (select a.rep as a, b.rep as b, sum(least(a.n, b.n)) as both from c a join c b on a.g = b.g and a.rep < b.rep group by a.rep, b.rep),
+l as (select a, b from p join t x on x.rep = a join t y on y.rep = b where both * 5 >= (x.total + y.total - both) * 4),
+e as (select a, b from l union all select b, a from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+k as (select a, min(b) as m from r group by a)
+select w.doc_id, case when len(w.ws) = 0 then w.doc_id else least(coalesce(k.m, reps.rep), reps.rep) end as class_id,
+  case when len(w.ws) = 0 then w.doc_id else reps.rep end as copy_of,
+  w.doc_id = case when len(w.ws) = 0 then w.doc_id else least(coalesce(k.m, reps.rep), reps.rep) end as kept
+from w join reps on reps.ws = w.ws left join k on k.a = reps.rep"""
+
+
+@query("op1_near_duplicates", NEAR_SQL)
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir))
+
+
+VECTOR_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and a.norm > 0 and b.norm > 0
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+k as (select a, min(b) as m from r group by a), n as (select a, count(*) as n from l group by a)
+select x.vec_id, coalesce(n.n, 0)::bigint as n_links, least(x.vec_id, coalesce(k.m, x.vec_id)) as component_id,
+  x.vec_id = least(x.vec_id, coalesce(k.m, x.vec_id)) as kept
+from embeddings x left join n on n.a = x.vec_id left join k on k.a = x.vec_id"""
+
+
+@query("op2_near_vectors", VECTOR_SQL)
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op3_repeats")
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(documents(spark, sf_dir))
