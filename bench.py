@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -26,7 +27,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = session.build("bench", f"local[{cpus}]", **{
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"), "spark.sql.shuffle.partitions": cpus,
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", "spark.studycorpus.spread": cpus,
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-")})
     spark.sparkContext.setLogLevel("ERROR")
 
     def run(name: str) -> float:

@@ -1,13 +1,14 @@
 """Records, chunks, reports, refresh and publication on the documents table."""
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from studycorpus.functions import fixed_values as V, text as T
 from studycorpus.operators import chunking, classify, dedup, refresh, reports, validate
-from studycorpus.operators.redact import redact
+from studycorpus.operators.redact import PROFILES, redact, redact_text
 from studycorpus.plans import corpus, scale
 from studycorpus.sources import manifests
 
@@ -245,7 +246,7 @@ def roadmap_sources(spark, sf):
 @query("source_index", f"""with {RECORDS_SQL}, t as (select conv_id, turn, role from conversations),
 l as (select conv_id, role || ' ' || (turn % 40) as locator, min(turn) as seen from t group by all),
 p as (select *, row_number() over (partition by conv_id order by seen) as rn from l),
-x as (select conv_id, string_agg(locator, '|' order by seen) as locators from p where rn <= 30 group by 1)
+x as (select conv_id, string_agg(locator, '|' order by seen) as locators from p group by 1)
 select course_id, source_id, doc_id % 20 as "order", status, case when grp = '00_course' then 'Unclassified sources' else {LABEL_SQL} end as chapter_label, coalesce(locators, '') as locators
 from records left join x on x.conv_id = records.doc_id""")
 def source_index(spark, sf):
@@ -270,9 +271,9 @@ def coverage(spark, sf):
 
 
 @query("section_headings", """select conv_id, turn // 30 as part, string_agg(concat('## ', role, ' ', turn), '|' order by turn) as headings
- from conversations where turn % 30 < 20 group by 1, 2""")
+ from conversations group by 1, 2""")
 def section_headings(spark, sf):
-    """Thirty turns of a conversation are one text; the first twenty headings stay."""
+    """Thirty turns of a conversation are one text."""
     turns = table(spark, sf, "conversations").withColumn("part", F.floor(F.col("turn") / 30))
     bodies = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(
         F.lit("## "), "role", F.lit(" "), "turn", F.lit("  \n"), "text").alias("p")))).alias("t")).select(
@@ -517,3 +518,24 @@ def drop_media_stubs(spark, sf):
 def redact_query(spark, sf):
     out = redact(table(spark, sf, "documents", "doc_id", "text"), ["text"], "log")
     return out.select("doc_id", "text", F.aggregate("text_hits", F.lit(0), lambda a, x: a + x).alias("hits"))
+
+
+PLANTED = "concat(text, ' Token: abc,x https://me:pw@h.example/a/b?sesskey=1#z cookie=k C:\\\\Users\\\\me /home/me/f.txt Authorization: Bearer q')"
+
+
+def redact_sql(profile: str) -> str:
+    out = PLANTED.replace("\\\\", "\\")
+    if profile == "path":
+        out = f"replace({out}, '\\', '/')"
+        out = f"split_part(split_part({out}, '?', 1), '#', 1)"
+    for pattern, replacement in PROFILES[profile]:
+        pattern, replacement = pattern.replace("'", "''"), re.sub(r"\$(\d)", r"\\\1", replacement)
+        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
+    return out
+
+
+@query("redact_profiles", f"select doc_id, {', '.join(f'{redact_sql(p)} as {p}_text' for p in ('crawl', 'pipeline', 'path'))} from documents")
+def redact_profiles(spark, sf):
+    """The other profiles; nothing is shortened."""
+    docs = table(spark, sf, "documents", "doc_id", f"{PLANTED} as text")
+    return docs.select("doc_id", *[redact_text("text", p).alias(f"{p}_text") for p in ("crawl", "pipeline", "path")])

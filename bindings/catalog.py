@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from studycorpus.operators import catalog, classify, exams
+from studycorpus.plans import scale
 from studycorpus.sources import pages
 
 from .base import query, table
@@ -15,7 +16,6 @@ from .base import query, table
    case when l_linenumber % 3 <> 1 then '' else l_returnflag end as flag from lineitem)
 select l_orderkey, l_linenumber, row_no, coalesce(last_value(nullif(flag, '') ignore nulls) over (partition by l_orderkey order by row_no rows between unbounded preceding and current row), '') as flag from l""")
 def fill_down(spark, sf):
-    from studycorpus.plans import scale
     lines = table(spark, sf, "lineitem")
     numbered = scale.numbered(lines, ["l_orderkey"], [F.col(c) for c in (
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")], "row_no")
@@ -64,7 +64,7 @@ def candidate_links(spark, sf):
 LISTED = "case when p_partkey % 11 = 0 then '' else concat('CO', cast(1000 + p_partkey % 300 * 2 as string)) end"
 
 
-@query("match_catalog", f"""with {ROWS_SQL}, cat as (select distinct {LISTED} as code, r1.name_key from part join r1 using (p_partkey) where {LISTED} <> '' or r1.name_key <> ''),
+MATCH_SQL = f"""with {ROWS_SQL}, cat as (select distinct {LISTED} as code, r1.name_key from part join r1 using (p_partkey) where {LISTED} <> '' or r1.name_key <> ''),
  bc as (select code, count(*) as n from cat where code <> '' group by 1), bn as (select name_key, count(*) as n from cat where name_key <> '' group by 1)
 select r.p_partkey as course_id, r.code as course_code, r.course_name,
   case when bc.n is not null then 'matched' when r.name_key = '' then 'no_match' when bn.n = 1 then 'matched' when bn.n > 1 then 'ambiguous' else 'no_match' end as status,
@@ -73,12 +73,24 @@ select r.p_partkey as course_id, r.code as course_code, r.course_name,
     when r.code <> '' then 'code not in the catalog' else 'name not in the catalog' end as reason,
   case when bc.n is not null then 'code' when bn.n is not null then 'name' end as match_on,
   case when bc.n is not null then r.code when bn.n is not null then r.name_key end as match_value, coalesce(bc.n, bn.n, 0) as n_candidates
-from r1 r left join bc on bc.code = r.code left join bn on bn.name_key = r.name_key""")
+from r1 r left join bc on bc.code = r.code left join bn on bn.name_key = r.name_key"""
+
+
+@query("match_catalog", MATCH_SQL)
 def match_catalog(spark, sf):
     courses = table(spark, sf, "part", "p_partkey as course_id", f"{CODE} as course_code", f"{NAME} as course_name")
     return catalog.match_catalog(courses, catalog.aggregate_candidates(rows_of(spark, sf, LISTED)))
 
 
+@query("matched_candidates", f"""with m as ({MATCH_SQL}), {ROWS_SQL.removeprefix('with ')}, cat as (select distinct {LISTED} as code, r1.name_key from part join r1 using (p_partkey) where {LISTED} <> '' or r1.name_key <> '')
+select m.course_id, m.status, m.match_on, m.match_value, cat.code, cat.name_key from m join cat on (m.match_on = 'code' and cat.code = m.match_value) or (m.match_on = 'name' and cat.name_key = m.match_value)""")
+def matched_candidates(spark, sf):
+    candidates = scale.checkpointed(catalog.aggregate_candidates(rows_of(spark, sf, LISTED)))
+    courses = table(spark, sf, "part", "p_partkey as course_id", f"{CODE} as course_code", f"{NAME} as course_name")
+    out = catalog.matched_candidates(catalog.match_catalog(courses, candidates), candidates)
+    return out.select("course_id", "status", "match_on", "match_value", "code", "name_key")
+
+
 LABEL = "concat('L0', cast(p_size as string), '_', p_name, ' (co', cast(1000 + p_partkey as string), ') ', p_brand)"
 
 
@@ -218,3 +230,8 @@ def discovery_states(spark, sf):
 @query("catalog_report", f"with {ROWS_SQL} select tab, count(*) as parsed_rows, count(distinct nullif(code, '')) as n_codes from r1 group by 1")
 def catalog_report(spark, sf):
     return catalog.catalog_report(rows_of(spark, sf))
+
+
+@query("catalog_codes", f"with {ROWS_SQL} select distinct tab, code from r1 where code <> ''")
+def catalog_codes(spark, sf):
+    return catalog.catalog_codes(rows_of(spark, sf))

@@ -159,7 +159,7 @@ def sync_summary(spark, sf):
 
 @query("resource_failures", f"""with l as (select {', '.join(LOG)} from events), r as (select *, row_number() over (partition by course_id order by seq) as failure_no from l where status = 'error' and context <> 'course')
 select course_id, failure_no, concat('Item ', seq % 90, ' token=[redacted]') as title, concat('https://files.example.com/x', seq) as source,
-  case when error = '' then 'Unknown error' else 'HTTP 500 token=[redacted] at https://h.example.com/p' end as reason from r where failure_no <= 20""")
+  case when error = '' then 'Unknown error' else 'HTTP 500 token=[redacted] at https://h.example.com/p' end as reason from r""")
 def resource_failures(spark, sf):
     return crawl.resource_failures(table(spark, sf, "events", *LOG))
 

@@ -13,10 +13,14 @@ from studycorpus.streaming import ingest
 from .base import CLEAN_SQL, EXT, PATH, RECORDS_SQL, documents, query, table
 
 
-@query("scan_files")
+@query("scan_files", """select concat('course=', source) as course_id, doc_id, '.txt' as ext, octet_length(encode(text)) + 1 as size, sha256(concat(text, chr(10))) as sha256 from documents""")
 def scan_files(spark, sf):
-    """The folder of the tables itself; no byte of a file is read."""
-    return files.scan_files(spark, sf, course_depth=0).select("path", "ext", "size")
+    """The documents as one file each, in folders of courses, scanned with their bytes."""
+    root = f"{scale.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, sf, "documents", "source as course", "doc_id as doc", "text").repartition("doc").write.partitionBy("course", "doc").text(root)
+    out = files.scan_files(spark, root, course_depth=1, content=True)
+    return out.select("course_id", F.regexp_extract("path", r"doc=(\d+)/", 1).cast("long").alias("doc_id"), "ext", "size",
+                      F.sha2("content", 256).alias("sha256"))
 
 
 RAW = "concat('Số ', cast(doc_id as string), chr(10), '  ', text, '  ')"
@@ -35,18 +39,19 @@ def decode_text(spark, sf):
   case when s_suppkey % 3 <> 0 then concat('column 2: ', s_name) end, concat('column 3: ', s_nationkey)) as text from supplier""")
 def row_units(spark, sf):
     rows = table(spark, sf, "supplier", "s_suppkey + 1 as row_no", "s_suppkey", "case when s_suppkey % 3 = 0 then '  ' else s_name end as s_name", "s_nationkey")
-    return files.row_units(rows, ["s_suppkey", "s_name", "s_nationkey"], "row_no", cap=None)
+    return files.row_units(rows, ["s_suppkey", "s_name", "s_nationkey"], "row_no")
 
 
 @query("csv_units", """select concat('n', s_nationkey, '_', s_suppkey // 500) as source_id, row_number() over (partition by s_nationkey, s_suppkey // 500 order by s_suppkey) as unit_no,
-  concat('column 1: ', s_suppkey, ' | column 2: ', s_name, '; "x"', ' | column 4: ', s_nationkey) as text from supplier""")
+  concat('column 1: ', s_suppkey, ' | column 2: ', s_name, '; "x"', case when s_suppkey % 4 = 0 then concat(chr(10), 'two') else '' end,
+  ' | column 4: ', s_nationkey) as text from supplier""")
 def csv_units(spark, sf):
-    """One file per nation and 500 suppliers: semicolons, quoted cells, one empty column."""
+    """One file per nation and 500 suppliers: semicolons, quoted cells of one or two lines, one empty column."""
     lines = table(spark, sf, "supplier").groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 500).alias("part")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.concat(
-        F.col("s_suppkey").cast("string"), F.lit(';"'), "s_name", F.lit('; ""x"""; ;'), F.col("s_nationkey").cast("string")).alias("l")))).alias("t"))
+        F.col("s_suppkey").cast("string"), F.lit(';"'), "s_name", F.lit('; ""x""'), F.when(F.col("s_suppkey") % 4 == 0, "\ntwo").otherwise(""), F.lit('"; ;'), F.col("s_nationkey").cast("string")).alias("l")))).alias("t"))
     texts = lines.select(F.lit("c").alias("course_id"), F.concat(F.lit("n"), "s_nationkey", F.lit("_"), "part").alias("source_id"),
                          F.array_join(F.transform("t", lambda x: x["l"]), "\n").alias("text"))
-    return files.csv_units(texts, cap=None).select("source_id", "unit_no", "text")
+    return files.csv_units(texts).select("source_id", "unit_no", "text")
 
 
 LINE = "case when event_id % 17 = 0 and user_id % 4 = 0 then concat(props, '}') else props end"

@@ -88,14 +88,8 @@ SECTION_BUCKETS = (
 DEDUP_MIN_CHARS = 80
 CHUNK_MAX_CHARS = 4800
 CHUNK_OVERLAP = 500
-ROW_UNIT_CAP = 50_000
 STUB_MAX_WORDS = 80
-LOCATORS_SHOWN = 30
-HEADINGS_SHOWN = 20
-FAILURES_SHOWN = 20
 LARGEST_SHOWN = 30
-MAX_LINK_DEPTH = 4
-MAX_FOLDER_DEPTH = 8
 EXAMS_KEPT = 4
 EXAMS_PER_TYPE = 2
 EXAM_BYTES = 15 * 1024 * 1024
@@ -137,10 +131,6 @@ REDACT_PATH = (
     (r"(?i)\b(authorization|proxy-authorization|cookie|set-cookie|access[_-]?token|refresh[_-]?token|token|sessionid|sesskey)([=:])[^/\\]*",
      "$1$2[redacted]"),
 )
-REDACT_CUT = {"log": None, "crawl": 500, "pipeline": 240, "path": None}
-FAILURE_TITLE_CUT = 160
-FAILURE_SOURCE_CUT = 500
-FAILURE_REASON_CUT = 240
 FAILURE_TITLE_DEFAULT = "Untitled resource"
 FAILURE_REASON_DEFAULT = "Unknown error"
 ABSOLUTE_PATH = r"(?im)(?:\b[A-Z]:[\\/]|/(?:Users|home)/)"
@@ -215,7 +205,24 @@ CONTENT_DROPPED_CLASSES = (
 CONTENT_DROPPED_CLASS_PART = "breadcrumb"
 HIDDEN_CLASSES = ("accesshide", "sr-only")
 MEDIA_SRC_TAGS = ("img", "source", "video", "audio", "track")
-SECTION_CLASS = "course-section"
+# section elements, in this order, and what tells two of them apart
+SECTION_NODES = (
+    {"tag": "li", "classes": ("course-section",)},
+    {"tag": "section", "classes": ("course-section",)},
+    {"tag": "div", "classes": ("course-section",)},
+    {"tag": "li", "classes": ("section", "main")},
+)
+SECTION_IDENTITY = ("id", "data-sectionid", "class")
+# headings of a section, in this order
+SECTION_HEADS = (
+    {"attrs": {"data-for": "section_title"}},
+    {"classes": ("sectionname",)},
+    {"tag": "h2", "within": "course-section-header"},
+    {"tag": "h3", "within": "course-section-header"},
+    {"tag": "h2"},
+    {"tag": "h3"},
+)
+SECTION_MENU_CLASS = "section_action_menu"
 SECTION_TITLE_NOISE = ("Thu gọn toàn bộ", "Mở rộng tất cả", "Select section")
 FIRST_SECTION_TITLE = "Chung"
 DEFAULT_LABEL = "Tài liệu"

@@ -162,9 +162,12 @@ def quoted(c) -> Column:
 
 
 def tokens(c) -> Column:
-    """Distinct case-folded word tokens."""
-    words = F.split(F.trim(F.regexp_replace(casefold(c), r"[^\p{L}\p{N}_]+", " ")), " ")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    """Distinct word tokens, case-folded after the split: a folded letter may gain a
+    mark that is no word character."""
+    words = F.split(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " ")), " ")
+    # one fold for the whole text: it never makes a blank
+    folded = F.split(casefold(F.array_join(F.filter(words, lambda w: w != ""), " ")), " ")
+    return F.array_distinct(F.filter(folded, lambda w: w != ""))
 
 
 # --- paths -------------------------------------------------------------------

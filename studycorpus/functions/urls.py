@@ -77,11 +77,17 @@ def canonical_course(url) -> Column:
 
 
 def _without_dots(joined: Column) -> Column:
-    """``./`` and ``name/../`` steps of a path taken out."""
-    out = F.regexp_replace(joined, r"(?<=/)\./", "")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(?<=/)(?!\.\./)[^/?#]+/\.\./", "")
-    return F.regexp_replace(out, r"\A(?:/\.\.)+(?=/)", "")
+    """``.`` and ``..`` steps of a path taken out, one fold over its parts.
+
+    A step back at the root is dropped. A last part that is a step leaves the
+    folder, with its slash.
+    """
+    parts = F.split(joined, "/")
+    step = lambda p: (p == ".") | (p == "..")
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: (
+        F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+         .when(p == ".", done).otherwise(F.array_append(done, p))))
+    return F.concat(F.array_join(folded, "/"), F.when(step(F.element_at(parts, -1)), "/").otherwise(""))
 
 
 def resolve(base, href) -> Column:
@@ -89,13 +95,19 @@ def resolve(base, href) -> Column:
     b = col(base)
     root = F.concat(_part(b, 1), F.lit("://"), _part(b, 2))
     folder = F.coalesce(F.nullif(F.regexp_replace(path(b), r"[^/]*\z", ""), F.lit("")), F.lit("/"))
+
+    def joined(h):
+        """Path in front of ``?`` or ``#`` is folded, the rest stays."""
+        steps = F.regexp_extract(h, r"(?s)\A[^?#]*", 0)
+        whole = F.when(steps.startswith("/"), steps).otherwise(F.concat(folder, steps))
+        return F.concat(root, _without_dots(whole), F.substr(h, F.length(steps) + 1))
+
     return let(F.trim(col(href)), lambda h: (
         F.when(h.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), h)
          .when(h.startswith("//"), F.concat(_part(b, 1), F.lit(":"), h))
-         .when(h.startswith("/"), F.concat(root, h))
          .when(h.startswith("?"), F.concat(root, path(b), h))
          .when(h.startswith("#") | (h == ""), F.concat(root, path(b), _part(b, 4)))
-         .otherwise(F.concat(root, _without_dots(F.concat(folder, h))))))
+         .otherwise(joined(h))))
 
 
 def canonical_link(url) -> Column:

@@ -114,6 +114,12 @@ def matched_candidates(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     return matches.select("course_id", "status", "match_on", "match_value").join(wide, ["match_on", "match_value"])
 
 
+def catalog_codes(rows: DataFrame) -> DataFrame:
+    """The distinct codes of each tab, as rows."""
+    code = F.nullif(T.catalog_code("course_code"), F.lit(""))
+    return rows.select("tab", code.alias("code")).filter(F.col("code").isNotNull()).distinct()
+
+
 def catalog_report(rows: DataFrame) -> DataFrame:
     """Rows and distinct codes per tab."""
     return rows.groupBy("tab").agg(F.count("*").alias("parsed_rows"),

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,13 +11,14 @@ from ..plans import scale
 from .redact import redact_text, safe_source
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = V.MAX_LINK_DEPTH,
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
               closed: DataFrame | None = None) -> DataFrame:
     """Every node once, at its smallest depth from its seed's scope.
 
     ``edges``: scope, src, dst. ``seeds``: scope, node. ``closed`` (scope, node)
-    are nodes that are met but never entered. Nodes first met beyond
-    ``max_depth`` are reported with state ``max_depth``.
+    are nodes that are met but never entered. Without ``max_depth`` the walk ends
+    when nothing new is met; with it, nodes first met beyond are reported with
+    state ``max_depth``.
     """
     links = edges.select("scope", "src", "dst").distinct()
     if closed is not None:
@@ -25,7 +27,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = V.MAX_LINK_DE
     frontier = scale.checkpointed(seeds.select("scope", "node").distinct())
     levels = [frontier.withColumn("depth", F.lit(0)).withColumn("state", F.lit("reached"))]
     visited = frontier
-    for depth in range(1, max_depth + 2):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 2):
         step = (links.join(frontier.withColumnRenamed("node", "src"), ["scope", "src"])
                      .select("scope", F.col("dst").alias("node")).distinct()
                      .join(visited, ["scope", "node"], "left_anti"))
@@ -33,17 +35,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = V.MAX_LINK_DE
         if frontier.isEmpty():
             break
         levels.append(frontier.withColumn("depth", F.lit(depth)).withColumn(
-            "state", F.lit("reached" if depth <= max_depth else "max_depth")))
+            "state", F.lit("reached" if max_depth is None or depth <= max_depth else "max_depth")))
         visited = visited.unionByName(frontier)
     return reduce(DataFrame.unionByName, levels)
 
 
-def follow_edges(page_links: DataFrame, hosts) -> DataFrame:
-    """Links of pages that a crawl would follow, and the types it never enters."""
-    kind = U.link_kind("url", hosts)
-    return page_links.withColumn("kind", kind).filter(F.col("kind").isin("file", "deep", "course"))
-
-
 def sync_diff(remote: DataFrame, local: DataFrame, force: bool = False) -> DataFrame:
     """Decision per remote item: skipped_video, skipped or download.
 
@@ -81,15 +77,17 @@ def sync_summary(crawl_log: DataFrame) -> DataFrame:
         F.when(F.grouping("course_id") == 0, F.max("status")).otherwise("batch").alias("status")))
 
 
-def resource_failures(crawl_log: DataFrame, order: str = "seq", n: int = V.FAILURES_SHOWN) -> DataFrame:
-    """First ``n`` failed resources per course, redacted and cut to size."""
+def resource_failures(crawl_log: DataFrame, order: str = "seq", n: int | None = None) -> DataFrame:
+    """Failed resources per course in order of ``order``, numbered and redacted;
+    all of them, or the first ``n`` of a course for a report."""
     failed = crawl_log.filter((F.col("status") == "error") & (F.coalesce("context", F.lit("")) != "course"))
-    first = scale.first_rows(failed, ["course_id"], [F.col(order)], n, "failure_no")
+    first = (scale.numbered(failed, ["course_id"], [F.col(order)], "failure_no") if n is None
+             else scale.first_rows(failed, ["course_id"], [F.col(order)], n, "failure_no"))
     last_part = F.regexp_replace(F.substring_index(F.coalesce("context", F.lit("")), " > ", -1), r"\Asection:", "")
-    title = F.substring(redact_text(last_part, "crawl"), 1, V.FAILURE_TITLE_CUT)
+    title = redact_text(last_part, "crawl")
     reason = F.coalesce(F.nullif("error", F.lit("")), F.lit(V.FAILURE_REASON_DEFAULT))
     return first.select(
         "course_id", "failure_no",
         F.when(title == "", V.FAILURE_TITLE_DEFAULT).otherwise(title).alias("title"),
         safe_source("source").alias("source"),
-        F.substring(redact_text(reason, "crawl"), 1, V.FAILURE_REASON_CUT).alias("reason"))
+        redact_text(reason, "crawl").alias("reason"))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,13 +45,14 @@ def variant_of(name, inherited: Column) -> Column:
              .when(T.any_contains(folded, V.SAMPLE_WORDS), "sample").otherwise(inherited))
 
 
-def exam_context(tree_nodes: DataFrame, max_depth: int = V.MAX_FOLDER_DEPTH) -> DataFrame:
+def exam_context(tree_nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Walk folder trees level by level, inheriting exam context and variant.
 
     ``tree_nodes``: root_id, node_id, parent_id (null at the root), name, is_folder.
     Result: one row per visited node with ``state``: enumerated, exam,
     unsupported_item, skipped_non_exam_folder or depth_limit. Files without an
-    exam type give no row.
+    exam type give no row. Without ``max_depth`` every folder is entered; with it,
+    folders at that depth are reported and not entered.
     """
     key = ["root_id", "node_id"]
     out_cols = [*key, "depth", "name", "path_label", "state", "exam_type", "term", "exam_variant"]
@@ -84,7 +86,9 @@ def exam_context(tree_nodes: DataFrame, max_depth: int = V.MAX_FOLDER_DEPTH) ->
     frontier = scale.checkpointed(roots.filter("is_folder").select(
         *key, "path_label", "context", "exam_variant"))
     visited = frontier.select(*key)
-    for depth in range(1, max_depth + 1):
+    # read once: every level joins it again
+    tree_nodes = scale.checkpointed(tree_nodes.select("root_id", "parent_id", "node_id", "name", "is_folder"))
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         parents = frontier.select("root_id", F.col("node_id").alias("parent_id"), F.col("path_label").alias("_up"),
                                   F.col("context").alias("folder_context"), F.col("exam_variant"))
         met = (tree_nodes.join(parents, ["root_id", "parent_id"])
@@ -99,7 +103,7 @@ def exam_context(tree_nodes: DataFrame, max_depth: int = V.MAX_FOLDER_DEPTH) ->
         follow = F.col("context") | T.any_contains(plain, V.PARENT_FOLDER_HINTS)
         entered = folders.filter(follow).withColumn("exam_variant", variant_of("name", F.col("exam_variant")))
         results += [files_of(level), folders_of(folders.filter(~follow), F.lit("skipped_non_exam_folder")),
-                    folders_of(entered, F.lit("depth_limit" if depth >= max_depth else "enumerated"))]
+                    folders_of(entered, F.lit("depth_limit" if depth == max_depth else "enumerated"))]
         frontier = entered.select(*key, "path_label", "context", "exam_variant")
         visited = visited.unionByName(frontier.select(*key))
     return reduce(DataFrame.unionByName, results)

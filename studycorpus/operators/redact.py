@@ -21,12 +21,13 @@ def redact_text(c, profile: str) -> Column:
     out = _prepared(col(c), profile)
     for pattern, replacement in PROFILES[profile]:
         out = F.regexp_replace(out, pattern, replacement)
-    cut = V.REDACT_CUT[profile]
-    return F.substring(out, 1, cut) if cut else out
+    return out
 
 
 def redact(df: DataFrame, cols: list[str], profile: str = "log") -> DataFrame:
-    """Redact columns in place and add ``<col>_hits``: matches per rule, in order."""
+    """Redact columns in place and add ``<col>_hits``: matches per rule, in order.
+
+    Nothing is shortened; a report that wants a short text cuts it itself."""
     out = df
     for c in cols:
         step = _prepared(F.col(c), profile)
@@ -34,8 +35,7 @@ def redact(df: DataFrame, cols: list[str], profile: str = "log") -> DataFrame:
         for pattern, replacement in PROFILES[profile]:
             hits.append(F.regexp_count(step, F.lit(pattern)))
             step = F.regexp_replace(step, pattern, replacement)
-        cut = V.REDACT_CUT[profile]
-        out = out.withColumn(f"{c}_hits", F.array(*hits)).withColumn(c, F.substring(step, 1, cut) if cut else step)
+        out = out.withColumn(f"{c}_hits", F.array(*hits)).withColumn(c, step)
     return out
 
 
@@ -44,5 +44,4 @@ def safe_source(c) -> Column:
     v = F.coalesce(col(c), F.lit(""))
     pattern, replacement = V.REDACT_CRAWL[0]
     plain = F.substring_index(F.substring_index(v, "?", 1), "#", 1)
-    return F.substring(F.when(v.rlike(r"(?i)\Ahttps?://[^/?#]"), F.regexp_replace(v, pattern, replacement))
-                        .otherwise(plain), 1, V.FAILURE_SOURCE_CUT)
+    return F.when(v.rlike(r"(?i)\Ahttps?://[^/?#]"), F.regexp_replace(v, pattern, replacement)).otherwise(plain)

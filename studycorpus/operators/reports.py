@@ -8,13 +8,6 @@ from ..functions.text import col
 from ..plans import scale
 from .redact import redact_text
 
-STATUSES = ("ready", "duplicate", "empty", "error", "link_only", "media_pending", "metadata_copied",
-            "reference_indexed_only", "skipped_html_duplicate", "skipped_media_stub", "skipped_unsupported",
-            "visual_only")
-TYPES = ("lms_page", "lms_text", "word_document", "spreadsheet", "csv_table", "slide", "lecture_pdf", "subtitle",
-         "video_transcript", "media", "reference_pdf", "reference_text", "url", "metadata", "binary", "other")
-
-
 # --- inventory ---------------------------------------------------------------
 
 def source_inventory(classified: DataFrame) -> DataFrame:
@@ -48,23 +41,24 @@ def unsupported_paths(classified: DataFrame) -> DataFrame:
 
 # --- statistics --------------------------------------------------------------
 
-def _closed_map(value: str, members) -> list[Column]:
-    """One counter per member of a closed list; unknown values share ``other``."""
-    known = F.col(value).isin(*members)
-    out = [F.count_if(F.col(value) == m).alias(f"_{value}_{m}") for m in members]
-    return out + [F.count_if(~known).alias(f"_{value}__unlisted")]
-
+def _value_maps(records: DataFrame, values: list[str]) -> DataFrame:
+    """Per course a map from each value of a column to its number of rows, for several columns.
 
-def _as_map(value: str, members) -> Column:
-    pairs = [F.struct(F.lit(m).alias("key"), F.col(f"_{value}_{m}").alias("value")) for m in sorted([*members, "_unlisted"])]
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"] > 0))
+    Rows are counted per value first, so a map is made from one row per value.
+    """
+    sets = [["course_id", v] for v in values]
+    counted = records.select("course_id", *values).groupingSets(sets, "course_id", *values).agg(
+        F.count("*").alias("_n"), *[F.grouping(v).alias(f"_g_{v}") for v in values])
+    entry = lambda v: F.when(F.col(f"_g_{v}") == 0, F.struct(F.coalesce(v, F.lit("")).alias("key"), F.col("_n").alias("value")))
+    return counted.groupBy("course_id").agg(*[
+        F.map_from_entries(F.array_sort(F.collect_list(entry(v)))).alias(f"_map_{v}") for v in values])
 
 
 def corpus_stats(records: DataFrame, chunks: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Totals per course with counters by type and status, and the chapter groups.
 
-    Types and statuses are closed lists, so the maps are plain counters. There
-    are fewer than 5,000 possible chapter groups.
+    The maps hold every type and status that occurs. There are fewer than 5,000
+    possible chapter groups.
     """
     base = records.groupBy("course_id").agg(
         F.count("*").alias("documents_total"), F.count_if(F.col("status") == "ready").alias("documents_ready"),
@@ -72,8 +66,9 @@ def corpus_stats(records: DataFrame, chunks: DataFrame, links: DataFrame | None
         F.count_if(F.col("status") == "reference_indexed_only").alias("references_indexed_only"),
         F.count_if(F.col("status") == "media_pending").alias("media_pending"),
         F.count_if(F.col("status") == "error").alias("errors"),
-        F.array_sort(F.collect_set(F.when(F.col("group").startswith("chapter_"), F.col("group")))).alias("chapter_groups"),
-        *_closed_map("source_type", TYPES), *_closed_map("status", STATUSES))
+        F.array_sort(F.collect_set(F.when(F.col("group").startswith("chapter_"), F.col("group")))).alias("chapter_groups"))
+    maps = _value_maps(records, ["source_type", "status"]).withColumnRenamed("course_id", "_c")
+    base = base.join(maps, F.col("course_id").eqNullSafe(F.col("_c"))).drop("_c")
     counted = chunks.groupBy("course_id").agg(F.count("*").alias("chunks"))
     out = base.join(counted, "course_id", "left")
     if links is not None:
@@ -83,7 +78,7 @@ def corpus_stats(records: DataFrame, chunks: DataFrame, links: DataFrame | None
     return out.select(
         "course_id", "documents_total", "documents_ready", F.coalesce("chunks", F.lit(0)).alias("chunks"), "words_ready",
         "references_indexed_only", "media_pending", F.coalesce("links", F.lit(0)).alias("links"), "errors",
-        _as_map("source_type", TYPES).alias("source_types"), _as_map("status", STATUSES).alias("statuses"),
+        F.col("_map_source_type").alias("source_types"), F.col("_map_status").alias("statuses"),
         "chapter_groups")
 
 
@@ -214,11 +209,17 @@ def roadmap_sources(records: DataFrame) -> DataFrame:
                           ["course_id", "group"], [F.col("order"), F.col("_t"), F.col("source_id")], "position").drop("_t")
 
 
-def source_index(records: DataFrame, chunks: DataFrame, n: int = V.LOCATORS_SHOWN) -> DataFrame:
-    """One row per source with its first ``n`` distinct locators."""
-    seen = (chunks.filter(F.coalesce("locator", F.lit("")) != "")
+def source_locators(chunks: DataFrame) -> DataFrame:
+    """Distinct locators of a source as rows, with the chunk that has each first (``_at``)."""
+    return (chunks.filter(F.coalesce("locator", F.lit("")) != "")
                   .groupBy("course_id", "source_id", "locator").agg(F.min("ordinal").alias("_at")))
-    first = scale.first_rows(seen, ["course_id", "source_id"], [F.col("_at")], n)
+
+
+def source_index(records: DataFrame, chunks: DataFrame, n: int | None = None) -> DataFrame:
+    """One row per source with its distinct locators in order, or the first ``n`` of
+    them for a report. ``source_locators`` has them as rows, for sources of any size."""
+    seen = source_locators(chunks)
+    first = seen if n is None else scale.first_rows(seen, ["course_id", "source_id"], [F.col("_at")], n)
     lists = first.groupBy("course_id", "source_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "locator"))), lambda s: s["locator"]).alias("locators"))
     return (records.withColumn("order", order_hint("source_path"))
@@ -248,11 +249,11 @@ def coverage(records: DataFrame) -> DataFrame:
     return open_rows.unionByName(gap_rows).unionByName(left)
 
 
-def section_headings(bodies: DataFrame, body: str = "body", n: int = V.HEADINGS_SHOWN) -> DataFrame:
-    """First ``n`` headings of level 2 to 6 per source."""
+def section_headings(bodies: DataFrame, body: str = "body", n: int | None = None) -> DataFrame:
+    """Headings of level 2 to 6 per source, or the first ``n`` for a report."""
     found = F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^#{2,6}\s+(.+?)\s*$"), F.lit(1)), T.strip),
                      lambda h: h != "")
-    return bodies.withColumn("headings", F.slice(found, 1, n)).drop(body)
+    return bodies.withColumn("headings", found if n is None else F.slice(found, 1, n)).drop(body)
 
 
 # --- size --------------------------------------------------------------------

@@ -15,7 +15,8 @@ def retention_decisions(sources: DataFrame, representatives: DataFrame, conversi
     conversion, text says everything.
 
     ``sources``: course_id, source_id, source_type, copy_ext, size, cost, has_output.
-    ``conversions``: course_id, source_id, verdict, converted_cost. Missing
+    ``conversions``: course_id, source_id, verdict, converted_cost. ``evidence``: what
+    ``page_evidence`` gives, course_id included. Missing
     evidence never drops anything.
     """
     key = ["course_id", "source_id"]
@@ -23,9 +24,9 @@ def retention_decisions(sources: DataFrame, representatives: DataFrame, conversi
     fully = representatives.select("course_id", F.col("represented_by").alias("source_id"),
                                    F.lit(True).alias("_stands_in"))
     conv = conversions.select(*key, "verdict", "converted_cost").withColumnRenamed("verdict", "_cv")
-    proof = evidence.select("source_id", F.col("verdict").alias("_ev"), F.struct(*EVIDENCE).alias("evidence"))
+    proof = evidence.select(*key, F.col("verdict").alias("_ev"), F.struct(*EVIDENCE).alias("evidence"))
     rows = (sources.join(dup, key, "left").join(fully.distinct(), key, "left")
-                   .join(conv, key, "left").join(proof, "source_id", "left"))
+                   .join(conv, key, "left").join(proof, key, "left"))
     saving = F.col("cost") - F.col("converted_cost")
     converts = ((F.col("copy_ext") == ".pptx") & F.col("_stands_in").isNull()
                 & (F.col("size") >= V.CONVERSION_MIN_SOURCE) & (F.col("_cv") == "FULL_EQUIVALENCE")

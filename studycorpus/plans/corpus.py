@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as V, text as T
 from ..operators import chunking, classify, dedup, refresh
-from ..plans import scale
+from . import extract, scale
 
 RECORD_COLS = ["course_id", "source_id", "title", "source_path", "source_type", "priority", "rank", "group", "chapter",
                "chapters", "output_path", "status", "chars", "words", "units", "note", "source_copy_path",
@@ -30,12 +30,24 @@ def stored_paths(records: DataFrame) -> DataFrame:
 
 
 def build_records(files: DataFrame, body: str = "body", include_references: bool = False,
-                  unit_counts: DataFrame | None = None) -> DataFrame:
+                  unit_counts: DataFrame | None = None, statuses: DataFrame | None = None) -> DataFrame:
     """Document records of all courses. The body column is read once, in the scan
-    stage, and only sizes and a text key travel on."""
+    stage, and only sizes and a text key travel on.
+
+    ``statuses`` (course_id, path, status, note) decides about sources that are no
+    text, see ``extract``; they take no part in the duplicate test.
+    """
     rows = prepared(files, include_references)
     rows = rows.withColumn(body, F.when(F.col("fixed_status").isNull(), F.col(body)))
     facts = dedup.fingerprints(rows, body)
+    if statuses is None:
+        facts = facts.withColumn("_note", F.lit(None).cast("string"))
+    else:
+        given = statuses.select("course_id", "path", F.col("status").alias("_given"), F.col("note").alias("_note"))
+        facts = (facts.join(given, ["course_id", "path"], "left")
+                      .withColumn("_note", F.when(F.col("fixed_status").isNull(), F.col("_note")))
+                      .withColumn("fixed_status", F.coalesce("fixed_status", "_given")).drop("_given")
+                      .withColumn("text_key", F.when(F.col("fixed_status").isNull(), F.col("text_key"))))
     marked = dedup.mark_duplicates(facts)
     status = F.coalesce("fixed_status", "status")
     note = (F.when(F.col("duplicate_of").isNotNull(), F.concat(F.lit("Duplicate text of "), "duplicate_of"))
@@ -44,7 +56,7 @@ def build_records(files: DataFrame, body: str = "body", include_references: bool
              .when(F.col("fixed_status") == "reference_indexed_only", "Indexed only; include references to extract it")
              .when(F.col("fixed_status") == "media_pending", "Media was not transcribed")
              .when(F.col("fixed_status") == "link_only", "Unresolved external content")
-             .otherwise(""))
+             .otherwise(F.coalesce("_note", F.lit(""))))
     done = marked.withColumn("status", status).withColumn("note", note).withColumn("source_path", F.col("path"))
     out = (stored_paths(done).withColumn("represented_by_source_id", F.lit(None).cast("string"))
                              .withColumn("retention_decision", F.lit(None).cast("string")))
@@ -68,6 +80,7 @@ def build_chunks(records: DataFrame, files: DataFrame, body: str = "body", units
     if units is None:
         rows = chunking.chunk_bodies(bodies, "body", size, overlap)
     else:
+        units = units.join(facts.select("course_id", "source_id"), ["course_id", "source_id"], "left_semi")
         cut = chunking.chunk_sources(bodies, units, size, overlap)
         rows = scale.lookup_join(cut, facts, ["course_id", "source_id"], how="inner")
     folder = F.when(F.col("group").startswith("chapter_"), F.concat(F.lit("chapters/"), "group")).otherwise(F.col("group"))
@@ -77,7 +90,8 @@ def build_chunks(records: DataFrame, files: DataFrame, body: str = "body", units
 
 
 def refresh_records(files: DataFrame, body: str, prior_records: DataFrame, changes: DataFrame,
-                    include_references: bool = False) -> DataFrame:
+                    include_references: bool = False, unit_counts: DataFrame | None = None,
+                    statuses: DataFrame | None = None) -> DataFrame:
     """Records after a refresh: only new and changed files are read, and duplicate
     groups are decided anew, so the result equals a full rebuild.
 
@@ -85,7 +99,7 @@ def refresh_records(files: DataFrame, body: str, prior_records: DataFrame, chang
     """
     reused = changes.filter(F.col("change") == "reused").select("course_id", F.col("logical_path").alias("path"))
     moved = changes.filter(F.col("change").isin("new", "changed")).select("course_id", F.col("logical_path").alias("path"))
-    fresh = build_records(files.join(moved, ["course_id", "path"], "left_semi"), body, include_references)
+    fresh = build_records(files.join(moved, ["course_id", "path"], "left_semi"), body, include_references, unit_counts, statuses)
     kept = prior_records.withColumnRenamed("source_path", "path").join(reused, ["course_id", "path"], "left_semi") \
                         .withColumnRenamed("path", "source_path").select(*RECORD_COLS)
     everything = fresh.unionByName(kept)
@@ -104,7 +118,7 @@ def redecide(records: DataFrame) -> DataFrame:
 
 
 def refresh_chunks(records: DataFrame, files: DataFrame, body: str, prior_chunks: DataFrame, prior_records: DataFrame,
-                   changes: DataFrame) -> DataFrame:
+                   changes: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """Chunks after a refresh: old ones of reused sources that are still ready, new
     ones for everything that became ready."""
     ready = records.filter(F.col("status") == "ready").select("course_id", "source_id", "source_path")
@@ -115,12 +129,21 @@ def refresh_chunks(records: DataFrame, files: DataFrame, body: str, prior_chunks
     kept = scale.lookup_join(prior_chunks, still.select("course_id", "source_id", F.lit(True).alias("_k")),
                              ["course_id", "source_id"], how="inner").drop("_k")
     build = records.join(still.select("course_id", "source_id"), ["course_id", "source_id"], "left_anti")
-    return kept.unionByName(build_chunks(build, files, body))
+    return kept.unionByName(build_chunks(build, files, body, units))
 
 
 def incremental(files: DataFrame, body: str, current: DataFrame, prior: DataFrame, prior_records: DataFrame,
-                prior_chunks: DataFrame):
-    """(changes, records, chunks) of a refresh."""
+                prior_chunks: DataFrame, units: DataFrame | None = None, statuses: DataFrame | None = None):
+    """(changes, records, chunks) of a refresh. ``units`` and ``statuses`` are those of
+    ``extract`` over the files as they are now."""
     changes = refresh.source_changes(current, prior)
-    records = refresh_records(files, body, prior_records, changes)
-    return changes, records, refresh_chunks(records, files, body, prior_chunks, prior_records, changes)
+    counts = None if units is None else extract.unit_counts(units)
+    records = refresh_records(files, body, prior_records, changes, unit_counts=counts, statuses=statuses)
+    return changes, records, refresh_chunks(records, files, body, prior_chunks, prior_records, changes, units)
+
+
+def build(files: DataFrame, units: DataFrame | None = None, include_references: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, chunks) of files with their bytes: course_id, path, size, content."""
+    parts = extract.extract(files, units, include_references)
+    records = scale.checkpointed(build_records(parts.texts, "body", include_references, extract.unit_counts(parts.units), parts.statuses))
+    return records, build_chunks(records, parts.texts, "body", parts.units)

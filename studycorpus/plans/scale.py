@@ -46,14 +46,13 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a small input that sits in a few row groups.
+    """Deal rows out to ``spark.studycorpus.spread`` tasks, if the session sets it.
 
-    Text work is bound by the processor, and a scan of one row group is one task.
-    An input with two or more splits per core is left as it is: large data is
-    never shuffled for this.
+    For test tables of one row group, whose scan is a single task. Nothing is
+    shuffled without the setting; larger data needs a file layout with enough splits.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    tasks = df.sparkSession.conf.get("spark.studycorpus.spread", None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: str | None = None) -> DataFrame:

@@ -76,51 +76,43 @@ def rendered_row(cols: list[str]) -> Column:
     return F.concat_ws(" | ", *parts)
 
 
-def row_units(df: DataFrame, cols: list[str], row_no: str, keys: list[str] | None = None,
-              cap: int | None = V.ROW_UNIT_CAP) -> DataFrame:
-    """Table rows as text units with locator ``row n``; empty rows are dropped.
-
-    ``cap`` is the highest row number that becomes a unit; a source that goes on
-    gets one note row (unit_no 0). ``None`` takes every row.
-    """
+def row_units(df: DataFrame, cols: list[str], row_no: str, keys: list[str] | None = None) -> DataFrame:
+    """Table rows as text units with locator ``row n``; empty rows are dropped."""
     keys = keys or []
-    numbered = df.withColumn("unit_no", F.col(row_no))
-    shown = numbered if cap is None else numbered.filter(F.col("unit_no") <= cap)
-    units = (shown.withColumn("text", rendered_row(cols)).filter(F.col("text") != "")
-                  .select(*keys, "unit_no", F.concat(F.lit("row "), F.col("unit_no")).alias("locator"), "text"))
-    if cap is None:
-        return units
-    over = (numbered.filter(F.col("unit_no") > cap).groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 0")
-                    .select(*keys, F.lit(0).cast("long").alias("unit_no"), F.lit("note").alias("locator"),
-                            F.lit(f"Only the first {cap} rows are extracted; the original file is kept.").alias("text")))
-    return units.withColumn("unit_no", F.col("unit_no").cast("long")).unionByName(over)
-
-
-def csv_units(texts: DataFrame, text: str = "text", cap: int | None = V.ROW_UNIT_CAP) -> DataFrame:
+    return (df.withColumn("unit_no", F.col(row_no).cast("long"))
+              .withColumn("text", rendered_row(cols)).filter(F.col("text") != "")
+              .select(*keys, "unit_no", F.concat(F.lit("row "), F.col("unit_no")).alias("locator"), "text"))
+
+
+def csv_units(texts: DataFrame, text: str = "text") -> DataFrame:
     """Units of decoded CSV files; the separator is the most frequent of ``, ; tab |``
-    in the first line. Quoted cells keep their separators; a line is a row."""
-    lines = texts.select("course_id", "source_id", F.replace(F.col(text), F.lit("﻿"), F.lit("")).alias("_t"))
+    in the first line. A quoted cell keeps its separators and line ends, so a row
+    may take several lines; ``unit_no`` counts rows."""
+    files = texts.select("course_id", "source_id", F.regexp_replace(F.replace(F.col(text), F.lit("\ufeff"), F.lit("")), "\r\n?", "\n").alias("_t"))
     head = F.substring_index("_t", "\n", 1)
     counts = [(sep, F.regexp_count(head, F.lit(pattern))) for sep, pattern in ((",", ","), (";", ";"), ("\t", "\t"), ("|", "\\|"))]
     best = F.greatest(*[n for _, n in counts])
     sep = reduce(lambda acc, p: acc.when(p[1] == best, p[0]), counts[1:], F.when(counts[0][1] == best, counts[0][0]))
-    rows = T.unnest(lines.withColumn("_sep", sep), ["course_id", "source_id", "_sep"], F.split("_t", "\n"), "_i", "_line")
-    cell = F.regexp_extract_all("_line", F.concat(F.lit('(?:\\A|(?<=['), F.col("_sep"), F.lit(']))("(?:[^"]|"")*"|[^'),
-                                                  F.col("_sep"), F.lit("]*)")), F.lit(1))
-    clean = F.transform(cell, lambda v: T.clean_block(F.when(v.rlike('(?s)\\A".*"\\z'), F.replace(
-        F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v)))
+
+    def pattern(template: str) -> Column:
+        """The template with the separator of the file in place of ``SEP``."""
+        parts = template.split("SEP")
+        return F.concat(*[x for p in parts for x in (F.lit(p), F.col("_sep"))][:-1])
+
+    cell = r'(?:"(?:[^"]++|"")*+"?+[^SEP\n]*+|[^SEP"\n][^SEP\n]*+|)'
+    row = F.regexp_extract_all("_t", pattern(f"({cell}(?:[SEP]{cell})*+)(?:\\n|\\z)"), F.lit(1))
+    rows = T.unnest(files.withColumn("_sep", sep), ["course_id", "source_id", "_sep"], row, "_i", "_line")
+    cells = F.regexp_extract_all("_line", pattern(f"(?:\\A|[SEP])({cell})"), F.lit(1))
+    # of a quoted cell the quotes go, and a doubled quote is one; what follows the closing quote stays
+    quoted = r'(?s)\A"((?:[^"]++|"")*+)"?+(.*)\z'
+    bare = lambda v: F.when(v.startswith('"'), F.concat(
+        F.replace(F.regexp_extract(v, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(v, quoted, 2))).otherwise(v)
+    clean = F.transform(cells, lambda v: T.clean_block(bare(v)))
     parts = F.filter(F.transform(clean, lambda v, i: F.when(v != "", F.concat(
         F.lit("column "), (i + 1).cast("string"), F.lit(": "), v))), lambda v: v.isNotNull())
-    units = (rows.withColumn("unit_no", (F.col("_i") + 1).cast("long")).withColumn("text", F.array_join(parts, " | "))
-                 .filter(F.col("text") != "")
-                 .select("course_id", "source_id", "unit_no", F.concat(F.lit("row "), "unit_no").alias("locator"), "text"))
-    if cap is None:
-        return units
-    # the number of rows is known from the text itself: no second pass
-    note = (lines.filter(F.size(F.split("_t", "\n")) > cap)
-                 .select("course_id", "source_id", F.lit(0).cast("long").alias("unit_no"), F.lit("note").alias("locator"),
-                         F.lit(f"Only the first {cap} rows are extracted; the original file is kept.").alias("text")))
-    return units.filter(F.col("unit_no") <= cap).unionByName(note)
+    return (rows.withColumn("unit_no", (F.col("_i") + 1).cast("long")).withColumn("text", F.array_join(parts, " | "))
+                .filter(F.col("text") != "")
+                .select("course_id", "source_id", "unit_no", F.concat(F.lit("row "), "unit_no").alias("locator"), "text"))
 
 
 def subtitle_cues(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as S
 
 from ..functions import text as T, urls as U
@@ -197,33 +198,48 @@ def publish_if_valid(tables: dict[str, DataFrame], path: str, check: Callable[[d
     Every table has a ``course_id``. Returns the courses with ``published``.
     """
     spark = next(iter(tables.values())).sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    number = _last_number(spark, path) + 1
+    version = f"v{number:010d}-{uuid.uuid4().hex}"
     written = {}
     for name, df in tables.items():
-        df.write.mode("error").parquet(f"{path}/versions/{version}/{name}")
-        written[name] = spark.read.parquet(f"{path}/versions/{version}/{name}")
+        df.write.mode("error").parquet(f"{path}/versions/{name}/version={version}")
+        written[name] = spark.read.parquet(f"{path}/versions/{name}/version={version}")
     courses = None
     for df in written.values():
         ids = df.select("course_id").distinct()
         courses = ids if courses is None else courses.unionByName(ids)
     bad = check(written).filter(F.col("severity") == "error").select("course_id").distinct().withColumn("_bad", F.lit(True))
     judged = courses.distinct().join(bad, "course_id", "left").select(
-        "course_id", F.lit(version).alias("version"), F.coalesce(F.lit(now), F.current_timestamp()).alias("published_at"),
-        F.col("_bad").isNull().alias("published"))
-    judged.write.mode("error").parquet(f"{path}/judged/{version}")
-    out = spark.read.parquet(f"{path}/judged/{version}")
-    # one append is the whole switch: readers take the newest row of a course
+        "course_id", F.lit(version).alias("version"), F.lit(number).cast("long").alias("number"),
+        F.coalesce(F.lit(now), F.current_timestamp()).alias("published_at"), F.col("_bad").isNull().alias("published"))
+    judged.write.mode("error").parquet(f"{path}/judged/version={version}")
+    out = spark.read.schema(judged.schema).parquet(f"{path}/judged/version={version}")
+    # one append is the whole switch: readers take the highest number of a course
     out.filter("published").drop("published").write.mode("append").parquet(f"{path}/current")
     return out
 
 
+def _last_number(spark: SparkSession, path: str) -> int:
+    """Number of the newest publication, 0 before the first one."""
+    try:
+        return spark.read.parquet(f"{path}/judged").agg(F.max("number")).first()[0] or 0
+    except AnalysisException:
+        return 0
+
+
 def current_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The version of each course with the highest number; two that were published side by
+    side under one number are told apart by their name."""
     pointer = spark.read.parquet(f"{path}/current")
-    return pointer.groupBy("course_id").agg(F.max_by("version", F.struct("published_at", "version")).alias("version"))
+    return pointer.groupBy("course_id").agg(F.max_by("version", F.struct("number", "version")).alias("version"))
 
 
 def read_current(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Rows of a table as published: each course from its own current version."""
-    versions = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/versions/*/{table}")
-    rows = versions.withColumn("version", F.regexp_extract(F.input_file_name(), r"/versions/([^/]+)/", 1))
-    return rows.join(current_versions(spark, path), ["course_id", "version"], "left_semi").drop("version")
+    """Rows of a table as published: each course from its own current version.
+
+    Versions are partitions, and only those that some course points to are read.
+    """
+    current = current_versions(spark, path)
+    rows = spark.read.option("basePath", f"{path}/versions/{table}").parquet(f"{path}/versions/{table}")
+    wanted = current.select("version").distinct()
+    return (rows.join(wanted, "version", "left_semi").join(current, ["course_id", "version"], "left_semi").drop("version"))

@@ -25,6 +25,12 @@ def _text(html: pd.Series) -> pd.Series:
     return html.map(H.page_text)
 
 
+@F.pandas_udf(_TEXT)
+def stored_text(content: pd.Series) -> pd.Series:
+    """Text of the bytes of a stored page."""
+    return content.map(H.stored_text, na_action="ignore")
+
+
 @F.pandas_udf(_LINKS)
 def _links(html: pd.Series) -> pd.Series:
     return html.map(H.page_links)

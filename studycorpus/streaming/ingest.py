@@ -10,8 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import chunking, refresh
-from ..plans import corpus, scale
-from ..sources import files as sources
+from ..plans import corpus, extract, scale
 
 TABLES = ("records", "chunks", "source_manifest")
 
@@ -27,9 +26,16 @@ def _seen(spark: SparkSession, path: str, before: int | None = None) -> DataFram
     return rows.groupBy("course_id", "logical_path").agg(F.max_by("sha256", "batch").alias("sha256"), F.max("batch").alias("batch"))
 
 
-def ingest_batch(batch: DataFrame, number: int, path: str) -> None:
-    """One micro-batch: course_id, path, size, content."""
+def ingest_batch(batch: DataFrame, number: int, path: str, units: DataFrame | None = None) -> None:
+    """One micro-batch: course_id, path, size, content (, mtime). Files go through the
+    extractor of their type; ``units`` are those of types that have none here."""
     spark = batch.sparkSession
+    # a path that comes twice in a batch counts once: the later file, then the larger hash
+    stamped = batch if "mtime" in batch.columns else batch.withColumn("mtime", F.lit(None).cast("timestamp"))
+    hashed = stamped.select("course_id", "path", "mtime", F.sha2("content", 256).alias("sha256"))
+    last = scale.checkpointed(scale.first_rows(hashed, ["course_id", "path"], [F.col("mtime").desc_nulls_last(), F.col("sha256").desc()]).drop("mtime"))
+    batch = (batch.withColumn("sha256", F.sha2("content", 256)).join(last, ["course_id", "path", "sha256"], "left_semi")
+                  .drop("sha256").dropDuplicates(["course_id", "path"]))
     current = refresh.snapshot(batch)
     prior = _seen(spark, path, number)
     if prior is None:
@@ -39,18 +45,20 @@ def ingest_batch(batch: DataFrame, number: int, path: str) -> None:
         todo = current.join(prior.select("course_id", "logical_path", "sha256"), ["course_id", "logical_path", "sha256"], "left_anti")
     todo = scale.checkpointed(todo)
     fresh = batch.join(todo.select("course_id", F.col("logical_path").alias("path")), ["course_id", "path"], "left_semi")
-    texts = sources.decode_text(fresh, "content", "body")
-    records = corpus.build_records(texts)
-    ids = records.filter(F.col("status").isin("ready", "duplicate")).select("course_id", F.col("source_path").alias("path"), "source_id")
-    bodies = texts.select("course_id", "path", "body").join(ids, ["course_id", "path"]).drop("path")
-    out = {"records": records, "chunks": chunking.chunk_bodies(bodies), "source_manifest": todo}
+    parts = extract.extract(fresh, units)
+    records = scale.checkpointed(corpus.build_records(parts.texts, unit_counts=extract.unit_counts(parts.units), statuses=parts.statuses))
+    # a duplicate may become the first of its text later, so its chunks are made too
+    ids = records.filter(F.col("status").isin("ready", "duplicate")).select("course_id", F.col("source_path").alias("path"))
+    bodies = parts.texts.join(ids, ["course_id", "path"], "left_semi")
+    used = parts.units.join(bodies.select("course_id", "source_id"), ["course_id", "source_id"], "left_semi")
+    out = {"records": records, "chunks": chunking.chunk_sources(bodies, used), "source_manifest": todo}
     for name in TABLES:
         out[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
 
-def start(files: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+def start(files: DataFrame, path: str, checkpoint: str, available_now: bool = False, units: DataFrame | None = None):
     """Ingest a stream of files (``sources.files.stream_files`` or the same columns)."""
-    writer = (files.writeStream.foreachBatch(lambda df, number: ingest_batch(df, number, path))
+    writer = (files.writeStream.foreachBatch(lambda df, number: ingest_batch(df, number, path, units))
                    .option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 

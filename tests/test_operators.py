@@ -355,3 +355,93 @@ def test_inventory_of_a_mixed_course(spark):
     row = reports.source_inventory(classify.classify_sources(df)).first()
     assert (row["total_source_files"], row["supported_files"], row["unsupported_files"], row["lecturer_material_candidates"],
             row["metadata_files"]) == (9, 7, 1, 7, 1)
+
+
+# --- nothing is cut, no step is limited -------------------------------------------
+
+def test_rows_with_line_ends_in_cells(spark):
+    import csv
+    import io
+    text = 'id,"na""me",x\r\n1,"line one\nline two",5" pipe\r\n\r\n2,"a,b"tail,"open\nend'
+    want = [(i, " | ".join(f"column {k}: {v.strip()}" for k, v in enumerate(r, 1) if v.strip()))
+            for i, r in enumerate(csv.reader(io.StringIO(text.replace("\r\n", "\n"))), 1) if any(r)]
+    got = files.csv_units(spark.createDataFrame([("c", "s", text)], "course_id string, source_id string, text string"))
+    assert rows(got, "unit_no", "text") == want
+    many = spark.range(1).select(F.lit("c").alias("course_id"), F.lit("s").alias("source_id"),
+                                 F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50_003)), lambda i: F.concat(i.cast("string"), F.lit(",x"))), "\n").alias("text"))
+    assert files.csv_units(many).agg(F.count("*"), F.max("unit_no")).first() == (50_003, 50_003)
+    assert files.row_units(spark.range(50_003).withColumn("n", F.col("id") + 1), ["id"], "n").count() == 50_003
+
+
+def test_redaction_keeps_the_length(spark):
+    from studycorpus.operators.redact import redact_text
+    for profile in ("log", "crawl", "pipeline", "path"):
+        assert one(spark, "word " * 400 + "token=abc", F.length(redact_text("v", profile))) > 2000
+
+
+def test_deep_graphs_and_long_chains(spark):
+    from studycorpus.operators import crawl
+    edges = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}") for i in range(12)], "scope string, src string, dst string")
+    seeds = spark.createDataFrame([("s", "n0")], "scope string, node string")
+    assert crawl.reachable(edges, seeds).count() == 13
+    assert crawl.reachable(edges, seeds, max_depth=4).filter("state = 'max_depth'").count() == 1
+    chain = [("c", i, i, 0.7 + i / 10_000) for i in range(1200)] + [("c", i, i + 1, 0.7 + i / 10_000 + 0.00005) for i in range(1200)]
+    pairs = spark.createDataFrame(chain, "course_id string, left_id long, right_id long, similarity double")
+    costs = spark.range(1202).select(F.lit("c").alias("course_id"), F.col("id").alias("source_id"), F.lit(1).alias("cost"))
+    want, taken_l, taken_r = [], set(), set()
+    for _, a, b, s in sorted(chain, key=lambda p: (-p[3], p[1], p[2])):
+        if a not in taken_l and b not in taken_r:
+            want.append((b, a))
+            taken_l.add(a)
+            taken_r.add(b)
+    for limit in (200_000, 1):
+        if limit == 1:                               # rounds alone, on a short chain
+            pairs, want = pairs.filter("left_id < 8"), None
+        got = rows(similarity.pick_representatives(pairs, costs, group_pairs=limit), "source_id", "represented_by")
+        assert want is None and len(got) == 8 or got == sorted(want)
+
+
+def test_one_token_in_every_text(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "ROWS_PER_CELL", 3)
+    texts = [(i, "ab"[i % 2], f"all w{i // 2} x{i // 2}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "id long, side string, text string").withColumn("course_id", F.lit("c"))
+    got = similarity.near_duplicate_pairs(docs, "id", "text", "side", "a", "b")
+    assert rows(got, "left_id", "right_id") == [(i, i + 1) for i in range(0, 60, 2)]
+
+
+def test_same_ids_in_two_courses(spark):
+    pages = spark.createDataFrame([(c, s, p, 7 * p + (c == "b") * (s == "r") * 255) for c in "ab" for s in "lr" for p in range(3)],
+                                  "course_id string, source_id string, page_no int, hash long")
+    pairs = spark.createDataFrame([("a", "l", "r"), ("b", "l", "r")], "course_id string, left_id string, right_id string")
+    assert rows(visual.visual_equivalence(pages, pairs, 0), "course_id", "left_count", "verdict") == [("a", 3, "FULL_EQUIVALENCE"), ("b", 3, "NOT_EQUIVALENT")]
+    assert rows(visual.align_pages(pages, pairs), "course_id", "left_pages", "right_pages") == [("a", 3, 3), ("b", 3, 3)]
+    features = spark.createDataFrame([("a", "s", 900, 0, 0), ("b", "s", 900, 1, 0)], "course_id string, source_id string, text_chars int, n_images int, n_drawings int")
+    assert rows(visual.page_evidence(features), "course_id", "verdict") == [("a", "TEXT_DOMINANT"), ("b", "VISUAL_REQUIRED")]
+
+
+@pytest.mark.parametrize("href", ["../x", "..", "../..", ".", "./", "a/../b", "/a/../b", "/a/./b/../../c", "../../../../../../x?y=../z", "a/b/c/../../../../d/..", "x#../y", "?q=1", "//h/p"])
+def test_links_as_the_standard_says(spark, href):
+    from urllib.parse import urljoin
+    base = "https://host.example/one/two/three/four/five/page.html"
+    got = spark.createDataFrame([(base, href)], "b string, h string").select(U.resolve("b", "h")).first()[0]
+    assert got == urljoin(base, href)
+
+
+def test_content_inside_a_form():
+    from studycorpus.functions import html
+    page = '<body><form><main><nav><a href="n">no</a></nav><a href="y">yes</a><form><a href="f">f</a></form></main></form></body>'
+    assert [link["href"] for link in html.page_links(page)] == ["y"]
+    assert html.stored_text(b"<header>h</header><p>a<b>b</b></p><form>f</form>\xff") == "a\nb\n\ufffd"
+
+
+def test_folding_does_not_cut_a_word(spark):
+    assert one(spark, "İstanbul istanbul", T.tokens("v")) == ["i̇stanbul", "istanbul"]
+
+
+def test_publications_of_one_moment(spark, tmp_path):
+    import datetime
+    now = datetime.datetime(2024, 1, 1)
+    for k in range(4):
+        manifests.publish_if_valid({"t": spark.createDataFrame([("c", k)], "course_id string, v int")}, str(tmp_path),
+                                   lambda t: t["t"].filter("false").selectExpr("course_id", "'error' as severity"), now=now)
+    assert rows(manifests.read_current(spark, str(tmp_path), "t"), "v") == [(3,)]
