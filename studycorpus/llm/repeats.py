@@ -36,8 +36,8 @@ from studycorpus.llm.base import checkpointed, text_of
 from studycorpus.llm.exact import maybe_among
 
 LENGTH, ANCHOR = 200, 64
-HOT = 2_000                  # different runs of a name that one task sorts together
-SORT_BYTES = 8 << 20         # text that is sorted at once
+HOT = 8_000                  # different runs of a name that one task sorts together
+SORT_BYTES = 2 << 20         # text that is sorted at once
 CHUNK = 1 << 20              # windows of a document that are named at once
 
 

@@ -77,7 +77,7 @@ def test_removal(spark, texts, monkeypatch):
     docs = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)] + [(None, texts[11], None, 2)],
                                  "doc_id long, text string, key string, name int").repartition(4)
     want = plain(texts + [texts[11]])
-    for hot, sort in ((2_000, 8 << 20), (3, 2_000)):
+    for hot, sort in ((8_000, 2 << 20), (3, 2_000)):
         monkeypatch.setattr(repeats, "HOT", hot)
         monkeypatch.setattr(repeats, "SORT_BYTES", sort)
         got = repeats.digests(docs).collect()
