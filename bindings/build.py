@@ -54,7 +54,25 @@ def chunk_units(spark, sf):
     return chunking.chunk_bodies(ided).select("course_id", "source_id", F.col("ordinal").cast("long").alias("ordinal"), "chunk_id", "text")
 
 
-@query("chunk_paragraphs")
+def stripped_sql(c: str) -> str:
+    return f"trim({c}, concat(' ', chr(10)))"
+
+
+@query("chunk_paragraphs", f"""with recursive u as (select conv_id, turn // 10 as unit_no, list_filter(list({CLEAN_SQL.format(c='text')} order by turn), lambda x: x <> '') as ps
+  from conversations group by 1, 2),
+s as (select conv_id, unit_no, ps, 0::bigint as i, []::varchar[] as done, '' as held from u
+ union all select conv_id, unit_no, ps, i + 1,
+  case when length(p) > 500 then list_concat(case when held = '' then done else list_append(done, {stripped_sql('held')}) end,
+      list_transform(range(cast(ceil((length(p) - 500) / 450.0) as bigint) + 1), lambda k: {stripped_sql('substring(p, k * 450 + 1, 500)')}))
+    when length(j) <= 500 then done else list_append(done, {stripped_sql('held')}) end,
+  case when length(p) > 500 then '' when length(j) <= 500 then j
+    else {stripped_sql(f"concat({stripped_sql('right(held, 50)')}, chr(10), chr(10), p)")} end
+ from (select *, ps[i + 1] as p, case when held = '' then ps[i + 1] else concat(held, chr(10), chr(10), ps[i + 1]) end as j from s where i < len(ps))),
+e as (select conv_id, unit_no, list_filter(case when held = '' then done else list_append(done, {stripped_sql('held')}) end, lambda x: x <> '') as pieces from s where i = len(ps)),
+f as (select conv_id, unit_no, unnest(range(len(pieces))) as pos, unnest(pieces) as text from e),
+o as (select *, row_number() over (partition by conv_id order by unit_no, pos) as ordinal from f)
+select 'conversations' as course_id, concat('conv_', conv_id) as source_id, unit_no, concat('part ', unit_no + 1) as locator, text, ordinal,
+  concat('conv_', conv_id, '_c', lpad(cast(ordinal as varchar), 4, '0')) as chunk_id from o""")
 def chunk_paragraphs(spark, sf):
     """Turns of a conversation are the paragraphs of one unit; one unit per ten turns."""
     turns = table(spark, sf, "conversations").withColumn("unit_no", F.floor(F.col("turn") / 10))
@@ -468,7 +486,6 @@ def validate_corpus(spark, sf):
     chunks = (chunks.withColumn("source_id", F.when(number == 1, "").when(number == 2, F.concat(F.lit("gone_"), "source_id"))
                                 .otherwise(F.col("source_id")))
                     .withColumn("locator", F.when(number == 3, "").otherwise(F.col("locator"))))
-    chunks = chunks.drop("text").withColumn("text", F.lit("x"))
     records = clean.withColumn("source_path", F.when(number == 13, F.concat(F.lit("/home/me/"), "source_path")).otherwise(F.col("source_path")))
     return validate.validate_corpus(records, chunks.drop("source_path"), stored)
 

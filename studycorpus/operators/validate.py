@@ -29,6 +29,18 @@ def _found(df: DataFrame, rule: str, subject: Column | str) -> DataFrame:
                      F.coalesce(value.cast("string"), F.lit("")).alias("subject"))
 
 
+def _row_rules(df: DataFrame, rules: list[tuple[str, Column, str]]) -> DataFrame:
+    """Findings of rules that look at one row each, all in one pass."""
+    hits = F.filter(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"),
+                                                   F.coalesce(F.col(subject).cast("string"), F.lit("")).alias("subject")))
+                              for rule, bad, subject in rules]), lambda h: h.isNotNull())
+    return df.select("course_id", F.explode(hits).alias("h")).select("course_id", "h.severity", "h.rule", "h.subject")
+
+
+def _any_absolute(df: DataFrame, *cols: str) -> Column:
+    return reduce(lambda a, b: a | b, [T.is_absolute(c) for c in cols if c in df.columns])
+
+
 def _missing(df: DataFrame, path: str, stored: DataFrame) -> DataFrame:
     """Rows whose path is not among the stored ones (course_id, path)."""
     have = stored.select("course_id", F.col("path").alias(path)).distinct()
@@ -45,14 +57,23 @@ def validate_corpus(records: DataFrame, chunks: DataFrame, stored: DataFrame, *,
     tables are optional; a rule whose table is missing is not checked.
     """
     key = ["course_id", "source_id"]
+    # every table is read once: texts become a mark whether they are blank
+    kept = [c for c in ("course_id", "source_id", "chunk_id", "chunk_path", "source_path", "locator") if c in chunks.columns]
+    chunks = scale.checkpointed(chunks.select(*kept, F.when(T.strip("text") != "", "x").otherwise("").alias("text")))
+    records, stored = scale.checkpointed(records), scale.checkpointed(stored.select("course_id", "path").distinct())
     found = []
     ids = records.groupBy(*key).agg(F.count("*").alias("_n"))
     named = chunks.filter(F.coalesce("source_id", F.lit("")) != "")
-    found.append(_found(chunks.filter(F.coalesce("source_id", F.lit("")) == ""), "chunk_without_source", "chunk_id"))
+    found.append(_row_rules(chunks, [
+        ("chunk_without_source", F.coalesce("source_id", F.lit("")) == "", "chunk_id"),
+        ("chunk_without_locator", F.coalesce("locator", F.lit("")) == "", "chunk_id"),
+        ("absolute_path", _any_absolute(chunks, "source_path", "chunk_path"), "chunk_id")]))
+    found.append(_row_rules(records, [
+        ("absolute_path", _any_absolute(records, "source_path", "output_path", "source_copy_path"), "source_id"),
+        ("visual_without_chapter", F.col("source_type").isin(*V.VISUAL_TYPES) & (F.size(reports.real_chapters()) == 0), "source_path")]))
     # unique missing ids: the chunks of one source give one finding
     orphans = named.groupBy(*key).agg(F.count("*").alias("_c")).join(ids, key, "left_anti")
     found.append(_found(orphans, "chunk_missing_source", "source_id"))
-    found.append(_found(chunks.filter(F.coalesce("locator", F.lit("")) == ""), "chunk_without_locator", "chunk_id"))
     found.append(_found(_missing(chunks.filter(F.coalesce("chunk_path", F.lit("")) != ""), "chunk_path", stored),
                         "chunk_path_missing", "chunk_path"))
     ready = records.filter(F.col("status") == "ready")
@@ -69,10 +90,6 @@ def validate_corpus(records: DataFrame, chunks: DataFrame, stored: DataFrame, *,
         F.col("retention_decision").isin(*EXCUSED_BY_TEXT) & F.col("_text"))
     found.append(_found(lost.filter(~F.coalesce(excused, F.lit(False))), "copy_not_retained", "source_path"))
 
-    for df, cols, subject in ((records, ("source_path", "output_path", "source_copy_path"), "source_id"),
-                              (chunks, ("source_path", "chunk_path"), "chunk_id")):
-        bad = reduce(lambda a, b: a | b, [T.is_absolute(c) for c in cols if c in df.columns])
-        found.append(_found(df.filter(bad), "absolute_path", subject))
     if unsupported is not None:
         found.append(_found(unsupported.filter(T.is_absolute("path") | T.has_parent_step("path")),
                             "unsafe_inventory_path", "path"))
@@ -89,7 +106,7 @@ def validate_corpus(records: DataFrame, chunks: DataFrame, stored: DataFrame, *,
         found.append(_found(state.filter(F.col("_len").isNull()), "chapter_rollup_missing", "group"))
         found.append(_found(state.filter(F.col("_len") == 0), "chapter_rollup_empty", "group"))
 
-    measured = reports.source_metrics(records, chunks, visuals)
+    measured = scale.checkpointed(reports.source_metrics(records, chunks, visuals))
     if metrics is not None:
         wide = measured.join(metrics.select("course_id", *[F.col(m).alias(f"_s_{m}") for m in METRICS]), "course_id")
         differs = F.explode(F.filter(F.array(*[F.when(~F.col(m).eqNullSafe(F.col(f"_s_{m}")), F.lit(m)) for m in METRICS]),
@@ -104,7 +121,5 @@ def validate_corpus(records: DataFrame, chunks: DataFrame, stored: DataFrame, *,
     found.append(_found(measured.filter(F.col("source_error_count") > 0), "source_errors", "source_error_count"))
     found.append(_found(measured.filter(F.col("unsupported_source_count") > 0), "unsupported_sources",
                         "unsupported_source_count"))
-    found.append(_found(records.filter(F.col("source_type").isin(*V.VISUAL_TYPES) & (F.size(reports.real_chapters()) == 0)),
-                        "visual_without_chapter", "source_path"))
     found.append(_found(reports.chapter_gaps(records), "chapter_gap", "chapter"))
     return reduce(DataFrame.unionByName, found)
