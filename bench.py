@@ -18,7 +18,8 @@ from bindings import QUERIES  # noqa: E402
 from studycorpus import session  # noqa: E402
 
 HEADLINE = ["dedup_exact", "chunk_units", "corpus_stats", "near_duplicates", "refresh_plan", "reachable", "progress",
-            "throttle", "match_catalog", "page_links", "size_budget", "redact"]
+            "throttle", "match_catalog", "page_links", "size_budget", "redact", "validate_corpus", "exam_context", "catalog_from_tables",
+            "corpus_mixed"]
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 

@@ -63,14 +63,6 @@ def carry_forward(prior_docs: DataFrame, prior_chunks: DataFrame, changes: DataF
     return docs, chunks
 
 
-def touched_text_keys(changes: DataFrame, current_facts: DataFrame, prior_facts: DataFrame) -> DataFrame:
-    """Text keys whose duplicate groups a refresh must decide anew."""
-    moved = changes.filter(F.col("change") != "reused").select("course_id", F.col("logical_path").alias("path"))
-    keys = [f.join(moved, ["course_id", "path"], "left_semi").select("course_id", "text_key")
-            for f in (current_facts, prior_facts)]
-    return keys[0].unionByName(keys[1]).filter(F.col("text_key").isNotNull()).distinct()
-
-
 def manifest_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Paths only in ``a``, only in ``b``, or in both."""
     key = ["course_id", "logical_path"]

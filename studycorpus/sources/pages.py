@@ -100,7 +100,8 @@ def catalog_from_tables(pages: DataFrame) -> DataFrame:
     lecturer cells take the value above.
     """
     base = F.col("url")
-    cells = T.unnest(pages, [F.col("page_id").alias("tab"), "url"], _cells("html"), "_i", "c").select("tab", "url", "c.*")
+    # every page is parsed once; roles, header and rows all read its cells
+    cells = scale.checkpointed(T.unnest(pages, [F.col("page_id").alias("tab"), "url"], _cells("html"), "_i", "c").select("tab", "url", "c.*"))
     names = F.create_map(*[F.lit(x) for kv in V.CATALOG_HEADERS.items() for x in kv])
     roles = cells.withColumn("role", F.try_element_at(names, T.fold("text"))).filter(F.col("role").isNotNull())
     per_row = roles.groupBy("tab", "table_no", "row_no").agg(
