@@ -18,9 +18,10 @@ Copies collapse first. Then, in every bucket:
 1. each text is compared with the bucket's first one, exactly. This joins nearly all of a
    large group without looking at its pairs;
 2. in buckets that still hold several components, texts of different components are
-   compared by their signatures, in blocks of bounded size, and pairs that agree in
-   ``LEAST_EQUAL`` of the coordinates are compared exactly (a pair of 0.8 agrees in fewer with
-   probability 1e-8).
+   compared by their signatures, in blocks of bounded size; where a pair agrees in
+   ``LEAST_EQUAL`` of the coordinates (one of 0.8 agrees in fewer with probability 1e-8), the
+   shingles of both are brought to the block and counted exactly, by products of their
+   incidence matrices.
 So each pair that shares a band is compared or already joined, and no link is lost.
 """
 from __future__ import annotations
@@ -33,8 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from studycorpus.llm.base import checkpointed, components, text_of
+from studycorpus.llm.base import checkpointed, components, slices, text_of
 from studycorpus.llm.exact import maybe_among
+from studycorpus.llm.vectors import _labels
 from studycorpus.llm.words import LONG_WORD, Memory
 
 WORDS, SIMILAR = 5, (4, 5)       # words of a shingle; least similarity as a fraction
@@ -42,7 +44,8 @@ BANDS, ROWS = 26, 4
 K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K
 LEAST_EQUAL = 60
-BLOCK = 512                      # texts of a bucket that are compared with as many others at once
+HELD_CELLS = 2_000_000           # shingles that a comparing task remembers
+BLOCK = 256                      # texts of a bucket that are compared with as many others at once
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,7 +105,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     num, den = SIMILAR
     if not small or small * den < large * num:
         return False
-    both = small + large - len(np.unique(np.concatenate([a, b])))
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.searchsorted(b, a).clip(max=large - 1)] == a).sum())        # both are sorted
     return both * den >= (small + large - both) * num
 
 
@@ -164,12 +169,21 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` whose texts are similar. ``docs`` has ``id, text``."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yes, last = [], None
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if last is None or last[0] != y:
-                    last = (y, cells(words_of(y)))
-                yes.append(similar(cells(words_of(x)), last[1]))
+        known: dict[str, np.ndarray] = {}          # texts come in many pairs
+        held = 0
+
+        def of(text: str) -> np.ndarray:
+            nonlocal held
+            if text not in known:
+                if held > HELD_CELLS:
+                    known.clear()
+                    held = 0
+                known[text] = cells(words_of(text))
+                held += len(known[text])
+            return known[text]
+
+        for batch in slices(batches, 2048):
+            yes = [similar(of(x), of(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -180,45 +194,106 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return checkpointed(rows.mapInArrow(compare, "a long, b long").distinct())
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures agree enough.
-
-    ``members``: ``key, node, comp, sig, m`` (size of the bucket). Large buckets become a
-    grid of block pairs, so a task holds at most twice ``BLOCK`` rows at once.
-    """
+def _grid(members: DataFrame) -> DataFrame:
+    """Large buckets as a grid of pairs of blocks ``i <= j``: a task holds at most twice
+    ``BLOCK`` rows at once. ``o`` is a row's own block."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
     cell = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1),
                                  lambda j: F.struct(F.least(j, F.col("o")).alias("i"), F.greatest(j, F.col("o")).alias("j"))))
-    grid = members.withColumn("o", own).withColumn("g", cell).select("key", "g.i", "g.j", "o", "node", "comp", "sig")
+    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
+    return members.withColumn("o", own).withColumn("g", cell).select("key", "g.i", "g.j", "o", "node", "comp", "sig")
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows in order of ``key, i, j`` as ``((key, i, j), the other columns by row)``."""
+    held, at = [], None
+    for batch in slices(batches):
+        for key, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, i, j) != at:
+                if len(held) > 1:
+                    yield at, held
+                held, at = [], (key, i, j)
+            held.append(rest)
+    if len(held) > 1:
+        yield at, held
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block pair ``o, node, comp, sig`` that agree enough with one of another component."""
+    for (key, i, j), held in _by_block(batches):
+        o, node, comp = (np.array([r[k] for r in held]) for k in range(3))
+        if (comp == comp[0]).all():
+            continue
+        sig = np.frombuffer(b"".join(r[3] for r in held), "<u2").reshape(len(held), K)
+        a, b = np.flatnonzero(o == i), np.flatnonzero(o == j)
+        hit = np.zeros(len(held), bool)
+        for x in a:                             # one row against a block: memory stays small
+            y = b[comp[b] != comp[x]]
+            y = y[(sig[y] == sig[x]).sum(axis=1) >= LEAST_EQUAL]
+            hit[y] = True
+            hit[x] |= len(y) > 0
+        n = int(hit.sum())
+        if n:
+            yield pa.record_batch([pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()),
+                                   pa.array(o[hit], pa.int32()), pa.array(node[hit], pa.int64())], names=["key", "i", "j", "o", "n"])
+
+
+def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many cells each set of ``a`` shares with each of ``b``: products of their
+    incidence matrices, a few thousand columns at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    owner, column = owner[keep], np.unique(column[keep], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        first, last = np.searchsorted(column, [lo, lo + 4096])
+        one = np.zeros((len(sets), 4096), np.float32)
+        one[owner[first:last], column[first:last] - lo] = 1
+        out += one[a] @ one[b].T                # whole numbers below 4096 are exact
+    return out.astype(np.int64)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block pair ``o, node, cells`` to links: each text with the smallest node that
+    it reaches by similar texts of the block pair."""
+    num, den = SIMILAR
+    for (_, i, j), held in _by_block(batches):
+        o, node = (np.array([r[k] for r in held]) for k in range(2))
+        sets = [np.frombuffer(r[2], np.uint64) for r in held]
+        size = np.array([len(x) for x in sets])
+        a, b = np.flatnonzero(o == i), np.flatnonzero(o == j)
+        both = _shared(sets, a, b)
+        graph = np.zeros((len(held), len(held)), bool)
+        graph[np.ix_(a, b)] = both * den >= (size[a][:, None] + size[b][None, :] - both) * num
+        least = node[_labels(graph | graph.T)]         # rows are in order of node
+        moved = least != node
+        if moved.any():
+            yield pa.record_batch([pa.array(node[moved], pa.int64()), pa.array(least[moved], pa.int64())], names=["a", "b"])
+
+
+def _cross_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between texts of a bucket that are in different components.
+
+    ``members``: ``key, node, comp, sig, m`` (size of the bucket). Signatures tell which texts
+    may be similar; their shingles then meet in the same blocks and are compared exactly.
+    Both steps give at most a row for each text and block, never a list of pairs.
+    """
+    near = checkpointed(_grid(members).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+                                      .mapInArrow(_candidates, "key long, i int, j int, o int, n long"))
+    nodes = checkpointed(near.select(F.col("n").alias("node")).distinct())
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-
-        def out() -> pa.RecordBatch:
-            o, node, comp = (np.array(c) for c in zip(*((r[0], r[1], r[2]) for r in held)))
-            sig = np.frombuffer(b"".join(r[3] for r in held), "<u2").reshape(len(held), K)
-            a, b = np.flatnonzero(o == at[1]), np.flatnonzero(o == at[2])
-            found = []
-            for x in a:                             # one row against a block: memory stays small
-                y = b[(comp[b] != comp[x]) & ((b > x) if at[1] == at[2] else True)]
-                if len(y):
-                    y = y[(sig[y] == sig[x]).sum(axis=1) >= LEAST_EQUAL]
-                    found += [(min(node[x], node[k]), max(node[x], node[k])) for k in y]
-            return pa.record_batch([pa.array([int(p[0]) for p in found], pa.int64()), pa.array([int(p[1]) for p in found], pa.int64())], names=["b", "a"])
-
-        for batch in batches:
-            for key, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, i, j) != at:
-                    if len(held) > 1:
-                        yield out()
-                    held, at = [], (key, i, j)
-                held.append(rest)
-        if len(held) > 1:
-            yield out()
-
-    return (grid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-                .mapInArrow(compare, "b long, a long").distinct())
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [cells(words_of(t)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "cells"])
+
+    texts = docs.filter(maybe_among(nodes, "node")("id")).distinct().join(nodes, F.col("id") == F.col("node"), "left_semi")
+    sets = checkpointed(texts.mapInArrow(shingled, "node long, cells binary"))
+    rows = near.join(sets, F.col("n") == F.col("node")).select("key", "i", "j", "o", "node", "cells")
+    return checkpointed(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_linked, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,10 +327,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k"))
     left = placed.join(open_, F.col("key") == F.col("k"), "left_semi")
     sigs = reps.select(F.col("id").alias("n"), "sig").dropDuplicates(["n"])
-    cross = _cross_pairs(left.join(sigs, F.col("node") == F.col("n")).select("key", "node", "comp", "sig", "m"))
-    rest = checkpointed(cross.select("a", "b").join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        comps = checkpointed(components(near.select("a", "b").unionAll(_verified(rest, rows).select("a", "b"))))
+    more = _cross_links(left.join(sigs, F.col("node") == F.col("n")).select("key", "node", "comp", "sig", "m"), rows)
+    if not more.isEmpty():
+        comps = checkpointed(components(near.select("a", "b").unionAll(more)))
 
     named = (signed.select("id", "content").join(contents.withColumnRenamed("content", "c"), F.col("content") == F.col("c"), "left")
                    .join(comps.withColumnRenamed("node", "n"), F.col("rep") == F.col("n"), "left"))
