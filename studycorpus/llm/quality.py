@@ -28,7 +28,7 @@ from studycorpus.llm.base import text_of
 from studycorpus.llm.words import LONG_WORD, Memory
 
 UNITS, WIDTH, ONES = 1 << 13, 64, 4
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.01, 1e-4
+HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.003, 1e-2
 #: Bound of the labelled rows that the network is fitted on, those with the smallest hash of
 #: their id; the word vectors cover all documents.
 FIT_ROWS = 20_000
@@ -162,8 +162,8 @@ def _loss(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
-    """Adam on the logistic loss with a fixed seed, then the temperature with the least loss
-    on the calibration rows. With one label only, the probability is that label's."""
+    """Adam on the logistic loss with a fixed seed, the epoch and then the temperature with the
+    least loss on the calibration rows. With one label only, the probability is that label's."""
     calibration = np.arange(len(x)) % CALIBRATION_SHARE == CALIBRATION_SHARE - 1
     if len(x) < 2 * CALIBRATION_SHARE:
         calibration[:] = False
@@ -176,6 +176,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
     p = [rng.normal(0, np.sqrt(2 / WIDTH), (WIDTH, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.zeros(1)]
     m, v, step = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
     z = (tx - mean) / scale
+    cx, cy, best = x[calibration], y[calibration], None
     for _ in range(EPOCHS):
         order = rng.permutation(len(z))
         for k in range(0, len(z), BATCH):
@@ -189,9 +190,13 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
                 m[i] = 0.9 * m[i] + 0.1 * d
                 v[i] = 0.999 * v[i] + 0.001 * d * d
                 p[i] = p[i] - RATE * (m[i] / (1 - 0.9 ** step)) / (np.sqrt(v[i] / (1 - 0.999 ** step)) + 1e-8)
-    net = Network(mean, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
-    if calibration.any():
-        logits, cy = net.logits(x[calibration]), y[calibration]
+        net = Network(mean, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
+        loss = _loss(net.logits(cx), cy) if len(cx) else 0.0
+        if best is None or loss <= best[0]:
+            best = (loss, net)
+    net = best[1]
+    if len(cx):
+        logits = net.logits(cx)
         grid = np.exp(np.linspace(np.log(0.25), np.log(16), 121))
         net = net._replace(temperature=float(grid[np.argmin([_loss(logits / t, cy) for t in grid])]))
     return net
