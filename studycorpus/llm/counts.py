@@ -15,17 +15,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from studycorpus.llm.base import checkpointed, text_of
-from studycorpus.llm.words import LONG_WORD, memory, words
+from studycorpus.llm.base import checkpointed, slices, text_of
+from studycorpus.llm.words import LONG_WORD, Memory, memory, words
 from studycorpus.plans.scale import lookup_join
 
-HEAD = 1 << 18           # bound of the broadcast: pre-tokens
+HEAD = 1 << 17           # bound of the broadcast: pre-tokens
+KNOWN = 250_000          # words whose pre-tokens a worker remembers
 HEAD_CHARS = 24          # longer pre-tokens are never in it
 
 
-def _pre_tokens(w, text: str, known: dict) -> Counter:
+def _pre_tokens(w, text: str, known: dict) -> dict[str, int]:
     """Frequencies of the pre-tokens of a text; a special token counts as one."""
-    out: Counter = Counter()
+    out: dict[str, int] = {}
+    get = out.get
     for word, n in Counter(w.split(text)).items():
         parts = known.get(word)
         if parts is None:
@@ -33,10 +35,28 @@ def _pre_tokens(w, text: str, known: dict) -> Counter:
             if len(word) <= LONG_WORD:
                 known[word] = parts
         for p in parts:
-            out[p] += n
+            out[p] = get(p, 0) + n
     return out
 
 
+def _in_room(known: Memory, texts: list[str], w) -> None:
+    if len(known) > KNOWN:
+        known.room(set().union(*(w.split(t) for t in texts)), KNOWN)
+
+
+def _most_frequent(pieces: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest ``df``, at most ``most``: those from the least ``df`` on that
+    keeps within it. Frequencies are counted in steps of an eighth, so a few rows decide."""
+    step = F.floor(F.log2(F.col("df")) * 8)
+    seen, least = 0, None
+    for r in sorted(pieces.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):     # at most 8 * 63 steps
+        seen += r["count"]
+        if seen > most:
+            break
+        least = r["step"]
+    return pieces.filter(F.lit(False)) if least is None else pieces.filter(step >= least)
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text",
                  head: int = HEAD) -> DataFrame:
     """One row per document: ``id_col``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (more than ``limit``).
@@ -55,9 +75,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
         def out() -> pa.RecordBatch:
             return pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["p", "df"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                known.room()
+        for batch in slices(batches):
+            texts = batch.column(0).to_pylist()
+            _in_room(known, texts, w)
+            for text in texts:
                 found.update(_pre_tokens(w, text, known).keys())
                 if len(found) > 500_000:
                     yield out()
@@ -73,17 +94,17 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
 
     vocabulary_rows = rows.select("text").mapInArrow(distinct, "p string, df long").groupBy("p").agg(F.sum("df").alias("df"))
     pieces = checkpointed(vocabulary_rows.mapInArrow(count, "p string, df long, pieces int"))
-    top = (pieces.filter(F.length("p") <= HEAD_CHARS).orderBy(F.col("df").desc(), "p").limit(head).select("p", "pieces").toPandas())
-    common = spark.sparkContext.broadcast(dict(zip(top["p"], top["pieces"].astype(int))))
+    top = _most_frequent(pieces.filter(F.length("p") <= HEAD_CHARS), head).select("p", "pieces").toArrow()
+    common = spark.sparkContext.broadcast(dict(zip(top.column("p").to_pylist(), top.column("pieces").to_pylist())))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text a row with the tokens of its common pre-tokens, and one for each rare pre-token."""
         w, known, pieces_of = words(vocabulary), memory(vocabulary, "pre-tokens"), common.value
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
+            _in_room(known, batch.column(1).to_pylist(), w)
             cols: tuple = ([], [], [], [], [], [])
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                known.room()
                 total, rare = 0, []
                 for p, n in _pre_tokens(w, text, known).items():
                     if (k := pieces_of.get(p)) is None:
