@@ -14,6 +14,7 @@ import functools
 import hashlib
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from studycorpus.llm.base import shared_folder, text_of
+from studycorpus.llm.base import shared_folder, slices, text_of
 from studycorpus.llm.words import LONG_WORD, memory, words
 
 SAMPLE_DOCS = 2_000          # bound of the sample that the dictionary is trained on
@@ -35,18 +36,32 @@ LEVEL = 3
 
 def _library_ids(path: str, texts: list[str], end_id: int) -> Iterator[bytes]:
     """Ids as the library gives them, each distinct pre-token encoded once, with the end id."""
-    w, known, end = words(path), memory(path, "library ids"), np.array([end_id], "<u4").tobytes()
+    w, known, end = words(path), memory(path, "library ids"), array("I", [end_id]).tobytes()
 
     def of(word: str) -> bytes:
-        ids = [w.special[word]] if word in w.special else [i for p in w.pieces_of_word(word) for i in w.ids(p)]
-        out = np.array(ids, "<u4").tobytes()
-        if len(word) <= LONG_WORD:
-            known[word] = out
+        if word in w.special:
+            known[word] = array("I", [w.special[word]]).tobytes()
+            return known[word]
+        if not w.is_plain(word):
+            out = array("I", [i for p in w.pieces_of_word(word) for i in w.ids(p)]).tobytes()
+        elif len(parts := w.parts_of_plain(word)) == 1:
+            out = array("I", w.ids(w.mapped(word))).tobytes()
+        else:                                      # each part is what it is as a word
+            out = b"".join([known.get(p) or of(p) for p in parts])
+        known[word] = out
         return out
 
-    for text in texts:
-        known.room()
-        yield b"".join([known.get(x) or of(x) for x in w.split(text)]) + end
+    for at in range(0, len(texts), 512):
+        lists = [w.split(t) for t in texts[at:at + 512]]
+        distinct = set().union(*lists)
+        known.room(distinct)
+        for x in distinct - known.keys():
+            of(x)
+        for words_ in lists:
+            yield b"".join(map(known.__getitem__, words_)) + end
+        for x in distinct:
+            if len(x) > LONG_WORD:
+                known.pop(x, None)
 
 
 @functools.lru_cache(maxsize=4)
@@ -59,8 +74,9 @@ def train_dictionary(docs: DataFrame, vocabulary: str, id_col: str, text_col: st
     """Dictionary from the id arrays of ``SAMPLE_DOCS`` documents, those with the smallest
     hash of their id; empty if there are too few to train one. It changes the size of the
     files only."""
-    sample = (docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-                  .orderBy("h", "id").limit(SAMPLE_DOCS).select("text"))
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    last = docs.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    sample = docs.filter(h <= (last if last is not None else 0)).select(text_of(text_col).alias("text")).limit(2 * SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,18 +104,22 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id
     spark.createDataFrame([(mark, bytearray(dictionary))], "dictionary string, bytes binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = _codec(shared.value)[0].compress
-        for batch in batches:
-            ids = list(_library_ids(vocabulary, batch.column(1).to_pylist(), end_id))
-            yield pa.record_batch([batch.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array([pack(b) for b in ids], pa.binary())],
-                                  names=["doc_id", "n", "frame"])
-
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    frames = rows.mapInArrow(compress, "doc_id long, n long, frame binary")
     ranges = _ranges(rows.select("doc_id"))
     edges = spark.sparkContext.broadcast(np.array(ranges, np.int64))
 
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = _codec(shared.value)[0].compress
+        for batch in slices(batches):
+            n, frames = [], []
+            for b in _library_ids(vocabulary, batch.column(1).to_pylist(), end_id):
+                n.append(len(b) // 4)
+                frames.append(pack(b))
+            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(edges.value, ids, side="right")
+            yield pa.record_batch([pa.array(at.astype(np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(frames, pa.binary())],
+                                  names=["range", "doc_id", "n", "frame"])
+
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, n, data, size, at, before = [], [], [], 0, None, 0
 
@@ -111,7 +131,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id
                                     pa.array([b"".join(data)], pa.binary()), pa.array([mark], pa.string())],
                                    names=["range", "first_id", "last_id", "n_docs", "n_ids", "ids_before", "doc_ids", "index", "frames", "dictionary"])
 
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for r, i, k, f in zip(*(c.to_pylist() for c in batch.columns)):
                 if ids and (r != at or size >= SHARD_BYTES or len(ids) >= SHARD_DOCS):
                     yield out()
@@ -125,15 +145,10 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id
         if ids:
             yield out()
 
-    def range_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(edges.value, ids, side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *batch.columns], names=["range", *batch.schema.names])
-
     parts = max(1, min(len(ranges) + 1, 100_000))
-    ordered = (frames.mapInArrow(range_of, "range int, doc_id long, n long, frame binary")
-                     .repartition(parts, "range").sortWithinPartitions("range", "doc_id", "frame"))
+    # one Python stage: a second one behind it would double the worker processes and what they remember
+    ordered = (rows.mapInArrow(compress, "range int, doc_id long, n long, frame binary")
+                   .repartition(parts, "range").sortWithinPartitions("range", "doc_id", "frame"))
     (ordered.mapInArrow(shards, "range int, first_id long, last_id long, n_docs long, n_ids long, ids_before long, doc_ids array<long>, "
                                 "index binary, frames binary, dictionary string")
             .write.parquet(f"{folder}/shards"))
@@ -161,26 +176,29 @@ def range_starts(shards: DataFrame) -> DataFrame:
     return totals.select("range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"))
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """The files as rows ``doc_id, start, n_tokens, ids`` (ids as little-endian unsigned 32-bit integers)."""
+def read_ids(spark: SparkSession, folder: str, as_crc32: bool = False) -> DataFrame:
+    """The files as rows ``doc_id, start, n_tokens, ids`` (ids as little-endian unsigned 32-bit
+    integers), or with ``ids_crc32`` in their place, worked out in the task that reads them."""
     shards = spark.read.parquet(f"{folder}/shards")
     dictionaries = read_dictionary(spark, folder)
+    name = "ids_crc32" if as_crc32 else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for doc_ids, index, frames, mark, start in zip(*(c.to_pylist() for c in batch.columns)):
                 unpack = _codec(dictionaries[mark])[1].decompress
                 index = np.frombuffer(index, "<u8").reshape(-1, 2)
                 at, n = index[:, 0].astype(np.int64), index[:-1, 1].astype(np.int64)
                 starts = start + np.concatenate([[0], np.cumsum(n)[:-1]])
-                for lo in range(0, len(n), 1024):
-                    hi = min(lo + 1024, len(n))
-                    ids = [unpack(frames[at[i]:at[i + 1]], max_output_size=int(4 * n[i])) for i in range(lo, hi)]
-                    yield pa.record_batch([pa.array(doc_ids[lo:hi], pa.int64()), pa.array(starts[lo:hi], pa.int64()),
-                                           pa.array(n[lo:hi], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                for lo in range(0, len(n), 512):
+                    hi = min(lo + 512, len(n))
+                    ids = (unpack(frames[at[i]:at[i + 1]], max_output_size=int(4 * n[i])) for i in range(lo, hi))
+                    last = pa.array(map(zlib.crc32, ids), pa.int64()) if as_crc32 else pa.array(ids, pa.binary())
+                    yield pa.record_batch([pa.array(doc_ids[lo:hi], pa.int64()), pa.array(starts[lo:hi], pa.int64()), pa.array(n[lo:hi], pa.int64()), last],
+                                          names=["doc_id", "start", "n_tokens", name])
 
     rows = shards.join(F.broadcast(range_starts(shards)), "range")
-    return rows.select("doc_ids", "index", "frames", "dictionary", F.col("start") + F.col("ids_before")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return rows.select("doc_ids", "index", "frames", "dictionary", F.col("start") + F.col("ids_before")).mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if as_crc32 else 'binary'}")
 
 
 def read_one(spark: SparkSession, folder: str, doc_id: int) -> list[np.ndarray]:
@@ -202,10 +220,4 @@ def roundtrip(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(docs, folder, vocabulary, end_id, id_col, text_col)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x) for x in batch.column(3).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_ids(spark, folder).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_ids(spark, folder, as_crc32=True)

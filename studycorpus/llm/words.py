@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 
 from tokenizers import Tokenizer
 
@@ -20,7 +21,6 @@ LONG_WORD = 64
 REMEMBERED = 400_000
 SPACES = "\t\n\x0b\x0c\r "
 ODD_SPACES = "\x1c\x1d\x1e\x1f"          # gaps for str.split, but not for the library
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class Words:
@@ -44,11 +44,15 @@ class Words:
         # characters that neither compose with others nor lower in a way of their own
         self.safe = frozenset(c for c in chars if (norm(c) == c.lower() and len(norm(c)) == 1 and not c.isspace() and norm(c) != " ")
                               or (c in SPACES and norm(c) == " "))
+        letters = "".join(re.escape(c) for c in sorted(self.safe) if unicodedata.category(c)[0] == "L")
+        numbers = "".join(re.escape(c) for c in sorted(self.safe) if unicodedata.category(c)[0] == "N")
+        #: The library's pattern (fixed), for words of safe characters.
+        self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+")
         # the library's letters for bytes: the printable ones stand for themselves, the rest follow from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
-        self.bytes_of = {chr(v): bytes([k]) for k, v in self.letters.items()}
+        self.mapping = str.maketrans({chr(b): chr(c) for b, c in self.letters.items()})
 
     def split(self, text: str) -> list[str]:
         """Words of a text in order; special tokens are words of their own."""
@@ -71,10 +75,22 @@ class Words:
 
     def pieces_of_word(self, word: str) -> list[str]:
         """Pre-tokens of one word in the library's byte letters."""
-        if word.isascii() and word.isprintable():
-            return [word] if word.isalpha() else _ASCII.findall(word)
+        if self.is_plain(word):
+            return [self.mapped(p) for p in self.parts_of_plain(word)]
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
 
+    def parts_of_plain(self, word: str) -> list[str]:
+        """Pre-tokens of a plain word as they stand in it."""
+        return [word] if word.isalpha() else self.parts.findall(word)
+
+    def mapped(self, part: str) -> str:
+        """A part of a plain word in the library's byte letters."""
+        return part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.mapping)
+
+    def is_plain(self, word: str) -> bool:
+        """Whether its pre-tokens are substrings of it that, as words, are their own pre-token."""
+        return self.safe.issuperset(word)
+
     def count(self, pre_token: str) -> int:
         return len(self.library.model.tokenize(pre_token))
 
@@ -89,11 +105,14 @@ def words(path: str) -> Words:
 
 
 class Memory(dict):
-    """What is known of a word; starts anew when it is full, so its size is bounded."""
+    """What is known of a word. When it is full only the words of the texts at hand stay,
+    the frequent ones among them, so its size is bounded."""
 
-    def room(self, more: int = 0) -> "Memory":
-        if len(self) + more > REMEMBERED:
+    def room(self, now: set = frozenset(), most: int = REMEMBERED) -> "Memory":
+        if len(self) > most:
+            kept = [(x, self[x]) for x in now if x in self]
             self.clear()
+            self.update(kept)
         return self
 
 
