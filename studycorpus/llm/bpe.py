@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from studycorpus.llm.base import text_of
+from studycorpus.llm.base import slices, text_of
 from studycorpus.llm.words import LONG_WORD, Words, memory, words
 
 CHUNK = 50_000           # new words that are encoded together
@@ -26,16 +27,19 @@ class PairIndex:
     def __init__(self, w: Words):
         self.w = w
         self.ids: dict[str, int] = dict(w.spec["vocab"])
-        self.pieces = {i: s for s, i in self.ids.items()} | {i: s[1:] for s, i in w.special.items()}
-        self.rule: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(w.spec["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rule.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
-        if any(self.rule.get((self.ids[a], self.ids[b]), (0,))[0] > rank
-               for rank, p in enumerate(w.spec["merges"]) for a, b in [p if isinstance(p, list) else p.split(" ")]):
+        named = {i: s for s, i in self.ids.items()} | {i: s[1:] for s, i in w.special.items()}
+        self.pieces = [named.get(i, "") for i in range(max(named) + 1)]
+        pairs = [tuple(p) if isinstance(p, list) else tuple(p.split(" ")) for p in w.spec["merges"]]
+        self.pair_of = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs]
+        self.rule = {(a, b): rank for rank, (a, b, _) in enumerate(self.pair_of)}
+        if len(self.rule) < len(pairs):
             raise ValueError("a pair has two ranks")
+        keys = np.array([a << 32 | b for a, b, _ in self.pair_of], np.int64)
+        self.ranks = np.argsort(keys)
+        self.keys = keys[self.ranks]
 
     def encode(self, pre_tokens: list[str]) -> list[list[int]]:
+        """Ids of each pre-token."""
         ids, suffix, rule = self.ids, self.w.suffix, self.rule
         sym: list[int] = []
         ends: list[int] = []
@@ -44,31 +48,32 @@ class PairIndex:
             sym.append(ids[p[-1] + suffix])
             ends.append(len(sym))
         n = len(sym)
+        if not n:
+            return [[] for _ in pre_tokens]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         start = 0
         for e in ends:
             before[start], after[e - 1], start = -1, -1, e
-        made = {}                                  # rank -> symbol
-        index: dict[int, list[int]] = {}           # rank -> positions of its pair, left to right
-        active: list[int] = []
-
-        def enter(at: int, right: int) -> None:
-            found = rule.get((sym[at], sym[right]))
-            if found:
-                r = found[0]
-                if r in index:
-                    index[r].append(at)
-                else:
-                    index[r] = [at]
-                    made[r] = (sym[at], sym[right], found[1])
-                    heappush(active, r)
-
-        for at in range(n):
-            if after[at] >= 0:
-                enter(at, after[at])
+
+        # rank -> positions of its pair, left to right; at first from all adjacent pairs at once
+        index: dict[int, list[int]] = {}
+        flat = np.array(sym, np.int64)
+        keys = flat[:-1] << 32 | flat[1:]
+        keys[np.array(ends[:-1], np.int64) - 1] = -1
+        place = np.searchsorted(self.keys, keys).clip(0, len(self.keys) - 1)
+        at_all = np.flatnonzero(self.keys[place] == keys)
+        ranks = self.ranks[place[at_all]]
+        order = np.argsort(ranks, kind="stable")
+        at_all, ranks = at_all[order], ranks[order]
+        cuts = np.flatnonzero(np.diff(ranks)) + 1
+        for r, some in zip(ranks[np.concatenate([[0], cuts])].tolist() if len(ranks) else [], np.split(at_all, cuts)):
+            index[r] = some.tolist()
+        active = list(index)                       # ascending, so a heap
+
+        pair_of, get = self.pair_of, rule.get
         while active:
             r = heappop(active)
-            left, right, new = made.pop(r)
+            left, right, new = pair_of[r]
             at_all = index.pop(r)
             if left == right:
                 at_all.sort()                      # in a run of equal symbols the left pair goes first
@@ -82,20 +87,31 @@ class PairIndex:
                 c = after[at] = after[b]
                 if c >= 0:
                     before[c] = at
-                    enter(at, c)
+                    s = get((new, sym[c]))
+                    if s is not None:
+                        if s in index:
+                            index[s].append(at)
+                        else:
+                            index[s] = [at]
+                            heappush(active, s)
                 a = before[at]
                 if a >= 0:
-                    enter(a, at)
+                    s = get((sym[a], new))
+                    if s is not None:
+                        if s in index:
+                            index[s].append(a)
+                        else:
+                            index[s] = [a]
+                            heappush(active, s)
         out, start = [], 0
         for e in ends:
             out.append([s for s in sym[start:e] if s >= 0])
             start = e
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """As the library without a decoder: pieces with a blank between."""
-        pieces = self.pieces
-        return " ".join([pieces[i] for i in ids])
+        return " ".join(map(self.pieces.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=4)
@@ -103,19 +119,33 @@ def pair_index(path: str) -> PairIndex:
     return PairIndex(words(path))
 
 
-def word_ids(path: str, lists: list[list[str]], known: dict) -> dict:
-    """Ids of every word in the lists as little-endian unsigned 32-bit integers. New words
+def word_ids(path: str, words_of: set[str], known: dict) -> dict:
+    """Ids of the words that are not known as little-endian unsigned 32-bit integers. New words
     are cut into pre-tokens, and their distinct pre-tokens go through the pair index."""
     w, index = words(path), pair_index(path)
-    new = list({x for words_ in lists for x in words_ if x not in known})
-    out = {}
+    new = list(words_of - known.keys())
+    out: dict[str, bytes] = {}
     for at in range(0, len(new), CHUNK):
-        parts = {x: w.pieces_of_word(x) for x in new[at:at + CHUNK] if x not in w.special}
-        distinct = list({p for ps in parts.values() for p in ps})
-        ids = dict(zip(distinct, index.encode(distinct)))
-        for x, ps in parts.items():
-            out[x] = np.array([i for p in ps for i in ids[p]], "<u4").tobytes()
-    out |= {x: np.array([i], "<u4").tobytes() for x, i in w.special.items()}
+        plain, other = {}, {}
+        for x in new[at:at + CHUNK]:
+            if x in w.special:
+                continue
+            if w.is_plain(x):
+                plain[x] = w.parts_of_plain(x)
+            else:
+                other[x] = w.pieces_of_word(x)
+        # a part of a plain word is what it is as a word, so it may be known
+        parts = list({p for ps in plain.values() for p in ps} - known.keys() - out.keys())
+        rest = list({p for ps in other.values() for p in ps})
+        ids = [array("I", i).tobytes() for i in index.encode([w.mapped(p) for p in parts] + rest)]
+        out.update(zip(parts, ids))
+        for x, ps in plain.items():
+            if len(ps) > 1:
+                out[x] = b"".join([out[p] if p in out else known[p] for p in ps])
+        of_rest = dict(zip(rest, ids[len(parts):]))
+        for x, ps in other.items():
+            out[x] = b"".join([of_rest[p] for p in ps])
+    out |= {x: array("I", [i]).tobytes() for x, i in w.special.items()}
     return out
 
 
@@ -124,11 +154,14 @@ def encode_texts(path: str, texts: list[str]) -> Iterator[bytes]:
     w, known = words(path), memory(path, "ids")
     for at in range(0, len(texts), 512):
         lists = [w.split(t) for t in texts[at:at + 512]]
-        known.room()
-        new = word_ids(path, lists, known)
-        known.update((x, v) for x, v in new.items() if len(x) <= LONG_WORD)
+        distinct = set().union(*lists)
+        known.room(distinct)
+        known.update(new := word_ids(path, distinct, known))
         for words_ in lists:
-            yield b"".join([known[x] if x in known else new[x] for x in words_])
+            yield b"".join(map(known.__getitem__, words_))
+        for x in new:
+            if len(x) > LONG_WORD:
+                del known[x]
 
 
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
@@ -138,7 +171,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
     one that has the name of a new column is replaced.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("__text")
             ids = [np.frombuffer(b, "<u4").astype(np.int32) for b in encode_texts(vocabulary, batch.column(at).to_pylist())]
             cols = [batch.column(i) for i in range(batch.num_columns) if i != at]
@@ -162,12 +195,12 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """Per document ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, made in the task that encodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pair_index(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b = [], [], []
             for ids in encode_texts(vocabulary, batch.column(1).to_pylist()):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(index.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
+                b.append(hashlib.sha256(index.decode(array("I", ids)).encode()).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                                   names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
