@@ -29,10 +29,18 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){11,}+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # further kinds
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ ]?[A-Z0-9]{4})")
+IBAN_GROUP, IBAN_TAIL = re.compile(r"[ ]?[A-Z0-9]{4}"), re.compile(r"[ ]?[A-Z0-9]{1,3}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ROUTING = re.compile(r"(?<![0-9])[0-9]{9}(?![0-9])")
 
+#: Lengths of the IBAN registry.
+IBAN_LENGTHS = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in codes.split()}
+
 #: Words that raise the score of a kind.
 WORDS = {
     "email": ("mail", "email", "contact", "write"),
@@ -115,10 +123,39 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", *m.span()
 
 
-def _further(text: str) -> Iterator[tuple[str, int, int]]:
+def _iban_ends(text: str, at: int) -> list[int]:
+    """Ends of words at which a number may end whose first four characters end at ``at``, the longest first."""
+    ends = []
+    for _ in range(8):
+        if tail := IBAN_TAIL.match(text, at):
+            ends.append(tail.end())
+        if not (group := IBAN_GROUP.match(text, at)):
+            break
+        at = group.end()
+        if not (at < len(text) and text[at].isascii() and text[at].isalnum()):
+            ends.append(at)
+    return ends[::-1]
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers that mod 97 confirms. A registered country gives the length; for others the
+    longest confirmed end counts. A start that fails uses up no text behind it."""
+    free = 0
     for m in IBAN.finditer(text):
-        if 15 <= len(plain := m[0].replace(" ", "")) <= 34 and mod_97(plain):
-            yield "iban", *m.span()
+        if m.start() < free:
+            continue
+        length = IBAN_LENGTHS.get(m[0][:2])
+        for end in _iban_ends(text, m.end()):
+            plain = text[m.start():end].replace(" ", "")
+            if (len(plain) == length if length else 15 <= len(plain) <= 34) and mod_97(plain):
+                yield m.start(), end
+                free = end
+                break
+
+
+def _further(text: str) -> Iterator[tuple[str, int, int]]:
+    for a, b in _ibans(text):
+        yield "iban", a, b
     for m in SSN.finditer(text):
         if issued_ssn(m[0]):
             yield "ssn", *m.span()

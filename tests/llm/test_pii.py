@@ -62,6 +62,31 @@ def test_further_kinds():
     assert near["phone"] > pii.find_spans("order +49 30 1234567")[0].score
 
 
+def with_mod_97(country, rest):
+    return next(x for n in range(100) if pii.mod_97(x := f"{country}{n:02}{rest}"))
+
+
+def test_iban_before_other_words():
+    found = lambda t: [t[s.start:s.end] for s in pii.find_spans(t) if s.kind == "iban"]
+    known = ["ES9121000418450200051332", "AT611904300234573201", "BE68539007547034", "DE89370400440532013000", "NO9386011117947",
+             "SE4550000000058398257466", "PL61109010140000071219812874", "MT84MALT011000012345MTLCAST001S", "CZ6508000000192000145399"]
+    known += [with_mod_97(c, ("0123456789" * 4)[:n - 4]) for c, n in pii.IBAN_LENGTHS.items()]
+    known += [with_mod_97("ZZ", "1" * n) for n in (11, 16, 30)]
+    groups = lambda x: " ".join(x[i:i + 4] for i in range(0, len(x), 4))
+    for x in known:
+        for form in (x, groups(x)):
+            assert found(f"to {form}") == [form]
+            for word in ("BIC CAIX", "I said", "TRANSFER", "EUR 20", ", then", "a"):
+                assert found(f"to {form} {word}") == [form], (form, word)
+            if x[:2] != "ZZ":
+                for word in ("2024", "20", "1", "12345678 9012"):
+                    assert found(f"to {form} {word}") == [form], (form, word)
+    two = [groups("ES9121000418450200051332"), groups("AT611904300234573201")]
+    assert found(" ".join(two)) == two and found("AB12 CDEF GHIJ " + two[0]) == [two[0]]
+    assert found("ES91210004184502000513321") == [] and found("ES9121000418450200051331 BIC CAIX") == []
+    assert found("xES9121000418450200051332") == [] and found("") == []
+
+
 def test_on_spark(spark):
     texts = made_texts()[:400] + ["mail a@b.co or a@b.co"] * 2
     docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)] + [(None, "a@b.co", None)], "doc_id long, text string, spans string")
