@@ -1,17 +1,23 @@
 """At most one progress event per resource and gap.
 
 The first event of a resource only starts its clock; a later one passes when the
-gap has gone by since the last passed one. The stream form keeps one value per
-resource. The batch form cuts every resource into time ranges, so one very busy
-resource is worked on by many tasks.
+gap has gone by since the last passed one. Events without a resource or a time never
+pass. The stream form keeps one value per resource. The batch form cuts every resource
+into time ranges, so one very busy resource is worked on by many tasks. Neither holds
+the rows of a resource or of a range at once.
 """
 from __future__ import annotations
 
+import pickle
 import sys
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as S
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +26,9 @@ from ..functions import fixed_values as V
 from ..plans import scale
 
 NEVER = np.iinfo(np.int64).min
+ROWS = 250_000      # rows of a range, and of a sorted run of the stream form
+CHUNK = 10_000      # rows read at once from a run
+FAN = 32            # runs merged at once
 
 
 def _passed(times: np.ndarray, last: int, gap: int) -> list[int]:
@@ -32,96 +41,206 @@ def _passed(times: np.ndarray, last: int, gap: int) -> list[int]:
     return out
 
 
-def _ends(times: np.ndarray, gap: int) -> np.ndarray:
-    """Last passed time when event i passes, for every i."""
-    follow = np.searchsorted(times, times + gap)
-    ends = times.copy()
-    for i in range(len(times) - 1, -1, -1):
-        if follow[i] < len(times):
-            ends[i] = ends[follow[i]]
-    return ends
-
-
-def _after(bounds, ends, last: int, gap: int) -> int:
-    """Last passed time behind a range, from the last one before it."""
-    at = int(np.searchsorted(bounds, last + gap))
-    return last if at == len(bounds) else int(ends[at])
+class _Steps:
+    """Short step function of a range: last passed time before it -> the one behind it.
 
+    Fed with sorted times, piece by piece. The last passed event before a range lies before
+    its first time, so the next one to pass is in its first gap or the first one behind that;
+    each of these is followed to the end, and those that meet become one. ``ends[0]`` holds
+    for a clock that starts with the first time; without ``whole`` only that one is followed.
+    """
 
-def _segments(pdf: pd.DataFrame) -> Iterator[tuple[object, int, int]]:
-    """(key, from, to) of the keys of a frame sorted by key."""
-    keys = pdf["_key"].to_numpy()
-    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    def __init__(self, first: int, gap: int, whole: bool):
+        self.gap, self.reach, self.open = gap, first + gap, whole
+        self.bounds = self.ends = np.array([first], np.int64)
+
+    def add(self, times: np.ndarray) -> None:
+        if self.open:
+            n = int(np.searchsorted(times, self.reach, side="right"))
+            self.open = n == len(times)
+            new = np.unique(times[:n + 1])
+            new = new[new > self.bounds[-1]]
+            self.bounds, self.ends = np.r_[self.bounds, new], np.r_[self.ends, new]
+        while (go := self.ends <= times[-1] - self.gap).any():
+            ends = self.ends.copy()
+            ends[go] = times[np.searchsorted(times, ends[go] + self.gap)]
+            keep = np.r_[ends[1:] != ends[:-1], True]
+            self.bounds, self.ends = self.bounds[keep], ends[keep]
+
+
+def _segments(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, object], int, int]]:
+    """((range, key), from, to) of a batch sorted by range and key."""
+    if not batch.num_rows:
+        return
+    keys, parts = batch.column("_key"), batch.column("_part").to_numpy()
+    new = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False).astype(bool) | (parts[1:] != parts[:-1])
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:]):
-        yield keys[a], a, b
-
-
-def _described(key, part: int, times: np.ndarray, gap: int) -> dict:
-    """Short step function: last passed time before a range -> the one behind it."""
-    ends = _ends(times, gap)
-    # the last passed event lies before this range, so only its first gap matters
-    reach = int(np.searchsorted(times, times[0] + gap, side="right"))
-    use = np.arange(min(reach + 1, len(times)))
-    change = np.r_[ends[use][1:] != ends[use][:-1], True]
-    return {"_key": key, "_part": part, "bounds": times[use][change], "ends": ends[use][change],
-            "first_end": _after(times, ends, int(times[0]), gap)}
+        yield (int(parts[a]), keys[a].as_py()), a, b
 
 
 def throttle_batch(events: DataFrame, key: str, ts: str, order: str, gap_seconds: float = V.THROTTLE_SECONDS) -> DataFrame:
     """Events that pass; columns key, ts, order.
 
-    1. Rows are range partitioned on (key, time). 2. Only the first and the last
-    key of a range can go on in another one; for these the range tells as a short
-    step function how the last passed time changes across it. 3. These few rows
-    are chained per key. 4. Each range marks its rows from its start values.
+    1. Rows are range partitioned on (key, time), about ``ROWS`` a range. 2. Only the first
+    and the last key of a range can go on in another one; for these the range tells as a short
+    step function how the last passed time changes across it. 3. The steps are chained per
+    key. 4. Each range marks its rows from its start values. Steps 2 to 4 read rows that
+    Spark has sorted, and carry only the last passed time (step 2: the step function).
     """
     gap = int(gap_seconds * 1_000_000)
+    width = scale.shuffle_width(events.sparkSession)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.select(F.col(key).alias("_key"), micros.alias("_t"), F.col(order).alias("_o"))
+    rows = (events.select(F.col(key).alias("_key"), micros.alias("_t"), F.col(order).alias("_o"))
+                  .filter("_key is not null and _t is not null"))
     kinds = {f.name: f.dataType for f in rows.schema.fields}
-    parts = scale.checkpointed(rows.repartitionByRange(scale.shuffle_width(events.sparkSession), "_key", "_t", "_o")
-                                   .withColumn("_part", F.spark_partition_id()))
+    by_order = F.col("_o").asc_nulls_last()
+    ranges = max(width, -(-rows.count() // ROWS))
+    parts = scale.checkpointed(rows.repartitionByRange(ranges, "_key", "_t", by_order).withColumn("_part", F.spark_partition_id()))
     key_field, part_field = S.StructField("_key", kinds["_key"]), S.StructField("_part", S.IntegerType())
-    longs = S.ArrayType(S.LongType())
-    steps = S.StructType([key_field, part_field, S.StructField("bounds", longs), S.StructField("ends", longs),
-                          S.StructField("first_end", S.LongType())])
-
-    def describe(names, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_key", "_t"])
-        times = pdf["_t"].to_numpy(np.int64)
-        found = list(_segments(pdf))
-        edges = found if len(found) < 3 else [found[0], found[-1]]
-        return pd.DataFrame([_described(k, names[0], times[a:b], gap) for k, a, b in edges])
-
-    told = parts.groupBy("_part").applyInPandas(describe, steps)
+    steps = S.StructType([key_field, part_field, S.StructField("_bound", S.LongType()), S.StructField("_end", S.LongType())])
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(kind) -> pa.RecordBatch:
+            n = len(now.bounds)
+            return pa.RecordBatch.from_arrays([pa.array([at[1]] * n, kind), pa.array([at[0]] * n, pa.int32()),
+                                               pa.array(now.bounds), pa.array(now.ends)], names=steps.names)
+
+        at, now, first, kind = None, None, True, None
+        for batch in batches:
+            kind = batch.schema.field("_key").type
+            times = batch.column("_t").to_numpy()
+            found = list(_segments(batch))
+            for i, (name, a, b) in enumerate(found):
+                if name != at:
+                    other = at is None or name[0] != at[0]
+                    if now and (first or other):
+                        yield told(kind)
+                    at, now, first = name, None, other
+                    # a key between the first and the last one of its range has no steps
+                    if first or i + 1 == len(found) or found[i + 1][0][0] != name[0]:
+                        now = _Steps(int(times[a]), gap, first)
+                if now:
+                    now.add(times[a:b])
+        if now:
+            yield told(kind)
+
+    told = parts.repartition(ranges, "_part").sortWithinPartitions("_part", "_key", "_t").mapInArrow(describe, steps)
     entry = S.StructType([key_field, part_field, S.StructField("_last", S.LongType())])
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], NEVER
-        for row in pdf.sort_values("_part").itertuples(index=False):
-            out.append((row[0], row[1], last))
-            last = row.first_end if last == NEVER else _after(np.asarray(row.bounds), row.ends, last, gap)
-        return pd.DataFrame(out, columns=["_key", "_part", "_last"])
-
-    # at most two rows per range partition in all
-    starts = told.groupBy("_key").applyInPandas(chain, entry).select("_key", F.col("_part").alias("_p2"), "_last")
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, before, last, done = None, NEVER, NEVER, True
+        for batch in batches:
+            bounds, ends = batch.column("_bound").to_numpy(), batch.column("_end").to_numpy()
+            starts, lasts = [], []
+            for name, a, b in _segments(batch):
+                if name != at:
+                    if at is not None and name[1] == at[1]:
+                        starts.append(a)
+                        lasts.append(last)
+                        before, done = last, False
+                    else:
+                        last, done = int(ends[a]), True
+                    at = name
+                if not done and (i := a + int(np.searchsorted(bounds[a:b], before + gap))) < b:
+                    last, done = int(ends[i]), True
+            rows = batch.select(["_key", "_part"]).take(pa.array(starts, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lasts, pa.int64())], names=entry.names)
+
+    starts = told.repartition(width, "_key").sortWithinPartitions("_key", "_part", "_bound").mapInArrow(chain, entry)
     marked = S.StructType([key_field, S.StructField("_t", S.LongType()), S.StructField("_o", kinds["_o"])])
 
-    def mark(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_key", "_t", "_o"])
-        times = pdf["_t"].to_numpy(np.int64)
-        known = dict(zip(start["_key"], start["_last"]))
-        hits = []
-        for k, a, b in _segments(pdf):
-            last = int(known.get(k, NEVER))
-            hits += [a + i for i in _passed(times[a:b], int(times[a]) if last == NEVER else last, gap)]
-        return pdf.iloc[hits][["_key", "_t", "_o"]]
-
-    out = parts.groupBy("_part").cogroup(starts.groupBy("_p2")).applyInPandas(mark, marked)
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, NEVER
+        for batch in batches:
+            times, known = (batch.column(c).fill_null(NEVER).to_numpy() for c in ("_t", "_last"))
+            hits = []
+            for name, a, b in _segments(batch):
+                if name != at:
+                    at, last = name, NEVER
+                if known[a] != NEVER:
+                    last, a = int(known[a]), a + 1
+                if a < b:
+                    found = _passed(times[a:b], int(times[a]) if last == NEVER else last, gap)
+                    hits += [a + i for i in found]
+                    last = int(times[hits[-1]]) if found else int(times[a]) if last == NEVER else last
+            yield batch.select(marked.names).take(pa.array(hits, pa.int64()))
+
+    # the start value of a range's first key comes before its rows
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    dealt = parts.withColumn("_last", F.lit(None).cast("long")).unionByName(starts.select("_key", none("_t"), none("_o"), "_part", "_last"))
+    out = dealt.repartition(ranges, "_part").sortWithinPartitions("_part", "_key", "_t", by_order).mapInArrow(mark, marked)
     same = events.schema[ts].dataType
     return out.select(F.col("_key").alias(key), F.timestamp_micros("_t").cast(same).alias(ts), F.col("_o").alias(order))
 
 
+def _in_order(frames: Iterable[pd.DataFrame], order: str) -> pd.DataFrame:
+    """Rows sorted by time, of each time the first by ``order``: no other one can pass."""
+    return pd.concat(list(frames)).sort_values(["micros", order]).drop_duplicates("micros")
+
+
+def _spilled(frames: Iterable[pd.DataFrame]) -> BinaryIO:
+    run = tempfile.TemporaryFile()
+    for pdf in frames:
+        for i in range(0, len(pdf), CHUNK):
+            pickle.dump(pdf.iloc[i:i + CHUNK], run, pickle.HIGHEST_PROTOCOL)
+    return run
+
+
+def _read(run: BinaryIO) -> Iterator[pd.DataFrame]:
+    with run:
+        run.seek(0)
+        while True:
+            try:
+                yield pickle.load(run)
+            except EOFError:
+                return
+
+
+def _merged(runs: list[BinaryIO], order: str) -> Iterator[pd.DataFrame]:
+    sources = [_read(run) for run in runs]
+    heads = {i: next(rows) for i, rows in enumerate(sources)}
+    while heads:
+        bound = min(int(h["micros"].iloc[-1]) for h in heads.values())
+        taken = []
+        for i, h in list(heads.items()):
+            n = int(np.searchsorted(h["micros"].to_numpy(np.int64), bound, side="right"))
+            taken.append(h.iloc[:n])
+            heads[i] = h.iloc[n:] if n < len(h) else next(sources[i], None)
+            if heads[i] is None:
+                del heads[i]
+        yield _in_order(taken, order)
+
+
+def _sorted_frames(rows: Iterable[pd.DataFrame], order: str) -> Iterator[pd.DataFrame]:
+    """The rows as frames in the order of ``_in_order``: runs of ``ROWS`` rows go to
+    temporary files, ``FAN`` runs become one."""
+    levels: list[list[BinaryIO]] = []
+
+    def put(run: BinaryIO, level: int = 0) -> None:
+        if level == len(levels):
+            levels.append([])
+        levels[level].append(run)
+        if len(levels[level]) == FAN:
+            full, levels[level] = levels[level], []
+            put(_spilled(_merged(full, order)), level + 1)
+
+    held, n = [], 0
+    for pdf in rows:
+        if len(pdf):
+            held.append(pdf)
+            n += len(pdf)
+        if n >= ROWS:
+            put(_spilled([_in_order(held, order)]))
+            held, n = [], 0
+    if held and not levels:
+        yield _in_order(held, order)
+    elif levels:
+        if held:
+            put(_spilled([_in_order(held, order)]))
+        yield from _merged([run for level in levels for run in level], order)
+
+
 class _Clock(StatefulProcessor):
     def __init__(self, key: str, order: str, gap: int, ttl_ms: int | None):
         self.key, self.order, self.gap, self.ttl = key, order, gap, ttl_ms
@@ -131,14 +250,19 @@ class _Clock(StatefulProcessor):
         self.last = handle.getValueState("last", kind, ttlDurationMs=self.ttl) if self.ttl else handle.getValueState("last", kind)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # the rows of one key in one trigger; the source limits how many that are
-        pdf = pd.concat(list(rows)).sort_values(["micros", self.order])
-        times = pdf["micros"].to_numpy(np.int64)
-        last = int(self.last.get()[0]) if self.last.exists() else int(times[0])
-        hits = _passed(times, last, self.gap)
-        self.last.update((int(times[hits[-1]]) if hits else last,))
-        out = pdf.iloc[hits]
-        yield pd.DataFrame({self.key: out[self.key], "micros": out["micros"], self.order: out[self.order]})
+        # the rows of one key in one trigger, in frames of bounded size
+        last = int(self.last.get()[0]) if self.last.exists() else None
+        if last is not None:
+            rows = (pdf[pdf["micros"] >= last + self.gap] for pdf in rows)
+        for pdf in _sorted_frames(rows, self.order):
+            times = pdf["micros"].to_numpy(np.int64)
+            if last is None:
+                last = int(times[0])
+            if hits := _passed(times, last, self.gap):
+                last = int(times[hits[-1]])
+                out = pdf.iloc[hits]
+                yield pd.DataFrame({self.key: out[self.key], "micros": out["micros"], self.order: out[self.order]})
+        self.last.update((last,))
 
     def close(self) -> None:
         pass
@@ -157,6 +281,7 @@ def throttle_stream(events: DataFrame, key: str, ts: str, order: str, gap_second
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"), order)
+    rows = rows.filter(F.col(key).isNotNull() & F.col("micros").isNotNull())
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     schema = S.StructType([S.StructField(key, kinds[key]), S.StructField("micros", S.LongType()), S.StructField(order, kinds[order])])
     out = rows.groupBy(key).transformWithStateInPandas(

@@ -3,6 +3,7 @@ import random
 import re
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,6 +350,71 @@ def test_throttle_batch_on_one_busy_key(spark):
     assert got == sorted(want)
 
 
+def throttled(data, gap):
+    want = []
+    for k in {d[0] for d in data} - {None}:
+        mine = sorted((s, i) for key, s, i in data if key == k and s is not None)
+        last = mine[0][0] if mine else None
+        for s, i in mine:
+            if s - last >= gap:
+                want.append((k, s, i))
+                last = s
+    return sorted(want)
+
+
+def test_throttle_batch_ranges_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(throttle, "ROWS", 100, raising=False)
+    tables, write = [], scale.checkpointed
+    monkeypatch.setattr(scale, "checkpointed", lambda df: tables.append(write(df)) or tables[-1])
+    rng = random.Random(3)
+    data = [("hot" if rng.random() < 0.8 else f"k{rng.randint(0, 40)}", rng.randint(0, 4000), i) for i in range(4000)]
+    data += [(None, 5, -1), (None, 50_000, -2), ("hot", None, -3)]
+    events = spark.createDataFrame(data, "k string, s long, id long").withColumn("ts", F.timestamp_seconds("s"))
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, gap in ((most, 7), (3, 7), (11, 900), (5, 1), (5, 100_000)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = throttle.throttle_batch(events, "k", "ts", "id", gap).withColumn("s", F.unix_seconds("ts"))
+            assert rows(got, "k", "s", "id") == throttled(data, gap)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert max(r["count"] for r in tables[0].groupBy("_part").count().collect()) <= 300
+
+
+def test_throttle_stream_holds_no_whole_key(monkeypatch):
+    for name, n in (("ROWS", 50), ("CHUNK", 10), ("FAN", 3)):
+        monkeypatch.setattr(throttle, name, n, raising=False)
+    sizes, passed = [], throttle._passed
+    monkeypatch.setattr(throttle, "_passed", lambda times, *a: sizes.append(len(times)) or passed(times, *a))
+
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    rng = random.Random(4)
+    for gap, span in ((7, 4000), (1, 300), (500, 4000), (9000, 4000)):
+        data = [("hot", rng.randint(0, span), i) for i in range(3000)]
+        clock = throttle._Clock("k", "id", gap, None)
+        clock.last, got = Value(), []
+        for a, b in ((0, 2990), (2990, 3000)):
+            batch = [(k, s + (span if a else 0), i) for k, s, i in data[a:b]]
+            data[a:b] = batch
+            frames = (pd.DataFrame(batch[i:i + 20], columns=["k", "micros", "id"]) for i in range(0, len(batch), 20))
+            for out in clock.handleInputRows(("hot",), frames, None):
+                got += out.itertuples(index=False, name=None)
+        assert sorted(got) == throttled(data, gap)
+    assert max(sizes) <= 200
+
+
 def test_inventory_of_a_mixed_course(spark):
     paths = ["a.pdf", "b.pptx", "c.docx", "d.xlsx", "e.xlsm", "f.csv", "g.txt", "h.bin", "_meta/stats.json"]
     df = spark.createDataFrame([("c", p, 1) for p in paths], "course_id string, path string, size long")
