@@ -2,10 +2,11 @@
 
 Hashing (Andoni et al., 2015): a vector is rotated by three rounds of random signs and a
 fast Hadamard transform; its hash is the nearest of the 2d signed axes. A key joins
-``FUNCTIONS`` such hashes. In each of ``TABLES`` tables a vector takes its own key and, as
-probes, the keys with the second nearest axis in one function, and is entered under all of
-them. In 64 dimensions two vectors of cosine 0.95 share a key of a table with probability
-0.67, so all twelve miss a pair with probability 2e-6; closer pairs are missed less.
+``FUNCTIONS`` such hashes. In each table a vector takes its own key and, as probes, the
+keys with the second nearest axis in one function, and is entered under all of them. In 64
+dimensions two vectors of cosine 0.95 share a key of a table with probability 0.67, so
+``TABLES`` tables miss a pair with probability 2e-6; closer pairs are missed less. Other
+dimensions and cosines get as many tables as ``MISS`` asks for; over ``MAX_TABLES`` is an error.
 
 Verification: the vectors of a bucket are multiplied with each other in double precision,
 in blocks of bounded size. A pair that shares several keys is counted under the least of
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +31,60 @@ from studycorpus.llm.base import checkpointed, components
 
 COSINE = 0.95
 TABLES, FUNCTIONS = 12, 3
+#: Most probability to miss a pair of exactly the cosine, and the tables that may take.
+MISS, MAX_TABLES = 2e-6, 256
+PAIRS = 10_000
+LEAST = 64
 BLOCK = 512
 SEED = 31
 
 
 @functools.lru_cache(maxsize=8)
-def _signs(dimension: int) -> np.ndarray:
+def _signs(dimension: int, tables: int) -> np.ndarray:
     rng = np.random.default_rng([SEED, dimension])
-    return rng.choice(np.array([-1.0, 1.0]), (TABLES, FUNCTIONS, 3, dimension))
+    return rng.choice(np.array([-1.0, 1.0]), (tables, FUNCTIONS, 3, dimension))
+
+
+def _width(dimension: int) -> int:
+    """Width of the transform. Three rounds of signs on less than ``LEAST`` values give too few rotations."""
+    return max(LEAST, 1 << (dimension - 1).bit_length())
+
+
+def _axes(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest and second nearest signed axis of each row."""
+    size, rows = np.abs(y), np.arange(len(y))
+    first = size.argmax(axis=1)
+    size[rows, first] = -1
+    second = size.argmax(axis=1)
+    return 2 * first + (y[rows, first] > 0), 2 * second + (y[rows, second] > 0)
+
+
+@functools.lru_cache(maxsize=64)
+def tables_for(dimension: int, cosine: float) -> int:
+    """Tables that miss a pair of this cosine with probability ``MISS`` at most.
+
+    The share of pairs with a common key of one table is counted on ``PAIRS`` pairs with
+    evenly turned coordinates, two standard errors taken off.
+    """
+    width = _width(dimension)
+    if dimension == 1 or (width <= LEAST and cosine >= COSINE):
+        return TABLES if dimension >= 8 else TABLES + 4       # few values turn less evenly
+    rng, shared = np.random.default_rng([SEED, width]), 0
+    for at in range(0, PAIRS, 1000):
+        a, b = np.zeros((2, 1 + FUNCTIONS, 1000), np.int64)
+        for f in range(FUNCTIONS):
+            x, y = rng.standard_normal((2, 1000, width), np.float32)
+            y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * y
+            for keys, (near, next_) in ((a, _axes(x)), (b, _axes(y))):
+                for probe in range(-1, FUNCTIONS):
+                    keys[probe + 1] = keys[probe + 1] * 2 * width + (next_ if f == probe else near)
+        shared += int((a[:, None] == b[None]).any(axis=(0, 1)).sum())
+    share = min(shared, PAIRS - 1) / PAIRS
+    share -= 2 * math.sqrt(share * (1 - share) / PAIRS)
+    tables = math.ceil(math.log(MISS) / math.log1p(-share)) if share > 0 else MAX_TABLES + 1
+    if tables > MAX_TABLES:
+        raise ValueError(f"vectors of {dimension} dimensions need more than {MAX_TABLES} tables for cosine {cosine}")
+    return max(TABLES, tables)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,28 +98,23 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-def keys_of(x: np.ndarray) -> np.ndarray:
-    """Keys of unit vectors, ``TABLES * (1 + FUNCTIONS)`` a row."""
+def keys_of(x: np.ndarray, cosine: float = COSINE) -> np.ndarray:
+    """Keys of unit vectors, ``tables_for(...) * (1 + FUNCTIONS)`` a row."""
     n, dimension = x.shape
-    width = max(2, 1 << (dimension - 1).bit_length())
+    width, tables = _width(dimension), tables_for(dimension, cosine)
     padded = np.zeros((n, width))
     padded[:, :dimension] = x
-    signs, out = _signs(width), []
-    for table in range(TABLES):
+    signs, out = _signs(width, tables), []
+    for table in range(tables):
         near, next_ = [], []
         for f in range(FUNCTIONS):
             y = padded
             for r in range(3):
                 y = hadamard(y * signs[table, f, r])
-            size = np.abs(y)
-            first = size.argmax(axis=1)
-            rows = np.arange(n)
-            size[rows, first] = -1
-            second = size.argmax(axis=1)
-            near.append(2 * first + (y[rows, first] > 0))
-            next_.append(2 * second + (y[rows, second] > 0))
+            for found, axis in zip((near, next_), _axes(y)):
+                found.append(axis)
         for probe in range(-1, FUNCTIONS):
-            key = np.full(n, (dimension * TABLES + table) * (1 + FUNCTIONS), np.uint64)
+            key = np.full(n, (dimension * MAX_TABLES + table) * (1 + FUNCTIONS), np.uint64)
             for f in range(FUNCTIONS):
                 key = (key ^ (next_ if f == probe else near)[f].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
@@ -91,22 +134,24 @@ def _unit(values: list | None) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for at in range(0, len(ids), 2048):
-            raw = batch.column(1).slice(at, 2048).to_pylist()
-            units = [_unit(v) if i is not None else None for i, v in zip(ids[at:at + 2048], raw)]
-            keys: list = [None] * len(units)
-            for d in {len(u) for u in units if u is not None}:
-                rows = [i for i, u in enumerate(units) if u is not None and len(u) == d]
-                for i, k in zip(rows, keys_of(np.stack([units[i] for i in rows]))):
-                    keys[i] = np.unique(k)
-            yield pa.record_batch([pa.array(ids[at:at + 2048], pa.int64()),
-                                   pa.array([None if u is None else hashlib.blake2b(np.asarray(v, float).tobytes(), digest_size=16).digest()
-                                             for u, v in zip(units, raw)], pa.binary()),
-                                   pa.array([None if u is None else u.tobytes() for u in units], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                                  names=["id", "content", "unit", "keys"])
+def _hashed(cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for at in range(0, len(ids), 2048):
+                raw = batch.column(1).slice(at, 2048).to_pylist()
+                units = [_unit(v) if i is not None else None for i, v in zip(ids[at:at + 2048], raw)]
+                keys: list = [None] * len(units)
+                for d in {len(u) for u in units if u is not None}:
+                    rows = [i for i, u in enumerate(units) if u is not None and len(u) == d]
+                    for i, k in zip(rows, keys_of(np.stack([units[i] for i in rows]), cosine)):
+                        keys[i] = np.unique(k)
+                yield pa.record_batch([pa.array(ids[at:at + 2048], pa.int64()),
+                                       pa.array([None if u is None else hashlib.blake2b(np.asarray(v, float).tobytes(), digest_size=16).digest()
+                                                 for u, v in zip(units, raw)], pa.binary()),
+                                       pa.array([None if u is None else u.tobytes() for u in units], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                                      names=["id", "content", "unit", "keys"])
+    return run
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -189,10 +234,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Null and zero vectors, vectors with null or non-finite components and rows without id
     link with nothing. Vectors of different length do not link. Ids are 64-bit integers and
-    name a vector; rows repeated with their id count as links of each other.
+    name a vector; rows repeated with their id count as links of each other. A cosine that is
+    too low for ``MAX_TABLES`` tables in a vector's dimension is an error.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    hashed = checkpointed(rows.mapInArrow(_hashed, "id long, content binary, unit binary, keys array<long>"))
+    hashed = checkpointed(rows.mapInArrow(_hashed(cosine), "id long, content binary, unit binary, keys array<long>"))
     contents = hashed.filter("content is not null").groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     reps = checkpointed(hashed.join(contents.withColumnRenamed("content", "c"), (F.col("content") == F.col("c")) & (F.col("id") == F.col("rep")))
                               .dropDuplicates(["id", "content"]).select(F.col("id").alias("node"), "n", "unit", "keys"))
@@ -201,7 +247,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     buckets = (entered.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
                       .filter("m > 1").groupBy("m", "lo", "s").agg(F.min("key").alias("key")).select("key", "m"))
     members = checkpointed(entered.join(buckets, "key"))
-    own_keys = members.groupBy("node").agg(F.collect_list(F.struct("key", "m")).alias("ks"))     # at most TABLES * (1 + FUNCTIONS)
+    own_keys = members.groupBy("node").agg(F.collect_list(F.struct("key", "m")).alias("ks"))     # at most MAX_TABLES * (1 + FUNCTIONS)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     cell = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1),
                                  lambda j: F.struct(F.least(j, F.col("o")).alias("i"), F.greatest(j, F.col("o")).alias("j"))))

@@ -155,3 +155,28 @@ def test_near_vectors(spark, monkeypatch):
         assert {r.vec_id: r.n_links for r in got if r.vec_id not in (None, 70)} == {i: links[i] for i in want if i != 70}
         assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
     assert vectors.near_vectors(frame.filter("false")).count() == 0
+
+
+def vector_pairs(rng, n, dimension, cosine):
+    a, b = rng.normal(size=(2, n, dimension))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine * cosine) * b
+
+
+@pytest.mark.parametrize("dimension, cosine", [(64, 0.95), (64, 0.8), (100, 0.85), (256, 0.95), (768, 0.95), (3, 0.95), (24, 0.95)])
+def test_tables_cover_dimension_and_cosine(dimension, cosine):
+    a, b = (vectors.keys_of(x, cosine) for x in vector_pairs(np.random.default_rng(8), 300, dimension, cosine))
+    width = 1 + vectors.FUNCTIONS
+    hits = [(a[:, i:i + width, None] == b[:, None, i:i + width]).any(axis=(1, 2)) for i in range(0, a.shape[1], width)]
+    assert np.any(hits, axis=0).all() and (1 - np.mean(hits)) ** len(hits) < 3e-6
+
+
+def test_near_vectors_of_a_low_cosine(spark):
+    a, b = vector_pairs(np.random.default_rng(9), 300, 64, 0.801)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in vectors.near_vectors(frame, cosine=0.8).collect()}
+    assert got == {i: i % 300 for i in range(600)}
+    with pytest.raises(Exception, match="more than 256 tables"):
+        vectors.near_vectors(frame, cosine=0.2).collect()
