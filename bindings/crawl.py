@@ -321,6 +321,5 @@ def throttle_stream(spark, sf):
     path = f"{scale.shared_folder(spark)}/throttle-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    out = throttle.throttle_stream(stream, "user_id", "ts", "event_id", 21_600, ttl_seconds=None)
-    throttle.start(out, f"{path}/out", f"{path}/checkpoint", available_now=True).awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    throttle.start(stream, f"{path}/out", f"{path}/checkpoint", "user_id", "ts", "event_id", 21_600, ttl_seconds=None, available_now=True).awaitTermination()
+    return throttle.passed_events(spark, f"{path}/out")

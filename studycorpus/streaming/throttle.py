@@ -2,33 +2,27 @@
 
 The first event of a resource only starts its clock; a later one passes when the
 gap has gone by since the last passed one. Events without a resource or a time never
-pass. The stream form keeps one value per resource. The batch form cuts every resource
-into time ranges, so one very busy resource is worked on by many tasks. Neither holds
-the rows of a resource or of a range at once.
+pass. Every resource is cut into time ranges that Spark sorts, so one very busy resource is
+worked on by many tasks; the ranges are chained by composing their step functions
+``FAN`` at a time, so no task sees all ranges of a resource either. The stream form is the
+batch form on each trigger, with a table of clocks from the triggers before.
 """
 from __future__ import annotations
 
-import pickle
-import sys
-import tempfile
-from collections.abc import Iterable, Iterator
-from typing import BinaryIO
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as S
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as S
 
 from ..functions import fixed_values as V
 from ..plans import scale
 
 NEVER = np.iinfo(np.int64).min
-ROWS = 250_000      # rows of a range, and of a sorted run of the stream form
-CHUNK = 10_000      # rows read at once from a run
-FAN = 32            # runs merged at once
+ROWS = 250_000      # rows of a range
+FAN = 64            # step functions that are composed in one task
 
 
 def _passed(times: np.ndarray, last: int, gap: int) -> list[int]:
@@ -68,6 +62,22 @@ class _Steps:
             self.bounds, self.ends = self.bounds[keep], ends[keep]
 
 
+def _stepped(bounds: np.ndarray, ends: np.ndarray, last: np.ndarray | int, gap: int):
+    """Last passed time behind a range, from the one before it (``NEVER``: there is none)."""
+    at = np.searchsorted(bounds, np.asarray(last) + gap)
+    return np.where(at < len(ends), np.append(ends, NEVER)[at], last)
+
+
+def _composed(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of two neighbouring ranges. Behind its last bound ``first`` leaves a time
+    as it is, so there the steps of ``then`` go on."""
+    more = then[0] > first[0][-1]
+    bounds = np.concatenate([first[0], then[0][more]])
+    ends = np.concatenate([_stepped(*then, first[1], gap), then[1][more]])
+    keep = np.append(ends[1:] != ends[:-1], True)
+    return bounds[keep], ends[keep]
+
+
 def _segments(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, object], int, int]]:
     """((range, key), from, to) of a batch sorted by range and key."""
     if not batch.num_rows:
@@ -79,13 +89,64 @@ def _segments(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, object], int,
         yield (int(parts[a]), keys[a].as_py()), a, b
 
 
+def _starts(told: DataFrame, ranges: int, gap: int) -> DataFrame:
+    """``_key, _part, _last``: the last passed time before each range that is not its key's first.
+
+    ``told``: ``_key, _part, _bounds, _ends``. A tree over the range numbers: going up, the
+    functions of ``FAN`` neighbours become one; going down, each node hands its start value to
+    its children. Each step groups by (key, node), so it has at most ``FAN`` rows in a group.
+    """
+    key = told.schema["_key"]
+    node = S.StructField("_part", S.LongType())
+    longs = S.ArrayType(S.LongType())
+    function = S.StructType([key, node, S.StructField("_bounds", longs), S.StructField("_ends", longs)])
+    value = S.StructType([key, node, S.StructField("_last", S.LongType())])
+
+    def in_order(table: pa.Table) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+        rows = zip(*(table.column(c).to_pylist() for c in ("_part", "_bounds", "_ends")))
+        return sorted(((p, (np.array(b, np.int64), np.array(e, np.int64))) for p, b, e in rows), key=lambda r: r[0])
+
+    def up(at, table):
+        steps = in_order(table)
+        whole = steps[0][1]
+        for _, step in steps[1:]:
+            whole = _composed(whole, step, gap)
+        return pa.table([table.column("_key").slice(0, 1), pa.array([at[1].as_py()], pa.int64()),
+                         pa.array([whole[0]], pa.list_(pa.int64())), pa.array([whole[1]], pa.list_(pa.int64()))], names=function.names)
+
+    def down(at, table):
+        last, nodes, values = max(table.column("_before").to_pylist()), [], []
+        for part, step in in_order(table):
+            nodes.append(part)
+            values.append(last)
+            last = int(_stepped(*step, last, gap))
+        return pa.table([pa.concat_arrays([table.column("_key").slice(0, 1).combine_chunks()] * len(nodes)), pa.array(nodes, pa.int64()), pa.array(values, pa.int64())],
+                        names=value.names)
+
+    parent = F.expr(f"_part div {FAN}").alias("_node")
+    levels = [scale.checkpointed(told.select("_key", F.col("_part").cast("long"), "_bounds", "_ends"))]
+    width = ranges
+    while width > FAN:
+        width = -(-width // FAN)
+        levels.append(scale.checkpointed(levels[-1].groupBy("_key", parent).applyInArrow(up, function)))
+    before = None
+    for level in reversed(levels):
+        rows = level.select("*", parent)
+        if before is None:
+            rows = rows.withColumn("_before", F.lit(int(NEVER)))
+        else:
+            rows = rows.join(before.select("_key", F.col("_part").alias("_node"), F.col("_last").alias("_before")), ["_key", "_node"])
+        before = rows.groupBy("_key", "_node").applyInArrow(down, value)
+    return before.filter(F.col("_last") != int(NEVER)).withColumn("_part", F.col("_part").cast("int"))
+
+
 def throttle_batch(events: DataFrame, key: str, ts: str, order: str, gap_seconds: float = V.THROTTLE_SECONDS) -> DataFrame:
     """Events that pass; columns key, ts, order.
 
     1. Rows are range partitioned on (key, time), about ``ROWS`` a range. 2. Only the first
     and the last key of a range can go on in another one; for these the range tells as a short
-    step function how the last passed time changes across it. 3. The steps are chained per
-    key. 4. Each range marks its rows from its start values. Steps 2 to 4 read rows that
+    step function how the last passed time changes across it. 3. The steps are chained by a tree
+    of compositions. 4. Each range marks its rows from its start values. Steps 2 to 4 read rows that
     Spark has sorted, and carry only the last passed time (step 2: the step function).
     """
     gap = int(gap_seconds * 1_000_000)
@@ -98,13 +159,13 @@ def throttle_batch(events: DataFrame, key: str, ts: str, order: str, gap_seconds
     ranges = max(width, -(-rows.count() // ROWS))
     parts = scale.checkpointed(rows.repartitionByRange(ranges, "_key", "_t", by_order).withColumn("_part", F.spark_partition_id()))
     key_field, part_field = S.StructField("_key", kinds["_key"]), S.StructField("_part", S.IntegerType())
-    steps = S.StructType([key_field, part_field, S.StructField("_bound", S.LongType()), S.StructField("_end", S.LongType())])
+    longs = S.ArrayType(S.LongType())
+    steps = S.StructType([key_field, part_field, S.StructField("_bounds", longs), S.StructField("_ends", longs)])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(kind) -> pa.RecordBatch:
-            n = len(now.bounds)
-            return pa.RecordBatch.from_arrays([pa.array([at[1]] * n, kind), pa.array([at[0]] * n, pa.int32()),
-                                               pa.array(now.bounds), pa.array(now.ends)], names=steps.names)
+            return pa.RecordBatch.from_arrays([pa.array([at[1]], kind), pa.array([at[0]], pa.int32()), pa.array([now.bounds], pa.list_(pa.int64())),
+                                               pa.array([now.ends], pa.list_(pa.int64()))], names=steps.names)
 
         at, now, first, kind = None, None, True, None
         for batch in batches:
@@ -126,28 +187,7 @@ def throttle_batch(events: DataFrame, key: str, ts: str, order: str, gap_seconds
             yield told(kind)
 
     told = parts.repartition(ranges, "_part").sortWithinPartitions("_part", "_key", "_t").mapInArrow(describe, steps)
-    entry = S.StructType([key_field, part_field, S.StructField("_last", S.LongType())])
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, before, last, done = None, NEVER, NEVER, True
-        for batch in batches:
-            bounds, ends = batch.column("_bound").to_numpy(), batch.column("_end").to_numpy()
-            starts, lasts = [], []
-            for name, a, b in _segments(batch):
-                if name != at:
-                    if at is not None and name[1] == at[1]:
-                        starts.append(a)
-                        lasts.append(last)
-                        before, done = last, False
-                    else:
-                        last, done = int(ends[a]), True
-                    at = name
-                if not done and (i := a + int(np.searchsorted(bounds[a:b], before + gap))) < b:
-                    last, done = int(ends[i]), True
-            rows = batch.select(["_key", "_part"]).take(pa.array(starts, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lasts, pa.int64())], names=entry.names)
-
-    starts = told.repartition(width, "_key").sortWithinPartitions("_key", "_part", "_bound").mapInArrow(chain, entry)
+    starts = _starts(told, ranges, gap)
     marked = S.StructType([key_field, S.StructField("_t", S.LongType()), S.StructField("_o", kinds["_o"])])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,125 +214,55 @@ def throttle_batch(events: DataFrame, key: str, ts: str, order: str, gap_seconds
     return out.select(F.col("_key").alias(key), F.timestamp_micros("_t").cast(same).alias(ts), F.col("_o").alias(order))
 
 
-def _in_order(frames: Iterable[pd.DataFrame], order: str) -> pd.DataFrame:
-    """Rows sorted by time, of each time the first by ``order``: no other one can pass."""
-    return pd.concat(list(frames)).sort_values(["micros", order]).drop_duplicates("micros")
-
-
-def _spilled(frames: Iterable[pd.DataFrame]) -> BinaryIO:
-    run = tempfile.TemporaryFile()
-    for pdf in frames:
-        for i in range(0, len(pdf), CHUNK):
-            pickle.dump(pdf.iloc[i:i + CHUNK], run, pickle.HIGHEST_PROTOCOL)
-    return run
-
-
-def _read(run: BinaryIO) -> Iterator[pd.DataFrame]:
-    with run:
-        run.seek(0)
-        while True:
-            try:
-                yield pickle.load(run)
-            except EOFError:
-                return
-
-
-def _merged(runs: list[BinaryIO], order: str) -> Iterator[pd.DataFrame]:
-    sources = [_read(run) for run in runs]
-    heads = {i: next(rows) for i, rows in enumerate(sources)}
-    while heads:
-        bound = min(int(h["micros"].iloc[-1]) for h in heads.values())
-        taken = []
-        for i, h in list(heads.items()):
-            n = int(np.searchsorted(h["micros"].to_numpy(np.int64), bound, side="right"))
-            taken.append(h.iloc[:n])
-            heads[i] = h.iloc[n:] if n < len(h) else next(sources[i], None)
-            if heads[i] is None:
-                del heads[i]
-        yield _in_order(taken, order)
-
-
-def _sorted_frames(rows: Iterable[pd.DataFrame], order: str) -> Iterator[pd.DataFrame]:
-    """The rows as frames in the order of ``_in_order``: runs of ``ROWS`` rows go to
-    temporary files, ``FAN`` runs become one."""
-    levels: list[list[BinaryIO]] = []
-
-    def put(run: BinaryIO, level: int = 0) -> None:
-        if level == len(levels):
-            levels.append([])
-        levels[level].append(run)
-        if len(levels[level]) == FAN:
-            full, levels[level] = levels[level], []
-            put(_spilled(_merged(full, order)), level + 1)
-
-    held, n = [], 0
-    for pdf in rows:
-        if len(pdf):
-            held.append(pdf)
-            n += len(pdf)
-        if n >= ROWS:
-            put(_spilled([_in_order(held, order)]))
-            held, n = [], 0
-    if held and not levels:
-        yield _in_order(held, order)
-    elif levels:
-        if held:
-            put(_spilled([_in_order(held, order)]))
-        yield from _merged([run for level in levels for run in level], order)
-
-
-class _Clock(StatefulProcessor):
-    def __init__(self, key: str, order: str, gap: int, ttl_ms: int | None):
-        self.key, self.order, self.gap, self.ttl = key, order, gap, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        kind = S.StructType([S.StructField("last", S.LongType())])
-        self.last = handle.getValueState("last", kind, ttlDurationMs=self.ttl) if self.ttl else handle.getValueState("last", kind)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # the rows of one key in one trigger, in frames of bounded size
-        last = int(self.last.get()[0]) if self.last.exists() else None
-        if last is not None:
-            rows = (pdf[pdf["micros"] >= last + self.gap] for pdf in rows)
-        for pdf in _sorted_frames(rows, self.order):
-            times = pdf["micros"].to_numpy(np.int64)
-            if last is None:
-                last = int(times[0])
-            if hits := _passed(times, last, self.gap):
-                last = int(times[hits[-1]])
-                out = pdf.iloc[hits]
-                yield pd.DataFrame({self.key: out[self.key], "micros": out["micros"], self.order: out[self.order]})
-        self.last.update((last,))
-
-    def close(self) -> None:
-        pass
-
-
-def throttle_stream(events: DataFrame, key: str, ts: str, order: str, gap_seconds: float = V.THROTTLE_SECONDS,
-                    ttl_seconds: int | None = 86_400) -> DataFrame:
-    """Stream form on ``transformWithStateInPandas`` (RocksDB state, one value per key).
-
-    With a time to live the clock of a silent resource is forgotten; such a stream
-    keeps running batches, so an ``available_now`` run must pass ``None``.
-    """
-    spark = events.sparkSession
-    # the state driver has a Python process of its own, which gets no shipped packages
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"), order)
-    rows = rows.filter(F.col(key).isNotNull() & F.col("micros").isNotNull())
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    schema = S.StructType([S.StructField(key, kinds[key]), S.StructField("micros", S.LongType()), S.StructField(order, kinds[order])])
-    out = rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Clock(key, order, int(gap_seconds * 1_000_000), ttl_seconds and ttl_seconds * 1000),
-        outputStructType=schema,
-        outputMode="Append", timeMode="ProcessingTime" if ttl_seconds else "None")
-    return out.select(key, F.timestamp_micros("micros").cast(events.schema[ts].dataType).alias(ts), order)
+def throttle_trigger(rows: DataFrame, number: int, path: str, key: str, ts: str, order: str, gap_seconds: float = V.THROTTLE_SECONDS,
+                     ttl_seconds: int | None = 86_400) -> None:
+    """One trigger: events that pass go to ``path/events/batch=<number>``, the last passed time of each
+    resource to ``path/clocks/batch=<number>``.
 
-
-def start(events: DataFrame, path: str, checkpoint: str, available_now: bool = False):
-    """Write a throttled stream as files."""
-    writer = (events.writeStream.outputMode("append").format("parquet").option("path", path)
+    Clocks come from the trigger before. A clock stands as an event of its resource before the
+    new ones, and events within its gap are left out, so the batch form goes on from it. A
+    resource that was silent for ``ttl_seconds`` of event time is forgotten. A repeated trigger reads
+    the same clocks and overwrites what it wrote.
+    """
+    spark = rows.sparkSession
+    rows = rows.select(key, ts, order).filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    clocks = _clocks(spark, path, number)
+    if clocks is not None:
+        known = clocks.select(F.col("resource").alias(key), F.col("last").alias("_clock"))
+        gap = F.make_interval(secs=F.lit(gap_seconds))
+        new = (scale.lookup_join(rows, known, [key]).filter(F.col("_clock").isNull() | (F.col(ts) >= F.col("_clock") + gap)).drop("_clock"))
+        rows = new.unionByName(known.select(key, F.col("_clock").cast(rows.schema[ts].dataType).alias(ts), F.lit(None).cast(rows.schema[order].dataType).alias(order)))
+    rows = scale.checkpointed(rows)
+    passed = throttle_batch(rows, key, ts, order, gap_seconds)
+    passed.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+    passed = spark.read.schema(passed.schema).parquet(f"{path}/events/batch={number}")
+    # the first event of a resource, or its clock, is what stays if nothing passed
+    last = (rows.groupBy(key).agg(F.min(ts).alias("t")).unionAll(passed.groupBy(key).agg(F.max(ts).alias("t")))
+                .groupBy(F.col(key).alias("resource")).agg(F.max("t").alias("last")))
+    if ttl_seconds:
+        now = rows.agg(F.max(ts)).first()[0]
+        last = last.filter(F.col("last") >= F.lit(now) - F.make_interval(secs=F.lit(ttl_seconds))) if now is not None else last
+    last.write.mode("overwrite").parquet(f"{path}/clocks/batch={number}")
+
+
+def _clocks(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """Clocks of the latest trigger before a number. Only that one's folder is read."""
+    try:
+        rows = spark.read.parquet(f"{path}/clocks")
+    except AnalysisException:
+        return None
+    number = rows.filter(F.col("batch") < before).agg(F.max("batch")).first()[0]
+    return None if number is None else rows.filter(F.col("batch") == number).drop("batch")
+
+
+def start(events: DataFrame, path: str, checkpoint: str, key: str, ts: str, order: str, gap_seconds: float = V.THROTTLE_SECONDS,
+          ttl_seconds: int | None = 86_400, available_now: bool = False):
+    """Throttle a stream of events into tables below ``path``; see ``throttle_trigger``."""
+    writer = (events.writeStream.foreachBatch(lambda rows, number: throttle_trigger(rows, number, path, key, ts, order, gap_seconds, ttl_seconds))
                     .option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
+
+
+def passed_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events that passed in all triggers."""
+    return spark.read.parquet(f"{path}/events").drop("batch")

@@ -1,13 +1,14 @@
 """Small fixtures and brute force for what SQL does not check."""
+import heapq
 import random
 import re
 import uuid
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from studycorpus.functions import text as T, urls as U
+from studycorpus.functions import fixed_values as V, text as T, urls as U
 from studycorpus.operators import chunking, classify, dedup, exams, names, reports, retention, similarity, visual
 from studycorpus.plans import scale
 from studycorpus.sources import files, manifests, pages
@@ -158,7 +159,7 @@ def sets_data(n=70, seed=5):
 
 
 def test_pairs_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "PAIRS_PER_TASK", 3)
+    monkeypatch.setattr(similarity, "ROWS_PER_CELL", 3)
     data = sets_data()
     docs = spark.createDataFrame(data, "id long, course_id string, side string, text string")
     got = rows(similarity.near_duplicate_pairs(docs, "id", "text", "side", "l", "r"), "left_id", "right_id")
@@ -246,6 +247,115 @@ def test_deep_tree_inherits(spark):
     assert by["x"]["state"] == "skipped_non_exam_folder" and "y" not in by
 
 
+def tokens_of(label):
+    return " " + re.sub("[^a-z0-9]+", " ", " ".join(label.lower().split())).strip() + " "
+
+
+def says(label, phrases):
+    return any(f" {p} " in tokens_of(label) for p in phrases)
+
+
+def typed(name):
+    t = tokens_of(name)
+    return says(name, V.MIDTERM_PHRASES) and says(name, V.MIDTERM_SURE) or says(name, V.FINAL_PHRASES) and (
+        says(name, V.FINAL_SURE) or " final " in t and " hk" in t)
+
+
+def best_first(nodes, max_depth, max_nodes):
+    """The walk with a priority queue: node -> (state, depth, path label)."""
+    children = {}
+    for root, node, parent, name, folder in nodes:
+        children.setdefault((root, parent), []).append((node, name, folder))
+    out = {}
+    for root in sorted({n[0] for n in nodes}):
+        queue, turn, popped = [], 0, 0
+        for node, name, folder in sorted(children.get((root, None), [])):
+            heapq.heappush(queue, (0, turn, node, name, folder, 0, "", says(f" {name}", V.EXAM_CONTEXT)))
+            turn += 1
+        while queue and (max_nodes is None or popped < max_nodes):
+            _, _, node, name, folder, depth, path, context = heapq.heappop(queue)
+            popped += 1
+            if not folder:
+                if context or typed(name):
+                    out[root, node] = ("exam", depth, path)
+                continue
+            if max_depth is not None and depth >= max_depth and depth:
+                out[root, node] = ("depth_limit", depth, path)
+                continue
+            out[root, node] = ("enumerated", depth, path)
+            if max_depth == 0:
+                continue
+            below = [(c, n, f, f"{path}/{n}".strip("/")) for c, n, f in children.get((root, node), [])]
+            for c, n, f, p in sorted(below, key=lambda b: (not says(f"{b[3]} {b[1]}", V.EXAM_CONTEXT), b[0])):
+                inner = context or says(f"{p} {n}", V.EXAM_CONTEXT)
+                if not f:
+                    if context or typed(f"{p} {n}"):
+                        out[root, c] = ("exam", depth + 1, p)
+                elif not (inner or any(h in tokens_of(f"{p} {n}") for h in V.PARENT_FOLDER_HINTS)):
+                    out[root, c] = ("skipped_non_exam_folder", depth + 1, p)
+                else:
+                    heapq.heappush(queue, (0 if typed(n) else 1 if inner else 3, turn, c, n, f, depth + 1, p, inner))
+                    turn += 1
+        for _, _, node, _, _, depth, path, _ in queue:
+            out[root, node] = ("node_limit", depth, path)
+    return out
+
+
+NODE_SCHEMA = "root_id string, node_id string, parent_id string, name string, is_folder boolean"
+
+
+def made_trees(seed):
+    rng = random.Random(seed)
+    names = ["de thi", "midterm exam", "final exam", "Documents", "semester 1", "archive", "slides", "HK201", "past exams", "tai lieu", "week 2", "mid", "term"]
+    nodes = []
+    for r in range(12):
+        ids = [f"n{i:03}" for i in range(rng.choice([1, 5, 40, 80]))]
+        rng.shuffle(ids)
+        roots, placed = rng.choice([1, 1, 3]), []
+        for i, node in enumerate(ids):
+            folder = i == 0 or rng.random() < 0.7
+            parent = None if i < roots or not placed else rng.choice(placed[-8:] if rng.random() < 0.5 else placed)
+            nodes.append((f"r{r}", node, parent, rng.choice(names) + ("" if folder else ".pdf"), folder))
+            if folder:
+                placed.append(node)
+    return nodes
+
+
+@pytest.mark.parametrize("max_depth, max_nodes", [(None, None), (3, None), (None, 1), (None, 7), (4, 20), (None, 1000)])
+def test_walk_equals_a_priority_queue(spark, max_depth, max_nodes):
+    nodes = made_trees(max_nodes or 5)
+    nodes += [("ring", "x", "y", "exam", True), ("ring", "y", "x", "exam", True), ("lost", "x", "gone", "exam", True)]
+    out = exams.exam_context(spark.createDataFrame(nodes, NODE_SCHEMA), max_depth, max_nodes).collect()
+    got = {(r.root_id, r.node_id): (r.state, r.depth, r.path_label) for r in out}
+    assert len(got) == len(out)
+    assert got == best_first([n for n in nodes if n[0][0] == "r" and n[0] != "ring"], max_depth, max_nodes)
+
+
+def test_deep_chain_takes_few_rounds(spark, monkeypatch):
+    chain = [("r", f"n{i:04}", f"n{i - 1:04}" if i else None, "exam" if i == 3 else "hk", True) for i in range(1000)]
+    tables, write = [], scale.checkpointed
+    monkeypatch.setattr(scale, "checkpointed", lambda df: tables.append(1) or write(df))
+    out = exams.exam_context(spark.createDataFrame(chain, NODE_SCHEMA)).select("node_id", "depth", "state").collect()
+    assert sorted(tuple(r) for r in out) == [(f"n{i:04}", i, "enumerated") for i in range(1000)]
+    assert len(tables) <= 2 * 11 + 6
+
+
+def test_several_parents(spark):
+    """A folder under two parents is entered by the one that leads to it first, once."""
+    nodes = [("r", "r", None, "Course", True), ("r", "a", "r", "archive", True), ("r", "b", "r", "slides", True), ("r", "c", "a", "Documents", True),
+             ("r", "x", "b", "final exam", True), ("r", "x", "c", "final exam", True), ("r", "f", "x", "hk1.pdf", False)]
+    for limit in (None, 50):
+        out = {(r.node_id, r.state, r.depth) for r in exams.exam_context(spark.createDataFrame(nodes, NODE_SCHEMA), max_nodes=limit).collect()}
+        assert out == {("r", "enumerated", 0), ("a", "enumerated", 1), ("b", "skipped_non_exam_folder", 1), ("c", "enumerated", 2),
+                       ("x", "enumerated", 3), ("f", "exam", 4)}
+
+
+def test_candidates_of_a_walk(spark):
+    walk = spark.createDataFrame([("r", "a", 1, "exam", "x" * 200 + ".pdf"), ("r", "a", 3, "exam", "later.pdf"), ("r", "b", 1, "unsupported_item", "b.bin")],
+                                 "root_id string, node_id string, depth int, state string, name string")
+    assert [(r.node_id, r.original_name) for r in exams.exam_candidates(walk).collect()] == [("a", "later.pdf")]
+
+
 # --- pages -------------------------------------------------------------------------------
 
 def test_course_page(spark):
@@ -381,38 +491,56 @@ def test_throttle_batch_ranges_follow_the_rows(spark, monkeypatch):
     assert max(r["count"] for r in tables[0].groupBy("_part").count().collect()) <= 300
 
 
-def test_throttle_stream_holds_no_whole_key(monkeypatch):
-    for name, n in (("ROWS", 50), ("CHUNK", 10), ("FAN", 3)):
-        monkeypatch.setattr(throttle, name, n, raising=False)
-    sizes, passed = [], throttle._passed
-    monkeypatch.setattr(throttle, "_passed", lambda times, *a: sizes.append(len(times)) or passed(times, *a))
-
-    class Value:
-        def __init__(self):
-            self.value = None
-
-        def exists(self):
-            return self.value is not None
-
-        def get(self):
-            return self.value
-
-        def update(self, value):
-            self.value = value
-
+def test_throttle_stream_goes_on_from_its_clocks(spark, monkeypatch):
+    """Triggers of random sizes give what one run over all events gives; a busy resource is cut into ranges."""
+    monkeypatch.setattr(throttle, "ROWS", 200)
+    monkeypatch.setattr(throttle, "FAN", 3)
     rng = random.Random(4)
-    for gap, span in ((7, 4000), (1, 300), (500, 4000), (9000, 4000)):
-        data = [("hot", rng.randint(0, span), i) for i in range(3000)]
-        clock = throttle._Clock("k", "id", gap, None)
-        clock.last, got = Value(), []
-        for a, b in ((0, 2990), (2990, 3000)):
-            batch = [(k, s + (span if a else 0), i) for k, s, i in data[a:b]]
-            data[a:b] = batch
-            frames = (pd.DataFrame(batch[i:i + 20], columns=["k", "micros", "id"]) for i in range(0, len(batch), 20))
-            for out in clock.handleInputRows(("hot",), frames, None):
-                got += out.itertuples(index=False, name=None)
-        assert sorted(got) == throttled(data, gap)
-    assert max(sizes) <= 200
+    for gap, span in ((7, 4000), (500, 4000), (9000, 4000)):
+        data = sorted(("hot" if rng.random() < 0.7 else f"k{rng.randint(0, 9)}", rng.randint(0, span), i) for i in range(3000))
+        data.sort(key=lambda r: r[1])
+        data += [(None, 1, -1), ("hot", None, -2)]
+        path, cuts = f"{scale.shared_folder(spark)}/throttle-{uuid.uuid4().hex}", [0, 1, 1700, 2500, len(data)]
+        for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            # events of one time stay in one trigger, as order inside a time decides
+            while b < 3000 and data[b][1] == data[b - 1][1]:
+                b += 1
+            while 0 < a < 3000 and data[a][1] == data[a - 1][1]:
+                a += 1
+            events = spark.createDataFrame(data[a:b], "k string, s long, id long").withColumn("ts", F.timestamp_seconds("s"))
+            for _ in range(1 + n % 2):             # a repeated trigger changes nothing
+                throttle.throttle_trigger(events, n, path, "k", "ts", "id", gap, ttl_seconds=None)
+        got = rows(throttle.passed_events(spark, path).withColumn("s", F.unix_seconds("ts")), "k", "s", "id")
+        assert got == throttled(data, gap)
+
+
+def test_throttle_forgets_silent_resources(spark):
+    path = f"{scale.shared_folder(spark)}/throttle-{uuid.uuid4().hex}"
+    for n, data in enumerate(([("a", 0, 0), ("b", 1000, 1)], [("b", 2000, 2)], [("a", 2001, 3), ("a", 2500, 4)])):
+        events = spark.createDataFrame(data, "k string, s long, id long").withColumn("ts", F.timestamp_seconds("s"))
+        throttle.throttle_trigger(events, n, path, "k", "ts", "id", 10, ttl_seconds=1500)
+    # the clock of a was dropped at 2000, so 2001 starts it anew
+    assert rows(throttle.passed_events(spark, path), "id") == [(2,), (4,)]
+
+
+def test_composed_steps_are_the_steps_of_both_ranges():
+    rng = random.Random(9)
+    for _ in range(500):
+        gap = rng.choice([1, 5, 30, 200])
+        times = np.array(sorted(rng.randrange(300) for _ in range(rng.randrange(3, 60))), np.int64)
+        cut = sorted(rng.sample(range(1, len(times)), 2))
+        parts = [times[:cut[0]], times[cut[0]:cut[1]], times[cut[1]:]]
+        steps = []
+        for k, part in enumerate(parts):
+            now = throttle._Steps(int(part[0]), gap, k > 0)
+            now.add(part)
+            steps.append((now.bounds, now.ends))
+        all_ = throttle._composed(throttle._composed(steps[0], steps[1], gap), steps[2], gap)
+        also = throttle._composed(steps[0], throttle._composed(steps[1], steps[2], gap), gap)
+        passed = throttle._passed(times, int(times[0]), gap)
+        want = int(times[passed[-1]]) if passed else int(times[0])
+        for f in (all_, also):
+            assert int(throttle._stepped(*f, throttle.NEVER, gap)) == want
 
 
 def test_inventory_of_a_mixed_course(spark):
