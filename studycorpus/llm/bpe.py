@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from studycorpus.llm.base import slices, text_of
+from studycorpus.llm.base import free_names, slices, text_of
 from studycorpus.llm.words import LONG_WORD, Words, memory, words
 
 CHUNK = 50_000           # new words that are encoded together
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at = batch.schema.get_field_index("__text")
+            at = batch.num_columns - 1
             ids = [np.frombuffer(b, "<u4").astype(np.int32) for b in encode_texts(vocabulary, batch.column(at).to_pylist())]
             cols = [batch.column(i) for i in range(batch.num_columns) if i != at]
             names = [n for i, n in enumerate(batch.schema.names) if i != at]
@@ -188,7 +188,8 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
     schema = StructType([docs.schema[c] for c in rest] + [StructField(ids_col, ArrayType(IntegerType()))]
                         + ([StructField(decoded_col, StringType())] if decoded_col else []))
-    return docs.select(*rest, text_of(text_col).alias("__text")).mapInArrow(run, schema)
+    (text,) = free_names(docs.columns, "_text")
+    return docs.select(*[f"`{c}`" for c in rest], text_of(text_col).alias(text)).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

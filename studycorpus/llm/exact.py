@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
-from studycorpus.llm.base import checkpointed, text_of
+from studycorpus.llm.base import checkpointed, free_names, text_of
 from studycorpus.plans.scale import first_rows
 
 #: Fixed by the definition of equal texts: blank and U+0009 to U+000D.
@@ -146,10 +146,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Same rule as ``exact_groups``; of a row that is repeated with its id, one stays. Rows
     that the filter clears are not shuffled; of the others each task sends one per text.
+    Columns may have any names.
     """
     sha = normal_hash(text_of(text_col))
     maybe = maybe_repeated(checkpointed(docs.select(sha.alias("sha"))), max_bits=max_bits)
-    flagged = docs.withColumn("_sha", sha).withColumn("_maybe", maybe("_sha"))
-    firsts = first_rows(flagged.filter("_maybe").withColumn("_n", F.length(text_of(text_col))), ["_sha"],
-                        [F.col("_n").desc(), F.col(id_col).asc_nulls_last()])
-    return firsts.select(*docs.columns).unionAll(flagged.filter("not _maybe").select(*docs.columns))
+    key, flag, n, rank = free_names(docs.columns, "_sha", "_maybe", "_n", "_rank")
+    columns = [f"`{c}`" for c in docs.columns]
+    flagged = docs.withColumn(key, sha).withColumn(flag, maybe(key))
+    firsts = first_rows(flagged.filter(F.col(flag)).withColumn(n, F.length(text_of(text_col))), [key],
+                        [F.col(n).desc(), F.col(id_col).asc_nulls_last()], rank=rank)
+    return firsts.select(*columns).unionAll(flagged.filter(~F.col(flag)).select(*columns))

@@ -2,7 +2,8 @@
 
 1. A source's target is its share of the wanted total by weight, at most ``epochs`` times
    its size; what is cut off is shared again by weight among the others.
-2. The total is cut into blocks of ``BLOCK`` words. Sources get whole blocks by the highest
+2. The total is cut into blocks of ``BLOCK`` words, fewer if a target is less; the last block
+   of a source and of a shard may be a part of one. Sources get whole blocks by the highest
    quotients target / (2 blocks + 1), which is the Sainte-Lague rule.
 3. A source is dealt over shards by a seeded hash, and its blocks are apportioned to the
    shards by the same rule on the shards' sizes.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
-from studycorpus.llm.base import checkpointed, text_of
+from studycorpus.llm.base import checkpointed, free_names, portions, text_of
 
 BLOCK = 16
 SHARD_WORDS = 1 << 16
@@ -98,7 +99,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sums.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     sizes = [r["s"] for r in sums]
     targets = shared_targets(sizes, [weights[i % len(weights)] for i in range(len(sums))], share * sum(sizes), epochs)
-    blocks = sainte_lague(targets, round(sum(targets) / BLOCK), [epochs * s // BLOCK for s in sizes])
+    # blocks are smaller where a target is, so that no source is too small for one
+    block = max(1, min([BLOCK, *(int(t) for t in targets if t > 0)]))
+    blocks = sainte_lague(targets, round(sum(targets) / block), [-(-epochs * s // block) for s in sizes])
     plan = [(i, r["source"], sizes[i], targets[i], blocks[i], min(MAX_SHARDS, max(1, -(-sizes[i] // SHARD_WORDS)))) for i, r in enumerate(sums)]
     by_source = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, blocks long, shards long")
 
@@ -110,7 +113,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     def apportion(key, table):
         rows = sorted(zip(table.column("shard").to_pylist(), table.column("words").to_pylist()))
-        quota = sainte_lague([w for _, w in rows], table.column("blocks")[0].as_py(), [epochs * w // BLOCK for _, w in rows])
+        quota = sainte_lague([w for _, w in rows], table.column("blocks")[0].as_py(), [-(-epochs * w // block) for _, w in rows])
         return pa.table({"no": pa.array([key[0].as_py()] * len(rows), pa.int32()), "sh": pa.array([s for s, _ in rows], pa.int64()),
                          "words": pa.array([w for _, w in rows], pa.int64()), "quota": pa.array(quota, pa.int64())})
 
@@ -118,7 +121,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     before = W.partitionBy("source_no", "shard").orderBy("order", "id", "h").rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
     joined = placed.join(quotas, (F.col("source_no") == F.col("no")) & (F.col("shard") == F.col("sh")))
-    end = F.col("quota") * BLOCK
+    end = F.col("quota") * block         # the last block of a shard may be a part of one
     passes = [F.least(F.col("size"), F.greatest(F.lit(0), end - F.col("words") * k - F.col("at"))).cast("long") for k in range(epochs)]
     out = joined.select(F.col("id").alias(id_col), "size", "source_size", "target", *[p.alias(f"taken_{k + 1}") for k, p in enumerate(passes)],
                         F.col("h").alias("text_hash"), F.col("source").alias("source_name"))
@@ -132,25 +135,28 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     A row holds the first ``taken_k`` words with the white space between them; a document
     that is taken whole keeps its text as it is. ``length_col``, if the table has it, is set
     to the new number of characters. Rows that agree in id, source and text are one document
-    here, with the words of one of them.
+    here, with the words of one of them. Columns may have any names.
     """
     plan = plan_mix(docs, id_col, text_col, source_col, epochs=epochs, **options)
-    key = ["_id", "_source", "_hash"]
-    wanted = (plan.groupBy(F.col(id_col).alias("_id"), F.col("source_name").alias("_source"), F.col("text_hash").alias("_hash"))
-                  .agg(F.max("size").alias("_size"), *[F.max(f"taken_{k + 1}").alias(f"_{k}") for k in range(epochs)])
-                  .filter(" or ".join(f"_{k} > 0" for k in range(epochs))))
-    rows = docs.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_hash": F.xxhash64(text_of(text_col))})
-    on = [rows[c].eqNullSafe(wanted[c]) for c in key]
-    joined = rows.join(wanted, on).withColumn("_n", F.explode(F.array(*[F.col(f"_{k}") for k in range(epochs)]))).filter("_n > 0")
-    whole = F.col("_n") >= F.col("_size")
+    columns = docs.columns
+    own, source, mark, n, size, parts, *old = free_names(columns, "_id", "_source", "_hash", "_n", "_size", "_parts", *(f"old {c}" for c in columns))
+    wanted = (plan.groupBy(F.col(id_col).alias(own), F.col("source_name").alias(source), F.col("text_hash").alias(mark))
+                  .agg(F.max("size").alias(size), F.array(*[F.max(f"taken_{k + 1}") for k in range(epochs)]).alias(parts))
+                  .filter(F.exists(parts, lambda x: x > 0)))
+    rows = docs.select("*", F.xxhash64(text_of(text_col))).toDF(*old, "hash of the text")
+    was = dict(zip(columns, old))
+    on = [rows[a].eqNullSafe(wanted[b]) for a, b in ((was[id_col], own), (was[source_col], source), ("hash of the text", mark))]
+    joined = rows.join(wanted, on).select(*[F.col(f"`{was[c]}`").alias(c) for c in columns], F.explode(parts).alias(n), size).filter(F.col(n) > 0)
+    whole = F.col(n) >= F.col(size)
     schema = StructType(docs.schema.fields)
     columns = docs.columns
+    names = [f"`{c}`" for c in columns]
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
         word = re.compile(WORD)
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
+        for batch in portions(batches, columns.index(text_col)):
+            at = columns.index(text_col)
             texts = []
             for text, n, size in zip(*(batch.column(c).to_pylist() for c in (at, batch.num_columns - 2, batch.num_columns - 1))):
                 if n < size:
@@ -162,7 +168,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             cols = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    part = joined.filter(~whole).select(*[joined[c] for c in columns], "_n", "_size").mapInArrow(shorten, schema)
+    part = joined.filter(~whole).mapInArrow(shorten, schema)
     if length_col in columns:
         part = part.withColumn(length_col, F.length(text_col).cast(schema[length_col].dataType))
-    return joined.filter(whole).select(*columns).unionAll(part)
+    return joined.filter(whole).select(*names).unionAll(part)

@@ -26,7 +26,6 @@ So each pair that shares a band is compared or already joined, and no link is lo
 """
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +33,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from studycorpus.llm.base import checkpointed, components, slices, text_of
+from studycorpus.llm.base import checkpointed, components, free_names, portions, slices, text_of
 from studycorpus.llm.exact import maybe_among
 from studycorpus.llm.vectors import _labels
-from studycorpus.llm.words import LONG_WORD, Memory
+from studycorpus.llm.words import LONG_WORD, memory
 
 WORDS, SIMILAR = 5, (4, 5)       # words of a shingle; least similarity as a fraction
 BANDS, ROWS = 26, 4
 K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K
 LEAST_EQUAL = 60
-HELD_CELLS = 2_000_000           # shingles that a comparing task remembers
+HELD_BYTES = 16 << 20            # of texts and their shingles that a comparing task remembers
+REMEMBERED = 100_000             # word hashes that a worker process remembers
 BLOCK = 256                      # texts of a bucket that are compared with as many others at once
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,11 +57,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
-def _memory() -> Memory:
-    return Memory()
-
-
 _SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
@@ -72,7 +67,7 @@ def words_of(text: str) -> list[str]:
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    known, out = _memory().room(), []
+    known, out = memory("word hashes").room(most=REMEMBERED), []
     for w in words:
         h = known.get(w)
         if h is None:
@@ -151,19 +146,17 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for at in range(0, len(texts), 1024):
-            words = [words_of(t) for t in texts[at:at + 1024]]
-            full = [i for i, w in enumerate(words) if w]
-            sig = signatures([cells(words[i]) for i in full])
-            bands, short = _band_keys(sig), np.ascontiguousarray((sig >> np.uint64(40)).astype("<u2"))
-            place = dict(zip(full, range(len(full))))
-            digests = [xxhash.xxh3_128_digest(" ".join(w)) if w else None for w in words]
-            yield pa.record_batch([ids.slice(at, len(words)), pa.array(digests, pa.binary()),
-                                   pa.array([bands[place[i]] if i in place else None for i in range(len(words))], pa.list_(pa.int64())),
-                                   pa.array([short[place[i]].tobytes() if i in place else None for i in range(len(words))], pa.binary())],
-                                  names=["id", "content", "bands", "sig"])
+    for batch in portions(batches):
+        words = [words_of(t) for t in batch.column(1).to_pylist()]
+        full = [i for i, w in enumerate(words) if w]
+        sig = signatures([cells(words[i]) for i in full])
+        bands, short = _band_keys(sig), np.ascontiguousarray((sig >> np.uint64(40)).astype("<u2"))
+        place = dict(zip(full, range(len(full))))
+        digests = [xxhash.xxh3_128_digest(" ".join(w)) if w else None for w in words]
+        yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()),
+                               pa.array([bands[place[i]] if i in place else None for i in range(len(words))], pa.list_(pa.int64())),
+                               pa.array([short[place[i]].tobytes() if i in place else None for i in range(len(words))], pa.binary())],
+                              names=["id", "content", "bands", "sig"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -175,14 +168,14 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         def of(text: str) -> np.ndarray:
             nonlocal held
             if text not in known:
-                if held > HELD_CELLS:
+                if held > HELD_BYTES:
                     known.clear()
                     held = 0
                 known[text] = cells(words_of(text))
-                held += len(known[text])
+                held += known[text].nbytes + 4 * len(text)
             return known[text]
 
-        for batch in slices(batches, 2048):
+        for batch in portions(batches, column=2):
             yes = [similar(of(x), of(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
@@ -286,7 +279,7 @@ def _cross_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     nodes = checkpointed(near.select(F.col("n").alias("node")).distinct())
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in portions(batches):
             sets = [cells(words_of(t)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "cells"])
 
@@ -340,9 +333,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, of each class the one with the smallest id. Rows
-    without id stay. Texts of documents that cannot be dropped are not shuffled."""
+    without id stay. Texts of documents that cannot be dropped are not shuffled. Columns may
+    have any names."""
     classes = near_duplicates(docs, id_col, text_col)
-    gone = checkpointed(classes.filter("not kept").select(F.col(id_col).alias("_gone")).distinct())
-    flagged = docs.withColumn("_maybe", F.coalesce(maybe_among(gone, "_gone")(F.col(id_col).cast("long")), F.lit(False)))
-    safe, rest = flagged.filter("not _maybe"), flagged.filter("_maybe")
-    return safe.select(*docs.columns).unionAll(rest.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti").select(*docs.columns))
+    flag, lost = free_names(docs.columns, "_maybe", "_gone")
+    columns = [f"`{c}`" for c in docs.columns]
+    gone = checkpointed(classes.filter("not kept").select(F.col(id_col).alias(lost)).distinct())
+    flagged = docs.withColumn(flag, F.coalesce(maybe_among(gone, lost)(F.col(id_col).cast("long")), F.lit(False)))
+    safe, rest = flagged.filter(~F.col(flag)), flagged.filter(F.col(flag))
+    return safe.select(*columns).unionAll(rest.join(gone, F.col(id_col).cast("long") == F.col(lost), "left_anti").select(*columns))

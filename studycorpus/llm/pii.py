@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from studycorpus.llm.base import text_of
+from studycorpus.llm.base import free_names, portions, text_of
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "routing")
 BASE = KINDS[:4]
@@ -184,23 +184,25 @@ def detect(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") ->
     different kinds may overlap.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, column=-1):
             found = [[s._asdict() for s in find_spans(t)] for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], names=[*batch.schema.names[:-1], spans_col])
 
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     rest = [c for c in docs.columns if c != spans_col]
     schema = StructType([docs.schema[c] for c in rest]).add(spans_col, ArrayType(SPAN))
-    return docs.select(*rest, text_of(text_col).alias("__text")).mapInArrow(run, schema)
+    (text,) = free_names(docs.columns, "_text")
+    return docs.select(*[f"`{c}`" for c in rest], text_of(text_col).alias(text)).mapInArrow(run, schema)
 
 
 def masked(docs: DataFrame, text_col: str = "text", mask: str = "[{kind}]") -> DataFrame:
     """The documents with every span in the text replaced; overlapping spans become one mask of the first kind."""
-    at = "__spans"
+    docs_columns = docs.columns
+    (at,) = free_names(docs.columns, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i = batch.schema.get_field_index(text_col)
+        i = docs_columns.index(text_col)
+        for batch in portions(batches, column=i):
             texts = []
             for text, spans in zip(batch.column(i).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 parts, done = [], 0

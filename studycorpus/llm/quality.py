@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from studycorpus.llm.base import text_of
-from studycorpus.llm.words import LONG_WORD, Memory
+from studycorpus.llm.base import free_names, portions, text_of
+from studycorpus.llm.words import LONG_WORD, memory
 
 UNITS, WIDTH, ONES = 1 << 13, 64, 4
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.003, 1e-2
@@ -61,14 +61,9 @@ def _units_of_word(word: str) -> bytes:
     return np.array(out, "<u2").tobytes()
 
 
-@functools.lru_cache(maxsize=1)
-def _memory() -> Memory:
-    return Memory()
-
-
 def units(text: str) -> np.ndarray:
     """Rows of the units of a text in order; a text without words has the one unit EMPTY."""
-    known, out, last = _memory().room(), [], None
+    known, out, last = memory("units").room(), [], None
     for word in text.split():
         got = known.get(word)
         if got is None:
@@ -104,7 +99,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     pairs[:] += np.bincount(word * WIDTH + at[other, j], sign[other, j], UNITS * WIDTH).astype(np.int64)
             waiting.clear()
 
-        for batch in batches:
+        for batch in portions(batches, column=0):
             for text in batch.column(0).to_pylist():
                 waiting.append(units(text))
                 size += len(waiting[-1])
@@ -224,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, column=2):
             x = [pooled(t, shared.value) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["h", "y", "x"])
 
@@ -240,11 +235,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value
-        for batch in batches:
+        for batch in portions(batches, column=-1):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             x = np.array([pooled(t, vectors) for t in texts]).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(network.probability(x))], names=[*batch.schema.names[:-1], score_col])
 
     rest = [c for c in docs.columns if c != score_col]
     schema = StructType([docs.schema[c] for c in rest]).add(score_col, "double")
-    return docs.select(*rest, text_of(text_col).alias("__text")).mapInArrow(run, schema)
+    (text,) = free_names(docs.columns, "_text")
+    return docs.select(*[f"`{c}`" for c in rest], text_of(text_col).alias(text)).mapInArrow(run, schema)

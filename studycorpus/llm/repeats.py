@@ -32,13 +32,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from studycorpus.llm.base import checkpointed, text_of
+from studycorpus.llm.base import checkpointed, portions, text_of
 from studycorpus.llm.exact import maybe_among
 
 LENGTH, ANCHOR = 200, 64
 HOT = 8_000                  # different runs of a name that one task sorts together
-SORT_BYTES = 2 << 20         # text that is sorted at once
-CHUNK = 1 << 20              # windows of a document that are named at once
+SORT_BYTES = 1 << 19         # text that is sorted at once
+CHUNK = 1 << 18              # windows of a document that are named at once
 
 
 def _named(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ def _named(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(names), np.concatenate(starts), np.concatenate(lasts)
 
 
-def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+def suffix_order(text: np.ndarray, depth: int = LENGTH, words: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of ``text`` (uint8) in order of their first ``depth`` bytes at least.
 
     Two stages. A suffix is *small* if it is less than the one that starts after it; the
@@ -84,36 +84,39 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     directly. Then the buckets of first bytes are scanned in ascending order: the large
     suffixes of a bucket come before its small ones, and each of them was placed by its
     successor, which stands earlier; those that start with a run of one byte follow in rounds.
+    ``words`` is ``_words(text, depth)``, if it is known.
     """
     n = len(text)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     # small or large: by the next byte that differs
     differ = np.flatnonzero(text[1:] != text[:-1])
     end = np.concatenate([differ, [n - 1]])            # last place of each run of equal bytes
     rises = np.zeros(len(end), bool)
     rises[:-1] = text[differ] < text[differ + 1]
     small = np.repeat(rises, np.diff(np.concatenate([[-1], end])))
-    starts = np.flatnonzero(small)
-    direct = _direct(text, starts, depth)
+    del differ, end, rises
+    starts = np.flatnonzero(small).astype(np.int32)
+    del small
+    direct = _direct(_words(text, depth) if words is None else words, starts, depth)
     small_of = np.split(direct, np.searchsorted(text[direct], np.arange(1, 256)))
 
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[n - 1]].append(np.array([n - 1]))      # induced by the empty suffix
+    waiting[text[n - 1]].append(np.array([n - 1], np.int32))      # induced by the empty suffix
     out = []
     for c in range(256):
-        fronts = waiting[c]
-        front = np.concatenate(fronts) if fronts else np.zeros(0, np.int64)
+        fronts, waiting[c] = waiting[c], []
+        front = np.concatenate(fronts) if fronts else np.zeros(0, np.int32)
         placed = []
         while len(front):                              # rounds of runs of this byte
             placed.append(front)
-            before = front[front > 0] - 1
+            before = front[front > 0] - np.int32(1)
             front = before[text[before] == c]
         bucket = np.concatenate([*placed, small_of[c]])
         if not len(bucket):
             continue
         out.append(bucket)
-        before = bucket[bucket > 0] - 1
+        before = bucket[bucket > 0] - np.int32(1)
         before = before[text[before] > c]
         if len(before):
             first = text[before]
@@ -125,25 +128,36 @@ def suffix_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _words(text: np.ndarray) -> np.ndarray:
-    """Eight bytes from each place as one number, so that numbers compare as bytes do."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out, width = padded[:len(text) + 7], 1
-    for shift in (8, 16, 32):
-        out = (out[:len(out) - width] << np.uint64(shift)) | out[width:]
-        width *= 2
+def _words(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Eight bytes from each place as one number, so that numbers compare as bytes do. Behind
+    the text come zeros, for places up to ``depth`` bytes after its end."""
+    out = np.zeros(len(text) + depth + 16, np.uint64)
+    for k in range(8):
+        out[:len(text)] <<= np.uint64(8)
+        out[:len(text) - k] |= text[k:] if k < len(text) else np.uint64(0)
     return out
 
 
-def _direct(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+def _numbered(new: np.ndarray) -> np.ndarray:
+    """Number of the group of each place, from the marks where a new one starts (not for the first)."""
+    out = np.zeros(len(new) + 1, np.int32)
+    np.cumsum(new, out=out[1:])
+    return out
+
+
+def _direct(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """``starts`` in order of their first ``depth`` bytes: by eight bytes, then ties by the next."""
-    words = np.concatenate([_words(text), np.zeros(depth + 8, np.uint64)])
-    order = starts[np.argsort(words[starts], kind="stable")]
-    group = np.concatenate([[0], np.cumsum(words[order][1:] != words[order][:-1])]) if len(order) else np.zeros(0, np.int64)
-    tied = np.arange(len(order))
+    if not len(starts):
+        return starts
+    key = words[starts]
+    sort = np.argsort(key, kind="stable")
+    order, key = starts[sort], key[sort]
+    group, tied = _numbered(key[1:] != key[:-1]), np.arange(len(order), dtype=np.int32)
     for at in range(8, depth, 8):
         same = group[1:] == group[:-1]
-        inside = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(group) else np.zeros(0, bool)
+        inside = np.zeros(len(group), bool)
+        inside[1:] |= same
+        inside[:-1] |= same
         tied, group = tied[inside], group[inside]
         if not len(tied):
             break
@@ -151,20 +165,21 @@ def _direct(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
         sort = np.lexsort((key, group))
         order[tied] = order[tied][sort]
         key = key[sort]
-        group = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (key[1:] != key[:-1]))])
+        group = _numbered((group[1:] != group[:-1]) | (key[1:] != key[:-1]))
     return order
 
 
-def common_prefixes(text: np.ndarray, places: np.ndarray, most: int = LENGTH) -> np.ndarray:
+def common_prefixes(text: np.ndarray, places: np.ndarray, most: int = LENGTH, words: np.ndarray | None = None) -> np.ndarray:
     """Length of the common prefix of each place and the next in ``places``, up to ``most`` bytes."""
-    words = np.concatenate([_words(text), np.zeros(most + 8, np.uint64)])
+    words = _words(text, most) if words is None else words
     a, b = places[:-1], places[1:]
-    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+    out, live = np.zeros(len(a), np.int32), np.arange(len(a), dtype=np.int32)
     for at in range(0, most, 8):
-        differ = words[a[live] + at] ^ words[b[live] + at]
+        differ = words[a[live] + at]
+        differ ^= words[b[live] + at]
         stop = differ != 0
         rest = differ[stop]
-        equal = np.zeros(len(rest), np.int64)
+        equal = np.zeros(len(rest), np.int32)
         for k in range(1, 8):
             equal += rest < (np.uint64(1) << np.uint64(64 - 8 * k))
         out[live[stop]] = at + equal
@@ -184,9 +199,10 @@ def repeated_windows(runs: list[bytes], again: list[bool]) -> list[np.ndarray]:
     window = np.ones(len(text), bool)                   # places where a whole window starts in a run
     for back in begin[1:]:
         window[max(0, back - LENGTH + 1):back] = False
-    order = suffix_order(text)
+    words = _words(text)
+    order = suffix_order(text, words=words)
     order = order[window[order]]
-    equal = common_prefixes(text, order) >= LENGTH
+    equal = common_prefixes(text, order, words=words) >= LENGTH
     marked = np.zeros(len(text), bool)
     marked[order[:-1][equal]] = True
     marked[order[1:][equal]] = True
@@ -198,60 +214,79 @@ def _spans(marks: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), (edge[1::2] - 1).tolist()
 
 
+def _fields(lists: pa.ListArray, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bounds of the lists of structs of a column, and the fields of all of them."""
+    ends = lists.offsets.to_numpy()
+    values = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0]))
+    return ends - ends[0], [values.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def _runs_of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, cols = [], ([], [], [], [])
-        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    kinds = (np.int64, np.int64, np.int32, np.int32)
+    for batch in portions(batches):
+        keys, ends, cols = [], [0], ([], [], [], [])
+        for key, data in zip(batch.column(0), batch.column(1)):
+            data = data.as_py()
             name, first, last = _named(data)
             if len(name):
-                keys.append(key)
+                keys.append(key.as_py())
+                ends.append(ends[-1] + len(name))
                 view = memoryview(data)
                 digest = [xxhash.xxh3_64_intdigest(view[a:b + LENGTH]) for a, b in zip(first.tolist(), last.tolist())]
                 for c, v in zip(cols, (name, np.array(digest, np.uint64).view(np.int64), first.astype(np.int32), last.astype(np.int32))):
                     c.append(v)
-        yield pa.record_batch([pa.array(keys, pa.binary()), *(pa.array(c, pa.list_(t)) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32())))],
-                              names=["key", "name", "digest", "first", "last"])
+        offsets = pa.array(ends, pa.int32())
+        yield pa.record_batch([pa.array(keys, pa.binary()), *(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c) if c else np.zeros(0, k)))
+                                                              for c, k in zip(cols, kinds))], names=["key", "name", "digest", "first", "last"])
 
 
 def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with a list of runs to the runs' bytes."""
-    for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        for data, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for r in runs:
-                for c, v in zip(rows, (r["name"], r["digest"], r["n"], r["hot"], data[r["first"]:r["last"] + LENGTH])):
-                    c.append(v)
-        for at in range(0, max(len(rows[0]), 1), 20_000):
-            yield pa.record_batch([pa.array(c[at:at + 20_000], t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))],
-                                  names=["name", "digest", "n", "hot", "bytes"])
+    for batch in portions(batches, column=0, most=1 << 19):
+        ends, (first, last, *rest) = _fields(batch.column(1), ["first", "last", "name", "digest", "n", "hot"])
+        cut = []
+        for k, data in enumerate(batch.column(0)):
+            lo, hi = ends[k], ends[k + 1]
+            view = memoryview(data.as_py())
+            cut += [bytes(view[a:b + LENGTH]) for a, b in zip(first[lo:hi].tolist(), last[lo:hi].tolist())]
+        yield pa.record_batch([*(pa.array(r, t) for r, t in zip(rest, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))), pa.array(cut, pa.binary())],
+                              names=["name", "digest", "n", "hot", "bytes"])
 
 
 def _sorted_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``name, digest, n, bytes`` in order of name to the spans of repeated windows."""
+    """Rows ``name, digest, n, bytes`` in order of name to the spans of repeated windows. Whole
+    names are sorted together, of about ``SORT_BYTES`` at once or a single larger one."""
     held: list[tuple] = []
-    size = 0
+    name: list[tuple] = []          # rows of the name that is being read
+    size = more = 0
 
-    def out() -> pa.RecordBatch:
-        found = [_spans(m) for m in repeated_windows([r[3] for r in held], [r[2] > 1 for r in held])]
-        some = [(r, f) for r, f in zip(held, found) if f[0]]
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        found = [_spans(m) for m in repeated_windows([r[3] for r in rows], [r[2] > 1 for r in rows])]
+        some = [(r, f) for r, f in zip(rows, found) if f[0]]
         return pa.record_batch([pa.array([r[0] for r, _ in some], pa.int64()), pa.array([r[1] for r, _ in some], pa.int64()),
                                 pa.array([f[0] for _, f in some], pa.list_(pa.int32())), pa.array([f[1] for _, f in some], pa.list_(pa.int32()))],
                                names=["name", "digest", "lo", "hi"])
 
-    for batch in batches:
+    for batch in portions(batches, column=3):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= SORT_BYTES and row[0] != held[-1][0]:
-                yield out()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-    if held:
-        yield out()
+            if name and row[0] != name[0][0]:
+                if held and size + more > SORT_BYTES:
+                    yield out(held)
+                    held, size = [], 0
+                held += name
+                size, name, more = size + more, [], 0
+            name.append(row)
+            more += len(row[3])
+    if held and size + more > SORT_BYTES:
+        yield out(held)
+        held = []
+    if held or name:
+        yield out(held + name)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``name, digest, n, bytes`` to a row for each window with its digest."""
-    for batch in batches:
+    for batch in portions(batches, column=3):
         for name, digest, n, data in zip(*(c.to_pylist() for c in batch.columns)):
             view = memoryview(data)
             keys = [xxhash.xxh3_128_digest(view[i:i + LENGTH]) for i in range(len(data) - LENGTH + 1)]
@@ -262,16 +297,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the spans of repeated windows to what is left of them."""
-    for batch in batches:
+    for batch in portions(batches):
+        ends, (lows, highs) = _fields(batch.column(2), ["lo", "hi"])
         rows: tuple[list, ...] = ([], [], [], [])
-        for key, data, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            gone = np.zeros(len(data) + 1, np.int32)
-            for s in spans:
-                gone[s["lo"]] += 1
-                gone[s["hi"] + LENGTH] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            left = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            for c, v in zip(rows, (key, int(gone.sum()), len(_spans(gone)[0]), left)):
+        for k, (key, data) in enumerate(zip(batch.column(0), batch.column(1))):
+            data = np.frombuffer(data.as_py(), np.uint8)
+            change = np.zeros(len(data) + 1, np.int32)
+            np.add.at(change, lows[ends[k]:ends[k + 1]], 1)
+            np.add.at(change, highs[ends[k]:ends[k + 1]] + LENGTH, -1)
+            gone = np.cumsum(change)[:-1] > 0
+            for c, v in zip(rows, (key.as_py(), int(gone.sum()), len(_spans(gone)[0]), data[~gone].tobytes())):
                 c.append(v)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.int64(), pa.int64(), pa.binary()))],
                               names=["key", "n_removed", "n_spans", "left"])

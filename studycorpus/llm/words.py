@@ -116,6 +116,13 @@ class Memory(dict):
         return self
 
 
-@functools.lru_cache(maxsize=8)
-def memory(path: str, what: str) -> Memory:
-    return Memory()
+_held: dict[tuple[str, ...], Memory] = {}
+
+
+def memory(*what: str) -> Memory:
+    """The memory of a worker process. Workers serve one operator after the other: when another
+    one asks, what the last one remembered is dropped, so a worker never holds two of them."""
+    if what not in _held:
+        _held.clear()
+        _held[what] = Memory()
+    return _held[what]
