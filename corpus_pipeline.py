@@ -2,7 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a table; all but the last return the
 columns of ``documents``. ``run`` writes each stage's rows as a table in the shared folder
-before the next one reads them.
+before the next one reads them. Null and empty texts are texts like others (the quality
+classifier decides on them); rows without id take part in each stage; rows that are repeated with
+their id are one document from the second stage on. All but the last stage keep all columns
+of ``documents`` and further ones, whatever their names, with their values.
 
 1. quality: rows that the quality classifier scores below 0.7 go.
 2. exact_dedup: of texts that are equal without white space one row stays.
@@ -17,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bindings.base import ship
 from studycorpus.llm import bpe, exact, mix, near, quality
-from studycorpus.llm.base import checkpointed
+from studycorpus.llm.base import checkpointed, free_names
 from studycorpus.llm.queries import ACCEPT, VOCABULARY, quality_model
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, score_col="_score").filter(F.col("_score") >= ACCEPT).drop("_score")
+    (name,) = free_names(docs.columns, "_score")
+    return quality.score(docs, model, score_col=name).filter(F.col(name) >= ACCEPT).drop(name)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
