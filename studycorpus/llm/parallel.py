@@ -4,8 +4,8 @@ A text's tokens of A and of B spell the same bytes. Places where tokens of both
 sequences into groups, and the tokens of a group are linked, each of A with each of B.
 
 Galloping intersection. The places are two ascending lists. The shorter one drives: from where
-the last block was found, each of its values takes steps of 1, 2, 4, ... in the longer list
-until it is passed, and the last step is searched by halves. Indices that both lists
+the last leading value (every ``LEAP``-th one) was found, each of its values takes steps of 1, 2, 4, ... in
+the longer list until it is passed, and the last step is searched by halves. Indices that both lists
 share slice the groups; differences of adjacent ranks give the ranges that overlap. The
 texts of a portion lie behind one another in one list, so short texts cost little.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from studycorpus.llm.base import checkpointed, portions, text_of
 
 COMMON = 1 << 18             # pairs that are broadcast: 13 bytes each
-DRIVERS = 4096               # values of the driving list that gallop together
+LEAP = 8                     # values of the driving list from one that is placed first to the next
 LINKS = 1 << 20              # links that are listed at once
 PLAIN = "\u0300"             # letters before this one are the same in every release of Unicode
 
@@ -57,7 +58,9 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-Fa-f]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.a_sizes = np.array([len(x) for x in self.a_bytes])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
-        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        # each id as text with what may follow it in a list of groups: the next id, B's ids, the next group
+        self.width = max(len(self.a_bytes), len(self.b_bytes))
+        self.written = np.array([f"{i}{end}" for end in ",|;" for i in range(self.width)], object)
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -86,39 +89,38 @@ def _pair(*paths: str | None) -> Pair:
     return Pair(*paths)
 
 
-def gallop(short: np.ndarray, long: np.ndarray, drivers: int = DRIVERS) -> tuple[np.ndarray, np.ndarray]:
+def _reached(x: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """For each of the ascending ``x`` the first index of ``long`` whose value is not less. Every
+    ``LEAP``-th value is placed first; the others gallop from the one placed before them."""
+    if len(x) > LEAP:
+        below = np.repeat(_reached(x[::LEAP], long), LEAP)[:len(x)] - 1
+    else:
+        below = np.full(len(x), -1)
+    above, live, step = np.full(len(x), len(long)), np.arange(len(x)), 1
+    while len(live):                          # long[below] < x <= long[above]
+        ahead = below[live] + step
+        passed = long[np.minimum(ahead, len(long) - 1)] >= x[live]
+        passed |= ahead >= len(long)
+        above[live[passed]] = np.minimum(ahead[passed], len(long))
+        live, ahead, step = live[~passed], ahead[~passed], step * 2
+        below[live] = ahead
+    live = np.flatnonzero(above - below > 1)
+    while len(live):
+        middle = (below[live] + above[live]) >> 1
+        less = long[middle] < x[live]
+        below[live[less]] = middle[less]
+        above[live[~less]] = middle[~less]
+        live = live[above[live] - below[live] > 1]
+    return above
+
+
+def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the values that two ascending lists share, in ``short`` and in ``long``."""
-    out_s, out_l, at = [], [], 0
-    for lo in range(0, len(short), drivers):
-        if at >= len(long):
-            break
-        x = short[lo:lo + drivers]
-        below, step, live = np.full(len(x), at - 1), 1, np.arange(len(x))     # long[below] < x
-        above = np.full(len(x), len(long))                                    # long[above] >= x
-        while len(live):
-            ahead = below[live] + step
-            inside = ahead < len(long)
-            passed = ~inside
-            passed[inside] = long[ahead[inside]] >= x[live[inside]]
-            above[live[passed]] = np.minimum(ahead[passed], len(long))
-            below[live[~passed]] = ahead[~passed]
-            live, step = live[~passed], step * 2
-        while True:
-            open_ = np.flatnonzero(above - below > 1)
-            if not len(open_):
-                break
-            middle = (below[open_] + above[open_]) // 2
-            less = long[middle] < x[open_]
-            below[open_[less]] = middle[less]
-            above[open_[~less]] = middle[~less]
-        hit = above < len(long)
-        hit[hit] = long[above[hit]] == x[hit]
-        out_s.append(np.flatnonzero(hit) + lo)
-        out_l.append(above[hit])
-        at = int(above[-1])
-    if not out_s:
+    if not len(short) or not len(long):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_s), np.concatenate(out_l)
+    at = _reached(short, long)
+    hit = np.flatnonzero(long[np.minimum(at, len(long) - 1)] == short)
+    return hit, at[hit]
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +192,7 @@ def align(pair: Pair, texts: list[str]) -> list[tuple]:
             good.append((i, x, y))
     if not good:
         return out
-    a, b = np.array([t for _, x, _ in good for t in x], np.int64), np.array([t for _, _, y in good for t in y], np.int64)
+    a, b = (np.array(list(itertools.chain.from_iterable(r[k] for r in good)), np.int64) for k in (1, 2))
     a_ends, b_ends = np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b])
     at_a, at_b = gallop(a_ends, b_ends) if len(a) <= len(b) else gallop(b_ends, a_ends)[::-1]
     a_first, b_first = np.concatenate([[0], at_a[:-1] + 1]), np.concatenate([[0], at_b[:-1] + 1])
@@ -201,17 +203,20 @@ def align(pair: Pair, texts: list[str]) -> list[tuple]:
     owner, ids, times = linked_pairs(a, b, a_first, b_first, a_many, b_many, doc, width)
     cut = np.searchsorted(owner, np.arange(len(good) + 1))
     links = np.add.reduceat(a_many * b_many, np.concatenate([[0], until[:-1]]))
-    ends_a, ends_b = at_a.tolist(), at_b.tolist()
-    name, g, base_a, base_b = pair.names, 0, 0, 0
+    # the ids in the order in which they are written: group by group, A's before B's
+    stream = np.empty(len(a) + len(b), np.int64)
+    code = a.copy()
+    code[at_a] += pair.width
+    stream[np.arange(len(a)) + np.repeat(b_first, a_many)] = code
+    code = b.copy()
+    code[at_b] += 2 * pair.width
+    stream[np.arange(len(b)) + np.repeat(at_a + 1, b_many)] = code
+    stream = pair.written[stream].tolist()
+    g = at = 0
     for d, (i, x, y) in enumerate(good):
-        xs, ys = [name[t] for t in x], [name[t] for t in y]
-        written, p, q = [], 0, 0
-        for k in range(g, int(until[d])):
-            u, v = ends_a[k] + 1 - base_a, ends_b[k] + 1 - base_b
-            written.append((xs[p] if u == p + 1 else ",".join(xs[p:u])) + "|" + (ys[q] if v == q + 1 else ",".join(ys[q:v])))
-            p, q = u, v
-        out[i] = (len(x), len(y), int(until[d]) - g, int(links[d]), ";".join(written), ids[cut[d]:cut[d + 1]], times[cut[d]:cut[d + 1]])
-        g, base_a, base_b = int(until[d]), base_a + len(x), base_b + len(y)
+        to = at + len(x) + len(y)
+        out[i] = (len(x), len(y), int(until[d]) - g, int(links[d]), "".join(stream[at:to])[:-1], ids[cut[d]:cut[d + 1]], times[cut[d]:cut[d + 1]])
+        g, at = int(until[d]), to
     return out
 
 
