@@ -20,24 +20,31 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
     when nothing new is met; with it, nodes first met beyond are reported with
     state ``max_depth``.
     """
-    links = edges.select("scope", "src", "dst").distinct()
+    spark = edges.sparkSession
+    links = edges.select("scope", "src", "dst")
     if closed is not None:
         links = links.join(closed.select("scope", F.col("node").alias("src")), ["scope", "src"], "left_anti")
-    links = scale.checkpointed(links)   # every level reads them again
-    frontier = scale.checkpointed(seeds.select("scope", "node").distinct())
-    levels = [frontier.withColumn("depth", F.lit(0)).withColumn("state", F.lit("reached"))]
-    visited = frontier
+    links = scale.checkpointed(links)
+    hubs = scale.checkpointed(scale.heavy_keys(links, ["scope", "src"]).withColumn("_hub", F.lit(True)))    # few rows by definition
+    salts = scale.shuffle_width(spark)
+    salt = F.when(F.col("_hub"), F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")).otherwise(0)
+    dealt = scale.Bucketed(spark, ["scope", "src", "_salt"]).add(
+        links.join(F.broadcast(hubs), ["scope", "src"], "left").select("scope", "src", salt.alias("_salt"), "dst"), deal=True)
+    links = dealt.close()
+    visited = scale.Bucketed(spark, ["scope", "node"]).add(
+        seeds.select("scope", "node").distinct().withColumn("depth", F.lit(0)), deal=True)
+    spread = F.explode(F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     for depth in count(1) if max_depth is None else range(1, max_depth + 2):
-        step = (links.join(frontier.withColumnRenamed("node", "src"), ["scope", "src"])
-                     .select("scope", F.col("dst").alias("node")).distinct()
-                     .join(visited, ["scope", "node"], "left_anti"))
-        frontier = scale.checkpointed(step)
+        known = visited.read()
+        frontier = known.filter(F.col("depth") == depth - 1)        # the files of other levels are passed over by their bounds
         if frontier.isEmpty():
             break
-        levels.append(frontier.withColumn("depth", F.lit(depth)).withColumn(
-            "state", F.lit("reached" if max_depth is None or depth <= max_depth else "max_depth")))
-        visited = visited.unionByName(frontier)
-    return reduce(DataFrame.unionByName, levels)
+        frontier = (frontier.select("scope", F.col("node").alias("src")).join(F.broadcast(hubs), ["scope", "src"], "left")
+                            .select("scope", "src", spread.alias("_salt")))
+        met = links.join(frontier, ["scope", "src", "_salt"]).select("scope", F.col("dst").alias("node")).distinct()
+        visited.add(met.join(known.select("scope", "node"), ["scope", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+    state = F.lit("reached") if max_depth is None else F.when(F.col("depth") <= max_depth, "reached").otherwise("max_depth")
+    return visited.close().select("scope", "node", "depth", state.alias("state"))
 
 
 def sync_diff(remote: DataFrame, local: DataFrame, force: bool = False) -> DataFrame:

@@ -41,6 +41,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Bucketed:
+    """A table in the shared folder whose rows stay hashed by ``keys``, so joins on them move
+    only the other side. Rows can be added; ``read`` sees them. The name in the catalog is only
+    needed while rows are added: ``close`` drops it, what was read stays readable."""
+
+    def __init__(self, spark: SparkSession, keys: list[str]):
+        self.spark, self.keys, self.buckets = spark, keys, shuffle_width(spark)
+        self.name = f"table_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/{self.name}"
+
+    def add(self, df: DataFrame, deal: bool = False) -> "Bucketed":
+        """``deal`` hashes the rows first, so that each bucket is one file; rows that come out of a
+        join on the keys lie so already."""
+        rows = df.repartition(self.buckets, *self.keys) if deal else df
+        rows.write.mode("append").bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.name)
+        return self
+
+    def read(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)
+        return self.spark.table(self.name)
+
+    def close(self) -> DataFrame:
+        rows = self.read()
+        self.spark.sql(f"drop table {self.name}")
+        return rows
+
+
+def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with at least ``HEAVY_MIN_ROWS`` rows, the ``HEAVY_KEYS`` largest of them."""
+    return (df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= HEAVY_MIN_ROWS)
+              .orderBy(F.col("_rows").desc()).limit(HEAVY_KEYS).select(*keys))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studycorpus.functions import fixed_values as V, text as T, urls as U
-from studycorpus.operators import chunking, classify, dedup, exams, names, reports, retention, similarity, visual
+from studycorpus.operators import chunking, classify, crawl, dedup, exams, names, reports, retention, similarity, visual
 from studycorpus.plans import scale
 from studycorpus.sources import files, manifests, pages
 from studycorpus.streaming import ingest, throttle
@@ -226,6 +226,67 @@ def test_budget_drops_costliest_first(spark):
     assert retention.size_budget(kept, total, 600).isEmpty()
 
 
+def test_long_chains_are_decided_in_few_steps(spark, monkeypatch):
+    """Rising chains, stars and rings beyond the size of a group, against the sequential choice."""
+    rng = random.Random(6)
+    data = [("chain", f"l{i // 2:04}" if i % 2 == 0 else f"l{i // 2 + 1:04}", f"r{(i + 1) // 2:04}" if i % 2 else f"r{i // 2:04}", 0.7 + i / 10_000) for i in range(800)]
+    data += [("star", "hub", f"r{i}", 0.7 + i / 1000) for i in range(50)]
+    data += [("mesh", f"l{a}", f"r{b}", rng.choice([0.7, 0.8, 0.9])) for a in range(12) for b in range(12) if rng.random() < 0.6]
+    want, used = set(), set()
+    for c, a, b, s in sorted(data, key=lambda r: (-r[3], r[1], r[2])):
+        if (c, a, "l") not in used and (c, b, "r") not in used:
+            used |= {(c, a, "l"), (c, b, "r")}
+            want.add((c, b, a))
+    tables, write = [], scale.checkpointed
+    monkeypatch.setattr(scale, "checkpointed", lambda df: tables.append(1) or write(df))
+    costs = spark.createDataFrame(sorted({(c, x, 1) for c, a, b, _ in data for x in (a, b)}), "course_id string, source_id string, cost long")
+    got = similarity.pick_representatives(spark.createDataFrame(data, "course_id string, left_id string, right_id string, similarity double"), costs,
+                                          rounds=1, group_pairs=5)
+    assert {(r.course_id, r.source_id, r.represented_by) for r in got.collect()} == want
+    assert len(tables) < 130
+
+
+def full_alignment(x, y, gap, limit):
+    """The whole table, by the definition."""
+    n, m = len(x), len(y)
+    cost = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            ways = ([cost[i - 1][j - 1] + (x[i - 1] ^ y[j - 1]).bit_count()] if i and j else []) + ([cost[i - 1][j] + gap] if i else []) + ([cost[i][j - 1] + gap] if j else [])
+            cost[i][j] = min(ways, default=0)
+    i, j, near, left, right = n, m, [], [], []
+    while i or j:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (d := (x[i - 1] ^ y[j - 1]).bit_count()):
+            if d <= limit:
+                near.append(d)
+            else:
+                left.append(i)
+                right.append(j)
+            i, j = i - 1, j - 1
+        elif i and cost[i][j] == cost[i - 1][j] + gap:
+            left.append(i)
+            i -= 1
+        else:
+            right.append(j)
+            j -= 1
+    return near, sorted(left), sorted(right)
+
+
+def test_alignment_in_a_band_equals_the_full_table(monkeypatch):
+    rng = random.Random(8)
+    for band in (0, 1, 16):
+        monkeypatch.setattr(visual, "BAND", band)
+        for _ in range(150):
+            n = rng.randrange(0, 40)
+            m = max(0, n + rng.randrange(-1, 2))
+            x = [rng.getrandbits(64) for _ in range(n)]
+            y = ([v ^ (1 << rng.randrange(64)) for v in x[rng.randrange(4):]] + [rng.getrandbits(64) for _ in range(m)])[:m] if rng.random() < 0.7 else \
+                [rng.getrandbits(64) for _ in range(m)]
+            near, left, right = visual._align(np.array(x, np.uint64), np.array(y, np.uint64), 12, 8)
+            want = full_alignment(x, y, 12, 8)
+            assert (near, left, right) == want
+
+
 # --- exams -----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("label,ctx,kind", [
@@ -639,3 +700,35 @@ def test_publications_of_one_moment(spark, tmp_path):
         manifests.publish_if_valid({"t": spark.createDataFrame([("c", k)], "course_id string, v int")}, str(tmp_path),
                                    lambda t: t["t"].filter("false").selectExpr("course_id", "'error' as severity"), now=now)
     assert rows(manifests.read_current(spark, str(tmp_path), "t"), "v") == [(3,)]
+
+
+def test_reach_keeps_links_in_place(spark, monkeypatch):
+    """Against a breadth-first search, with hubs; no level moves the links or the visited nodes."""
+    rng = random.Random(3)
+    monkeypatch.setattr(scale, "HEAVY_MIN_ROWS", 20)
+    links = [(s, rng.choice([0, 1, rng.randrange(60)]), rng.randrange(60)) for s in "ab" for _ in range(300)]
+    edges = spark.createDataFrame(links, "scope string, src long, dst long")
+    seeds = spark.createDataFrame([("a", 0), ("b", 7), ("b", 7)], "scope string, node long")
+    closed = spark.createDataFrame([("a", 1)], "scope string, node long")
+    want = {}
+    for scope, seed in (("a", 0), ("b", 7)):
+        level, depth = {seed}, 0
+        while level:
+            want.update({(scope, n): depth for n in level})
+            level = {d for s, n, d in links if s == scope and n in level and (s, n) != ("a", 1) and (s, d) not in want}
+            depth += 1
+    plans, add = [], scale.Bucketed.add
+    monkeypatch.setattr(scale.Bucketed, "add", lambda self, df, deal=False: plans.append(df._jdf.queryExecution().executedPlan().toString()) or add(self, df, deal))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.scope, r.node): r.depth for r in crawl.reachable(edges, seeds, closed=closed).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == want
+    for plan in plans[2:]:
+        lines = plan.split("\n")
+        scans = [i for i, line in enumerate(lines) if "Bucketed: true" in line]
+        # links and the visited nodes of the anti join are read by bucket, with nothing but a sort and filters above
+        assert len(scans) >= 2 and plan.count("Exchange hashpartitioning") == 2
+    assert not spark.catalog.listTables(pattern="table_*")
