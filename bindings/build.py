@@ -461,33 +461,73 @@ def incremental_refresh(spark, sf):
 
 # --- validation ------------------------------------------------------------------------------
 
-@query("validate_corpus", f"""with {RECORDS_SQL}, {GAPS_SQL}, n as (select course_id, source_id, doc_id, unnest(range(case when length(clean) <= 4800 then 1
-    else cast(ceil((length(clean) - 4800) / 4300.0) as bigint) + 1 end)) as k from records where status = 'ready'),
- ch as (select course_id, source_id, doc_id, concat(source_id, '_c', lpad(cast(k + 1 as varchar), 4, '0')) as chunk_id from n),
- v as (select * from records where source_type in ('lecture_pdf', 'slide', 'word_document', 'spreadsheet'))
+VALIDATED_SQL = RECORDS_SQL.replace("records as (", "clean_records as (")
+
+
+@query("validate_corpus", f"""with {VALIDATED_SQL},
+ records as (select * replace (case when status = 'ready' and doc_id % 40 = 14 then 'error' else status end as status) from clean_records), {GAPS_SQL},
+ n as (select course_id, source_id, doc_id, grp, unnest(range(case when length(clean) <= 4800 then 1
+    else cast(ceil((length(clean) - 4800) / 4300.0) as bigint) + 1 end)) as k from clean_records where status = 'ready'),
+ ch as (select course_id, source_id, doc_id, grp, concat(source_id, '_c', lpad(cast(k + 1 as varchar), 4, '0')) as chunk_id from n),
+ v as (select * from records where source_type in ('lecture_pdf', 'slide', 'word_document', 'spreadsheet')),
+ g as (select distinct course_id, grp from records where status = 'ready' and starts_with(grp, 'chapter_')),
+ e as (select concat('src', cast(item_id % 20 as varchar)) as course_id, item_id from benchmark)
 select course_id, 'error' as severity, 'chunk_without_source' as rule, chunk_id as subject from ch where doc_id % 40 = 1
 union all select distinct course_id, 'error', 'chunk_missing_source', concat('gone_', source_id) from ch where doc_id % 40 = 2
 union all select course_id, 'error', 'chunk_without_locator', chunk_id from ch where doc_id % 40 = 3
+union all select course_id, 'error', 'chunk_path_missing', concat('chunks/', case when starts_with(grp, 'chapter_') then 'chapters/' else '' end, grp, '/', chunk_id, '.md')
+  from ch where doc_id % 40 = 4
 union all select course_id, 'error', 'ready_without_output', path from records where status = 'ready' and doc_id % 40 = 10
-union all select course_id, 'error', 'copy_not_retained', path from v where status = 'ready' and doc_id % 40 = 12
+union all select course_id, 'error', 'copy_not_retained', path from v where status = 'ready' and doc_id % 40 = 9
 union all select course_id, 'error', 'absolute_path', source_id from records where doc_id % 40 = 13
+union all select course_id, 'error', 'coverage_omits_source', path from records where status = 'error' and doc_id % 80 = 14
+union all select course_id, 'warning', 'source_errors', cast(count(*) as varchar) from records where status = 'error' group by 1
+union all select course_id, 'error', 'unsafe_inventory_path', concat('../', path) from records where status = 'skipped_unsupported' and doc_id % 40 = 7
+union all select course_id, 'error', 'unsafe_inventory_path', concat('/mnt/', path) from records where status = 'skipped_unsupported' and doc_id % 40 = 15
+union all select course_id, 'error', 'chapter_rollup_missing', grp from g where grp = 'chapter_03'
+union all select course_id, 'error', 'chapter_rollup_empty', grp from g where grp = 'chapter_05'
+union all select distinct course_id, 'error', 'metric_differs', 'chunk_count' from records where course_id in ('src1', 'src2')
+union all select distinct course_id, 'error', 'metric_differs', 'viable' from records where course_id = 'src2'
+union all select course_id, 'error', 'exam_source_missing', concat('exams/', cast(item_id as varchar), '.pdf') from e where item_id % 10 = 3
+union all select course_id, 'error', 'cache_path_leaked', cast(item_id as varchar) from e where item_id % 10 = 4
+union all select course_id, 'error', 'absolute_path', cast(item_id as varchar) from e where item_id % 10 = 5
+union all select concat('only_', source_id), 'error', 'not_viable', '' from clean_records where status = 'ready' and doc_id % 40 = 20
 union all select course_id, 'warning', 'unsupported_sources', cast(count(*) as varchar) from records where status = 'skipped_unsupported' group by 1
 union all select course_id, 'warning', 'visual_without_chapter', case when doc_id % 40 = 13 then concat('/home/me/', path) else path end from v where len(chapters) = 0
 union all select course_id, 'warning', 'chapter_gap', cast(chapter as varchar) from gaps""")
 def validate_corpus(spark, sf):
-    """Whole corpus with planted faults."""
+    """Whole corpus with a planted fault for each of the 19 rules."""
     files = documents(spark, sf)
     clean = scale.checkpointed(corpus.build_records(files))
-    number = F.regexp_extract("source_path", r"_doc(\d+)", 1).cast("long") % 40
+    number_in = lambda c: F.regexp_extract(c, r"_doc(\d+)", 1).cast("long")
+    number = number_in("source_path") % 40
     chunks = corpus.build_chunks(clean, files)
-    stored = (chunks.select("course_id", F.col("chunk_path").alias("path"))
+    exams = table(spark, sf, "benchmark", "item_id", "concat('src', cast(item_id % 20 as string)) as course_id", "cast(item_id as string) as stable_id",
+                  "concat(case when item_id % 10 = 5 then '/home/me/' else '' end, 'exams/', cast(item_id as string), '.pdf') as retained_source_path",
+                  "case when item_id % 10 = 4 then 'C:/cache/x' end as cache_path")
+    stored = (chunks.filter(number_in("source_path") % 40 != 4).select("course_id", F.col("chunk_path").alias("path"))
               .unionByName(clean.filter(number != 10).select("course_id", F.col("output_path").alias("path")))
-              .unionByName(clean.filter(number != 12).select("course_id", F.col("source_copy_path").alias("path"))).dropna())
+              .unionByName(clean.filter(number != 9).select("course_id", F.col("source_copy_path").alias("path")))
+              .unionByName(exams.filter("item_id % 10 <> 3").select("course_id", F.col("retained_source_path").alias("path"))).dropna())
     chunks = (chunks.withColumn("source_id", F.when(number == 1, "").when(number == 2, F.concat(F.lit("gone_"), "source_id"))
                                 .otherwise(F.col("source_id")))
-                    .withColumn("locator", F.when(number == 3, "").otherwise(F.col("locator"))))
-    records = clean.withColumn("source_path", F.when(number == 13, F.concat(F.lit("/home/me/"), "source_path")).otherwise(F.col("source_path")))
-    return validate.validate_corpus(records, chunks.drop("source_path"), stored)
+                    .withColumn("locator", F.when(number == 3, "").otherwise(F.col("locator")))).drop("source_path")
+    # courses of one source without any text
+    lone = clean.filter((F.col("status") == "ready") & (number == 20)).withColumn("course_id", F.concat(F.lit("only_"), "source_id")).withColumn("status", F.lit("empty"))
+    records = (clean.withColumn("status", F.when((F.col("status") == "ready") & (number == 14), "error").otherwise(F.col("status")))
+                    .withColumn("source_path", F.when(number == 13, F.concat(F.lit("/home/me/"), "source_path")).otherwise(F.col("source_path")))
+                    .unionByName(lone))
+    records = scale.checkpointed(records)
+    ready, errors = records.filter("status = 'ready'"), records.filter("status = 'error'")
+    unsupported = records.filter("status = 'skipped_unsupported'").select("course_id", F.when(number == 7, F.concat(F.lit("../"), "source_path")).when(
+        number == 15, F.concat(F.lit("/mnt/"), "source_path")).otherwise(F.col("source_path")).alias("path"))
+    coverage = errors.filter(number_in("source_path") % 80 != 14).select("course_id", F.col("source_path").alias("subject"))
+    rollups = (ready.select("course_id", reports.study_group().alias("group")).distinct().filter("group <> 'chapter_03'")
+                    .withColumn("text", F.when(F.col("group") == "chapter_05", " \n").otherwise(reports.group_label("group"))))
+    measured = reports.source_metrics(records, chunks)
+    metrics = measured.withColumn("chunk_count", F.when(F.col("course_id").isin("src1", "src2"), F.col("chunk_count") + 1).otherwise(F.col("chunk_count"))).withColumn(
+        "viable", F.col("viable") != (F.col("course_id") == "src2"))
+    return validate.validate_corpus(records, chunks, stored, unsupported=unsupported, coverage=coverage, rollups=rollups, metrics=metrics, exams=exams)
 
 
 # --- small row operators ------------------------------------------------------------------------

@@ -29,22 +29,41 @@ def _found(df: DataFrame, rule: str, subject: Column | str) -> DataFrame:
                      F.coalesce(value.cast("string"), F.lit("")).alias("subject"))
 
 
-def _row_rules(df: DataFrame, rules: list[tuple[str, Column, str]]) -> DataFrame:
-    """Findings of rules that look at one row each, all in one pass."""
-    hits = F.filter(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"),
-                                                   F.coalesce(F.col(subject).cast("string"), F.lit("")).alias("subject")))
-                              for rule, bad, subject in rules]), lambda h: h.isNotNull())
-    return df.select("course_id", F.explode(hits).alias("h")).select("course_id", "h.severity", "h.rule", "h.subject")
+def _claim(rule: str, bad: Column, subject: Column | str, *refs: tuple[str, Column]) -> Column:
+    """What one row says under a rule: nothing where ``bad`` does not hold, a finding where there are no
+    ``refs``, else a finding unless one of the things that ``refs`` name (kind, key) exists."""
+    subject = F.col(subject) if isinstance(subject, str) else subject
+    listed = [F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key")) for kind, key in refs]
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+    return F.when(bad, F.struct(F.lit(rule).alias("rule"), F.coalesce(subject.cast("string"), F.lit("")).alias("subject"),
+                                (F.filter(F.array(*listed), lambda r: F.coalesce(r["key"], F.lit("")) != "") if refs else none).alias("refs")))
 
 
-def _any_absolute(df: DataFrame, *cols: str) -> Column:
-    return reduce(lambda a, b: a | b, [T.is_absolute(c) for c in cols if c in df.columns])
+def _claims(df: DataFrame, claims: list[Column]) -> DataFrame:
+    """All claims of a table's rows, in one pass over it: ``course_id, rule, subject, refs``."""
+    each = F.explode(F.filter(F.array(*claims), lambda c: c.isNotNull()))
+    return df.select("course_id", each.alias("c")).select("course_id", "c.rule", "c.subject", "c.refs")
+
+
+def _unmet(claims: DataFrame, things: DataFrame) -> DataFrame:
+    """Findings: claims none of whose references exist. ``things``: course_id, kind, key.
+
+    One anti join for all rules. A claim counts how many of its references are missing, and is
+    a finding if all are; claims without a reference go round the join.
+    """
+    numbered = scale.checkpointed(claims.withColumn("claim", F.monotonically_increasing_id()))
+    sure, open_ = numbered.filter(F.size("refs") == 0), numbered.filter(F.size("refs") > 0)
+    rows = open_.select("course_id", "rule", "subject", "claim", F.size("refs").alias("of"), F.explode("refs").alias("r")).select("*", "r.kind", "r.key")
+    missing = rows.join(things, ["course_id", "kind", "key"], "left_anti")
+    # most claims have one reference; only the others are counted
+    several = (missing.filter("of > 1").groupBy("course_id", "rule", "subject", "claim", "of").count().filter(F.col("count") == F.col("of")))
+    parts = [t.select("course_id", "rule", "subject") for t in (sure, missing.filter("of = 1"), several)]
+    severity = reduce(lambda other, r: F.when(F.col("rule") == r[0], r[1]).otherwise(other), SEVERITY.items(), F.lit("error"))
+    return reduce(DataFrame.unionByName, parts).select("course_id", severity.alias("severity"), "rule", "subject")
 
 
-def _missing(df: DataFrame, path: str, stored: DataFrame) -> DataFrame:
-    """Rows whose path is not among the stored ones (course_id, path)."""
-    have = stored.select("course_id", F.col("path").alias(path)).distinct()
-    return df.join(have, ["course_id", path], "left_anti")
+def _any_absolute(df: DataFrame, *cols: str) -> Column:
+    return reduce(lambda a, b: a | b, [T.is_absolute(c) for c in cols if c in df.columns])
 
 
 def validate_corpus(records: DataFrame, chunks: DataFrame, stored: DataFrame, *, visuals: DataFrame | None = None,
@@ -55,56 +74,60 @@ def validate_corpus(records: DataFrame, chunks: DataFrame, stored: DataFrame, *,
 
     ``stored`` lists what a package really holds (course_id, path). The other
     tables are optional; a rule whose table is missing is not checked.
+
+    Each table is passed over once: its rows make claims under all rules that look at it, and
+    those that refer to something (a source, a stored path, a listed subject, a rollup)
+    are settled by one join with everything that exists.
     """
     key = ["course_id", "source_id"]
     # every table is read once: texts become a mark whether they are blank
     kept = [c for c in ("course_id", "source_id", "chunk_id", "chunk_path", "source_path", "locator") if c in chunks.columns]
     chunks = scale.checkpointed(chunks.select(*kept, F.when(T.strip("text") != "", "x").otherwise("").alias("text")))
-    records, stored = scale.checkpointed(records), scale.checkpointed(stored.select("course_id", "path").distinct())
-    found = []
-    ids = records.groupBy(*key).agg(F.count("*").alias("_n"))
-    named = chunks.filter(F.coalesce("source_id", F.lit("")) != "")
-    found.append(_row_rules(chunks, [
-        ("chunk_without_source", F.coalesce("source_id", F.lit("")) == "", "chunk_id"),
-        ("chunk_without_locator", F.coalesce("locator", F.lit("")) == "", "chunk_id"),
-        ("absolute_path", _any_absolute(chunks, "source_path", "chunk_path"), "chunk_id")]))
-    found.append(_row_rules(records, [
-        ("absolute_path", _any_absolute(records, "source_path", "output_path", "source_copy_path"), "source_id"),
-        ("visual_without_chapter", F.col("source_type").isin(*V.VISUAL_TYPES) & (F.size(reports.real_chapters()) == 0), "source_path")]))
-    # unique missing ids: the chunks of one source give one finding
-    orphans = named.groupBy(*key).agg(F.count("*").alias("_c")).join(ids, key, "left_anti")
-    found.append(_found(orphans, "chunk_missing_source", "source_id"))
-    found.append(_found(_missing(chunks.filter(F.coalesce("chunk_path", F.lit("")) != ""), "chunk_path", stored),
-                        "chunk_path_missing", "chunk_path"))
-    ready = records.filter(F.col("status") == "ready")
-    found.append(_found(_missing(ready, "output_path", stored), "ready_without_output", "source_path"))
-
+    records = scale.checkpointed(records)
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    things = [stored.select("course_id", F.lit("path").alias("kind"), F.col("path").alias("key")),
+              records.select("course_id", F.lit("source").alias("kind"), F.col("source_id").alias("key"))]
+    claims = [
+        _claims(chunks, [
+            _claim("chunk_without_source", blank("source_id"), "chunk_id"),
+            _claim("chunk_without_locator", blank("locator"), "chunk_id"),
+            _claim("absolute_path", _any_absolute(chunks, "source_path", "chunk_path"), "chunk_id"),
+            _claim("chunk_path_missing", ~blank("chunk_path"), "chunk_path", ("path", F.col("chunk_path")))]),
+        # the chunks of one source give one finding
+        _claims(chunks.filter(~blank("source_id")).select(*key).distinct(), [
+            _claim("chunk_missing_source", F.lit(True), "source_id", ("source", F.col("source_id")))])]
+
+    ready = F.col("status") == "ready"
+    visual = F.col("source_type").isin(*V.VISUAL_TYPES)
+    decision = F.col("retention_decision")
     # visual originals: kept, represented by a known source, or excused by their text
-    visual = records.filter(F.col("source_type").isin(*V.VISUAL_TYPES) & F.col("status").isin("ready", "visual_only"))
-    lost = _missing(visual, "source_copy_path", stored)
-    known = ids.select("course_id", F.col("source_id").alias("represented_by_source_id"), F.lit(True).alias("_known"))
-    texts = stored.select("course_id", F.col("path").alias("output_path"), F.lit(True).alias("_text")).distinct()
-    lost = scale.lookup_join(lost, known, ["course_id", "represented_by_source_id"]).join(
-        texts, ["course_id", "output_path"], "left")
-    excused = ((F.col("retention_decision") == "OMIT_VERIFIED_DUPLICATE") & F.col("_known")) | (
-        F.col("retention_decision").isin(*EXCUSED_BY_TEXT) & F.col("_text"))
-    found.append(_found(lost.filter(~F.coalesce(excused, F.lit(False))), "copy_not_retained", "source_path"))
-
-    if unsupported is not None:
-        found.append(_found(unsupported.filter(T.is_absolute("path") | T.has_parent_step("path")),
-                            "unsafe_inventory_path", "path"))
+    originals = [("path", F.col("source_copy_path")), ("source", F.when(decision == "OMIT_VERIFIED_DUPLICATE", F.col("represented_by_source_id"))),
+                 ("path", F.when(decision.isin(*EXCUSED_BY_TEXT), F.col("output_path")))]
+    of_records = [
+        _claim("absolute_path", _any_absolute(records, "source_path", "output_path", "source_copy_path"), "source_id"),
+        _claim("visual_without_chapter", visual & (F.size(reports.real_chapters()) == 0), "source_path"),
+        _claim("ready_without_output", ready, "source_path", ("path", F.col("output_path"))),
+        _claim("copy_not_retained", visual & F.col("status").isin("ready", "visual_only"), "source_path", *originals)]
     if coverage is not None:
-        listed = coverage.select("course_id", F.col("subject").alias("source_path")).distinct()
-        open_ = records.filter(F.col("status").isin("error", "link_only"))
-        found.append(_found(open_.join(listed, ["course_id", "source_path"], "left_anti"),
-                            "coverage_omits_source", "source_path"))
+        things.append(coverage.select("course_id", F.lit("covered").alias("kind"), F.col("subject").alias("key")))
+        of_records.append(_claim("coverage_omits_source", F.col("status").isin("error", "link_only"), "source_path", ("covered", F.col("source_path"))))
+    claims.append(_claims(records, of_records))
+    if unsupported is not None:
+        claims.append(_claims(unsupported, [_claim("unsafe_inventory_path", T.is_absolute("path") | T.has_parent_step("path"), "path")]))
     if rollups is not None:
-        need = ready.select("course_id", reports.study_group().alias("group")).filter(
-            F.col("group").startswith("chapter_")).distinct()
-        sizes = rollups.groupBy("course_id", "group").agg(F.max(F.length(T.strip("text"))).alias("_len"))
-        state = need.join(sizes, ["course_id", "group"], "left")
-        found.append(_found(state.filter(F.col("_len").isNull()), "chapter_rollup_missing", "group"))
-        found.append(_found(state.filter(F.col("_len") == 0), "chapter_rollup_empty", "group"))
+        sizes = scale.checkpointed(rollups.groupBy("course_id", "group").agg(F.max(F.length(T.strip("text"))).alias("_len")))
+        things.append(sizes.select("course_id", F.lit("rollup").alias("kind"), F.col("group").alias("key")))
+        need = records.filter(ready).select("course_id", reports.study_group().alias("group")).filter(F.col("group").startswith("chapter_")).distinct()
+        claims.append(_claims(need, [_claim("chapter_rollup_missing", F.lit(True), "group", ("rollup", F.col("group")))]))
+        empty = need.join(sizes.filter("_len = 0"), ["course_id", "group"], "left_semi")      # a row for each chapter of a course
+        claims.append(_claims(empty, [_claim("chapter_rollup_empty", F.lit(True), "group")]))
+    if exams is not None:
+        claims.append(_claims(exams, [
+            _claim("exam_source_missing", ~blank("retained_source_path") & ~F.coalesce(T.is_absolute("retained_source_path"), F.lit(False)),
+                   "retained_source_path", ("path", F.col("retained_source_path"))),
+            _claim("cache_path_leaked", ~blank("cache_path"), "stable_id"),
+            _claim("absolute_path", T.is_absolute("retained_source_path"), "stable_id")]))
+    found = [_unmet(reduce(DataFrame.unionByName, claims), reduce(DataFrame.unionByName, things))]
 
     measured = scale.checkpointed(reports.source_metrics(records, chunks, visuals))
     if metrics is not None:
@@ -112,11 +135,6 @@ def validate_corpus(records: DataFrame, chunks: DataFrame, stored: DataFrame, *,
         differs = F.explode(F.filter(F.array(*[F.when(~F.col(m).eqNullSafe(F.col(f"_s_{m}")), F.lit(m)) for m in METRICS]),
                                      lambda x: x.isNotNull()))
         found.append(_found(wide.select("course_id", differs.alias("metric")), "metric_differs", "metric"))
-    if exams is not None:
-        kept = exams.filter(F.col("retained_source_path").isNotNull())
-        found.append(_found(_missing(kept, "retained_source_path", stored), "exam_source_missing", "retained_source_path"))
-        found.append(_found(exams.filter(F.coalesce("cache_path", F.lit("")) != ""), "cache_path_leaked", "stable_id"))
-        found.append(_found(exams.filter(T.is_absolute("retained_source_path")), "absolute_path", "stable_id"))
     found.append(_found(measured.filter(~F.col("viable")), "not_viable", F.lit("")))
     found.append(_found(measured.filter(F.col("source_error_count") > 0), "source_errors", "source_error_count"))
     found.append(_found(measured.filter(F.col("unsupported_source_count") > 0), "unsupported_sources",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studycorpus.functions import fixed_values as V, text as T, urls as U
-from studycorpus.operators import chunking, classify, crawl, dedup, exams, names, reports, retention, similarity, visual
+from studycorpus.operators import chunking, classify, crawl, dedup, exams, names, reports, retention, similarity, validate, visual
 from studycorpus.plans import scale
 from studycorpus.sources import files, manifests, pages
 from studycorpus.streaming import ingest, throttle
@@ -732,3 +732,21 @@ def test_reach_keeps_links_in_place(spark, monkeypatch):
         # links and the visited nodes of the anti join are read by bucket, with nothing but a sort and filters above
         assert len(scans) >= 2 and plan.count("Exchange hashpartitioning") == 2
     assert not spark.catalog.listTables(pattern="table_*")
+
+
+def test_visual_originals_may_be_excused(spark):
+    """Kept, represented by a known source, or excused by a stored text; each record is judged by its own row."""
+    base = ("slide", "ready", [1], "Chapter 1", "chapter_01", 1)
+    data = [("kept", "copy/a", None, None, "out/a"), ("lost", "copy/x", None, None, "out/b"), ("same", None, "OMIT_VERIFIED_DUPLICATE", "kept", "out/c"),
+            ("same2", None, "OMIT_VERIFIED_DUPLICATE", "unknown", "out/d"), ("text", "copy/y", "MARKDOWN_SUFFICIENT", None, "out/e"),
+            ("text2", "copy/z", "OMIT_BINARY_SIZE_BUDGET", None, "out/none"), ("never", None, None, None, "out/f"), ("never", None, None, None, "out/f")]
+    records = spark.createDataFrame([("c", i, f"p/{i}", *base[:2], copy, out, decision, other, *base[2:]) for i, copy, decision, other, out in data],
+                                    "course_id string, source_id string, source_path string, source_type string, status string, source_copy_path string, "
+                                    "output_path string, retention_decision string, represented_by_source_id string, chapters array<int>, title string, `group` string, chapter int")
+    chunks = spark.createDataFrame([("c", "kept", "k1", None, "1", "text")], "course_id string, source_id string, chunk_id string, chunk_path string, locator string, text string")
+    stored = spark.createDataFrame([("c", p) for p in ("copy/a", *(f"out/{x}" for x in "abcdef"))], "course_id string, path string")
+    found = validate.validate_corpus(records, chunks, stored)
+    got = sorted(r.subject for r in found.filter("rule = 'copy_not_retained'").collect())
+    assert got == ["p/lost", "p/never", "p/never", "p/same2", "p/text2"]
+    assert [r.subject for r in found.filter("rule = 'ready_without_output'").collect()] == ["p/text2"]
+    assert set(validate.SEVERITY) >= {r.rule for r in found.collect()}
