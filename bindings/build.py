@@ -157,8 +157,8 @@ select r.course_id, count(*) as documents_total, count(*) filter (status = 'read
 from records r left join c using (course_id) left join ty using (course_id) left join st using (course_id) group by r.course_id""")
 def corpus_stats(spark, sf):
     files = documents(spark, sf)
-    records = corpus.build_records(files)
-    chunks = corpus.build_chunks(records, files)
+    records = scale.checkpointed(corpus.build_records(files))
+    chunks = corpus.chunk_counts(records, files)
     as_text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(
         e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return reports.corpus_stats(records, chunks).select(
@@ -314,9 +314,21 @@ RENDER_SQL = f"""rendered as (select course_id, source_id, grp, path, doc_id, re
   case when grp like 'chapter_%' then 'chapters/' else '' end, grp, '/', replace(title, ' ', '_'), '__', source_id, '.md') as output_path, text from rendered""")
 def render_docs(spark, sf):
     files = documents(spark, sf)
-    records = corpus.build_records(files)
-    bodies = files.join(records.select("course_id", F.col("source_path").alias("path"), "source_id"), ["course_id", "path"])
-    return manifests.render_docs(records, bodies).drop("group")
+    return manifests.render_docs(corpus.build_records(files), corpus.bodies(files)).drop("group")
+
+
+@query("render_chunks", f"""with {RECORDS_SQL}, d as (select *, replace(regexp_extract(path, '/(.*)\\.', 1), '_', ' ') as title from records where status = 'ready'),
+cut as (select *, unnest(range(case when clean = '' then 0 when length(clean) <= 4800 then 1 else cast(ceil((length(clean) - 4800) / 4300.0) as bigint) + 1 end)) as k from d),
+c as (select *, concat(source_id, '_c', lpad(cast(k + 1 as varchar), 4, '0')) as chunk_id, trim(substring(clean, k * 4300 + 1, 4800), concat(' ', chr(10))) as piece from cut)
+select course_id, source_id, chunk_id, concat('chunks/', case when grp like 'chapter_%' then 'chapters/' else '' end, grp, '/', chunk_id, '.md') as chunk_path,
+ concat('---', chr(10), 'chunk_id: "', chunk_id, '"', chr(10), 'source_id: "', source_id, '"', chr(10), 'title: "', title, '"', chr(10),
+ 'source_path: "', path, '"', chr(10), 'source_type: "', source_type, '"', chr(10), 'priority: ',
+ case source_type when 'slide' then 2 when 'lecture_pdf' then 2 else 1 end, chr(10), 'group: "', grp, '"', chr(10),
+ 'chapter: ', coalesce(cast(chapters[1] as varchar), 'null'), chr(10), 'chapters: [', array_to_string(case when grp = '00_course' then [0] else chapters end, ', '), ']', chr(10),
+ 'locator: "document"', chr(10), '---', chr(10), chr(10), '# ', title, chr(10), chr(10), '**Location:** document', chr(10), chr(10), piece, chr(10)) as text from c""")
+def render_chunks(spark, sf):
+    files = documents(spark, sf)
+    return manifests.render_chunks(corpus.build_chunks(corpus.build_records(files), files)).drop("group")
 
 
 @query("chapter_rollup", f"""with {RECORDS_SQL}, {RENDER_SQL},
@@ -328,8 +340,7 @@ union all select course_id, grp, 0, concat('# ', label, chr(10), chr(10), 'Teach
 def chapter_rollup(spark, sf):
     files = documents(spark, sf)
     records = scale.checkpointed(corpus.build_records(files))
-    bodies = files.join(records.select("course_id", F.col("source_path").alias("path"), "source_id"), ["course_id", "path"])
-    return manifests.chapter_rollup(records, manifests.render_docs(records, bodies)).drop("source_id")
+    return manifests.chapter_rollup(records, manifests.stored_docs(records, corpus.bodies(files))).drop("source_id")
 
 
 @query("manifests_roundtrip", f"""with {RECORDS_SQL} select 'documents' as file, course_id, count(*) as n,

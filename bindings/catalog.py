@@ -169,6 +169,33 @@ union all select p_type, concat('p', p_partkey), 2, name, case when p_partkey %
     when p_partkey between 2000 and 2099 then cast(p_partkey as varchar) else '' end,
   case when b = 1 then 'official' when b = 3 then 'sample' else 'unknown' end from k where exam_type is not null""")
 def exam_context(spark, sf):
+    return exams.exam_context(part_tree(spark, sf)).drop("path_label")
+
+
+@query("exam_candidates", f"""with p as (select p_partkey, p_size, p_type, cast(substring(p_brand, 7) as int) % 5 as b, {FILE} as name from part where p_partkey % 5 <> 0),
+ f as (select *, b in (0, 1, 3) as ctx from p where b <> 4),
+ k as (select *, case when b = 3 then 'midterm' when ctx then coalesce({TYPE_SQL}, 'unknown_exam') else {TYPE_SQL} end as exam_type from f)
+select p_type as root_id, concat('p', p_partkey) as node_id, name as original_name, exam_type from k where exam_type is not null""")
+def exam_candidates(spark, sf):
+    walk = exams.exam_context(part_tree(spark, sf))
+    return exams.exam_candidates(walk).select("root_id", "node_id", "original_name", "exam_type")
+
+
+@query("exam_budget", f"""with p as (select distinct p_type, p_brand, cast(substring(p_brand, 7) as int) % 5 as b, {BRAND} as folder, concat(p_type, '/', p_brand) as fid from part),
+ q as (select *, row_number() over (partition by p_type order by case b when 3 then 0 when 2 then 3 else 1 end, fid) as turn from p where b <> 4),
+ f as (select p_type, p_brand, p_partkey, p_size, {FILE} as name, cast(substring(p_brand, 7) as int) % 5 in (0, 1, 3) as ctx, cast(substring(p_brand, 7) as int) % 5 as b from part),
+ k as (select f.*, case when f.b = 3 then 'midterm' when ctx then coalesce({TYPE_SQL}, 'unknown_exam') else {TYPE_SQL} end as exam_type
+   from f join q on f.p_type = q.p_type and f.p_brand = q.p_brand where q.turn <= 5)
+select distinct p_type as root_id, p_type as node_id, 0 as depth, 'enumerated' as state from p
+union all select p_type, fid, 1, case when turn <= 5 then 'enumerated' else 'node_limit' end from q
+union all select p_type, fid, 1, 'skipped_non_exam_folder' from p where b = 4
+union all select p_type, concat('p', p_partkey), 2, case when p_partkey % 5 = 0 then 'unsupported_item' else 'exam' end from k where exam_type is not null""")
+def exam_budget(spark, sf):
+    """Six folders of each root are opened, the root among them."""
+    return exams.exam_context(part_tree(spark, sf), max_nodes=6).select("root_id", "node_id", "depth", "state")
+
+
+def part_tree(spark, sf):
     part = table(spark, sf, "part")
     fid = F.concat("p_type", F.lit("/"), "p_brand")
     roots = part.select(F.col("p_type").alias("root_id"), F.col("p_type").alias("node_id"), F.lit(None).cast("string").alias("parent_id"),
@@ -177,7 +204,7 @@ def exam_context(spark, sf):
                           F.expr(BRAND).alias("name"), F.lit(True).alias("is_folder")).distinct()
     files = part.select(F.col("p_type").alias("root_id"), F.concat(F.lit("p"), "p_partkey").alias("node_id"), fid.alias("parent_id"),
                         F.expr(FILE).alias("name"), F.lit(False).alias("is_folder"))
-    return exams.exam_context(roots.unionByName(folders).unionByName(files)).drop("path_label")
+    return roots.unionByName(folders).unionByName(files)
 
 
 ASSETS = ("cast(floor(item_id / 10) as int) as course_id", "cast(item_id as string) as stable_id", "case item_id % 3 when 0 then 'midterm' when 1 then 'final' else 'unknown_exam' end as exam_type",

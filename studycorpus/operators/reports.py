@@ -57,6 +57,7 @@ def _value_maps(records: DataFrame, values: list[str]) -> DataFrame:
 def corpus_stats(records: DataFrame, chunks: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Totals per course with counters by type and status, and the chapter groups.
 
+    ``chunks`` are the chunks, or their numbers by source in a column ``chunks``.
     The maps hold every type and status that occurs. There are fewer than 5,000
     possible chapter groups.
     """
@@ -69,7 +70,8 @@ def corpus_stats(records: DataFrame, chunks: DataFrame, links: DataFrame | None
         F.array_sort(F.collect_set(F.when(F.col("group").startswith("chapter_"), F.col("group")))).alias("chapter_groups"))
     maps = _value_maps(records, ["source_type", "status"]).withColumnRenamed("course_id", "_c")
     base = base.join(maps, F.col("course_id").eqNullSafe(F.col("_c"))).drop("_c")
-    counted = chunks.groupBy("course_id").agg(F.count("*").alias("chunks"))
+    number = F.sum("chunks") if "chunks" in chunks.columns else F.count("*")
+    counted = chunks.groupBy("course_id").agg(number.alias("chunks"))
     out = base.join(counted, "course_id", "left")
     if links is not None:
         out = out.join(links.groupBy("course_id").agg(F.count("*").alias("links")), "course_id", "left")

@@ -67,6 +67,20 @@ def build_records(files: DataFrame, body: str = "body", include_references: bool
     return out.select(*RECORD_COLS)
 
 
+def bodies(files: DataFrame, body: str = "body") -> DataFrame:
+    """Texts by source: the id is made from path and type in the scan stage, so nothing is joined."""
+    return prepared(files).select("course_id", "source_id", "path", F.col(body).alias("body"))
+
+
+def chunk_counts(records: DataFrame, files: DataFrame, body: str = "body", size: int = V.CHUNK_MAX_CHARS, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
+    """``course_id, source_id, chunks`` of the ready sources. Texts are cut where they are read and only
+    the numbers travel."""
+    cut = chunking.with_pieces(files.select("course_id", "path", F.col(body).alias("body")), "body", size, overlap)
+    counts = cut.select("course_id", "path", F.size("_pieces").cast("long").alias("chunks"))
+    ready = records.filter(F.col("status") == "ready").select("course_id", "source_id", F.col("source_path").alias("path"))
+    return counts.join(ready, ["course_id", "path"]).select("course_id", "source_id", "chunks")
+
+
 def build_chunks(records: DataFrame, files: DataFrame, body: str = "body", units: DataFrame | None = None,
                  size: int = V.CHUNK_MAX_CHARS, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
     """Chunks of the ready sources with the record columns they cite.

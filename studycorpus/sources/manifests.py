@@ -155,6 +155,12 @@ def render_chunks(chunks: DataFrame) -> DataFrame:
         F.concat(T.strip(text), F.lit("\n")).alias("text"))
 
 
+def stored_docs(records: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``render_docs`` written as a table that stays hashed by source, as the join of records and
+    bodies left it; what is joined to it by source moves no text."""
+    return scale.Bucketed(records.sparkSession, ["course_id", "source_id"]).add(render_docs(records, bodies)).close()
+
+
 def write_rendered(rendered: DataFrame, path: str) -> None:
     """Rendered texts as a table by course and group, not one file per row."""
     rendered.write.mode("overwrite").partitionBy("course_id", "group").parquet(path)
@@ -164,7 +170,8 @@ def chapter_rollup(records: DataFrame, rendered: DataFrame) -> DataFrame:
     """Consolidated chapter texts as ordered parts (course_id, group, part_no, text).
 
     The parts of a group, read in order, are its text; a group of any size is
-    never joined into one value. Part 0 is the heading of the group.
+    never joined into one value. Part 0 is the heading of the group. With ``rendered``
+    from ``stored_docs`` no text is shuffled.
     """
     placed = reports.roadmap_sources(records)
     facts = records.select("course_id", "source_id", F.col("source_path"), F.col("output_path"))
