@@ -78,17 +78,18 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None
     return got
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5,
-             epochs: int = 2, weights: Sequence[float] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """One row per document: ``id_col``, ``size``, ``source_size``, ``target`` (of its source), ``taken``, and ``taken_1`` to ``taken_<epochs>``.
-
-    Sources by code point, null last, have the given weights in turn. ``taken`` is the
-    number of words that the mix takes, repeats counted: ``taken_k`` of the document's
-    first words in pass k. Documents without words take nothing. A table without words has
-    targets of 0. The same rows give the same result in any order; rows that agree in id,
-    source and text are ordered alike, so it does not matter which comes first. More than
-    ``MAX_SOURCES`` sources are an error, for their sums are planned on the driver.
-    """
+def _keyed(rows: DataFrame, by_source: DataFrame, seed: int) -> DataFrame:
+    """Rows ``id, source, h`` with the place of their source and shard, and their order in it."""
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    return (rows.withColumn("key", key).join(F.broadcast(by_source.withColumn("key", key).drop("source")), "key").drop("key")
+                .withColumn("order", F.xxhash64(F.lit(seed), "id", "h"))
+                .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "h"), F.col("shards"))))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, share: float, epochs: int, weights: Sequence[float],
+            seed: int) -> tuple[DataFrame, DataFrame]:
+    """``(rows, by_source)``: narrow rows of the documents with their place in their shard (``at``: the words
+    before them, ``words``: all of the shard) and ``end``, where the shard's quota ends."""
     spark = docs.sparkSession
     text = text_of(text_col)
     narrow = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
@@ -105,10 +106,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     plan = [(i, r["source"], sizes[i], targets[i], blocks[i], min(MAX_SHARDS, max(1, -(-sizes[i] // SHARD_WORDS)))) for i, r in enumerate(sums)]
     by_source = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, blocks long, shards long")
 
-    keyed = (narrow.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-                   .join(F.broadcast(by_source.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")), "key")
-                   .withColumn("order", F.xxhash64(F.lit(seed), "id", "h"))
-                   .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "h"), F.col("shards"))))
+    keyed = _keyed(narrow, by_source, seed)
     shard_sums = keyed.groupBy("source_no", "shard", "blocks").agg(F.sum("size").alias("words"))
 
     def apportion(key, table):
@@ -120,55 +118,86 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     quotas = shard_sums.groupBy("source_no").applyInArrow(apportion, "no int, sh long, words long, quota long")
     before = W.partitionBy("source_no", "shard").orderBy("order", "id", "h").rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    joined = placed.join(quotas, (F.col("source_no") == F.col("no")) & (F.col("shard") == F.col("sh")))
-    end = F.col("quota") * block         # the last block of a shard may be a part of one
-    passes = [F.least(F.col("size"), F.greatest(F.lit(0), end - F.col("words") * k - F.col("at"))).cast("long") for k in range(epochs)]
+    # the last block of a shard may be a part of one
+    joined = placed.join(quotas, (F.col("source_no") == F.col("no")) & (F.col("shard") == F.col("sh"))).withColumn("end", F.col("quota") * block)
+    return joined, by_source
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5,
+             epochs: int = 2, weights: Sequence[float] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """One row per document: ``id_col``, ``size``, ``source_size``, ``target`` (of its source), ``taken``, and ``taken_1`` to ``taken_<epochs>``.
+
+    Sources by code point, null last, have the given weights in turn. ``taken`` is the
+    number of words that the mix takes, repeats counted: ``taken_k`` of the document's
+    first words in pass k. Documents without words take nothing. A table without words has
+    targets of 0. The same rows give the same result in any order; rows that agree in id,
+    source and text are ordered alike, so it does not matter which comes first. More than
+    ``MAX_SOURCES`` sources are an error, for their sums are planned on the driver.
+    """
+    joined, _ = _placed(docs, id_col, text_col, source_col, share, epochs, weights, seed)
+    passes = [F.least(F.col("size"), F.greatest(F.lit(0), F.col("end") - F.col("words") * k - F.col("at"))).cast("long") for k in range(epochs)]
     out = joined.select(F.col("id").alias(id_col), "size", "source_size", "target", *[p.alias(f"taken_{k + 1}") for k, p in enumerate(passes)],
                         F.col("h").alias("text_hash"), F.col("source").alias("source_name"))
     return out.withColumn("taken", sum((F.col(f"taken_{k + 1}") for k in range(1, epochs)), F.col("taken_1")))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars",
-          epochs: int = 2, **options) -> DataFrame:
+          share: float = 1.5, epochs: int = 2, weights: Sequence[float] = WEIGHTS, seed: int = 17) -> DataFrame:
     """The documents of the mix, with their columns: a row for each pass that takes words of one.
 
     A row holds the first ``taken_k`` words with the white space between them; a document
     that is taken whole keeps its text as it is. ``length_col``, if the table has it, is set
     to the new number of characters. Rows that agree in id, source and text are one document
     here, with the words of one of them. Columns may have any names.
+
+    What each pass takes of a shard ends at one document of its order. Only these ends, a row
+    for each shard, meet the documents, which decide where they are read: no text moves, as long
+    as Spark can broadcast the ends (a row for 65,536 words).
     """
-    plan = plan_mix(docs, id_col, text_col, source_col, epochs=epochs, **options)
+    placed, by_source = _placed(docs, id_col, text_col, source_col, share, epochs, weights, seed)
+    same = W.partitionBy("source_no", "shard", "order", "id", "h")
+    firsts = placed.withColumn("at", F.min("at").over(same))
+    ends = []
+    for k in range(epochs):
+        until = F.col("end") - F.col("words") * k
+        last = F.struct("order", "id", "h", F.greatest(F.lit(0), until - F.col("at")).cast("long").alias("n"))
+        ends.append(F.min(F.when(F.col("at") + F.col("size") > until, last)).alias(f"end_{k}"))
+    ends = checkpointed(firsts.groupBy(F.col("source_no").alias("no"), F.col("shard").alias("sh")).agg(*ends))
+
     columns = docs.columns
-    own, source, mark, n, size, parts, *old = free_names(columns, "_id", "_source", "_hash", "_n", "_size", "_parts", *(f"old {c}" for c in columns))
-    wanted = (plan.groupBy(F.col(id_col).alias(own), F.col("source_name").alias(source), F.col("text_hash").alias(mark))
-                  .agg(F.max("size").alias(size), F.array(*[F.max(f"taken_{k + 1}") for k in range(epochs)]).alias(parts))
-                  .filter(F.exists(parts, lambda x: x > 0)))
-    rows = docs.select("*", F.xxhash64(text_of(text_col))).toDF(*old, "hash of the text")
+    old = [f"old {c}" for c in columns]
     was = dict(zip(columns, old))
-    on = [rows[a].eqNullSafe(wanted[b]) for a, b in ((was[id_col], own), (was[source_col], source), ("hash of the text", mark))]
-    joined = rows.join(wanted, on).select(*[F.col(f"`{was[c]}`").alias(c) for c in columns], F.explode(parts).alias(n), size).filter(F.col(n) > 0)
-    whole = F.col(n) >= F.col(size)
+    text = F.coalesce(F.col(was[text_col]).cast("string"), F.lit(""))
+    rows = docs.toDF(*old).withColumn("h", F.xxhash64(text)).withColumn("id", F.col(was[id_col])).withColumn("source", F.col(was[source_col]))
+    rows = _keyed(rows, by_source, seed).join(ends, (F.col("source_no") == F.col("no")) & (F.col("shard") == F.col("sh")))
+    place, everything = F.struct("order", "id", "h"), F.lit(-1).cast("long")
+    takes = []
+    for k in range(epochs):
+        end = F.col(f"end_{k}")
+        mark = F.struct(end["order"].alias("order"), end["id"].alias("id"), end["h"].alias("h"))
+        takes.append(F.when(end.isNull() | (place < mark), everything).when(place == mark, end["n"]).otherwise(F.lit(0)))
+    (n,) = free_names(columns, "_n")
+    taken = rows.select(*[F.col(f"`{was[c]}`").alias(c) for c in columns], F.explode(F.array(*takes)).alias(n)).filter(F.col(n) != 0)
+    # texts without words are never taken
+    taken = taken.filter(F.col(f"`{text_col}`").rlike(WORD))
+    whole = F.col(n) < 0
     schema = StructType(docs.schema.fields)
-    columns = docs.columns
-    names = [f"`{c}`" for c in columns]
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
-        word = re.compile(WORD)
-        for batch in portions(batches, columns.index(text_col)):
-            at = columns.index(text_col)
+        word, at = re.compile(WORD), columns.index(text_col)
+        for batch in portions(batches, at):
             texts = []
-            for text, n, size in zip(*(batch.column(c).to_pylist() for c in (at, batch.num_columns - 2, batch.num_columns - 1))):
-                if n < size:
-                    for k, m in enumerate(word.finditer(text), 1):
-                        if k == n:
-                            text = text[:m.end()]
-                            break
+            for text, most in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                for k, m in enumerate(word.finditer(text), 1):
+                    if k == most:
+                        text = text if word.search(text, m.end()) is None else text[:m.end()]
+                        break
                 texts.append(text)
             cols = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    part = joined.filter(~whole).mapInArrow(shorten, schema)
+    part = taken.filter(~whole).mapInArrow(shorten, schema)
     if length_col in columns:
         part = part.withColumn(length_col, F.length(text_col).cast(schema[length_col].dataType))
-    return joined.filter(whole).select(*names).unionAll(part)
+    return taken.filter(whole).select(*[f"`{c}`" for c in columns]).unionAll(part)

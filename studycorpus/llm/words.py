@@ -13,12 +13,13 @@ import json
 import re
 import unicodedata
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Words longer than this are worked out anew each time instead of being remembered.
 LONG_WORD = 64
 #: Most words that a worker process remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 SPACES = "\t\n\x0b\x0c\r "
 ODD_SPACES = "\x1c\x1d\x1e\x1f"          # gaps for str.split, but not for the library
 
@@ -124,5 +125,6 @@ def memory(*what: str) -> Memory:
     one asks, what the last one remembered is dropped, so a worker never holds two of them."""
     if what not in _held:
         _held.clear()
+        pa.default_memory_pool().release_unused()
         _held[what] = Memory()
     return _held[what]
