@@ -15,12 +15,13 @@ def snapshot(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def source_changes(current: DataFrame, prior: DataFrame) -> DataFrame:
-    """new / changed / removed / reused per (course_id, logical_path)."""
+    """new / changed / removed / reused per (course_id, logical_path). A file whose hash is unknown
+    on both sides counts as reused."""
     key = ["course_id", "logical_path"]
     both = current.select(*key, F.col("sha256").alias("now"), F.lit(True).alias("_c")).join(
         prior.select(*key, F.col("sha256").alias("then"), F.lit(True).alias("_p")), key, "full_outer")
     change = (F.when(F.col("_p").isNull(), "new").when(F.col("_c").isNull(), "removed")
-               .when(F.col("now") == F.col("then"), "reused").otherwise("changed"))
+               .when(F.col("now").eqNullSafe(F.col("then")), "reused").otherwise("changed"))
     return both.select(*key, change.alias("change"))
 
 

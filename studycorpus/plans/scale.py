@@ -88,10 +88,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(tasks)) if tasks else df
 
 
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Names for helper columns that the caller's columns do not have, in any letter case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: str | None = None) -> DataFrame:
     """First ``n`` rows of each key. The filter on the row number lets Spark keep
     only ``n`` rows per key and map task before the shuffle."""
-    name = rank or "_rn"
+    name = rank or unused(df.columns, "_rn")[0]
     out = (df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
              .filter(F.col(name) <= n))
     return out if rank else out.drop(name)
@@ -109,8 +120,9 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     join, which can cut the left side because the right one is a single row.
     """
     row_hash = F.pmod(F.xxhash64(*left.columns), F.lit(shuffle_width(left.sparkSession))).cast("int")
-    lhs = left.withColumn("_salt", F.when(_any_null(keys), -1 - row_hash).otherwise(F.lit(0)))
-    return lhs.join(right.withColumn("_salt", F.lit(0)), [*keys, "_salt"], how).drop("_salt")
+    (salt,) = unused([*left.columns, *right.columns], "_salt")
+    lhs = left.withColumn(salt, F.when(_any_null(keys), -1 - row_hash).otherwise(F.lit(0)))
+    return lhs.join(right.withColumn(salt, F.lit(0)), [*keys, salt], how).drop(salt)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
@@ -121,16 +133,17 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     are spread over as many salts as there are shuffle tasks.
     """
     salts = shuffle_width(left.sparkSession)
+    name, many = unused([*left.columns, *right.columns], "_salt", "_salts")
     heavy = (right.filter(F.col(weight) >= HEAVY_MIN_ROWS)
                   .orderBy(F.col(weight).desc()).limit(HEAVY_KEYS)
-                  .select(*keys, F.lit(salts).alias("_salts")))
+                  .select(*keys, F.lit(salts).alias(many)))
     row_hash = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    salt = F.when(_any_null(keys), -1 - row_hash).when(F.col("_salts").isNull(), F.lit(0)).otherwise(row_hash)
-    lhs = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt).drop("_salts")
+    salt = F.when(_any_null(keys), -1 - row_hash).when(F.col(many).isNull(), F.lit(0)).otherwise(row_hash)
+    lhs = left.join(F.broadcast(heavy), keys, "left").withColumn(name, salt).drop(many)
     rhs = (right.join(F.broadcast(heavy), keys, "left")
-                .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-                .drop("_salts"))
-    return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")
+                .withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(many), F.lit(1)) - 1)))
+                .drop(many))
+    return lhs.join(rhs, [*keys, name], how).drop(name)
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -142,26 +155,29 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     """
     width = shuffle_width(df.sparkSession)
     names = list(sums)
+    part, *helpers = unused([*df.columns, *names], "_part", *(f"{p}{n}" for p in ("_v_", "_t_", "_o_") for n in names), *(f"_k_{k}" for k in keys))
+    value, total, offset = (dict(zip(names, helpers[i * len(names):])) for i in range(3))
+    other = dict(zip(keys, helpers[3 * len(names):]))
     base = df
-    for n, value in sums.items():
-        base = base.withColumn(f"_v_{n}", value)
+    for n, v in sums.items():
+        base = base.withColumn(value[n], v)
     parts = checkpointed(base.repartitionByRange(width, *[F.col(k) for k in keys], *order)
-                             .withColumn("_part", F.spark_partition_id()))
-    inside = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+                             .withColumn(part, F.spark_partition_id()))
+    inside = W.partitionBy(part, *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = parts
     for n in names:
-        local = local.withColumn(n, F.sum(f"_v_{n}").over(inside))
-    totals = parts.groupBy("_part", *keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        local = local.withColumn(n, F.sum(value[n]).over(inside))
+    totals = parts.groupBy(part, *keys).agg(*[F.sum(value[n]).alias(total[n]) for n in names])
+    before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     for n in names:
-        totals = totals.withColumn(f"_o_{n}", F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)))
-    later = totals.filter(" or ".join(f"_o_{n} <> 0" for n in names)).select(
-        "_part", *[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_o_{n}" for n in names])
+        totals = totals.withColumn(offset[n], F.coalesce(F.sum(total[n]).over(before), F.lit(0)))
+    later = totals.filter(reduce(lambda x, y: x | y, [F.col(offset[n]) != 0 for n in names])).select(
+        part, *[F.col(k).alias(other[k]) for k in keys], *[offset[n] for n in names])
     # null-safe keys; the offsets hold at most one row per key and partition
-    on = [local["_part"] == later["_part"]] + [local[k].eqNullSafe(later[f"_k_{k}"]) for k in keys]
+    on = [local[part] == later[part]] + [local[k].eqNullSafe(later[other[k]]) for k in keys]
     out = local.join(later, on, "left")
     cols = [local[c] for c in df.columns if c not in names]
-    return out.select(*cols, *[(local[n] + F.coalesce(later[f"_o_{n}"], F.lit(0))).alias(n) for n in names])
+    return out.select(*cols, *[(local[n] + F.coalesce(later[offset[n]], F.lit(0))).alias(n) for n in names])
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
@@ -176,14 +192,15 @@ def bucket_sums(df: DataFrame, keys: list[str], position: str, value: Column, na
     For integer positions: buckets of ``width`` positions are pre-aggregated, only
     the bucket totals are ordered per key, and the rest happens inside a bucket.
     """
-    rows = df.withColumn("_b", F.floor(F.col(position) / width)).withColumn("_v", value)
-    totals = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    inside = W.partitionBy(*keys, "_b").orderBy(position).rowsBetween(W.unboundedPreceding, -1)
-    return (rows.withColumn("_w", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-                .join(offsets, [*keys, "_b"])
-                .withColumn(name, F.col("_o") + F.col("_w")).drop("_b", "_v", "_o", "_w"))
+    b, v, t, o, w = unused([*df.columns, name], "_b", "_v", "_t", "_o", "_w")
+    rows = df.withColumn(b, F.floor(F.col(position) / width)).withColumn(v, value)
+    totals = rows.groupBy(*keys, b).agg(F.sum(v).alias(t))
+    before = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*keys, b, F.coalesce(F.sum(t).over(before), F.lit(0)).alias(o))
+    inside = W.partitionBy(*keys, b).orderBy(position).rowsBetween(W.unboundedPreceding, -1)
+    return (rows.withColumn(w, F.coalesce(F.sum(v).over(inside), F.lit(0)))
+                .join(offsets, [*keys, b])
+                .withColumn(name, F.col(o) + F.col(w)).drop(b, v, o, w))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:

@@ -176,8 +176,8 @@ def chapter_rollup(records: DataFrame, rendered: DataFrame) -> DataFrame:
     placed = reports.roadmap_sources(records)
     facts = records.select("course_id", "source_id", F.col("source_path"), F.col("output_path"))
     rows = (placed.join(facts, ["course_id", "source_id"])
-                  .join(rendered.select("course_id", "source_id", F.col("text").alias("_t")), ["course_id", "source_id"], "left"))
-    body = F.coalesce(T.strip("_t"), F.lit("_Normalized source document is unavailable._"))
+                  .join(rendered.select("course_id", "source_id", F.col("text").alias("_doc_text")), ["course_id", "source_id"], "left"))
+    body = F.coalesce(T.strip("_doc_text"), F.lit("_Normalized source document is unavailable._"))
     part = F.concat_ws("\n", F.concat(F.lit("## "), "title"), F.lit(""),
                        F.concat(F.lit("Source ID: `"), "source_id", F.lit("`")),
                        F.concat(F.lit("Original material: `"), "source_path", F.lit("`")), F.lit(""), body, F.lit(""),

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from studycorpus.functions import fixed_values as V, text as T, urls as U
-from studycorpus.operators import chunking, classify, crawl, dedup, exams, names, reports, retention, similarity, validate, visual
-from studycorpus.plans import scale
+from studycorpus.operators import chunking, classify, crawl, dedup, exams, names, refresh, reports, retention, similarity, validate, visual
+from studycorpus.plans import corpus, scale
 from studycorpus.sources import files, manifests, pages
 from studycorpus.streaming import ingest, throttle
 
@@ -750,3 +750,60 @@ def test_visual_originals_may_be_excused(spark):
     assert got == ["p/lost", "p/never", "p/never", "p/same2", "p/text2"]
     assert [r.subject for r in found.filter("rule = 'ready_without_output'").collect()] == ["p/text2"]
     assert set(validate.SEVERITY) >= {r.rule for r in found.collect()}
+
+
+def test_helper_columns_never_clash(spark):
+    """Blocks for uneven keys keep columns that are named like their own."""
+    names = ["_rn", "_salt", "_salts", "_part", "_v_n", "_t_n", "_o_n", "_k_k", "_b", "_v", "_t", "_o", "_w"]
+    df = spark.range(40).select((F.col("id") % 3).alias("k"), F.col("id").alias("i"), *[F.concat(F.lit(f"{n} "), "id").alias(n) for n in names])
+    right = df.groupBy("k").agg(F.count("*").alias("heavy"))
+    outs = [scale.first_rows(df, ["k"], ["i"], 5), scale.lookup_join(df, right, ["k"]), scale.salted_join(df, right, ["k"], "heavy"),
+            scale.running(df, ["k"], [F.col("i")], {"n": F.lit(1)}), scale.bucket_sums(df, ["k"], "i", F.lit(1), "sum", width=4)]
+    for out in outs:
+        assert set(df.columns) <= set(out.columns)
+        for r in out.collect():
+            assert all(r[n] == f"{n} {r.i}" for n in names)
+    assert {(r.k, r.i, r.n) for r in outs[3].collect()} == {(i % 3, i, i // 3 + 1) for i in range(40)}
+    assert {(r.k, r.i, r["sum"]) for r in outs[4].collect()} == {(i % 3, i, i // 3) for i in range(40)}
+
+
+def texts_moved(df, column):
+    """Exchanges of a plan whose rows carry a column."""
+    def walk(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        mine = node.nodeName() == "Exchange" and column in [node.output().apply(i).name() for i in range(node.output().size())]
+        return mine + sum(map(walk, children))
+    plan = df._jdf.queryExecution().executedPlan()
+    return walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+
+
+def test_text_stays_put(spark):
+    """Chunk counts move no text; rendered documents move it once and the rollup not again."""
+    rows_ = [("c", f"Ch{i % 4 + 1}/{i:02}_doc{i}.pdf", 9, f"text of document {i} " * 30) for i in range(40)]
+    files = spark.createDataFrame(rows_, "course_id string, path string, size long, body string")
+    records = scale.checkpointed(corpus.build_records(files))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = corpus.chunk_counts(records, files)
+        assert texts_moved(counts, "body") == 0 and counts.count() == 40
+        assert texts_moved(reports.corpus_stats(records, counts), "body") == 0
+        assert texts_moved(manifests.render_docs(records, corpus.bodies(files)), "body") == 1
+        rollup = manifests.chapter_rollup(records, manifests.stored_docs(records, corpus.bodies(files)))
+        assert sum(texts_moved(rollup, c) for c in ("text", "_doc_text")) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    path = f"{scale.shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    manifests.write_rollup(rollup, path)
+    assert rows(spark.read.parquet(path), *rollup.columns) == rows(rollup, *rollup.columns)
+    # each file holds its parts in reading order
+    files_ = {}
+    for r in spark.read.parquet(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at"), "group", "part_no").orderBy("at").collect():
+        files_.setdefault(r.f, []).append((r.group, r.part_no))
+    assert all(parts == sorted(parts) for parts in files_.values())
+
+
+def test_unknown_hashes_on_both_sides_are_reused(spark):
+    old = spark.createDataFrame([("c", "a", None), ("c", "b", "1"), ("c", "d", None)], "course_id string, logical_path string, sha256 string")
+    new = spark.createDataFrame([("c", "a", None), ("c", "b", None), ("c", "e", None)], "course_id string, logical_path string, sha256 string")
+    assert rows(refresh.source_changes(new, old), "logical_path", "change") == [("a", "reused"), ("b", "changed"), ("d", "removed"), ("e", "new")]
