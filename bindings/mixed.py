@@ -14,6 +14,9 @@ from .base import CLEAN_SQL, NORM_SQL, query, table
 DOC_PATH = "concat('Notes/doc', cast(doc_id as string), case doc_id % 4 when 0 then '.txt' when 1 then '.pdf' when 2 then '.pptx' else '.bin' end)"
 PAGE = ("concat('<html><nav>skip</nav><header>x</header><p>Page ', cast(page_id as string), '</p><script>y</script><form><b>f</b></form><div> at ', url, '</div></html>')")
 
+# turns are minutes of a talk
+CUE_TIME = "concat(lpad(cast(cast(floor(turn / 60) as int) as string), 2, '0'), ':', lpad(cast(turn % 60 as string), 2, '0'), ':00.000')"
+
 
 def files(spark, sf, changed: bool = False) -> DataFrame:
     """Files with their bytes. ``changed``: every eleventh document has another text."""
@@ -31,16 +34,22 @@ def files(spark, sf, changed: bool = False) -> DataFrame:
     csv = rows.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "line"))).alias("l")).select(
         F.lit("tables").alias("course_id"), F.concat(F.lit("n"), "s_nationkey", F.lit(".csv")).alias("path"), F.col("s_nationkey").cast("long").alias("size"),
         F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
-    cue = "concat('00:', lpad(cast(turn as string), 2, '0'), ':00.000 --> 00:59:00.000\n', text)"
-    talk = table(spark, sf, "conversations", "conv_id", "turn", f"{cue} as cue").filter("turn < 60").groupBy("conv_id").agg(
+    cue = f"concat({CUE_TIME}, ' --> 99:59:59.000\n', text)"
+    talk = table(spark, sf, "conversations", "conv_id", "turn", f"{cue} as cue").groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "cue"))).alias("l")).select(
         F.lit("talks").alias("course_id"), F.concat(F.lit("c"), "conv_id", F.lit(".vtt")).alias("path"), F.col("conv_id").cast("long").alias("size"),
         F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("l", lambda x: x["cue"]), "\n\n")).alias("text"))
+    web = table(spark, sf, "pages", "'shortcuts' as course_id", "concat('links/Link_', cast(page_id as string), '.url') as path", "cast(page_id as bigint) as size",
+                "concat('[InternetShortcut]\nURL=', url, '\n') as text")
+    broken = table(spark, sf, "pages", "'broken' as course_id", "concat('b', cast(page_id as string), case page_id % 3 when 0 then '.txt' when 1 then '.pdf' else '.bin' end) as path",
+                   "cast(page_id as bigint) as size", "cast(null as string) as text", "case when page_id % 6 = 0 then concat('disk error ', cast(page_id as string)) "
+                   "when page_id % 3 = 1 then 'encrypted' end as error")
     cols = ["course_id", "path", "size", "text"]
     out = docs.select(*cols)
-    for other in (html, plain, video, csv, talk):
+    for other in (html, plain, video, csv, talk, web):
         out = out.unionByName(other.select(*cols))
-    return out.select("course_id", "path", "size", F.encode("text", "UTF-8").alias("content"))
+    out = out.withColumn("error", F.lit(None).cast("string")).unionByName(broken)
+    return out.select("course_id", "path", "size", F.encode("text", "UTF-8").alias("content"), "error")
 
 
 def units(spark, sf, changed: bool = False) -> DataFrame:
@@ -72,8 +81,8 @@ bodies as (select course_id, path, 1 as rank, 'document' as locator, 1 as unit_n
  union all select 'pages', concat('p', page_id, '/content.txt'), 0, 'document', 1, concat('Plain page ', page_id), false from pages where page_id % 3 = 0
  union all select 'tables', concat('n', s_nationkey, '.csv'), 3, concat('row ', row_number() over w), row_number() over w,
    concat('column 1: ', s_suppkey, ' | column 2: ', s_name, chr(10), 'line two'), true from supplier window w as (partition by s_nationkey order by s_suppkey)
- union all select 'talks', concat('c', conv_id, '.vtt'), 6, concat('00:', lpad(cast(turn as varchar), 2, '0'), ':00.000'), turn + 1, trim(regexp_replace(text, '\\s+', ' ', 'g')), true
-   from conversations where turn < 60),
+ union all select 'talks', concat('c', conv_id, '.vtt'), 6, {CUE_TIME}, turn + 1, trim(regexp_replace(text, '\\s+', ' ', 'g')), true
+   from conversations),
 clean as (select *, {CLEAN_SQL.format(c='body')} as t from bodies),
 norm as (select *, {NORM_SQL.format(c='t')} as norm from clean),
 firsts as (select *, first_value(path) over (partition by course_id, norm order by rank, lower(path), path) as fp from norm where not unitary),
@@ -86,7 +95,24 @@ select course_id, path as source_path, status, cast(coalesce(u.units, 0) as bigi
   case when status = 'ready' then coalesce(c.sha256, '') else '' end as sha256 from state left join chunks c using (course_id, path) left join counted u using (course_id, path)
 union all select course_id, path, case when doc_id % 4 = 2 then 'visual_only' else 'skipped_unsupported' end, 0, 0, '' from docs where doc_id % 4 >= 2
 union all select 'pages', concat('p', page_id, '/content.html'), 'skipped_html_duplicate', 0, 0, '' from pages where page_id % 3 = 0
-union all select 'pages', concat('Video ', page_id, '/page.txt'), 'skipped_media_stub', 0, 0, '' from pages where page_id % 3 = 1"""
+union all select 'pages', concat('Video ', page_id, '/page.txt'), 'skipped_media_stub', 0, 0, '' from pages where page_id % 3 = 1
+union all select 'shortcuts', concat('links/Link_', page_id, '.url'), 'link_only', 0, 0, '' from pages
+union all select 'broken', concat('b', page_id, case page_id % 3 when 0 then '.txt' when 1 then '.pdf' else '.bin' end),
+  case when page_id % 3 = 2 then 'skipped_unsupported' else 'error' end, 0, 0, '' from pages"""
+
+
+@query("extracted_links", """select 'shortcuts' as course_id, concat('Link ', page_id) as title, concat('links/Link_', page_id, '.url') as source_path, url from pages""")
+def extracted_links(spark, sf):
+    """Shortcut files of the mixed corpus, as its reports count them."""
+    return extract.extract(files(spark, sf)).links.select("course_id", "title", "source_path", "url")
+
+
+@query("extract_errors", """select concat('b', page_id, case page_id % 3 when 0 then '.txt' else '.pdf' end) as path,
+  case when page_id % 6 = 0 then concat('disk error ', page_id) when page_id % 3 = 1 then 'encrypted' else 'The file could not be read' end as note
+from pages where page_id % 3 <> 2""")
+def extract_errors(spark, sf):
+    """Unreadable files with their reasons."""
+    return extract.extract(files(spark, sf)).statuses.filter("status = 'error'").select("path", "note")
 
 
 @query("corpus_mixed", mixed_sql())

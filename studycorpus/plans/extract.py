@@ -12,15 +12,18 @@ from . import scale
 
 #: Types whose text other tools extract: it arrives as units, or the original alone is kept.
 GIVEN_TYPES = ("lecture_pdf", "reference_pdf", "slide", "word_document", "spreadsheet")
+NOTE_CHARS = 500        # of a reason that is kept
 UNIT_COLS = ["course_id", "source_id", "unit_no", "locator", "text"]
 
 
 class Extracted(NamedTuple):
     """``texts``: course_id, path, size, source_id, body. ``units``: of sources that have
-    some. ``statuses``: course_id, path, status, note of sources that are no text."""
+    some. ``statuses``: course_id, path, status, note of sources that are no text.
+    ``links``: course_id, title, source_path, url, group of shortcut files."""
     texts: DataFrame
     units: DataFrame
     statuses: DataFrame
+    links: DataFrame
 
 
 def extract(files: DataFrame, units: DataFrame | None = None, include_references: bool = False) -> Extracted:
@@ -31,17 +34,29 @@ def extract(files: DataFrame, units: DataFrame | None = None, include_references
     word and sheet files; such a file without units is ``visual_only``. A web page beside a
     ``content.txt`` and a page that only wraps a video get their own status. Bytes of other
     types are never decoded. Contents are read once, in the scan stage, and written as texts.
+
+    A file that should be read and has no content, or whose ``error`` column (if there is one)
+    names a reason, gets status ``error`` with the reason as its note.
     """
     typed = classify.gate_references(classify.classify_sources(files), include_references)
     kind, ext = F.col("source_type"), F.col("ext")
     plain = kind.isin("csv_table", "subtitle") | ((kind == "lms_page") & ext.isin(*V.TEXT_EXTS))
     page = (kind == "lms_page") & ext.isin(*V.HTML_EXTS)
-    raw = F.when(plain, F.col("content"))
+    shortcut = kind == "url"
+    raw = F.when(plain | shortcut, F.col("content"))
+    reason = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    # types that are never extracted, and references that are only listed, cannot fail
+    extracted = F.col("status").isNull() & (plain | page | kind.isin(*GIVEN_TYPES))
+    failed = F.when(extracted, F.coalesce(F.substring(reason, 1, NOTE_CHARS), F.when((plain | page) & F.col("content").isNull(), "The file could not be read")))
     utf8 = F.try_validate_utf8(raw.cast("string"))
     text = F.coalesce(utf8, udfs.decode_legacy(F.when(utf8.isNull(), raw)), pages.stored_text(F.when(page, F.col("content"))))
     # cells and cues keep their own line ends; they are cleaned one by one
     body = F.when(kind.isin("csv_table", "subtitle"), text).otherwise(T.clean_block(text))
-    texts = scale.checkpointed(typed.select("course_id", "path", "size", "source_id", "source_type", "ext", body.alias("body")))
+    texts = scale.checkpointed(typed.select("course_id", "path", "size", "source_id", "source_type", "ext", F.when(~shortcut & failed.isNull(), body).alias("body"),
+                                            F.when(shortcut, text).alias("shortcut"), failed.alias("failed")))
+    links = S.shortcut_links(classify.assign_group(texts.filter("source_type = 'url'").select("course_id", "path", "source_type", F.col("shortcut").alias("text"))))
+    errors = texts.filter("failed is not null").select("course_id", "path", F.lit("error").alias("status"), F.col("failed").alias("note"))
+    texts = texts.drop("shortcut", "failed")
 
     rows = texts.filter("source_type = 'csv_table'").select("course_id", "source_id", "body")
     cues = texts.filter("source_type = 'subtitle'").select("course_id", "source_id", "body")
@@ -74,8 +89,8 @@ def extract(files: DataFrame, units: DataFrame | None = None, include_references
     plain_pages = texts.filter((F.col("source_type") == "lms_page") & F.col("ext").isin(*V.TEXT_EXTS)).select("course_id", "path", "body")
     stubs = dedup.drop_media_stubs(plain_pages, narrow).filter(F.col("status").isNotNull()).select(
         "course_id", "path", "status", F.lit("Tiny activity wrapper; use the media transcript instead").alias("note"))
-    statuses = scale.checkpointed(bare.unionByName(beside).unionByName(stubs))
-    return Extracted(whole, own.select(*UNIT_COLS).unionByName(given), statuses)
+    others = bare.unionByName(beside).unionByName(stubs).join(errors.select("course_id", "path"), ["course_id", "path"], "left_anti")
+    return Extracted(whole, own.select(*UNIT_COLS).unionByName(given), scale.checkpointed(errors.unionByName(others)), links)
 
 
 def unit_counts(units: DataFrame) -> DataFrame:

@@ -32,9 +32,11 @@ def ingest_batch(batch: DataFrame, number: int, path: str, units: DataFrame | No
     spark = batch.sparkSession
     # a path that comes twice in a batch counts once: the later file, then the larger hash
     stamped = batch if "mtime" in batch.columns else batch.withColumn("mtime", F.lit(None).cast("timestamp"))
-    hashed = stamped.select("course_id", "path", "mtime", F.sha2("content", 256).alias("sha256"))
+    # a file without content has a hash of its own here, so that it is kept and reported
+    sha = F.coalesce(F.sha2("content", 256), F.lit(""))
+    hashed = stamped.select("course_id", "path", "mtime", sha.alias("sha256"))
     last = scale.checkpointed(scale.first_rows(hashed, ["course_id", "path"], [F.col("mtime").desc_nulls_last(), F.col("sha256").desc()]).drop("mtime"))
-    batch = (batch.withColumn("sha256", F.sha2("content", 256)).join(last, ["course_id", "path", "sha256"], "left_semi")
+    batch = (batch.withColumn("sha256", sha).join(last, ["course_id", "path", "sha256"], "left_semi")
                   .drop("sha256").dropDuplicates(["course_id", "path"]))
     current = refresh.snapshot(batch)
     prior = _seen(spark, path, number)
