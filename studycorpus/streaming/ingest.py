@@ -3,6 +3,11 @@
 There is no streaming state: what was seen is the ``source_manifest`` table. Every
 batch writes under its own number, the manifest last, so a repeated batch
 overwrites its own rows and nothing else.
+
+The manifest is read as a base, with one row per file, and the batches since: every
+``COMPACT``-th batch writes a new base. Both are laid out by ``SLOTS`` hash slots of the course, and
+a batch reads only the slots of its own courses. So what a batch reads grows neither with the number of
+batches nor with the courses that it does not touch.
 """
 from __future__ import annotations
 
@@ -13,16 +18,44 @@ from ..operators import chunking, refresh
 from ..plans import corpus, extract, scale
 
 TABLES = ("records", "chunks", "source_manifest")
+COMPACT = 16       # batches between two bases
+SLOTS = 64         # hash slots of courses
+_KEPT = ["course_id", "logical_path", "sha256", "batch", "slot"]
 
 
-def _seen(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Latest manifest row per file from the batches before a number."""
+def _slot():
+    return F.pmod(F.xxhash64("course_id"), F.lit(SLOTS)).cast("int").alias("slot")
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        rows = spark.read.parquet(f"{path}/source_manifest")
+        return spark.read.parquet(path)
     except AnalysisException:
         return None
-    if before is not None:
-        rows = rows.filter(F.col("batch") < before)
+
+
+def _manifest(spark: SparkSession, path: str, before: int | None = None, slots: list[int] | None = None) -> DataFrame | None:
+    """Manifest rows from the batches before a number, of some slots: the newest base, and what came since."""
+    rows, base = _table(spark, f"{path}/source_manifest"), _table(spark, f"{path}/manifest_base")
+    if rows is None:
+        return None
+    old = F.lit(True) if before is None else F.col("batch") < before
+    upto = None
+    if base is not None:
+        # partition values only; no file is read
+        known = base.select("upto").distinct() if before is None else base.select("upto").distinct().filter(F.col("upto") < before)
+        upto = known.agg(F.max("upto")).first()[0]
+    rows = rows.filter(old).select(*_KEPT)
+    if upto is not None:
+        rows = rows.filter(F.col("batch") > upto).unionByName(base.filter(F.col("upto") == upto).select(*_KEPT))
+    return rows if slots is None else rows.filter(F.col("slot").isin(slots))
+
+
+def _seen(spark: SparkSession, path: str, before: int | None = None, slots: list[int] | None = None) -> DataFrame | None:
+    """Latest manifest row per file from the batches before a number."""
+    rows = _manifest(spark, path, before, slots)
+    if rows is None:
+        return None
     return rows.groupBy("course_id", "logical_path").agg(F.max_by("sha256", "batch").alias("sha256"), F.max("batch").alias("batch"))
 
 
@@ -39,7 +72,8 @@ def ingest_batch(batch: DataFrame, number: int, path: str, units: DataFrame | No
     batch = (batch.withColumn("sha256", sha).join(last, ["course_id", "path", "sha256"], "left_semi")
                   .drop("sha256").dropDuplicates(["course_id", "path"]))
     current = refresh.snapshot(batch)
-    prior = _seen(spark, path, number)
+    slots = [r[0] for r in current.select(_slot()).distinct().collect()]       # at most ``SLOTS`` numbers
+    prior = _seen(spark, path, number, slots)
     if prior is None:
         todo = current
     else:
@@ -54,8 +88,12 @@ def ingest_batch(batch: DataFrame, number: int, path: str, units: DataFrame | No
     bodies = parts.texts.join(ids, ["course_id", "path"], "left_semi")
     used = parts.units.join(bodies.select("course_id", "source_id"), ["course_id", "source_id"], "left_semi")
     out = {"records": records, "chunks": chunking.chunk_sources(bodies, used), "source_manifest": todo}
-    for name in TABLES:
+    for name in TABLES[:2]:
         out[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+    todo.select("*", _slot()).write.mode("overwrite").partitionBy("slot").parquet(f"{path}/source_manifest/batch={number}")
+    if (number + 1) % COMPACT == 0:
+        base = _seen(spark, path, number + 1).select("*", _slot())
+        base.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/manifest_base/upto={number}")
 
 
 def start(files: DataFrame, path: str, checkpoint: str, available_now: bool = False, units: DataFrame | None = None):

@@ -807,3 +807,33 @@ def test_unknown_hashes_on_both_sides_are_reused(spark):
     old = spark.createDataFrame([("c", "a", None), ("c", "b", "1"), ("c", "d", None)], "course_id string, logical_path string, sha256 string")
     new = spark.createDataFrame([("c", "a", None), ("c", "b", None), ("c", "e", None)], "course_id string, logical_path string, sha256 string")
     assert rows(refresh.source_changes(new, old), "logical_path", "change") == [("a", "reused"), ("b", "changed"), ("d", "removed"), ("e", "new")]
+
+
+def test_ingest_reads_a_base_and_what_came_since(spark, monkeypatch):
+    """Batches give the same corpus with and without bases, and read only the slots of their courses."""
+    rng = random.Random(12)
+    drops = [[(f"c{c}", f"n{rng.randrange(6)}.txt", 5, f"text {rng.randrange(3)} of course {c}".encode()) for c in rng.sample(range(5), 3) for _ in range(2)] for _ in range(3)]
+    got = {}
+    for compact in (2, 100):
+        monkeypatch.setattr(ingest, "COMPACT", compact)
+        path = f"{scale.shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+        for number, drop in enumerate(drops):
+            batch = spark.createDataFrame(drop, "course_id string, path string, size long, content binary")
+            for _ in range(1 + (number == 1)):          # a repeated batch, right where a base was written
+                ingest.ingest_batch(batch, number, path)
+        records, chunks = ingest.current_corpus(spark, path)
+        got[compact] = rows(records, "course_id", "source_path", "status", "text_key"), rows(chunks, "course_id", "chunk_id", "text")
+    assert got[2] == got[100]
+    ingest.ingest_batch(spark.createDataFrame(drops[0], "course_id string, path string, size long, content binary"), 99, path)      # writes a base up to 99
+    later = [("c1", "late.txt", 5, b"late")]
+    ingest.ingest_batch(spark.createDataFrame(later, "course_id string, path string, size long, content binary"), 100, path)
+    slot = spark.createDataFrame([("c1",)], "course_id string").select(ingest._slot()).first()[0]
+    read = ingest._manifest(spark, path, 101, [slot])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in read
+    latest = ingest._seen(spark, path, 101, [slot]).filter("course_id = 'c1' and logical_path = 'late.txt'")
+    assert [r.batch for r in latest.collect()] == [100]
+    assert all(int(re.search("batch=(\\d+)", f)[1]) == 100 for f in _files_of(ingest._manifest(spark, path, 101, [slot])) if "source_manifest" in f)
+
+
+def _files_of(df):
+    return {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
