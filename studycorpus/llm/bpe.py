@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from studycorpus.llm.base import free_names, portions, text_of
 from studycorpus.llm.words import LONG_WORD, Words, memory, words
 
+REMEMBERED = 80_000        # words whose ids a worker process remembers
 CHUNK = 50_000           # new words that are encoded together
 
 
@@ -155,7 +156,7 @@ def encode_texts(path: str, texts: list[str]) -> Iterator[bytes]:
     for at in range(0, len(texts), 512):
         lists = [w.split(t) for t in texts[at:at + 512]]
         distinct = set().union(*lists)
-        known.room(distinct)
+        known.room(distinct, REMEMBERED)
         known.update(new := word_ids(path, distinct, known))
         for words_ in lists:
             yield b"".join(map(known.__getitem__, words_))

@@ -93,3 +93,19 @@ def test_query_on_a_table(spark):
     want = dict(zip([r.doc_id for r in rows], plain([r.text for r in rows])))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op3_repeats"](spark, sf).collect()}
     assert got == want
+
+
+def test_a_flush_of_the_sort_is_small():
+    """Text of the size of a flush takes at most 60 MB over the start."""
+    import random
+    import tracemalloc
+    rng = random.Random(1)
+    line = bytes(rng.randrange(97, 123) for _ in range(120))
+    around = lambda: bytes(rng.randrange(97, 123) for _ in range(90))
+    runs = [around() + line + around() for _ in range(repeats.SORT_BYTES // 300)]
+    tracemalloc.start()
+    try:
+        assert not any(m.any() for m in repeats.repeated_windows(runs, [False] * len(runs)))
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
