@@ -94,7 +94,7 @@ def matched_candidates(spark, sf):
 LABEL = "concat('L0', cast(p_size as string), '_', p_name, ' (co', cast(1000 + p_partkey as string), ') ', p_brand)"
 
 
-@query("code_of", f"""select p_partkey, {LABEL} as name, concat('CO', 1000 + p_partkey) as course_code,
+@query("code_of", f"""select p_partkey, {LABEL} as name, upper(nullif(regexp_extract({LABEL}, '(?i)(?:^|[^A-Z0-9])([A-Z]{{2,4}}[0-9]{{3,6}})(?:[^A-Z0-9]|$)', 1), '')) as course_code,
  regexp_extract(upper(regexp_replace({LABEL}, '[^A-Za-z0-9]', '', 'g')), '[A-Z]{{1,5}}\\d{{3,5}}') as catalog_code from part""")
 def code_of(spark, sf):
     return classify.code_of(table(spark, sf, "part", "p_partkey", f"{LABEL} as name"), "name")
