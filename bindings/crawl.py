@@ -18,11 +18,17 @@ SITE = "https://lms.example.edu"
 
 # --- pages ---------------------------------------------------------------------------
 
-@query("page_text", """with a as (select page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)', 1),
+# character references end with a semicolon or, as HTML allows for these, without one
+UNESCAPED = "{t}"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    UNESCAPED = f"regexp_replace({UNESCAPED}, '&{_name};?', '{_char}', 'g')"
+
+
+@query("page_text", f"""with a as (select page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)', 1),
    '(?s)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>|<!--.*?-->', ' ', 'g'), '<[^>]+>', chr(1), 'g') as t from pages),
- b as (select page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as t from a),
+ b as (select page_id, {UNESCAPED.format(t='t')} as t from a),
  c as (select page_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x, concat(' ', chr(10)))), lambda x: x <> '') as p from b)
-select page_id, regexp_replace(regexp_replace(array_to_string(p, chr(10)), ' {2,}', ' ', 'g'), ' *\\n *', chr(10), 'g') as text from c""")
+select page_id, regexp_replace(regexp_replace(array_to_string(p, chr(10)), ' {{2,}}', ' ', 'g'), ' *\\n *', chr(10), 'g') as text from c""")
 def page_text(spark, sf):
     return pages.page_text(table(spark, sf, "pages", "page_id", "html"))
 
