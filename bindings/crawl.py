@@ -62,7 +62,7 @@ def follow_links(spark, sf):
 @query("page_outline", f"""with {LINKS_SQL}, o as (select page_id, label, concat(root, p) as url, case when p like '/pluginfile%' then 'pluginfile' else 'page' end as mod_type,
    row_number() over (partition by page_id order by pos) as activity_order from d where rn = 1 and (p like '/pluginfile%' or p like '/mod/page/%'))
 select p.page_id, 0 as section_idx, 'Menu' as section_title, o.activity_order, o.label as activity_name, o.url, o.mod_type from pages p left join o using (page_id)
-union all select page_id, 1, trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), ' {2,}', ' ', 'g')), null, null, null, null from pages""")
+union all select page_id, 1, trim(regexp_replace({UNESCAPED.format(t="regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}, ' {{2,}}', ' ', 'g')), null, null, null, null from pages""")
 def page_outline(spark, sf):
     """The list and the article become the two sections of a course page."""
     html = F.replace(F.replace(F.regexp_replace(F.regexp_replace(
