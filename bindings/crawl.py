@@ -232,8 +232,23 @@ def sorted_courses(spark, sf):
 PARENT = "concat('n', cast(c_nationkey as string), case when c_custkey % 6 = 4 then 'L' else 'M' end)"
 
 
-@query("resolve_roots", f"""select cast(c_custkey as varchar) as course_id, case c_custkey % 6 when 0 then 'exact' when 1 then 'metadata' when 2 then 'ambiguous' when 3 then 'metadata' when 4 then 'legacy' else 'missing' end as resolution,
- case c_custkey % 6 when 0 then c_name when 1 then concat('x', c_custkey) when 3 then concat('y', c_custkey) when 4 then c_name end as folder from customer""")
+@query("resolve_roots", f"""with base as (select c_custkey, c_custkey % 6 as k, {PARENT} as parent, c_name, concat('https://lms.example.edu/course/view.php?id=', c_custkey) as url from customer),
+ folders as (select parent, c_name as folder, url, null as name, true as meta from base where k = 0
+  union all select parent, concat('x', c_custkey), url, null, true from base where k in (1, 2)
+  union all select parent, concat('z', c_custkey), url, null, true from base where k = 2
+  union all select parent, concat('y', c_custkey), null, lower(c_name), true from base where k = 3
+  union all select parent, c_name, null, null, false from base where k = 4
+  union all select parent, c_name, concat(url, '9'), null, true from base where k = 5),
+ u as (select parent, url, count(distinct folder) as n, min(folder) as f from folders where url is not null group by all),
+ m as (select parent, name, count(distinct folder) as n, min(folder) as f from folders where name is not null group by all),
+ own as (select distinct parent, folder, coalesce(url, name) as own from folders where meta),
+ plain as (select distinct parent, folder from folders where not meta and parent not in (select parent from folders where meta)),
+ r as (select b.*, o1.own is not null or o2.own is not null as exact, coalesce(u.n, 0) + coalesce(m.n, 0) as n, coalesce(u.f, m.f) as f, plain.folder is not null as legacy
+  from base b left join u on u.parent = b.parent and u.url = b.url left join m on m.parent = b.parent and m.name = lower(b.c_name)
+   left join own o1 on o1.parent = b.parent and o1.folder = b.c_name and o1.own = b.url left join own o2 on o2.parent = b.parent and o2.folder = b.c_name and o2.own = lower(b.c_name)
+   left join plain on plain.parent = b.parent and plain.folder = b.c_name)
+select cast(c_custkey as varchar) as course_id, case when exact then 'exact' when n = 1 then 'metadata' when n > 1 then 'ambiguous' when legacy then 'legacy' else 'missing' end as resolution,
+ case when exact then c_name when n = 1 then f when n = 0 and legacy then c_name end as folder from r""")
 def resolve_roots(spark, sf):
     """Folders planted per customer: named, by URL, doubled, by old name, bare, none."""
     base = table(spark, sf, "customer", "c_custkey", f"{PARENT} as parent", "c_name",

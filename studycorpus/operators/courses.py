@@ -23,23 +23,24 @@ def resolve_roots(courses: DataFrame, folders: DataFrame) -> DataFrame:
                    .withColumn("_folder", F.nullif(T.safe_name("name", 150), F.lit("untitled"))))
     meta = folders.filter("has_metadata").withColumn("_url", F.nullif(F.trim("root_course_url"), F.lit("")))
     by_url = (meta.filter(F.col("_url").isNotNull()).withColumn("_url", U.canonical_course("_url"))
-                  .groupBy("parent", "_url").agg(F.count("*").alias("_n_url"), F.min("folder").alias("_f_url")))
+                  .groupBy("parent", "_url").agg(F.countDistinct("folder").alias("_n_url"), F.min("folder").alias("_f_url")))
     by_name = (meta.filter(F.col("_url").isNull()).withColumn("_name", F.nullif(name_key("root_course"), F.lit("")))
                    .filter(F.col("_name").isNotNull())
-                   .groupBy("parent", "_name").agg(F.count("*").alias("_n_name"), F.min("folder").alias("_f_name")))
+                   .groupBy("parent", "_name").agg(F.countDistinct("folder").alias("_n_name"), F.min("folder").alias("_f_name")))
+    # a folder may be listed more than once: each fact about it is one row
     own_url = meta.filter(F.col("_url").isNotNull()).select(
-        "parent", F.col("folder").alias("_folder"), U.canonical_course("_url").alias("_own_url"))
+        "parent", F.col("folder").alias("_folder"), U.canonical_course("_url").alias("_url"), F.lit(True).alias("_own_url")).distinct()
     own_name = meta.filter(F.col("_url").isNull()).select(
-        "parent", F.col("folder").alias("_folder"), name_key("root_course").alias("_own_name"))
-    plain = folders.filter("not has_metadata").select("parent", F.col("folder").alias("_folder"), F.lit(True).alias("_plain"))
+        "parent", F.col("folder").alias("_folder"), name_key("root_course").alias("_name"), F.lit(True).alias("_own_name")).distinct()
+    plain = folders.filter("not has_metadata").select("parent", F.col("folder").alias("_folder"), F.lit(True).alias("_plain")).distinct()
     siblings = meta.groupBy("parent").agg(F.lit(True).alias("_siblings"))
-    rows = scale.lookup_join(want, own_url.unionByName(own_name, True), ["parent", "_folder"])
+    rows = scale.lookup_join(want, own_url, ["parent", "_folder", "_url"])
+    rows = scale.lookup_join(rows, own_name, ["parent", "_folder", "_name"])
     rows = scale.lookup_join(rows, plain, ["parent", "_folder"])
     rows = scale.lookup_join(rows, by_url, ["parent", "_url"])
     rows = scale.lookup_join(rows, by_name, ["parent", "_name"])
     rows = scale.lookup_join(rows, siblings, ["parent"])
-    exact = F.coalesce(F.col("_own_url") == F.col("_url"), F.lit(False)) | F.coalesce(
-        F.col("_own_name") == F.col("_name"), F.lit(False))
+    exact = F.col("_own_url").isNotNull() | F.col("_own_name").isNotNull()
     n = F.coalesce("_n_url", F.lit(0)) + F.coalesce("_n_name", F.lit(0))
     legacy = F.col("_plain") & F.col("_siblings").isNull()
     how = (F.when(exact, "exact").when(n == 1, "metadata").when(n > 1, "ambiguous")
