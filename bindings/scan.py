@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from studycorpus.functions import text as T
 from studycorpus.plans import scale
@@ -17,10 +17,18 @@ from .base import CLEAN_SQL, EXT, PATH, RECORDS_SQL, documents, query, table
 def scan_files(spark, sf):
     """The documents as one file each, in folders of courses, scanned with their bytes."""
     root = f"{scale.shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    table(spark, sf, "documents", "source as course", "doc_id as doc", "text").repartition("doc").write.partitionBy("course", "doc").text(root)
+    # a folder for each document would cost more than its file: a task writes its rows to files that it
+    # numbers course by course, so its number and theirs name the document
+    tasks = scale.shuffle_width(spark)
+    docs = table(spark, sf, "documents", "source as course", "doc_id as doc", "text", f"cast(pmod(xxhash64(doc_id), {tasks}) as int) as part")
+    (docs.repartitionById(tasks, F.col("part")).sortWithinPartitions("course", "doc").select("course", "text")
+         .write.option("maxRecordsPerFile", 1).partitionBy("course").text(root))
     out = files.scan_files(spark, root, course_depth=1, content=True)
-    return out.select("course_id", F.regexp_extract("path", r"doc=(\d+)/", 1).cast("long").alias("doc_id"), "ext", "size",
-                      F.sha2("content", 256).alias("sha256"))
+    name = lambda n: F.regexp_extract("path", r"part-(\d+)-.*c(\d+)\.txt$", n).cast("int")
+    scanned = out.select("course_id", name(1).alias("part"), name(2).alias("no"), "ext", "size", F.sha2("content", 256).alias("sha256"))
+    numbers = docs.select(F.concat(F.lit("course="), "course").alias("course_id"), "part", F.col("doc").alias("doc_id"),
+                          (F.row_number().over(W.partitionBy("course", "part").orderBy("doc")) - 1).alias("no"))
+    return scanned.join(numbers, ["course_id", "part", "no"]).select("course_id", "doc_id", "ext", "size", "sha256")
 
 
 RAW = "concat('Số ', cast(doc_id as string), chr(10), '  ', text, '  ')"
