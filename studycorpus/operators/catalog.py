@@ -7,6 +7,7 @@ from ..functions import text as T, urls as U
 from ..plans import scale
 
 BUCKET = 4096
+PAIRS_PER_SALT = 1_000_000   # pairs of a course and a candidate of one key that a task gets
 
 
 def fill_down(rows: DataFrame, table: list[str], position: str, cols: list[str]) -> DataFrame:
@@ -107,11 +108,23 @@ def match_catalog(courses: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def matched_candidates(matches: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates behind each decision; as long as the decisions say."""
+    """Candidates behind each decision; as long as the decisions say.
+
+    A key may lead many courses to many candidates. Its courses are spread over as many salts
+    as keep a salt at about ``PAIRS_PER_SALT`` pairs; only its candidates are copied.
+    """
     keys = F.explode(F.array(F.struct(F.lit("code").alias("match_on"), F.col("code").alias("match_value")),
                              F.struct(F.lit("name").alias("match_on"), F.col("name_key").alias("match_value"))))
+    on = ["match_on", "match_value"]
     wide = candidates.select("code", "name_key", keys.alias("k")).select("code", "name_key", "k.*")
-    return matches.select("course_id", "status", "match_on", "match_value").join(wide, ["match_on", "match_value"])
+    found = matches.filter(F.col("match_value").isNotNull()).select("course_id", "status", *on, "n_candidates")
+    salts = found.groupBy(*on).agg(F.least(F.lit(scale.shuffle_width(matches.sparkSession)), F.ceil(F.sum("n_candidates") / PAIRS_PER_SALT)).cast("int").alias("_salts"))
+    many = scale.checkpointed(salts.filter("_salts > 1"))
+    lhs = scale.lookup_join(found, many, on).withColumn("_salt", F.pmod(F.xxhash64("course_id"), F.coalesce("_salts", F.lit(1))).cast("int"))
+    rhs = scale.lookup_join(wide, many, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    # the rows of the join are many times those that go in, so its tasks are not merged by their input
+    lhs = lhs.select("course_id", "status", *on, "_salt").repartition(scale.shuffle_width(matches.sparkSession), *on, "_salt")
+    return lhs.join(rhs.drop("_salts"), [*on, "_salt"]).drop("_salt")
 
 
 def catalog_codes(rows: DataFrame) -> DataFrame:
