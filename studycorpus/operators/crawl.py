@@ -15,21 +15,19 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
               closed: DataFrame | None = None) -> DataFrame:
     """Every node once, at its smallest depth from its seed's scope.
 
-    ``edges``: scope, src, dst. ``seeds``: scope, node. ``closed`` (scope, node)
-    are nodes that are met but never entered. Without ``max_depth`` the walk ends
-    when nothing new is met; with it, nodes first met beyond are reported with
-    state ``max_depth``.
+    ``edges``: scope, src, dst; without scope they hold in every scope, and are kept
+    once. ``seeds``: scope, node. ``closed`` (scope, node) are nodes that are met but never
+    entered. Without ``max_depth`` the walk ends when nothing new is met; with it, nodes first
+    met beyond are reported with state ``max_depth``.
     """
     spark = edges.sparkSession
-    links = edges.select("scope", "src", "dst")
-    if closed is not None:
-        links = links.join(closed.select("scope", F.col("node").alias("src")), ["scope", "src"], "left_anti")
-    links = scale.checkpointed(links)
-    hubs = scale.checkpointed(scale.heavy_keys(links, ["scope", "src"]).withColumn("_hub", F.lit(True)))    # few rows by definition
+    at = [c for c in ("scope", "src") if c in edges.columns]
+    links = scale.checkpointed(edges.select(*at, "dst"))
+    hubs = scale.checkpointed(scale.heavy_keys(links, at).withColumn("_hub", F.lit(True)))    # few rows by definition
     salts = scale.shuffle_width(spark)
     salt = F.when(F.col("_hub"), F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")).otherwise(0)
-    dealt = scale.Bucketed(spark, ["scope", "src", "_salt"]).add(
-        links.join(F.broadcast(hubs), ["scope", "src"], "left").select("scope", "src", salt.alias("_salt"), "dst"), deal=True)
+    dealt = scale.Bucketed(spark, [*at, "_salt"]).add(
+        links.join(F.broadcast(hubs), at, "left").select(*at, salt.alias("_salt"), "dst"), deal=True)
     links = dealt.close()
     visited = scale.Bucketed(spark, ["scope", "node"]).add(
         seeds.select("scope", "node").distinct().withColumn("depth", F.lit(0)), deal=True)
@@ -39,9 +37,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
         frontier = known.filter(F.col("depth") == depth - 1)        # the files of other levels are passed over by their bounds
         if frontier.isEmpty():
             break
-        frontier = (frontier.select("scope", F.col("node").alias("src")).join(F.broadcast(hubs), ["scope", "src"], "left")
+        if closed is not None:
+            frontier = frontier.join(closed.select("scope", "node"), ["scope", "node"], "left_anti")
+        frontier = (frontier.select("scope", F.col("node").alias("src")).join(F.broadcast(hubs), at, "left")
                             .select("scope", "src", spread.alias("_salt")))
-        met = links.join(frontier, ["scope", "src", "_salt"]).select("scope", F.col("dst").alias("node")).distinct()
+        met = links.join(frontier, [*at, "_salt"]).select("scope", F.col("dst").alias("node")).distinct()
         visited.add(met.join(known.select("scope", "node"), ["scope", "node"], "left_anti").withColumn("depth", F.lit(depth)))
     state = F.lit("reached") if max_depth is None else F.when(F.col("depth") <= max_depth, "reached").otherwise("max_depth")
     return visited.close().select("scope", "node", "depth", state.alias("state"))

@@ -35,3 +35,16 @@ def test_candidates_of_one_key_are_spread(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_links_of_all_scopes_are_kept_once(spark, monkeypatch):
+    from studycorpus.operators import crawl
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "b"), ("c", "d"), ("d", "e")] + [("b", f"h{i}") for i in range(40)]
+    plain = spark.createDataFrame(edges, "src string, dst string")
+    scoped = plain.withColumn("scope", F.explode(F.array(F.lit("s"), F.lit("t"))))
+    seeds = spark.createDataFrame([("s", "a"), ("t", "x")], "scope string, node string")
+    closed = spark.createDataFrame([("t", "c")], "scope string, node string")
+    monkeypatch.setattr(scale, "HEAVY_MIN_ROWS", 20)
+    got = sorted(map(tuple, crawl.reachable(plain, seeds, None, closed).collect()))
+    assert ("s", "d", 3, "reached") in got and not {"a", "d"} & {node for scope, node, _, _ in got if scope == "t"}
+    assert got == sorted(map(tuple, crawl.reachable(scoped, seeds, None, closed).collect()))
