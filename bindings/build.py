@@ -211,7 +211,7 @@ select course_id, count(*) filter (status = 'ready') as ready_source_count, cast
 def source_metrics(spark, sf):
     files = documents(spark, sf)
     records = corpus.build_records(files)
-    chunks = corpus.build_chunks(records, files)
+    chunks = corpus.build_chunks(records, files, texts=False)
     number = F.regexp_extract("source_path", r"_doc(\d+)", 1).cast("long")
     return reports.source_metrics(records, chunks, records.filter(number % 3 == 0))
 
@@ -512,7 +512,7 @@ def validate_corpus(spark, sf):
     clean = scale.checkpointed(corpus.build_records(files))
     number_in = lambda c: F.regexp_extract(c, r"_doc(\d+)", 1).cast("long")
     number = number_in("source_path") % 40
-    chunks = corpus.build_chunks(clean, files)
+    chunks = scale.checkpointed(corpus.build_chunks(clean, files, texts=False))
     exams = table(spark, sf, "benchmark", "item_id", "concat('src', cast(item_id % 20 as string)) as course_id", "cast(item_id as string) as stable_id",
                   "concat(case when item_id % 10 = 5 then '/home/me/' else '' end, 'exams/', cast(item_id as string), '.pdf') as retained_source_path",
                   "case when item_id % 10 = 4 then 'C:/cache/x' end as cache_path")

@@ -63,6 +63,13 @@ def pieces(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
     return T.unnest(cut, keep, "_pieces", "pos", "text")
 
 
+def piece_marks(df: DataFrame, text: str, size: int = V.CHUNK_MAX_CHARS, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
+    """Replace a text by ``_marks``: for each of its pieces ``x``, or nothing if the piece is blank. Made
+    where the text is read, so no text travels."""
+    cut = with_pieces(df, text, size, overlap)
+    return cut.withColumn("_marks", F.transform("_pieces", lambda p: F.when(T.strip(p) != "", "x").otherwise(""))).drop("_pieces")
+
+
 def chunk_id(source_id, ordinal) -> Column:
     return F.concat(F.col(source_id), F.lit("_c"), F.when(F.col(ordinal) < 10_000, F.lpad(
         F.col(ordinal).cast("string"), 4, "0")).otherwise(F.col(ordinal).cast("string")))
@@ -71,9 +78,17 @@ def chunk_id(source_id, ordinal) -> Column:
 def chunk_bodies(bodies: DataFrame, text: str = "body", size: int = V.CHUNK_MAX_CHARS,
                  overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
     """Chunks of sources without units: one unit ``document`` per source, no shuffle."""
-    out = pieces(bodies, text, size, overlap)
-    return (out.withColumn("ordinal", F.col("pos") + 1).withColumn("locator", F.lit("document"))
-               .withColumn("chunk_id", chunk_id("source_id", "ordinal")).drop("pos"))
+    return _of_bodies(pieces(bodies, text, size, overlap))
+
+
+def chunk_marks(marked: DataFrame) -> DataFrame:
+    """``chunk_bodies`` of sources whose text was replaced by ``piece_marks``."""
+    return _of_bodies(T.unnest(marked, [c for c in marked.columns if c != "_marks"], "_marks", "pos", "text"))
+
+
+def _of_bodies(rows: DataFrame) -> DataFrame:
+    return (rows.withColumn("ordinal", F.col("pos") + 1).withColumn("locator", F.lit("document"))
+                .withColumn("chunk_id", chunk_id("source_id", "ordinal")).drop("pos"))
 
 
 def chunk_units(units: DataFrame, size: int = V.CHUNK_MAX_CHARS, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:

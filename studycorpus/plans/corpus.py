@@ -82,24 +82,29 @@ def chunk_counts(records: DataFrame, files: DataFrame, body: str = "body", size:
 
 
 def build_chunks(records: DataFrame, files: DataFrame, body: str = "body", units: DataFrame | None = None,
-                 size: int = V.CHUNK_MAX_CHARS, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
+                 size: int = V.CHUNK_MAX_CHARS, overlap: int = V.CHUNK_OVERLAP, texts: bool = True) -> DataFrame:
     """Chunks of the ready sources with the record columns they cite.
 
-    Record and body meet on the path, which is unique; the text moves once.
+    Record and body meet on the path, which is unique; the text moves once. Without
+    ``texts`` it does not move at all: the text of a chunk is ``x``, or empty if it is blank.
     """
     facts = (records.filter(F.col("status") == "ready")
                     .select("course_id", F.col("source_path").alias("path"), "source_id", "title", "source_type", "priority",
                             "group", "chapter", "chapters"))
-    bodies = files.select("course_id", "path", F.col(body).alias("body")).join(facts, ["course_id", "path"])
-    if units is None:
-        rows = chunking.chunk_bodies(bodies, "body", size, overlap)
+    bodies = files.select("course_id", "path", F.col(body).alias("body"))
+    if units is None and not texts:
+        marked = chunking.piece_marks(bodies, "body", size, overlap).join(facts, ["course_id", "path"])
+        rows = chunking.chunk_marks(marked)
+    elif units is None:
+        rows = chunking.chunk_bodies(bodies.join(facts, ["course_id", "path"]), "body", size, overlap)
     else:
         units = units.join(facts.select("course_id", "source_id"), ["course_id", "source_id"], "left_semi")
-        cut = chunking.chunk_sources(bodies, units, size, overlap)
+        cut = chunking.chunk_sources(bodies.join(facts, ["course_id", "path"]), units, size, overlap)
         rows = scale.lookup_join(cut, facts, ["course_id", "source_id"], how="inner")
     folder = F.when(F.col("group").startswith("chapter_"), F.concat(F.lit("chapters/"), "group")).otherwise(F.col("group"))
+    text = F.col("text") if texts else F.when(T.strip("text") != "", "x").otherwise("").alias("text")
     return rows.select("course_id", "chunk_id", "source_id", "ordinal", "title", F.col("path").alias("source_path"),
-                       "source_type", "priority", "group", "chapter", "chapters", "locator", "text",
+                       "source_type", "priority", "group", "chapter", "chapters", "locator", text,
                        F.concat(F.lit("chunks/"), folder, F.lit("/"), "chunk_id", F.lit(".md")).alias("chunk_path"))
 
 
