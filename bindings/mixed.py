@@ -129,7 +129,7 @@ def ingest_mixed(spark, sf):
     stamp = lambda df, t: df.withColumn("mtime", F.timestamp_seconds(F.lit(t)))
     drops = [stamp(old, 10).filter("size % 7 <> 0"), stamp(new, 30).unionByName(stamp(old, 20).filter("size % 5 = 0"))]
     for number, drop in enumerate(drops):
-        ingest.ingest_batch(scale.checkpointed(drop), number, f"{base}/out", units(spark, sf, changed=number == 1))
+        ingest.ingest_batch(drop, number, f"{base}/out", units(spark, sf, changed=number == 1))
     return shown(*ingest.current_corpus(spark, f"{base}/out"))
 
 
@@ -142,5 +142,5 @@ def refresh_mixed(spark, sf):
     old_records, old_chunks = corpus.build(old, units(spark, sf))
     parts = extract.extract(new, units(spark, sf, changed=True))
     _, records, chunks = corpus.incremental(parts.texts, "body", refresh.snapshot(new), refresh.snapshot(old), old_records, scale.checkpointed(old_chunks),
-                                            parts.units, parts.statuses)
-    return shown(scale.checkpointed(records), chunks)
+                                            parts.units, parts.statuses, parts.plain)
+    return shown(records, chunks)

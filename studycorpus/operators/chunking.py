@@ -91,16 +91,24 @@ def _of_bodies(rows: DataFrame) -> DataFrame:
                 .withColumn("chunk_id", chunk_id("source_id", "ordinal")).drop("pos"))
 
 
-def chunk_units(units: DataFrame, size: int = V.CHUNK_MAX_CHARS, overlap: int = V.CHUNK_OVERLAP) -> DataFrame:
+def chunk_units(units: DataFrame, size: int = V.CHUNK_MAX_CHARS, overlap: int = V.CHUNK_OVERLAP, of: DataFrame | None = None) -> DataFrame:
     """Chunks of ``units`` (course_id, source_id, unit_no, locator, text).
 
     Ordinals run through the units of a source. The earlier units are counted on
     narrow rows, in buckets of unit numbers, so a source with very many units is
-    never ordered in one task.
+    never ordered in one task. The pieces move once, to their numbers.
+
+    ``of`` (course_id, source_id, once each) names the sources that are wanted; its other
+    columns come along.
     """
     cut = with_pieces(units, "text", size, overlap)
     counts = cut.select("course_id", "source_id", "unit_no", F.size("_pieces").cast("long").alias("_n"))
-    starts = scale.bucket_sums(counts, ["course_id", "source_id"], "unit_no", F.col("_n"), "_start").drop("_n")
+    if of is not None:
+        counts = counts.join(of.select("course_id", "source_id"), ["course_id", "source_id"], "left_semi")
+    # the sums read the counts twice, so texts would be cut three times
+    starts = scale.bucket_sums(scale.checkpointed(counts), ["course_id", "source_id"], "unit_no", F.col("_n"), "_start").drop("_n")
+    if of is not None:
+        starts = starts.join(of, ["course_id", "source_id"])
     placed = cut.join(starts, ["course_id", "source_id", "unit_no"])
     keep = [c for c in placed.columns if c not in ("_pieces", "_start")]
     return (T.unnest(placed, [*keep, "_start"], "_pieces", "_pos", "text")

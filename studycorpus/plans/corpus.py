@@ -92,15 +92,21 @@ def build_chunks(records: DataFrame, files: DataFrame, body: str = "body", units
                     .select("course_id", F.col("source_path").alias("path"), "source_id", "title", "source_type", "priority",
                             "group", "chapter", "chapters"))
     bodies = files.select("course_id", "path", F.col(body).alias("body"))
-    if units is None and not texts:
+    if units is not None:
+        # sources with units are told apart on narrow rows
+        key = ["course_id", "source_id"]
+        with_units = units.select(*key).distinct()
+        plain = facts.join(with_units, key, "left_anti")
+        cols = [c for c in facts.columns if c not in key]
+        cut = chunking.chunk_bodies(bodies.join(plain, ["course_id", "path"]), "body", size, overlap).withColumn("ordinal", F.col("ordinal").cast("long"))
+        of_units = chunking.chunk_units(units, size, overlap, facts.join(with_units, key, "left_semi"))
+        names = [*key, *cols, "locator", "ordinal", "chunk_id", "text"]
+        rows = of_units.select(*names).unionByName(cut.select(*names))
+    elif not texts:
         marked = chunking.piece_marks(bodies, "body", size, overlap).join(facts, ["course_id", "path"])
         rows = chunking.chunk_marks(marked)
-    elif units is None:
-        rows = chunking.chunk_bodies(bodies.join(facts, ["course_id", "path"]), "body", size, overlap)
     else:
-        units = units.join(facts.select("course_id", "source_id"), ["course_id", "source_id"], "left_semi")
-        cut = chunking.chunk_sources(bodies.join(facts, ["course_id", "path"]), units, size, overlap)
-        rows = scale.lookup_join(cut, facts, ["course_id", "source_id"], how="inner")
+        rows = chunking.chunk_bodies(bodies.join(facts, ["course_id", "path"]), "body", size, overlap)
     folder = F.when(F.col("group").startswith("chapter_"), F.concat(F.lit("chapters/"), "group")).otherwise(F.col("group"))
     text = F.col("text") if texts else F.when(T.strip("text") != "", "x").otherwise("").alias("text")
     return rows.select("course_id", "chunk_id", "source_id", "ordinal", "title", F.col("path").alias("source_path"),
@@ -137,7 +143,7 @@ def redecide(records: DataFrame) -> DataFrame:
 
 
 def refresh_chunks(records: DataFrame, files: DataFrame, body: str, prior_chunks: DataFrame, prior_records: DataFrame,
-                   changes: DataFrame, units: DataFrame | None = None) -> DataFrame:
+                   changes: DataFrame, units: DataFrame | None = None, plain: DataFrame | None = None) -> DataFrame:
     """Chunks after a refresh: old ones of reused sources that are still ready, new
     ones for everything that became ready."""
     ready = records.filter(F.col("status") == "ready").select("course_id", "source_id", "source_path")
@@ -148,21 +154,22 @@ def refresh_chunks(records: DataFrame, files: DataFrame, body: str, prior_chunks
     kept = scale.lookup_join(prior_chunks, still.select("course_id", "source_id", F.lit(True).alias("_k")),
                              ["course_id", "source_id"], how="inner").drop("_k")
     build = records.join(still.select("course_id", "source_id"), ["course_id", "source_id"], "left_anti")
-    return kept.unionByName(build_chunks(build, files, body, units))
+    return kept.unionByName(build_chunks(build, files if plain is None else plain, body, units))
 
 
 def incremental(files: DataFrame, body: str, current: DataFrame, prior: DataFrame, prior_records: DataFrame,
-                prior_chunks: DataFrame, units: DataFrame | None = None, statuses: DataFrame | None = None):
-    """(changes, records, chunks) of a refresh. ``units`` and ``statuses`` are those of
-    ``extract`` over the files as they are now."""
-    changes = refresh.source_changes(current, prior)
+                prior_chunks: DataFrame, units: DataFrame | None = None, statuses: DataFrame | None = None, plain: DataFrame | None = None):
+    """(changes, records, chunks) of a refresh. ``units``, ``statuses`` and ``plain`` are those of
+    ``extract`` over the files as they are now; without ``plain`` chunks are cut from ``files``."""
+    # both are used several times, and behind the changes are the bytes of all files
+    changes = scale.checkpointed(refresh.source_changes(current, prior))
     counts = None if units is None else extract.unit_counts(units)
-    records = refresh_records(files, body, prior_records, changes, unit_counts=counts, statuses=statuses)
-    return changes, records, refresh_chunks(records, files, body, prior_chunks, prior_records, changes, units)
+    records = scale.checkpointed(refresh_records(files, body, prior_records, changes, unit_counts=counts, statuses=statuses))
+    return changes, records, refresh_chunks(records, files, body, prior_chunks, prior_records, changes, units, plain)
 
 
 def build(files: DataFrame, units: DataFrame | None = None, include_references: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records, chunks) of files with their bytes: course_id, path, size, content."""
     parts = extract.extract(files, units, include_references)
     records = scale.checkpointed(build_records(parts.texts, "body", include_references, extract.unit_counts(parts.units), parts.statuses))
-    return records, build_chunks(records, parts.texts, "body", parts.units)
+    return records, build_chunks(records, parts.plain, "body", parts.units)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as V, text as T, udfs
 from ..operators import classify, dedup
@@ -19,11 +19,27 @@ UNIT_COLS = ["course_id", "source_id", "unit_no", "locator", "text"]
 class Extracted(NamedTuple):
     """``texts``: course_id, path, size, source_id, body. ``units``: of sources that have
     some. ``statuses``: course_id, path, status, note of sources that are no text.
-    ``links``: course_id, title, source_path, url, group of shortcut files."""
+    ``links``: course_id, title, source_path, url, group of shortcut files. ``plain``: the
+    ``texts`` whose types have no units."""
     texts: DataFrame
     units: DataFrame
     statuses: DataFrame
     links: DataFrame
+    plain: DataFrame
+
+
+def _kinds() -> tuple[Column, Column, Column]:
+    """Whether a classified file is read as plain text, as a web page, or as a shortcut."""
+    kind, ext = F.col("source_type"), F.col("ext")
+    plain = kind.isin("csv_table", "subtitle") | ((kind == "lms_page") & ext.isin(*V.TEXT_EXTS))
+    return plain, (kind == "lms_page") & ext.isin(*V.HTML_EXTS), kind == "url"
+
+
+def needed_bytes(files: DataFrame) -> DataFrame:
+    """The files without the bytes that ``extract`` never reads."""
+    plain, page, shortcut = _kinds()
+    kept = F.when(plain | page | shortcut, F.col("content")).alias("content")
+    return classify.classify_sources(files).select(*[kept if c == "content" else F.col(c) for c in files.columns])
 
 
 def extract(files: DataFrame, units: DataFrame | None = None, include_references: bool = False) -> Extracted:
@@ -39,10 +55,8 @@ def extract(files: DataFrame, units: DataFrame | None = None, include_references
     names a reason, gets status ``error`` with the reason as its note.
     """
     typed = classify.gate_references(classify.classify_sources(files), include_references)
-    kind, ext = F.col("source_type"), F.col("ext")
-    plain = kind.isin("csv_table", "subtitle") | ((kind == "lms_page") & ext.isin(*V.TEXT_EXTS))
-    page = (kind == "lms_page") & ext.isin(*V.HTML_EXTS)
-    shortcut = kind == "url"
+    kind = F.col("source_type")
+    plain, page, shortcut = _kinds()
     raw = F.when(plain | shortcut, F.col("content"))
     reason = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
     # types that are never extracted, and references that are only listed, cannot fail
@@ -64,17 +78,20 @@ def extract(files: DataFrame, units: DataFrame | None = None, include_references
         S.subtitle_cues(cues, "body").select("course_id", "source_id", F.col("unit_no").cast("long").alias("unit_no"), "locator", "text",
                                              F.concat(F.lit("["), "locator", F.lit("] "), "text").alias("line")))
     own = scale.checkpointed(own)
-    given = own.select(*UNIT_COLS).limit(0) if units is None else units.select(
-        "course_id", "source_id", F.col("unit_no").cast("long").alias("unit_no"), "locator", "text")
-    known = texts.filter(F.col("source_type").isin(*GIVEN_TYPES)).select("course_id", "source_id")
-    given = given.join(known, ["course_id", "source_id"], "left_semi")
+    given = own.select(*UNIT_COLS).limit(0)
+    if units is not None:
+        known = texts.filter(F.col("source_type").isin(*GIVEN_TYPES)).select("course_id", "source_id")
+        # their texts move here, and are read several times
+        given = scale.checkpointed(units.select("course_id", "source_id", F.col("unit_no").cast("long").alias("unit_no"), "locator", "text")
+                                        .join(known, ["course_id", "source_id"], "left_semi"))
 
     # the body of a source with units: the units of one file, in order
     lines = own.unionByName(given.withColumn("line", F.col("text")))
     joined = lines.groupBy("course_id", "source_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("unit_no", "line"))), lambda u: u["line"]), "\n\n").alias("_joined"))
     unitary = F.col("source_type").isin("csv_table", "subtitle", *GIVEN_TYPES)
-    whole = texts.filter(~unitary).select("course_id", "path", "size", "source_id", "body").unionByName(
+    plain_texts = texts.filter(~unitary).select("course_id", "path", "size", "source_id", "body")
+    whole = plain_texts.unionByName(
         texts.filter(unitary).drop("body").join(joined, ["course_id", "source_id"], "left")
              .select("course_id", "path", "size", "source_id", F.coalesce("_joined", F.lit("")).alias("body")))
 
@@ -90,7 +107,7 @@ def extract(files: DataFrame, units: DataFrame | None = None, include_references
     stubs = dedup.drop_media_stubs(plain_pages, narrow).filter(F.col("status").isNotNull()).select(
         "course_id", "path", "status", F.lit("Tiny activity wrapper; use the media transcript instead").alias("note"))
     others = bare.unionByName(beside).unionByName(stubs).join(errors.select("course_id", "path"), ["course_id", "path"], "left_anti")
-    return Extracted(whole, own.select(*UNIT_COLS).unionByName(given), scale.checkpointed(errors.unionByName(others)), links)
+    return Extracted(whole, own.select(*UNIT_COLS).unionByName(given), scale.checkpointed(errors.unionByName(others)), links, plain_texts)
 
 
 def unit_counts(units: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import chunking, refresh
+from ..functions import text as T
+from ..operators import chunking
 from ..plans import corpus, extract, scale
 
 TABLES = ("records", "chunks", "source_manifest")
@@ -63,15 +64,18 @@ def ingest_batch(batch: DataFrame, number: int, path: str, units: DataFrame | No
     """One micro-batch: course_id, path, size, content (, mtime). Files go through the
     extractor of their type; ``units`` are those of types that have none here."""
     spark = batch.sparkSession
-    # a path that comes twice in a batch counts once: the later file, then the larger hash
     stamped = batch if "mtime" in batch.columns else batch.withColumn("mtime", F.lit(None).cast("timestamp"))
     # a file without content has a hash of its own here, so that it is kept and reported
     sha = F.coalesce(F.sha2("content", 256), F.lit(""))
-    hashed = stamped.select("course_id", "path", "mtime", sha.alias("sha256"))
-    last = scale.checkpointed(scale.first_rows(hashed, ["course_id", "path"], [F.col("mtime").desc_nulls_last(), F.col("sha256").desc()]).drop("mtime"))
-    batch = (batch.withColumn("sha256", sha).join(last, ["course_id", "path", "sha256"], "left_semi")
-                  .drop("sha256").dropDuplicates(["course_id", "path"]))
-    current = refresh.snapshot(batch)
+    mark, row = scale.unused(stamped.columns, "_sha256", "_row")
+    # the batch is read once: hashed, and written with the bytes that will be read
+    held = scale.checkpointed(extract.needed_bytes(stamped.withColumn(mark, sha)).withColumn(row, F.monotonically_increasing_id()))
+    # a path that comes twice in a batch counts once: the later file, then the larger hash
+    narrow = held.select("course_id", "path", "mtime", "size", mark, row)
+    last = scale.first_rows(narrow, ["course_id", "path"], [F.col("mtime").desc_nulls_last(), F.col(mark).desc(), F.col(row)])
+    current = scale.checkpointed(last.select(
+        "course_id", T.snapshot_id("path").alias("source_id"), F.col("path").alias("logical_path"), F.nullif(mark, F.lit("")).alias("sha256"),
+        "size", F.lit("course_material").alias("source_role"), row))
     slots = [r[0] for r in current.select(_slot()).distinct().collect()]       # at most ``SLOTS`` numbers
     prior = _seen(spark, path, number, slots)
     if prior is None:
@@ -80,14 +84,17 @@ def ingest_batch(batch: DataFrame, number: int, path: str, units: DataFrame | No
         # files of the batch whose bytes are already known need no work
         todo = current.join(prior.select("course_id", "logical_path", "sha256"), ["course_id", "logical_path", "sha256"], "left_anti")
     todo = scale.checkpointed(todo)
-    fresh = batch.join(todo.select("course_id", F.col("logical_path").alias("path")), ["course_id", "path"], "left_semi")
+    fresh = held.join(todo.select(row), row, "left_semi").drop(row, mark)
     parts = extract.extract(fresh, units)
     records = scale.checkpointed(corpus.build_records(parts.texts, unit_counts=extract.unit_counts(parts.units), statuses=parts.statuses))
     # a duplicate may become the first of its text later, so its chunks are made too
-    ids = records.filter(F.col("status").isin("ready", "duplicate")).select("course_id", F.col("source_path").alias("path"))
-    bodies = parts.texts.join(ids, ["course_id", "path"], "left_semi")
-    used = parts.units.join(bodies.select("course_id", "source_id"), ["course_id", "source_id"], "left_semi")
-    out = {"records": records, "chunks": chunking.chunk_sources(bodies, used), "source_manifest": todo}
+    ids = records.filter(F.col("status").isin("ready", "duplicate")).select("course_id", "source_id", F.col("source_path").alias("path"))
+    bodies = parts.plain.join(ids, ["course_id", "path", "source_id"], "left_semi")
+    cols = ["course_id", "source_id", "locator", "ordinal", "chunk_id", "text"]
+    chunks = chunking.chunk_units(parts.units, of=ids.select("course_id", "source_id").distinct()).select(*cols).unionByName(
+        chunking.chunk_bodies(bodies).withColumn("ordinal", F.col("ordinal").cast("long")).select(*cols))
+    todo = todo.drop(row)
+    out = {"records": records, "chunks": chunks}
     for name in TABLES[:2]:
         out[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
     todo.select("*", _slot()).write.mode("overwrite").partitionBy("slot").parquet(f"{path}/source_manifest/batch={number}")
@@ -112,7 +119,9 @@ def current_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
                     .withColumnRenamed("logical_path", "source_path"))
     batches = records.select("course_id", "source_id", "batch")
     decided = corpus.redecide(records.drop("batch"))
-    ready = decided.filter(F.col("status") == "ready").select("course_id", "source_id").join(batches, ["course_id", "source_id"])
-    chunks = scale.lookup_join(spark.read.parquet(f"{path}/chunks"), ready.withColumn("_k", F.lit(True)),
-                               ["course_id", "source_id", "batch"], how="inner").drop("_k", "batch")
+    ready = (decided.filter(F.col("status") == "ready").select("course_id", "source_id").join(batches, ["course_id", "source_id"])
+                    .withColumnRenamed("batch", "_newest"))
+    # joined by source, so that what is grouped by source next moves no text again
+    chunks = (spark.read.parquet(f"{path}/chunks").filter(F.col("course_id").isNotNull()).join(ready, ["course_id", "source_id"])
+                   .filter(F.col("batch") == F.col("_newest")).drop("_newest", "batch"))
     return decided, chunks
