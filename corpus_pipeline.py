@@ -48,9 +48,9 @@ def by_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    encoded = bpe.encode(docs, VOCABULARY, decoded_col="decoded")
-    return encoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    # each text goes to the encoder once and does not come back
+    encoded = bpe.encode(docs, VOCABULARY, digest_col="decoded_sha256", keep=["doc_id", "lang", "source", "n_chars"])
+    return encoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [("quality", by_quality), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("mix", by_weight), ("bpe", to_tokens)]

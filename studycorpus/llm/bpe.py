@@ -21,7 +21,7 @@ from studycorpus.llm.base import free_names, portions, text_of
 from studycorpus.llm.words import LONG_WORD, Words, memory, words
 
 REMEMBERED = 80_000        # words whose ids a worker process remembers
-CHUNK = 50_000           # new words that are encoded together
+CHUNK = 16_000           # new words that are encoded together
 
 
 class PairIndex:
@@ -165,8 +165,11 @@ def encode_texts(path: str, texts: list[str]) -> Iterator[bytes]:
                 del known[x]
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
-    """The documents with a column of token ids (int array), and the decoded text if named.
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None,
+           digest_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The documents with a column of token ids (int array), and the decoded text or its SHA-256
+    if named; the digest is made in the task that encodes, so that the decoded text stays there.
+    ``keep`` names the columns that pass, all of them by default.
 
     Null and empty texts have no ids and decode to the empty text. Other columns pass;
     one that has the name of a new column is replaced.
@@ -179,15 +182,20 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
             names = [n for i, n in enumerate(batch.schema.names) if i != at]
             cols.append(pa.array(ids, pa.list_(pa.int32())))
             names.append(ids_col)
+            if digest_col:
+                index = pair_index(vocabulary)
+                cols.append(pa.array([hashlib.sha256(index.decode(i.tolist()).encode()).hexdigest() for i in ids], pa.string()))
+                names.append(digest_col)
             if decoded_col:
                 index = pair_index(vocabulary)
                 cols.append(pa.array([index.decode(i.tolist()) for i in ids], pa.string()))
                 names.append(decoded_col)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    rest = [c for c in docs.columns if c not in (ids_col, decoded_col)]
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, decoded_col, digest_col)]
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
     schema = StructType([docs.schema[c] for c in rest] + [StructField(ids_col, ArrayType(IntegerType()))]
+                        + ([StructField(digest_col, StringType())] if digest_col else [])
                         + ([StructField(decoded_col, StringType())] if decoded_col else []))
     (text,) = free_names(docs.columns, "_text")
     return docs.select(*[f"`{c}`" for c in rest], text_of(text_col).alias(text)).mapInArrow(run, schema)

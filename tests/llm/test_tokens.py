@@ -91,3 +91,17 @@ def test_queries_on_a_table(spark, library):
         assert c[d.doc_id].start == start and c[d.doc_id].ids_crc32 == zlib.crc32(np.array(ids + [1], "<u4").tobytes())
         start += len(ids) + 1
     assert len(a) == len(b) == len(c) == len(docs)
+
+
+def test_digests_in_place_of_decoded_texts(spark):
+    """The digest made in the task is that of the decoded text, and the text does not pass."""
+    from pyspark.sql import functions as F
+    import corpus_pipeline
+    texts = ["", None, "Plain words, 12 of them", "Ünïcode \U0001F600 text <|endoftext|> end", "again " * 300]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    vocabulary = corpus_pipeline.VOCABULARY
+    want = corpus_pipeline.bpe.encode(docs, vocabulary, decoded_col="decoded").select("doc_id", "ids", F.sha2("decoded", 256).alias("d"))
+    got = corpus_pipeline.to_tokens(spark, docs, "")
+    assert sorted(map(tuple, got.select("doc_id", "ids", "decoded_sha256").collect())) == sorted(map(tuple, want.collect()))
+    kept = corpus_pipeline.bpe.encode(docs, vocabulary, digest_col="d", keep=["doc_id"])
+    assert kept.columns == ["doc_id", "ids", "d"]
