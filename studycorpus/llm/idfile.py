@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from studycorpus.llm.base import shared_folder, slices, text_of
+from studycorpus.llm.base import portions, shared_folder, slices, text_of
 from studycorpus.llm.words import LONG_WORD, memory, words
 
 SAMPLE_DOCS = 2_000          # bound of the sample that the dictionary is trained on
@@ -32,36 +33,49 @@ SHARD_BYTES = 4 << 20        # frames in a shard before the next begins
 SHARD_DOCS = 20_000
 RANGE_DOCS = 5_000           # documents of a range of ids, the unit of the shuffle
 LEVEL = 3
+PORTION_DOCS = 2_048         # documents, and bytes of text, whose words are looked up together
+PORTION_BYTES = 8 << 20
 
 
 def _library_ids(path: str, texts: list[str], end_id: int) -> Iterator[bytes]:
-    """Ids as the library gives them, each distinct pre-token encoded once, with the end id."""
+    """Ids as the library gives them, with the end id. Each distinct word of the texts is looked
+    up once and each new pre-token encoded once; words that occur twice are remembered."""
     w, known, end = words(path), memory(path, "library ids"), array("I", [end_id]).tobytes()
+    new: dict[str, bytes] = {}
 
     def of(word: str) -> bytes:
         if word in w.special:
-            known[word] = array("I", [w.special[word]]).tobytes()
-            return known[word]
-        if not w.is_plain(word):
+            out = array("I", [w.special[word]]).tobytes()
+        elif word.isascii() and word.isalpha():
+            out = array("I", w.ids(word)).tobytes()
+        elif not w.is_plain(word):
             out = array("I", [i for p in w.pieces_of_word(word) for i in w.ids(p)]).tobytes()
         elif len(parts := w.parts_of_plain(word)) == 1:
             out = array("I", w.ids(w.mapped(word))).tobytes()
         else:                                      # each part is what it is as a word
-            out = b"".join([known.get(p) or of(p) for p in parts])
-        known[word] = out
+            out = b"".join([known.get(p) or new.get(p) or of(p) for p in parts])
+        new[word] = out
         return out
 
-    for at in range(0, len(texts), 512):
-        lists = [w.split(t) for t in texts[at:at + 512]]
-        distinct = set().union(*lists)
-        known.room(distinct)
-        for x in distinct - known.keys():
-            of(x)
-        for words_ in lists:
-            yield b"".join(map(known.__getitem__, words_)) + end
-        for x in distinct:
-            if len(x) > LONG_WORD:
-                known.pop(x, None)
+    lowered = [w.lowered(t) for t in texts]
+    lists = pc.ascii_split_whitespace(pa.array([t or "" for t in lowered], pa.large_string()))
+    ends = lists.offsets.to_pylist()
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    known.room(distinct)
+    ids = [known.get(x) or new.get(x) or of(x) for x in distinct]
+    for i in np.flatnonzero(np.bincount(coded.indices) > 1).tolist():
+        if len(distinct[i]) <= LONG_WORD:
+            known[distinct[i]] = ids[i]
+    # the words of all texts in a row become their ids in a row, so that a text is a slice of them
+    row = pa.array(ids, pa.large_binary()).take(coded.indices)
+    at = np.frombuffer(row.buffers()[1], np.int64)[row.offset:] if len(row) else np.zeros(1, np.int64)
+    data = memoryview(row.buffers()[2] or b"")
+    for text, low, lo, hi in zip(texts, lowered, ends, ends[1:]):
+        if low is None:
+            yield b"".join([known.get(x) or new.get(x) or of(x) for x in w.split(text)]) + end
+        else:
+            yield bytes(data[at[lo]:at[hi]]) + end
 
 
 @functools.lru_cache(maxsize=4)
@@ -79,7 +93,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, id_col: str, text_col: st
     sample = docs.filter(h <= (last if last is not None else 0)).select(text_of(text_col).alias("text")).limit(2 * SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 0, PORTION_BYTES, PORTION_DOCS):
             texts = [t[:8 * SAMPLE_IDS] for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array([b[:4 * SAMPLE_IDS] for b in _library_ids(vocabulary, texts, end_id)], pa.binary())], names=["ids"])
 
@@ -110,7 +124,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = _codec(shared.value)[0].compress
-        for batch in slices(batches):
+        for batch in portions(batches, 1, PORTION_BYTES, PORTION_DOCS):
             n, frames = [], []
             for b in _library_ids(vocabulary, batch.column(1).to_pylist(), end_id):
                 n.append(len(b) // 4)

@@ -68,9 +68,19 @@ class Words:
             return out + self._plain(text[at:])
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[str]:
+    def lowered(self, text: str) -> str | None:
+        """A text whose words, as ``split`` gives them, stand between characters of ``SPACES``;
+        None if special tokens are in it."""
+        if "<|" in text and self.special_at.search(text):
+            return None
+        return text.lower() if self._is_safe(text) else self.library.normalizer.normalize_str(text)
+
+    def _is_safe(self, text: str) -> bool:
         ascii_ = text.isascii()
-        if (ascii_ and not any(c in text for c in ODD_SPACES)) or (not ascii_ and self.safe.issuperset(text)):
+        return (ascii_ and not any(c in text for c in ODD_SPACES)) or (not ascii_ and self.safe.issuperset(text))
+
+    def _plain(self, text: str) -> list[str]:
+        if self._is_safe(text):
             return text.lower().split()
         return [w for w in self.library.normalizer.normalize_str(text).split(" ") if w]
 

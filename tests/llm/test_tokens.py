@@ -70,6 +70,25 @@ def test_files(spark, docs, library, tmp_path, monkeypatch):
     assert len(idfile.read_one(spark, folder, 3)) == 3 and idfile.read_one(spark, folder, 10 ** 9) == []
 
 
+def test_ids_of_many_texts(library, monkeypatch):
+    """Each pre-token of the texts is encoded once, however little is remembered, and the ids are the library's."""
+    from studycorpus.llm import words
+    rng = random.Random(5)
+    first, second = ([f"{c}{''.join(rng.choices('abcdeé', k=7))}" for _ in range(200)] for c in "xy")
+    texts = [" ".join(rng.choices(some, k=8)) for some in (first, second, first) for _ in range(512)]
+    texts[3:3] = ["", "a\x0bb\x0cc\rd\x1ce Å\x85à\xa0b", f"{first[0]}<|endoftext|> {first[1]}!", "\x00 a\x00b", "long" * 40 + " long", " "]
+    asked, ids, room = [], words.Words.ids, words.Memory.room
+    words.memory("nothing")
+    monkeypatch.setattr(words.Words, "ids", lambda self, p: asked.append(p) or ids(self, p))
+    monkeypatch.setattr(words.Memory, "room", lambda self, now=frozenset(), most=0: room(self, now, 100))
+    got = list(idfile._library_ids(VOCABULARY, texts, 1))
+    assert len(asked) == len(set(asked))
+    again = list(idfile._library_ids(VOCABULARY, texts, 1))
+    want = [encoded(library, t) + [1] for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == want and again == got
+    assert not [x for x in words.memory(VOCABULARY, "library ids") if len(x) > words.LONG_WORD]
+
+
 def test_empty_table(spark, docs):
     none = docs.filter("doc_id = -1")
     assert counts.token_counts(none, VOCABULARY).count() == 0
