@@ -69,10 +69,13 @@ def _library_ids(path: str, texts: list[str], end_id: int) -> Iterator[bytes]:
             known[distinct[i]] = ids[i]
     # the words of all texts in a row become their ids in a row, so that a text is a slice of them
     row = pa.array(ids, pa.large_binary()).take(coded.indices)
+    lowered = [t is not None for t in lowered]
+    del lists, coded, distinct, ids
+    pa.default_memory_pool().release_unused()      # else a worker keeps what the row was made of
     at = np.frombuffer(row.buffers()[1], np.int64)[row.offset:] if len(row) else np.zeros(1, np.int64)
     data = memoryview(row.buffers()[2] or b"")
-    for text, low, lo, hi in zip(texts, lowered, ends, ends[1:]):
-        if low is None:
+    for text, in_row, lo, hi in zip(texts, lowered, ends, ends[1:]):
+        if not in_row:
             yield b"".join([known.get(x) or new.get(x) or of(x) for x in w.split(text)]) + end
         else:
             yield bytes(data[at[lo]:at[hi]]) + end
