@@ -1,9 +1,12 @@
 """Scans, decoding, manifests and file ingestion."""
 from __future__ import annotations
 
+import os
 import uuid
+from functools import reduce
+from urllib.parse import quote
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from studycorpus.functions import text as T
 from studycorpus.plans import scale
@@ -13,14 +16,66 @@ from studycorpus.streaming import ingest
 from .base import CLEAN_SQL, EXT, PATH, RECORDS_SQL, documents, query, table
 
 
+LISTED_AT_ONCE = 250_000   # files that the driver lists at once, unless a course has more
+
+
 @query("scan_files", """select concat('course=', source) as course_id, doc_id, '.txt' as ext, octet_length(encode(text)) + 1 as size, sha256(concat(text, chr(10))) as sha256 from documents""")
 def scan_files(spark, sf):
     """The documents as one file each, in folders of courses, scanned with their bytes."""
     root = f"{scale.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents", "source as course", "doc_id as doc", "text")
+    plain = files.plain_folder(spark, root)
+    if plain is None:
+        return scan_written(spark, docs, root)
+    planted = scale.checkpointed(docs.select(F.col("course").cast("string"), F.col("doc").cast("string"), F.col("text").cast("binary"))
+                                     .mapInArrow(planter(plain), "folder string, files long"))
+    doc = F.expr("try_cast(regexp_extract(path, '-(-?[0-9]+)[.]txt$', 1) as long)")
+    tables, some = [], []
+    with scale.setting(spark, "spark.sql.files.openCostInBytes", "64k"):
+        # by default a task opens at most 32 files
+        counts = planted.groupBy("folder").agg(F.sum("files")).orderBy("folder").collect()
+        for i, (folder, n) in enumerate(counts):
+            some.append((folder, n))
+            if i + 1 < len(counts) and sum(n for _, n in some) + counts[i + 1][1] <= LISTED_AT_ONCE:
+                continue
+            out = files.scan_files(spark, root, course_depth=1, content=True, folders=[f for f, _ in some])
+            tables.append(scale.checkpointed(out.select(F.try_url_decode("course_id").alias("course_id"), doc.alias("doc_id"), "ext", "size", F.sha2("content", 256).alias("sha256"))))
+            some = []
+    return reduce(DataFrame.unionAll, tables) if tables else scan_written(spark, docs, root)
+
+
+def planter(root: str):
+    """Writes a file for each row, ``course=<course>/<task>-<row>-<document>.txt``. Through Hadoop's local file
+    system each file would take several processes, to set its mode, and a second file of checksums."""
+    def plant(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, folders, n = TaskContext.get(), {}, 0
+        for batch in batches:
+            for course, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                # quoted twice, as the scan undoes one
+                folder = f"course={quote(quote(course or '', safe=''), safe='')}"
+                if folder not in folders:
+                    os.makedirs(f"{root}/{folder}", exist_ok=True)
+                folders[folder] = folders.get(folder, 0) + 1
+                name = f"{task.partitionId()}-{n}-{doc}.txt"
+                hidden = f"{root}/{folder}/.{task.taskAttemptId()}-{name}"
+                with open(hidden, "wb") as out:
+                    out.write((text or b"") + b"\n")
+                os.replace(hidden, f"{root}/{folder}/{name}")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"folder": pa.array(list(folders), pa.string()), "files": pa.array(list(folders.values()), pa.int64())})
+
+    return plant
+
+
+def scan_written(spark, docs, root):
+    """The same where the shared folder is in a store that only Spark writes."""
     # a folder for each document would cost more than its file: a task writes its rows to files that it
     # numbers course by course, so its number and theirs name the document
     tasks = scale.shuffle_width(spark)
-    docs = table(spark, sf, "documents", "source as course", "doc_id as doc", "text", f"cast(pmod(xxhash64(doc_id), {tasks}) as int) as part")
+    docs = docs.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc), {tasks}) as int)"))
     (docs.repartitionById(tasks, F.col("part")).sortWithinPartitions("course", "doc").select("course", "text")
          .write.option("maxRecordsPerFile", 1).partitionBy("course").text(root))
     out = files.scan_files(spark, root, course_depth=1, content=True)

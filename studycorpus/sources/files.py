@@ -1,6 +1,7 @@
 """File scans: listings, text decoding, rows, cues and shortcuts."""
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,9 +10,9 @@ from ..functions import fixed_values as V, text as T, udfs
 from ..functions.text import col
 
 
-def _scan(reader, root: str, course_depth: int, package_suffixes, skip_dirs) -> DataFrame:
+def _scan(reader, root: str, course_depth: int, package_suffixes, skip_dirs, folders=None) -> DataFrame:
     base = root.rstrip("/")
-    rows = reader.load(base)
+    rows = reader.load(base if folders is None else [f"{base}/{f}" for f in folders])
     full = F.regexp_replace(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"\A[A-Za-z0-9]+:/*(?=/)", "")
     plain = base.split(":", 1)[-1] if ":" in base.split("/", 1)[0] else base
     plain = "/" + plain.lstrip("/")
@@ -33,15 +34,23 @@ def _literal(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def plain_folder(spark: SparkSession, folder: str) -> str | None:
+    """Path of a folder that is in the file system of the machine (or mounted there), else null."""
+    if folder.startswith("/"):
+        folder = (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:/").rstrip("/") + folder
+    return re.sub(r"\Afile:/*", "/", folder) if folder.startswith("file:") else None
+
+
 def scan_files(spark: SparkSession, root: str, course_depth: int = 1, content: bool = False,
-               package_suffixes=(".corpus.zip",), skip_dirs=V.SKIP_DIRS) -> DataFrame:
+               package_suffixes=(".corpus.zip",), skip_dirs=V.SKIP_DIRS, folders: list[str] | None = None) -> DataFrame:
     """Regular files below a root: course_id, path, ext, size, mtime (, content).
 
     The first ``course_depth`` directories name the course. Without ``content``
-    the column is pruned and no byte of a file is read.
+    the column is pruned and no byte of a file is read. Spark lists all files on the driver;
+    ``folders`` of the root bound how many at a time.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return _columns(_scan(reader, root, course_depth, package_suffixes, skip_dirs), content)
+    return _columns(_scan(reader, root, course_depth, package_suffixes, skip_dirs, folders), content)
 
 
 def stream_files(spark: SparkSession, root: str, course_depth: int = 1, package_suffixes=(".corpus.zip",),

@@ -2,9 +2,11 @@
 import glob
 import os
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from bindings import QUERIES
+from bindings import ORACLES, QUERIES, scan
 from studycorpus.operators import catalog
 from studycorpus.plans import scale
 
@@ -48,3 +50,27 @@ def test_links_of_all_scopes_are_kept_once(spark, monkeypatch):
     got = sorted(map(tuple, crawl.reachable(plain, seeds, None, closed).collect()))
     assert ("s", "d", 3, "reached") in got and not {"a", "d"} & {node for scope, node, _, _ in got if scope == "t"}
     assert got == sorted(map(tuple, crawl.reachable(scoped, seeds, None, closed).collect()))
+
+
+@pytest.mark.parametrize("at_once", [250_000, 100])
+def test_planted_files_are_one_each_and_scanned_together(spark, tmp_path, monkeypatch, at_once):
+    """Names that need quoting, one plain file a document, far fewer tasks than files, and lists in parts."""
+    monkeypatch.setattr(scan, "LISTED_AT_ONCE", at_once, raising=False)
+    con, written, write = duckdb.connect(), [], scale.checkpointed
+    con.execute(f"""copy (select i as doc_id, case i % 5 when 0 then 'a/b %41+c' when 1 then '' when 2 then null when 3 then 'ü = ".' else 'plain' end as source,
+      repeat('wort ü ', i % 7) as text from (select unnest(range(-3, 397)) as i) union all select 5, 'plain', 'the same number') to '{tmp_path}/documents.parquet'""")
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+
+    def noted(df):
+        written.append(df.rdd.getNumPartitions())
+        return write(df)
+
+    monkeypatch.setattr(scale, "checkpointed", noted)
+    base = scale.shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/files-*"))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    got = QUERIES["scan_files"](spark, str(tmp_path)).select("course_id", "doc_id", "ext", "size", "sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLES["scan_files"]).fetchall()) and got.count() == 401
+    (root,) = set(glob.glob(f"{base}/files-*")) - before
+    assert sum(len(names) for _, _, names in os.walk(root)) == 401        # no checksum beside a file
+    assert len(written) == (2 if at_once > 401 else 5) and max(written[1:]) <= 10 and spark.conf.get("spark.sql.files.openCostInBytes") == cost
